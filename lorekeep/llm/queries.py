@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, html_blocks, line_dedup, mixing, piece_encoding, token_counts
+from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, mixing, motion_jpeg, piece_encoding, quality, token_counts
 from lorekeep.llm.common import table
 
 
@@ -58,6 +58,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion_jpeg.media_features(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_html_extraction": op2_html_extraction,
@@ -66,4 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sentencepiece": op5_sentencepiece,
         "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
+        "op8_media": op8_media,
+        "op9_quality": op9_quality,
+        "op10_jaccard_join": op10_jaccard_join,
     }
