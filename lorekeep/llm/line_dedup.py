@@ -32,7 +32,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int
     """
     lines = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     # Lower-casing A-Z keeps the length, so short lines go before any of that work.
-    keyed = (
+    keyed = cut(  # else the sampling for the ranges reads all texts once more
         lines.withColumn("key", F.btrim("line", F.lit(SPACE_CHARS)))
         .where(F.char_length("key") >= least_chars)
         .select(F.unhex(F.md5(ascii_lower(F.col("key")))).alias("digest"), "id", "text_key", "pos")
@@ -40,7 +40,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int
     largest_first = F.col("id").desc()
     ranged = keyed.repartitionByRange("digest", largest_first).sortWithinPartitions("digest", largest_first, "pos")
     held = cut(ranged.groupBy("digest", "id", "text_key").agg(F.collect_set("pos").alias("positions")))
-    repeated = (
+    repeated = cut(  # written, so that the join below shuffles both sides and splits a line that most documents hold
         held.groupBy("digest")
         .agg(F.count_distinct("id").alias("ids"), F.max(F.col("id").isNull().cast("int")).alias("without"), F.max("id").alias("first_id"))
         .where(F.col("ids") + F.col("without") >= least_docs)
