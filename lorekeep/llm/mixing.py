@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import WORD_PATTERN
+from lorekeep.llm.common import WORD_PATTERN, cut
+
+#: Sources whose targets are sent to every task; each takes some tens of bytes.
+MOST_BROADCAST = 50_000
 
 
 def token_count(text: Column) -> Column:
@@ -57,7 +60,9 @@ def mix(
     Repeated rows draw alike.  An empty table gives an empty result.
     """
     sized = docs.withColumn(f"{prefix}size", token_count(F.col(text_col)))
-    targets = source_targets(sized.select(F.col(source_col).alias("source"), F.col(f"{prefix}size").alias("size")), weights, most_repeats)
+    targets = cut(source_targets(sized.select(F.col(source_col).alias("source"), F.col(f"{prefix}size").alias("size")), weights, most_repeats))
+    if targets.count() <= MOST_BROADCAST:  # else a shuffled join, whose hot sources adaptive execution splits
+        targets = F.broadcast(targets)
     targets = targets.withColumnsRenamed({c: f"__mix_{c}" for c in targets.columns})
     joined = sized.join(targets, sized[source_col].eqNullSafe(targets["__mix_source"]))
     rate = F.when(F.col("__mix_source_size") > 0, F.least(F.col("__mix_target") / F.col("__mix_source_size"), F.lit(float(most_repeats)))).otherwise(0.0)
