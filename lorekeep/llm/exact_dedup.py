@@ -74,7 +74,7 @@ class DigestIndex:
             .write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.name)
         )
         keepers = batch.select("digest", F.col("best.row").alias("best_row")).join(fresh.select("digest", F.lit(True).alias("is_fresh")), "digest", "left")
-        known = keepers.join(self.rows(), "digest")
+        known = cut(keepers.join(self.rows(), "digest"))  # written, so that the last join can split a hot digest
         return digests.join(known, "digest").select(
             F.col("id").alias(id_col),
             "keep_id",

@@ -123,7 +123,7 @@ def _summed(sketches: DataFrame) -> np.ndarray:
                 sums[block] = sums[block] + part if block in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["block", "counts"])
 
-    rows = sketches.repartition(BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()
+    rows = map_arrow(sketches.repartition(BLOCKS, "block"), add, "block int, counts binary").collect()
     sketch = np.zeros((BLOCKS, (1 << SLOTS_LOG2) // BLOCKS), np.int64)
     for row in rows:
         sketch[row["block"]] += _unpacked(row["counts"], np.int64)

@@ -228,4 +228,4 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_co
             arrays = [batch.column(c) for c in carry] + [pa.array(x, pa.float64()) for x in scores] + [pa.array(scores[2] >= fitted.threshold, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    return docs.select(*needed).mapInArrow(work, schema)
+    return map_arrow(docs.select(*needed), work, schema)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, mixing, motion_jpeg, piece_encoding, quality, token_counts
+from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, lm_scoring, mixing, motion_jpeg, piece_encoding, quality, token_counts
 from lorekeep.llm.common import table
 
 
@@ -28,6 +28,10 @@ def word_pieces(path: str) -> list[str]:
     return [p for p in pieces if token_counts.MARK not in p[1:]]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -73,6 +77,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_html_extraction": op2_html_extraction,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_token_counts": op4_token_counts,
