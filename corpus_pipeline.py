@@ -1,14 +1,83 @@
-"""The corpus pipeline: documents through five stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again.
+
+1. quality: documents that the co-trained classifier rejects go.
+2. lines: lines that three documents or more share stay in the one with the largest id alone.
+3. near_duplicates: of each group of similar texts the document with the smallest id stays.
+4. mixing: sources are brought to their target weights; documents repeat or go by lot.
+5. sentencepiece: what is left is encoded, and decoded as a check.
+
+Every stage accepts what the one before it kept: nulls in any column, empty texts, repeated rows and
+empty tables pass through as each operator's docstring says.  All but the last return the columns of
+their input, in its order.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.llm import jaccard_join, line_dedup, mixing, piece_encoding, quality
+from lorekeep.llm.common import staged, table
+from lorekeep.llm.queries import vocabulary_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier keeps, unchanged."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, prefix="__quality_").where("__quality_keep").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; a text that loses lines is its other lines, and ``n_chars`` follows it."""
+    marked = line_dedup.mark(docs, prefix="__lines_")
+    lost = F.col("__lines_keep_runs").isNotNull()
+    kept = line_dedup.kept_text(F.col("text"), F.col("__lines_keep_runs"))
+    changed = marked.withColumn("text", F.when(lost, kept).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(lost, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of each group's smallest id.  Of rows that repeat id and text one stays; so does one
+    row of each text without id."""
+    groups = jaccard_join.similar_groups(docs)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    named = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
+    both = named.unionByName(docs.where(F.col("doc_id").isNull()))
+    return both.withColumn("__text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them."""
+    return mixing.emit(mixing.mix(docs, prefix="__mix_"), docs.columns, prefix="__mix_")
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row for each copy in the mix."""
+    return piece_encoding.encode(docs, vocabulary_path("piece_bpe_32k.model"), digests=True)
+
 
-STAGES = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_good),
+    ("lines", drop_repeated_lines),
+    ("near_duplicates", keep_one_of_similar),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+#: Neither the trained classifier nor the tokenizer can be expressed in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    delete = None
+    for _, stage in STAGES:
+        result, delete_next = staged(stage(spark, docs, sf_dir))
+        if delete:
+            delete()
+        docs, delete = result, delete_next
+    return docs
