@@ -1,19 +1,421 @@
-"""All queries of the engine's own operators, with their SQL."""
+"""All queries of the engine's own operators over the shared tables, with their SQL.
+
+Both sides embed one fixed contract.  Each query applies the operator that the write and read paths
+use to whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lorekeep.functions import lexicon as L
+from lorekeep.functions import text as X
+from lorekeep.operators import audit_chain, checks, contradictions, gaps, similarity, verdicts
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+LOOKUP = [("event", "click", "click", "exact"), ("event", "view", "view", "exact"), ("event", "purchase", "purchase", "exact"), ("event", "registration", "registration", "exact"), ("event", "signup", "registration", "synonym"), ("event", "error", "failure", "deprecated"), ("event", "failure", "failure", "exact")]
+_LOOKUP_SQL = "(VALUES " + ", ".join(f"('{v}', '{c}', '{h}')" for _, v, c, h in LOOKUP) + ") AS l(value, canonical, how)"
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lookup = spark.createDataFrame(LOOKUP, "vocab string, value string, canonical string, how string")
+    return checks.resolve_terms(read(spark, sf_dir, "events").select("event_id", "event_type"), F.col("event_type"), F.lit("event"), lookup)
+
+
+_RESOLVED_SQL = f"resolved AS (SELECT e.event_id, e.event_type, l.canonical, CASE WHEN e.event_type IS NOT NULL THEN coalesce(l.how, 'unknown') END AS how FROM events e LEFT JOIN {_LOOKUP_SQL} ON e.event_type = l.value)"
+
+
+@query(f"WITH {_RESOLVED_SQL} SELECT event_id, event_type, canonical, how FROM resolved WHERE how IN ('unknown', 'deprecated')")
+def vocab_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).where("how in ('unknown', 'deprecated')").select("event_id", "event_type", "canonical", "how")
+
+
+@query(f"WITH {_RESOLVED_SQL} SELECT event_id, event_type AS old, canonical AS new FROM resolved WHERE how = 'synonym'")
+def synonym_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).where("how = 'synonym'").select("event_id", F.col("event_type").alias("old"), F.col("canonical").alias("new"))
+
+
+@query(f"WITH {_RESOLVED_SQL} SELECT how, canonical, CAST(count(*) AS BIGINT) AS held FROM resolved WHERE how = 'deprecated' GROUP BY how, canonical")
+def deprecated_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).where("how = 'deprecated'").groupBy("how", "canonical").agg(F.count("*").alias("held"))
+
+
+@query("SELECT d.doc_id, 'quality' AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL")
+def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = read(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    truthy = F.when(F.col("quality").isNotNull(), X.strings(["quality"])).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", F.explode(F.array_except(X.strings(["quality"]), truthy)).alias("missing"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def key_unique_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.repeated_keys(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def refs_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+    declared = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    return checks.missing_references(refs, declared, ["o_orderkey"]).withColumnRenamed("o_orderkey", "l_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def implicit_create_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = read(spark, sf_dir, "customer")
+    return checks.missing_references(customers.select("c_custkey", "c_name"), customers.where("c_custkey % 2 = 0"), ["c_custkey"])
+
+
+def _proposed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order proposed anew, the price of each third one changed."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"))
+    fields = lambda price: F.create_map(F.lit("price"), F.format_string("%.2f", price), F.lit("status"), F.col("o_orderstatus"))
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.col("price") + 1).otherwise(F.col("price"))
+    key = F.col("o_orderkey").cast("string")
+    items = orders.select(F.lit("order").alias("kind"), key.alias("key"), fields(price).alias("fields"), X.strings(["price", "status"]).alias("content_fields"), (F.col("o_orderkey") % 2 == 0).alias("supersede"), (F.col("o_orderstatus") != "P").alias("supersedable"))
+    existing = orders.select(F.lit("order").alias("kind"), key.alias("key"), fields(F.col("price")).alias("fields"), (F.col("o_orderkey") % 5 == 0).alias("is_protected"), F.when(F.col("o_orderkey") % 7 == 0, "team-a").otherwise("team-b").alias("owner"))
+    return checks.against_existing(items, existing)
+
+
+_ORDER_CLASS = "CASE WHEN o_orderkey % 3 <> 0 THEN 'identical' WHEN o_orderstatus = 'P' THEN 'blocked' WHEN o_orderkey % 2 = 0 THEN 'supersede' ELSE 'conflict' END"
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS key, {_ORDER_CLASS} AS class FROM orders")
+def collision_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proposed_orders(spark, sf_dir).select("key", checks.collision_class(F.col("changed"), F.col("supersedable"), F.col("supersede")).alias("class"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, 'team-b' AS owner FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0")
+def protected_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proposed_orders(spark, sf_dir).where("changed and old_protected and old_owner <> 'team-a'").select("key", F.col("old_owner").alias("owner"))
+
+
+_GRAMS = "list_distinct(list_transform(generate_series(1, greatest(length({d}) - 2, 1)), lambda i: substr({d}, i, 3)))"
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    "WITH n AS (SELECT DISTINCT s_name AS key, " + _NORMAL.format(c="s_name") + " AS normal FROM supplier), g AS (SELECT *, " + _GRAMS.format(d="replace(normal, ' ', '')") + " AS grams, substr(normal, 1, 4) AS block FROM n WHERE length(normal) >= 6) "
+    "SELECT a.key, b.key AS other, round(len(list_intersect(a.grams, b.grams)) / CAST(len(list_distinct(list_concat(a.grams, b.grams))) AS DOUBLE), 6) AS score FROM g a JOIN g b ON a.block = b.block AND a.key < b.key AND a.normal <> b.normal "
+    "WHERE len(list_intersect(a.grams, b.grams)) / CAST(len(list_distinct(list_concat(a.grams, b.grams))) AS DOUBLE) >= 0.75"
+)
+def near_duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("key"))
+    return similarity.near_duplicates(names, names).select("key", "other", F.round("score", 6).alias("score"))
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name, unnest(string_split(replace(" + _NORMAL.format(c="p_name") + ", ' ', ''), '')) AS ch FROM p), f AS (SELECT p_name, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL), "
+    "t AS (SELECT p_name, sum(n) AS total FROM f GROUP BY p_name) SELECT f.p_name, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM f JOIN t ON f.p_name = t.p_name GROUP BY f.p_name"
+)
+def key_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.round(X.key_entropy(X.normal_key(F.col("p_name"))), 6).alias("entropy"))
+
+
+@query(
+    "WITH n AS (SELECT DISTINCT p_brand AS brand, p_type AS type FROM part), g AS (SELECT *, " + _GRAMS.format(d="replace(lower(type), ' ', '')") + " AS a, " + _GRAMS.format(d="regexp_replace(lower(brand), '[^a-z0-9_]', '', 'g')") + " AS b FROM n) "
+    "SELECT brand, type, CAST(len(a) AS INTEGER) AS grams, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS score FROM g"
+)
+def trigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type")).distinct()
+    a, b = X.trigrams(X.normal_key(F.col("type"))), X.trigrams(X.normal_key(F.col("brand")))
+    return pairs.select("brand", "type", F.size(a).alias("grams"), F.round(X.jaccard(a, b), 6).alias("score"))
+
+
+def _slug() -> Column:
+    e = F.col("event_id") % 6
+    return F.when(e == 0, F.lit("other-gap")).when(e == 1, F.concat("event_type", F.lit("-flow-"), F.col("user_id").cast("string"))).when(e == 2, F.concat("event_type", F.lit("_Path"))).when(e == 3, F.concat("event_type", F.lit("-northwind-region"))).when(e == 4, F.lit("new-item-gap")).otherwise(F.col("event_type"))
+
+
+_SLUG_SQL = "CASE event_id % 6 WHEN 0 THEN 'other-gap' WHEN 1 THEN concat(event_type, '-flow-', CAST(user_id AS VARCHAR)) WHEN 2 THEN concat(event_type, '_Path') WHEN 3 THEN concat(event_type, '-northwind-region') WHEN 4 THEN 'new-item-gap' ELSE event_type END"
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query(
+    f"WITH s AS (SELECT event_id, {_SLUG_SQL} AS slug FROM events), p AS (SELECT event_id, slug, regexp_matches(slug, '{L.GAP_SLUG}') AS formed, string_split(slug, '-') AS w FROM s), "
+    f"u AS (SELECT event_id, slug, 'malformed' AS problem FROM p WHERE NOT formed UNION ALL SELECT event_id, slug, 'names_nothing' FROM p WHERE formed AND slug IN ({_IN(L.NON_NAMING_SLUGS)}) "
+    f"UNION ALL SELECT event_id, slug, 'filler' FROM p WHERE formed AND slug NOT IN ({_IN(L.NON_NAMING_SLUGS)}) AND len(list_filter(w, lambda x: x NOT IN ({_IN(L.SLUG_FILLER)}))) = 0 "
+    "UNION ALL SELECT event_id, slug, 'names_scope' FROM p WHERE formed AND list_has_any(w, ['northwind', 'traders'])) SELECT event_id, slug, problem FROM u"
+)
+def gap_slug_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("event_id", _slug().alias("slug"))
+    return rows.select("event_id", "slug", F.explode(X.slug_problems(F.col("slug"), F.lit("Northwind Traders"))).alias("problem"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS key, event_type AS gap FROM events WHERE event_type IN ('error', 'signup') AND event_id % 4 <> 0")
+def unmapped_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").where("event_type in ('error', 'signup')").select(F.col("event_id").cast("string").alias("key"), "event_id", F.create_map(F.lit("unmapped_gap"), F.col("event_type")).alias("fields"))
+    rows = checks.missing_references(events, events.where("event_id % 4 = 0"), ["key"])
+    return rows.select("key", checks.gap_slug(F.col("fields")).alias("gap"))
+
+
+def _gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(
+        F.col("event_type").alias("slug"), F.concat(F.lit("seen as "), F.col("event_id").cast("string")).alias("means"), F.col("event_id").cast("string").alias("item_id"),
+        F.when(F.col("user_id") % 10 == 0, "").otherwise(F.col("user_id").cast("string")).alias("scope"), F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("source"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("recorded_ts"), F.lit("").alias("observed_on"),
+    )
+
+
+def _resolutions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("error", "rejected", "", "noise"), ("purchase", "promoted", "buy", "")], "slug string, status string, promoted_to string, note string")
+
+
+_GAPS_SQL = (
+    "WITH o AS (SELECT event_type AS slug, concat('seen as ', CAST(event_id AS VARCHAR)) AS means, CASE WHEN user_id % 10 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS scope, concat('s', CAST(user_id % 7 AS VARCHAR)) AS source, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS recorded FROM events), "
+    "r AS (SELECT * FROM (VALUES ('error', 'rejected', ''), ('purchase', 'promoted', 'buy')) AS r(slug, status, promoted_to)), "
+    "g AS (SELECT slug, CAST(count(*) AS BIGINT) AS observations, CAST(count(DISTINCT nullif(scope, '')) AS INTEGER) AS independent, CAST(count(DISTINCT source) AS INTEGER) AS n_sources, max_by(means, (recorded, means)) AS means, min(recorded) AS first_seen, max(recorded) AS last_seen FROM o GROUP BY slug), "
+    "k AS (SELECT g.*, coalesce(r.status, 'open') AS status, coalesce(r.promoted_to, '') AS promoted_to FROM g LEFT JOIN r ON g.slug = r.slug) "
+)
+
+
+@query(_GAPS_SQL + "SELECT slug, observations, independent, n_sources, means, first_seen, last_seen, status, promoted_to FROM k")
+def gap_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gaps.aggregate(_gap_rows(spark, sf_dir), _resolutions(spark))
+    return found.select("slug", "observations", "independent", F.size("sources").alias("n_sources"), "means", "first_seen", "last_seen", "status", "promoted_to")
+
+
+@query(_GAPS_SQL + "SELECT slug, independent FROM k WHERE status = 'open' AND independent >= 2")
+def gap_promotable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.promotable(gaps.aggregate(_gap_rows(spark, sf_dir), _resolutions(spark))).select("slug", "independent")
+
+
+@query(_GAPS_SQL + "SELECT slug, means, independent AS independent_scopes, promoted_to FROM k WHERE status <> 'rejected' ORDER BY independent DESC, observations DESC, slug LIMIT 200")
+def known_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.known_gaps(gaps.aggregate(_gap_rows(spark, sf_dir), _resolutions(spark)), include_promoted=True)
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claim = F.concat(F.when(F.col("doc_id") % 2 == 0, "not ").otherwise(""), F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " open").when(F.col("doc_id") % 3 == 1, " closed").otherwise(""))
+    return contradictions.claim_features(read(spark, sf_dir, "documents").select(F.col("lang").alias("slot"), F.col("doc_id").alias("key"), claim.alias("claim"))).drop("claim")
+
+
+_CLAIMS_SQL = (
+    "WITH c AS (SELECT lang AS slot, doc_id AS key, list_filter(regexp_split_to_array(lower(concat(CASE WHEN doc_id % 2 = 0 THEN 'not ' ELSE '' END, coalesce(text, ''), CASE doc_id % 3 WHEN 0 THEN ' open' WHEN 1 THEN ' closed' ELSE '' END)), '[^a-z0-9]+'), lambda t: t <> '') AS toks FROM documents), "
+    f"f AS (SELECT slot, key, list_filter(list_distinct(toks), lambda t: length(t) > 1 AND t NOT IN ({_IN(L.CLAIM_STOP_WORDS)})) AS words, len(list_filter(toks, lambda t: t IN ({_IN(L.NEGATORS)}))) > 0 AS neg FROM c), "
+    "p AS (SELECT a.slot, a.key AS left_key, b.key AS right_key, a.neg AS na, b.neg AS nb, a.words AS wa, b.words AS wb, len(list_intersect(a.words, b.words)) AS common FROM f a JOIN f b ON a.slot = b.slot AND a.key < b.key WHERE len(a.words) > 0 AND len(b.words) > 0), "
+    "s AS (SELECT *, common / CAST(len(wa) + len(wb) - common AS DOUBLE) AS overlap FROM p), "
+    f"ant AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {chr(39)}{y}{chr(39)})' for a, b in L.ANTONYMS for x, y in ((a, b), (b, a)))}) AS t(word, other)), "
+    f"o AS (SELECT * FROM s WHERE overlap >= {L.OVERLAP_FLOOR}), h AS (SELECT DISTINCT o.slot, o.left_key, o.right_key FROM o JOIN ant ON list_contains(o.wa, ant.word) AND NOT list_contains(o.wb, ant.word) AND list_contains(o.wb, ant.other)) "
+)
+
+
+@query(_CLAIMS_SQL + "SELECT o.slot, o.left_key, o.right_key, round(o.overlap, 6) AS overlap, CASE WHEN na <> nb THEN 'negation_mismatch' ELSE 'antonym_pair' END AS detector FROM o LEFT JOIN h ON o.slot = h.slot AND o.left_key = h.left_key AND o.right_key = h.right_key WHERE na <> nb OR h.left_key IS NOT NULL")
+def contradiction_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contradictions.scan(_claims(spark, sf_dir), ("slot",))
+    return found.select("slot", F.col("key_a").alias("left_key"), F.col("key_b").alias("right_key"), F.round("overlap", 6).alias("overlap"), "detector")
+
+
+@query(
+    "WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN (" + _IN(L.CLAIM_STOP_WORDS) + "))) AS w FROM conversations) "
+    "SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) END, 6) AS overlap FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+)
+def claim_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = contradictions.claim_features(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "words")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("after"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(X.overlap(F.col("words"), F.col("after")), 6).alias("overlap"))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("snap"), "lang")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("snap").alias("next"))
+    pairs = docs.join(after, "doc_id").select(X.pair_key(F.concat(F.lit("document:"), F.col("doc_id").cast("string")), F.concat(F.lit("document:"), (F.col("doc_id") + 1).cast("string")), F.col("lang")).alias("pair_key"), F.col("snap").alias("left_snapshot"), F.col("next").alias("right_snapshot"), "doc_id")
+    stored = pairs.where("doc_id % 3 <> 0").withColumn("state", F.when(F.col("doc_id") % 4 == 0, "resolved").otherwise("active")).withColumn("left_snapshot", F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(F.col("left_snapshot")))
+    return pairs.where("doc_id % 7 <> 0"), stored
+
+
+_PAIRS_SQL = "WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS snap, lang FROM documents), p AS (SELECT a.doc_id, concat(least(concat('document:', CAST(a.doc_id AS VARCHAR)), concat('document:', CAST(a.doc_id + 1 AS VARCHAR))), '|', greatest(concat('document:', CAST(a.doc_id AS VARCHAR)), concat('document:', CAST(a.doc_id + 1 AS VARCHAR))), '|', coalesce(a.lang, '')) AS pair_key FROM d a JOIN d b ON b.doc_id = a.doc_id + 1) "
+
+
+@query(_PAIRS_SQL + "SELECT pair_key FROM p WHERE doc_id % 7 <> 0")
+def declared_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshots(spark, sf_dir)[0].select("pair_key")
+
+
+@query(
+    _PAIRS_SQL + "SELECT pair_key, CASE WHEN doc_id % 7 = 0 THEN 'resolve' WHEN doc_id % 3 = 0 THEN 'upsert' WHEN doc_id % 4 = 0 THEN 'reactivate' ELSE 'upsert' END AS change FROM p "
+    "WHERE CASE WHEN doc_id % 7 = 0 THEN doc_id % 3 <> 0 AND doc_id % 4 <> 0 ELSE doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 5 = 0 END"
+)
+def ledger_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contradictions.ledger_changes(*_snapshots(spark, sf_dir))
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a chain of single hashes over the one before; every thousandth payload edited afterwards."""
+    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
+    own = F.sha2(payload, 256)
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("line"), payload.alias("payload"), own.alias("link"), "event_id", F.concat(F.lit("run-"), (F.col("event_id") % 200).cast("string")).alias("run_id"))
+    previous = F.coalesce(F.lag("link").over(W.orderBy("line")), F.lit(L.GENESIS))
+    return rows.withColumn("prev_hash", previous)
+
+
+@query("SELECT event_id, sha256(concat(coalesce(lag(sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type, props))) OVER (ORDER BY event_id), repeat('0', 64)), concat_ws('|', CAST(event_id AS VARCHAR), event_type, props))) AS hash FROM events")
+def audit_row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir).select("event_id", audit_chain.chain_hash(F.col("prev_hash"), F.col("payload")).alias("hash"))
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose links hold, but for two kinds of damage at fixed places."""
+    log = _log(spark, sf_dir).withColumn("hash", F.col("link")).drop("link")
+    return log.withColumn("prev_hash", F.when(F.col("event_id") % 997 == 500, "moved").otherwise(F.col("prev_hash"))).withColumn("payload", F.when(F.col("event_id") % 1499 == 300, F.lit(None).cast("string")).otherwise(F.col("payload")))
+
+
+@query("SELECT event_id AS line, CASE WHEN event_id % 1499 = 300 THEN 'unparseable JSON' WHEN event_id % 997 = 500 THEN 'prev_hash mismatch (line inserted/removed/reordered)' ELSE 'payload edited after write (hash mismatch)' END AS reason FROM events")
+def audit_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_chain.breaks(_chained(spark, sf_dir))
+
+
+@query(
+    "WITH m AS (SELECT min(event_id) AS b FROM events) SELECT false AS ok, (SELECT CAST(count(*) AS BIGINT) FROM events, m WHERE event_id < b) AS entries, b AS broken_at, "
+    "CASE WHEN b % 1499 = 300 THEN 'unparseable JSON' WHEN b % 997 = 500 THEN 'prev_hash mismatch (line inserted/removed/reordered)' ELSE 'payload edited after write (hash mismatch)' END AS reason FROM m"
+)
+def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_chain.verify(_chained(spark, sf_dir))
+
+
+@query("SELECT run_id, min(event_id) AS line FROM (SELECT event_id, concat('run-', CAST(event_id % 200 AS VARCHAR)) AS run_id FROM events) GROUP BY run_id")
+def audit_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_chain.run_index(_log(spark, sf_dir).select("run_id", "line"))
+
+
+@query(
+    "WITH x AS (SELECT concat('run-', CAST(event_id % 200 AS VARCHAR)) AS run_id, min(event_id) AS line FROM events GROUP BY 1), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('run-', CAST(o_orderkey % 260 AS VARCHAR)) END AS run_id, CASE WHEN o_orderkey % 17 = 0 THEN 'retired' WHEN o_orderkey % 2 = 0 THEN 'active' ELSE 'unmapped' END AS status FROM orders) "
+    "SELECT o_orderkey, CASE WHEN status = 'retired' THEN 'invalidated' WHEN n.run_id = '' OR x.line IS NULL THEN 'unverified' WHEN x.line >= 150 THEN 'invalidated' ELSE 'unverified' END AS state FROM n LEFT JOIN x ON n.run_id = x.run_id"
+)
+def integrity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    nodes = read(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 13 == 0, "").otherwise(F.concat(F.lit("run-"), (key % 260).cast("string"))).alias("run_id"), F.when(key % 17 == 0, "retired").when(key % 2 == 0, "active").otherwise("unmapped").alias("status"))
+    index = audit_chain.run_index(_log(spark, sf_dir).select("run_id", "line"))
+    joined = nodes.join(index, "run_id", "left")
+    return joined.select("o_orderkey", audit_chain.integrity_state(F.lit(True), F.col("status"), F.col("run_id"), F.col("line"), F.lit(150)).alias("state"))
+
+
+_TOP = 3
+
+
+@query(f"SELECT o_custkey, o_orderkey, CAST(n AS INTEGER) AS place, total > {_TOP} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) WHERE n <= {_TOP}")
+def revision_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recent = W.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    ranked = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("place", F.row_number().over(recent)).where(F.col("place") <= _TOP + 1)
+    return ranked.withColumn("truncated", F.max("place").over(W.partitionBy("o_custkey")) > _TOP).where(F.col("place") <= _TOP).select("o_custkey", "o_orderkey", "place", "truncated")
+
+
+@query(
+    "SELECT concat('customer:', CAST(c_custkey AS VARCHAR)) AS src, 'nation' AS field, concat('nation:', n_name) AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey "
+    "UNION SELECT concat('nation:', n_name), 'region', concat('region:', r_name) FROM nation JOIN region ON n_regionkey = r_regionkey"
+)
+def edges_onehop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = F.broadcast(read(spark, sf_dir, "nation")), F.broadcast(read(spark, sf_dir, "region"))  # 25 and 5 rows at any scale
+    first = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(X.composite_id(F.lit("customer"), F.col("c_custkey").cast("string")).alias("src"), F.lit("nation").alias("field"), X.composite_id(F.lit("nation"), F.col("n_name")).alias("dst"))
+    second = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(X.composite_id(F.lit("nation"), F.col("n_name")).alias("src"), F.lit("region").alias("field"), X.composite_id(F.lit("region"), F.col("r_name")).alias("dst"))
+    return first.unionByName(second).distinct()
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on events: their terms, and a block on each thirty-first."""
+    how = F.col("how")
+    terms = _resolved(spark, sf_dir).withColumn("id", X.composite_id(F.lit("event"), F.col("event_id").cast("string"))).withColumn("pos", F.col("event_id").cast("int"))
+    a = checks.found(terms.where("how <> 'exact'"), "vocab_membership", F.when(how == "unknown", L.BLOCK).when(how == "deprecated", L.REQUIRE_APPROVAL).otherwise(L.ALLOW), F.lit("term"), "warn", F.when(how == "deprecated", checks.data_of(field=F.lit("event_type"), old=F.col("event_type"), new=F.col("canonical"))).otherwise(F.create_map().cast("map<string,string>")))
+    b = checks.found(terms.where("event_id % 31 = 0"), "required_fields", L.BLOCK, F.lit("missing"))
+    c = checks.found(terms.where("event_id % 4 = 0"), "collision", F.when(F.col("event_id") % 8 == 0, L.ALLOW).otherwise(L.REQUIRE_APPROVAL), F.lit("exists"), "info", checks.data_of(action=F.when(F.col("event_id") % 8 == 0, "identical").otherwise("conflict")))
+    return a.unionByName(b).unionByName(c)
+
+
+def _event_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    items = read(spark, sf_dir, "events").select(F.lit("event").alias("kind"), F.col("event_id").cast("string").alias("key"), X.composite_id(F.lit("event"), F.col("event_id").cast("string")).alias("id"), F.when(F.col("event_id") % 10 == 0, "unmapped").otherwise("node").alias("section"), "event_id")
+    return items.drop("event_id"), items.where("event_id % 4 = 0").select("kind", "key"), items.where("event_id % 3 = 0").select("id")
+
+
+_VERDICT_SQL = "CASE WHEN event_id % 31 = 0 THEN 2 WHEN event_type = 'error' OR event_id % 8 = 4 THEN 1 ELSE 0 END"
+_ACTION_SQL = (
+    "WITH f AS (SELECT event_id, event_type, " + _VERDICT_SQL + " AS verdict, CASE WHEN event_id % 8 = 0 THEN 'identical' WHEN event_id % 8 = 4 THEN 'conflict' END AS hint, event_id % 3 = 0 AS approved FROM events), "
+    "a AS (SELECT concat('event:', CAST(event_id AS VARCHAR)) AS id, verdict, approved, CASE WHEN verdict >= 2 THEN 'blocked' WHEN verdict = 1 AND NOT approved THEN 'held' WHEN verdict = 1 AND hint = 'conflict' THEN 'supersede' WHEN verdict = 1 AND event_id % 4 = 0 THEN 'unchanged' WHEN verdict = 1 THEN 'create' WHEN hint = 'identical' THEN 'unchanged' WHEN event_id % 10 = 0 THEN 'create_unmapped' WHEN event_id % 4 = 0 THEN 'unchanged' ELSE 'create' END AS action FROM f) "
+)
+
+
+@query("SELECT concat('event:', CAST(event_id AS VARCHAR)) AS target, CAST(" + _VERDICT_SQL + " AS INTEGER) AS verdict FROM events WHERE event_id % 31 = 0 OR event_id % 4 = 0 OR event_type IN ('error', 'signup')")
+def verdict_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.worst_verdicts(_findings(spark, sf_dir))
+
+
+@query("SELECT 0 AS floor, false AS halts, '' AS why")
+def run_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.run_floor(_findings(spark, sf_dir))
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, existing, approvals = _event_items(spark, sf_dir)
+    return verdicts.resolve_actions(items, _findings(spark, sf_dir), existing, approvals)
+
+
+@query(_ACTION_SQL + "SELECT id, CAST(verdict AS INTEGER) AS verdict, approved, action FROM a")
+def resolve_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir).select("id", "verdict", "approved", "action")
+
+
+@query(_ACTION_SQL + "SELECT " + ", ".join(f"CAST(count(*) FILTER (WHERE action = '{a}') AS BIGINT) AS {n}" for a, n in (("create", "created"), ("supersede", "superseded"), ("create_unmapped", "unmapped"), ("unchanged", "unchanged"), ("held", "held"), ("blocked", "blocked"))) + " FROM a")
+def apply_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.action_counts(_plans(spark, sf_dir))
+
+
+@query("SELECT doc_id, concat('lang=', coalesce(lang, ''), '&source=', coalesce(source, '')) AS slot FROM documents")
+def slot_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.slot_value(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")), X.strings(["lang", "source"])).alias("slot"))
+
+
+@query("SELECT page_id, concat('page:', url) AS id, 'page' AS kind, url AS key FROM pages")
+def composite_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", X.composite_id(F.lit("page"), F.col("url")).alias("id"))
+    return pages.select("page_id", "id", X.id_kind(F.col("id")).alias("kind"), X.id_key(F.col("id")).alias("key"))
+
+
+@query("SELECT event_id, sha256(props) AS content_hash FROM events")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", F.sha2("props", 256).alias("content_hash"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>")["k"].cast("bigint").alias("k"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%-m-%-d') AS date, event_id % 3 <> 0 AS good FROM events")
+def date_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.date_format("ts", "y-M-d")
+    rows = read(spark, sf_dir, "events").select("event_id", text.alias("date"), F.when(F.col("event_id") % 3 == 0, F.concat(text, F.lit("T00"))).otherwise(text).alias("given"))
+    return rows.select("event_id", "date", checks.is_date(F.col("given")).alias("good"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """The flagship: controlled terms of all events, findings, verdicts, and what becomes of each event."""
+    return resolve_actions(spark, sf_dir)
