@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
 from lorekeep.functions import text as X
+from lorekeep.lineage import cut
 from lorekeep.operators.similarity import near_duplicates
 from lorekeep.plans.contract import Contract
 
@@ -277,6 +278,7 @@ CHECKS: dict[str, Callable[[Batch], DataFrame]] = {name: globals()[name] for nam
 def run_checks(batch: Batch, packs: list[tuple[str, Callable[[Batch], DataFrame]]] = ()) -> tuple[Batch, DataFrame]:
     """The batch with synonyms folded, and all findings; checks of domain packs come last."""
     items, report = fold_synonyms(batch)
+    items = cut(items)  # every check reads them
     folded = Batch(**{**batch.__dict__, "items": items})
     findings = report
     for check in CHECKS.values():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
 from lorekeep.functions import text as X
+from lorekeep.lineage import cut
 from lorekeep.operators import checks, contradictions, gaps, verdicts
 from lorekeep.plans.contract import Contract
 from lorekeep.plugins import load_packs
@@ -50,7 +51,8 @@ def writes(store: Store, base: dict, batch: checks.Batch, plans: DataFrame, now:
         F.col("protected").alias("is_protected"), F.lit(batch.owner).alias("owner"), F.when(F.col("action") == "create_unmapped", "unmapped").otherwise("active").alias("status"),
         F.lit(1).alias("revision"), F.lit(batch.run_id).alias("run_id"), F.lit(now).alias("provenance_ts"), F.lit(today).cast("date").alias("valid_from"),
         F.coalesce(X.slot_value(fields, F.col("claim_slot")), F.lit("")).alias("slot"), "action", "fields", "pos",
-    ).persist()
+    )
+    landing = cut(landing)
     nodes, revisions, edges = (store.read(t, base) for t in ("nodes", "node_revisions", "edges"))
     key = ["scope", "kind", "key"]
     created, replacing = landing.where("action <> 'supersede'"), landing.where("action = 'supersede'")
@@ -95,12 +97,13 @@ def ingest(
     existing = store.existing(partition, contract.scoped, base)
     batch = checks.Batch(spark, contract, batches.items(spark, data, contract), existing, scope, str(data.get("source", "")), str(data.get("date", "")), owner, run_id, (options or {}) | {"today": today or now[:10]})
     batch, findings = checks.run_checks(batch, packs)
-    findings = findings.persist()
+    findings = cut(findings)  # read several times below, and a long plan
     content, bound = batches.content_hash(file), contract.fingerprint()
     book = proposals.Proposals(spark, proposal_dir)
     prior = book.matching(content, bound)
     approved = spark.createDataFrame([(i,) for i in sorted(proposals.approved_ids(prior, compat))], "id string")
-    plans = verdicts.resolve_actions(batch.items, findings, existing, approved, approve_all, compat).persist()
+    plans = verdicts.resolve_actions(batch.items, findings, existing, approved, approve_all, compat)
+    plans = cut(plans)
     proposal = proposals.build(plans, findings, run_id=run_id, file=file, content_hash=content, schema_hash=bound, identity=contract.identity, domain_checks=[n for n, _ in packs], created_ts=now, owner=owner, scope=scope)
     if prior:
         proposal["approvals"] = prior[0].get("approvals", [])
@@ -111,12 +114,12 @@ def ingest(
 
     changed = writes(store, base, batch, plans, now, today or now[:10])
     seen = gaps.observations_from_plans(plans, scope, batch.source, run_id, batch.date, now)
-    fresh = gaps.new_observations(seen, store.read("gap_observations", base)).persist()
+    fresh = cut(gaps.new_observations(seen, store.read("gap_observations", base)))
     slugs = sorted(r["slug"] for r in fresh.select("slug").distinct().collect())
     if slugs:
         changed["gap_observations"] = store.read("gap_observations", base).unionByName(fresh)
     after = changed["nodes"].where(F.col("scope") == partition) if contract.scoped else changed["nodes"]
-    found = contradictions.observations(after.withColumn("fields", F.from_json("props", "map<string,string>")), contract.kind_rows(spark))
+    found = cut(contradictions.observations(after.withColumn("fields", F.from_json("props", "map<string,string>")), contract.kind_rows(spark)))
     ledger, changes = contradictions.reconcile(found, store.read("contradictions", base), partition, run_id, now)
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     if counts:
@@ -135,8 +138,6 @@ def ingest(
     )
     store.set_audit_head(result.audit_entry["hash"])
     book.save(proposals.mark_applied(proposal, plans))
-    for frame in (findings, plans, fresh):
-        frame.unpersist()
     return result
 
 

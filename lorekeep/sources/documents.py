@@ -6,11 +6,12 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lorekeep.sources.batches import canonical
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rewritten(props: pd.Series, over: pd.Series, under: pd.Series, without: pd.Series) -> pd.Series:
     """Canonical JSON of ``under``, then ``props`` (whose values win), then ``over``; without some keys."""
     out = []
