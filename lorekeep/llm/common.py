@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -14,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.lineage import cut, staged  # noqa: F401  for the operators here
+from lorekeep.workers import ship
+
 #: The white space of every contract: space and U+0009 to U+000D, and nothing else.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -25,57 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and goes on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    single machines) a temporary folder stands in.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def staged(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """Writes ``df`` as a table in the shared folder: the table, read column by column, and what deletes it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def delete() -> None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    return spark.read.parquet(path), delete
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only.  Pure ASCII values take the cheap built-in way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, so that Python workers need no path to it."""
-    context = spark.sparkContext
-    if getattr(context, "_lorekeep_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir():  # else it was shipped itself
-        archive = Path(tempfile.mkdtemp(prefix="lorekeep-")) / "lorekeep.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted(root.rglob("*.py")):
-                out.write(path, path.relative_to(root.parent))
-        context.addPyFile(str(archive))
-    context._lorekeep_shipped = True
-
-
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow``, with this package on the workers."""
     ship(df.sparkSession)

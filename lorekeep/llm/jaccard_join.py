@@ -1,10 +1,14 @@
 """N-gram Jaccard join with prefix filtering.
 
 Texts become sets of five-word shingles (as 64-bit hashes); texts with equal sets are one class.
-Shingles are put in one order for all, rare ones first, by a count sketch of fixed size.  Two sets
-that are similar enough share a shingle among the first ``n - ceil(t n) + 1`` of each, so classes
-meet in the lists of their prefix shingles and nowhere else.  Length, positional and suffix filters
-drop pairs before each that is left is verified once.
+Shingles are put in one order for all, rare ones first.  Two sets that are similar enough share a
+shingle among the first ``n - ceil(t n) + 1`` of each, so classes meet in the lists of their prefix
+shingles and nowhere else.  Length, positional and suffix filters drop pairs before each that is left
+is verified once; so does a bitmap of fixed size for each class, before any set is sent anywhere.
+
+How many texts hold a shingle is counted exactly: tasks deal packed runs of shingles to bins, a bin
+counts its own, and what is in one text alone (most are) goes no further.  A block of texts gets back
+its shared shingles with their counts, which is all that its prefixes need.
 
 Lists can be long (a large group of near copies shares its shingles), and all pairs of a list are
 never made.  Each list first links its members to a hub; lists whose members are then in one
@@ -14,24 +18,30 @@ components are compared further.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lorekeep.llm.common import cut, map_arrow, raw_texts, type_of
+from lorekeep.llm.common import cut, map_arrow, raw_texts, staged, type_of
 from lorekeep.llm.graph import components
 
 WORDS = 5
-SLOTS_LOG2 = 19  # of the count sketch: 2 MB, whatever the input
-BLOCKS = 16
-#: Prefix shingles gathered before a task deals them out.
-DEALT_AT_ONCE = 1_500_000
-#: A shingle that so many classes of one deal share goes around its bin, all but one of its rows.
+#: Bits of a shingle's hash that its list and its place in the order go by.  A rare collision costs a comparison.
+LIST_BITS = 48
+#: Bits of a class's bitmap.
+BITS = 1024
+#: Ids sent to every task (some tens of bytes each), instead of shuffling the texts to join with them.
+MOST_BROADCAST = 1_000_000
+#: Shingles gathered before a task deals them out.
+DEALT_AT_ONCE = 1_000_000
+#: Of a shingle that so many texts of one deal share, the bin gets the number alone.
 HOT = 256
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -40,7 +50,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) > 400_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = value
         return value
@@ -69,8 +79,10 @@ def class_of(shingles: np.ndarray) -> int:
     return int((_mixed(shingles * np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64) ^ np.uint64(len(shingles) * 0x9E3779B1)).view(np.int64))
 
 
-def slot_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+def bitmap_of(shingles: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of shingles falls on it.  Bits that differ between two sets
+    are at most as many as the shingles that only one of them has."""
+    return np.packbits(np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -88,144 +100,139 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- passes over the texts
-def _classes_and_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of (id, n, class) for each document, and partial sketches as rows of (block, counts)."""
-    schema = f"id {type_of(docs, id_col)}, n bigint, class bigint, block int, counts binary"
-    names = ["id", "n", "class", "block", "counts"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch, kind = _Hashes(), np.zeros(1 << SLOTS_LOG2, np.int64), None
-        for batch in batches:
-            n, classes, slots = [], [], []
-            for raw in raw_texts(batch.column(1)):
-                s = shingle_set(raw, hashes)
-                n.append(len(s))
-                classes.append(class_of(s) if len(s) else None)
-                slots.append(slot_of(s))
-            sketch += np.bincount(np.concatenate(slots), minlength=len(sketch)) if slots else 0
-            kind, none = batch.column(0).type, pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), none, pa.nulls(batch.num_rows, pa.binary())], names=names)
-        if kind is not None:
-            parts = [_packed(x) for x in np.split(sketch, BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, kind), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
-
-    return map_arrow(docs.select(id_col, text_col), work, schema)
-
-
-def _summed(sketches: DataFrame) -> np.ndarray:
-    """The whole sketch: tasks add up partial ones, and only its fixed size comes to the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = _unpacked(counts, np.int64)
-                sums[block] = sums[block] + part if block in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["block", "counts"])
+def _sorted_packed(values: np.ndarray) -> bytes:
+    return _packed(np.diff(values, prepend=np.uint64(0)))
 
-    rows = map_arrow(sketches.repartition(BLOCKS, "block"), add, "block int, counts binary").collect()
-    sketch = np.zeros((BLOCKS, (1 << SLOTS_LOG2) // BLOCKS), np.int64)
-    for row in rows:
-        sketch[row["block"]] += _unpacked(row["counts"], np.int64)
-    return sketch.ravel()
 
+def _sorted_unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
-def _postings(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, percent: int, bins: int) -> DataFrame:
-    """``list, class, n, pos``: members of every list with two classes or more.
 
-    Tasks deal packed runs of prefix shingles to bins; a bin sorts its own and keeps what is shared.
-    Of lists with the same members in one bin, one is kept.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
-    dealt = "bin int, shingles binary, place binary, pos binary, classes binary, sizes binary, hot binary"
-    names = [x.split()[0] for x in dealt.split(", ")]
+def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent: int, bins: int, most_rows: int, at_once: int) -> DataFrame:
+    """Rows of (id, n, class, bits) for each document, and rows of (list, class, n, pos, before) for the
+    prefix shingles that another text shares; ``before`` is how many shared ones come earlier."""
+    id_type, id_kind = type_of(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
+    dealt = f"bin int, block bigint, shingles binary, counts binary, places binary, ids array<{id_type}>, classes binary, sizes binary, bits binary"
+    names = ["bin", "block", "shingles", "counts", "places", "ids", "classes", "sizes", "bits"]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), pa.binary(), pa.binary(), pa.binary()]
+    table: Callable[[list], pa.RecordBatch] = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes = shared.value, _Hashes()
+        hashes, part, deals = _Hashes(), TaskContext.get().partitionId(), 0
+        ids: list = []
         sets: list[np.ndarray] = []
-        classes: list[int] = []
-        sizes: list[int] = []
-        seen: set[int] = set()
-        held = deals = 0
-
-        def out() -> pa.RecordBatch:
-            lengths = np.array([len(s) for s in sets])
-            shingles, place = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), lengths)
-            pos = (np.arange(len(shingles)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
+        held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            """A run for each bin; the texts' own row, and what its bins were not sent, go around them."""
+            block, around = part << 32 | deals, -1 - (part + deals) % bins
+            classes = [class_of(s) if len(s) else 0 for s in sets]
+            yield table([(around, block, None, None, None, ids, np.array(classes, np.int64).tobytes(), _packed(np.array([len(s) for s in sets], np.uint32)), b"".join(bitmap_of(s) for s in sets))])
+            first = {c: i for i, c in reversed(list(enumerate(classes))) if len(sets[i])}  # equal texts of a deal go once
+            chosen = sorted(first.values())
+            if not chosen:
+                return
+            lengths = np.array([len(sets[i]) for i in chosen])
+            shingles = np.concatenate([sets[i] for i in chosen]) >> np.uint64(64 - LIST_BITS)
+            place = np.repeat(np.array(chosen, np.uint32), lengths)
             order = np.argsort(shingles, kind="stable")
-            shingles, place, pos = shingles[order], place[order], pos[order]
+            shingles, place = shingles[order], place[order]
             starts = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
             lengths = np.diff(np.append(starts, len(shingles)))
+            hot = np.repeat(lengths > most_rows, lengths)
+            counts = np.ones(len(shingles), np.uint32)
+            sent = ~hot
+            sent[starts] = True
+            counts[starts[lengths > most_rows]] = lengths[lengths > most_rows]
+            if hot.any():
+                yield table([(around, block, _sorted_packed(shingles[hot]), None, _packed(place[hot]), None, None, None, None)])
+            shingles, place, counts = shingles[sent], place[sent], counts[sent]
             bin_ = (shingles % np.uint64(bins)).astype(np.int64)
-            around = np.repeat(lengths > HOT, lengths)
-            around[starts] = False
-            hot = shingles[starts[lengths > HOT]]
-            bin_[around] = -1 - (np.arange(around.sum()) // 10_000 + deals) % bins
             order = np.argsort(bin_, kind="stable")
-            edges = np.flatnonzero(np.concatenate([[True], np.diff(bin_[order]) != 0]))
+            edges = np.searchsorted(bin_[order], np.arange(bins + 1))
             rows = []
-            for at, end in zip(edges, np.append(edges[1:], len(order)), strict=True):
-                part = order[at:end]
-                used, local = np.unique(place[part], return_inverse=True)
-                b = int(bin_[part[0]])
-                own = hot[hot % np.uint64(bins) == b] if b >= 0 else hot[:0]
-                rows.append((b, shingles[part].tobytes(), _packed(local.astype(np.uint32)), _packed(pos[part]), np.array([classes[i] for i in used], np.int64).tobytes(), _packed(np.array([sizes[i] for i in used], np.uint32)), own.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
+            for b in range(bins):
+                own = order[edges[b] : edges[b + 1]]
+                if len(own):
+                    rows.append((b, block, _sorted_packed(shingles[own]), _packed(counts[own]), _packed(place[own]), None, None, None, None))
+            yield table(rows)
 
         for batch in batches:
-            for raw in raw_texts(batch.column(1)):
-                s = shingle_set(raw, hashes)
-                if not len(s) or (c := class_of(s)) in seen:
-                    continue
-                seen.add(c)
-                rare_first = np.lexsort((s, counts[slot_of(s)]))
-                sets.append(s[rare_first[: prefix_length(len(s), percent)]])
-                classes.append(c)
-                sizes.append(len(s))
-                held += len(sets[-1])
-                if held >= DEALT_AT_ONCE:
-                    yield out()
-                    sets, classes, sizes, seen, held, deals = [], [], [], set(), 0, deals + 1
-        if held:
-            yield out()
-
-    def meet(group: pa.Table) -> pa.Table:
-        shingles, classes, sizes, pos = [], [], [], []
-        for row in group.to_pylist():
-            place = _unpacked(row["place"], np.uint32)
-            shingles.append(np.frombuffer(row["shingles"], np.uint64))
-            classes.append(np.frombuffer(row["classes"], np.int64)[place])
-            sizes.append(_unpacked(row["sizes"], np.uint32)[place])
-            pos.append(_unpacked(row["pos"], np.uint32))
-        hot = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group["hot"].to_pylist()]))
-        s, c, n, p = map(np.concatenate, (shingles, classes, sizes, pos))
-        if group["bin"][0].as_py() >= 0:
-            order = np.argsort(s, kind="stable")
-            first = np.concatenate([[True], s[order][1:] != s[order][:-1]])
-            run = np.cumsum(first) - 1
-            many = np.bincount(run)[run] > 1
-            if len(hot):
-                many |= np.isin(s[order], hot)
-            keep = order[many]  # most shingles are in one text alone and go here
-            keep = keep[np.lexsort((c[keep], s[keep]))]
-            s, c, n, p = s[keep], c[keep], n[keep], p[keep]
-            if len(s):
-                fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
-                s, c, n, p = s[fresh], c[fresh], n[fresh], p[fresh]
-                starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                lengths = np.diff(np.append(starts, len(s)))
-                members = np.add.reduceat(_mixed(c.view(np.uint64)), starts)
-                is_hot = np.isin(s[starts], hot)
-                members[is_hot] = s[starts][is_hot]
-                _, chosen = np.unique(members, return_index=True)
-                wanted = np.zeros(len(starts), bool)
-                wanted[chosen] = True
-                wanted &= (lengths > 1) | is_hot
-                stay = np.repeat(wanted, lengths)
-                s, c, n, p = s[stay], c[stay], n[stay], p[stay]
-        return pa.table({"list": pa.array(s.view(np.int64), pa.int64()), "class": pa.array(c, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64()), "pos": pa.array(p.astype(np.int64), pa.int64())})
-
-    return map_arrow(docs.select(id_col, text_col), deal, dealt).groupBy("bin").applyInArrow(meet, "list bigint, class bigint, n bigint, pos bigint").distinct()
+            for i, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                ids.append(i)
+                sets.append(shingle_set(raw, hashes))
+                held += len(sets[-1]) + 20
+                if held >= at_once:
+                    yield from out()
+                    ids, sets, held, deals = [], [], 0, deals + 1
+        if ids:
+            yield from out()
+
+    def count(group: pa.Table) -> pa.Table:
+        """What of each run is in more than one text, with the number of texts.  Rows that go around bins pass."""
+        if group["bin"][0].as_py() < 0:
+            return group
+        rows = group.select(["block", "shingles", "counts", "places"]).to_pylist()
+        runs = [_sorted_unpacked(r["shingles"]) for r in rows]
+        sizes = [len(r) for r in runs]
+        shingles, counts = np.concatenate(runs), np.concatenate([_unpacked(r["counts"], np.uint32) for r in rows])
+        order = np.argsort(shingles, kind="stable")
+        first = np.concatenate([[True], shingles[order][1:] != shingles[order][:-1]])
+        totals = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(first))
+        of_each = np.empty(len(order), np.int64)
+        of_each[order] = totals[np.cumsum(first) - 1]
+        out, at = [], 0
+        for row, run, n in zip(rows, runs, sizes, strict=True):
+            total = of_each[at : at + n]
+            at += n
+            many = total > 1
+            if many.any():
+                out.append((0, row["block"], _sorted_packed(run[many]), _packed(np.minimum(total[many], 2**32 - 1).astype(np.uint32)), _packed(_unpacked(row["places"], np.uint32)[many]), None, None, None, None))
+        return pa.Table.from_batches([table(out)]) if out else group.slice(0, 0)
+
+    def prefixes(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        own = next(r for r in rows if r["classes"] is not None)
+        ids, classes, n = own["ids"], np.frombuffer(own["classes"], np.int64), _unpacked(own["sizes"], np.uint32).astype(np.int64)
+        bits = np.frombuffer(own["bits"], np.int64).reshape(-1, BITS // 64).tolist()
+        counted = [r for r in rows if r["counts"] is not None]
+        empty = np.zeros(0, np.uint64)
+        shingles = np.concatenate([empty, *(_sorted_unpacked(r["shingles"]) for r in counted)])
+        totals = np.concatenate([empty, *(_unpacked(r["counts"], np.uint32) for r in counted)]).astype(np.int64)
+        places = np.concatenate([empty, *(_unpacked(r["places"], np.uint32) for r in counted)]).astype(np.int64)
+        if around := [r for r in rows if r["shingles"] is not None and r["counts"] is None]:
+            hot, hot_places = np.concatenate([_sorted_unpacked(r["shingles"]) for r in around]), np.concatenate([_unpacked(r["places"], np.uint32) for r in around]).astype(np.int64)
+            known = np.argsort(shingles, kind="stable")
+            at = known[np.searchsorted(shingles[known], hot)]  # each hot shingle has come back once
+            totals_of_hot, returned = totals[at], np.unique(at)
+            keep = np.ones(len(shingles), bool)
+            keep[returned] = False
+            shingles, totals, places = np.concatenate([shingles[keep], hot]), np.concatenate([totals[keep], totals_of_hot]), np.concatenate([places[keep], hot_places])
+        order = np.lexsort((shingles, totals, places))
+        shingles, places = shingles[order], places[order]
+        shared = np.bincount(places, minlength=len(n))
+        # Shingles of one text alone are the rarest: they take the first positions, and need no list.
+        before = np.arange(len(places)) - np.repeat(np.cumsum(shared) - shared, shared)
+        pos = before + np.repeat(n - shared, shared)
+        wanted = pos < (n - -(-percent * n // 100) + 1)[places]
+        shingles, places, pos, before = shingles[wanted], places[wanted], pos[wanted], before[wanted]
+        there, k = n > 0, len(pos)
+        column = lambda values, kind: pa.concat_arrays([values, pa.nulls(k, kind)])
+        words = pa.list_(pa.int64())
+        return pa.table(
+            {
+                "id": column(pa.array(ids, id_kind), id_kind),
+                "n": pa.array(np.concatenate([n, n[places]])),
+                "class": pa.concat_arrays([pa.array(classes, pa.int64(), mask=~there), pa.array(classes[places])]),
+                "bits": column(pa.array([b if t else None for b, t in zip(bits, there, strict=True)], words), words),
+                "list": pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(shingles.astype(np.int64))]),
+                "pos": pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(pos)]),
+                "before": pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(before)]),
+            }
+        )
+
+    counted = map_arrow(docs.select(id_col, text_col), deal, dealt).groupBy("bin").applyInArrow(count, dealt)
+    return counted.groupBy("block").applyInArrow(prefixes, f"id {id_type}, n bigint, class bigint, bits array<bigint>, list bigint, pos bigint, before bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,17 +244,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
             sets = [shingle_set(raw, hashes) for raw in raw_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["wanted", "class", "shingles"])
 
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("text", F.col("class").alias("wanted"))
     # An id with several texts brings more than one set; the class tells which was meant.
-    found = map_arrow(texts, work, "wanted bigint, class bigint, shingles binary").where("wanted = class")
-    return found.dropDuplicates(["class"]).select("class", "shingles")
+    return map_arrow(texts, work, "wanted bigint, class bigint, shingles binary").where("wanted = class").select("class", "shingles")
 
 
 # ---------------------------------------------------------------- pairs
 def _may_be_similar(percent: int) -> Column:
-    """Length filter, and positional filter at one shared shingle of (n_a, pos_a) and (n_b, pos_b)."""
+    """Length filter, and positional filter at one shared shingle: what two texts can have in common is
+    among the shared shingles before it in both, or from it on."""
     length = F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100
-    at_most = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    at_most = F.least("before_a", "before_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     return length & (at_most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
 
@@ -266,7 +275,15 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _bits_allow(percent: int) -> Column:
+    """Whether the bitmaps of (n_a, bits_a) and (n_b, bits_b) leave a link possible: bits that differ are
+    shingles that only one of them has."""
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    both = F.col("n_a") + F.col("n_b")
+    return both - apart >= F.ceil(both * percent / (100 + percent)) * 2
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``a, b, linked`` for pairs of classes, each compared once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,36 +292,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
+    pairs = cut(pairs)
+    sides = [named.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
+    likely = cut(pairs.join(sides[0], "a").join(sides[1], "b").where(_bits_allow(percent)).select("a", "b"))
+    met = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()
+    sets = _sets(docs, cut(named.select("id", "class").join(met, "class", "left_semi")), id_col, text_col)
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return cut(map_arrow(both, work, "a bigint, b bigint, linked boolean"))
+    both = likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    compared = map_arrow(both, work, "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
+    return cut(pairs.join(compared, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")))
 
 
 def _hub_pairs(members: DataFrame, seed: int, percent: int) -> DataFrame:
     """Pairs of each list's hub with its other members, where the components differ."""
-    hub = F.min_by(F.struct("class", "n", "pos", "root"), F.struct(F.xxhash64(F.lit(seed), "class"), "class"))
+    # A text with few shingles of its own lies in the middle of its list; after that any member will do.
+    order = F.struct(F.col("pos") / F.col("n"), "n", "class") if seed == 0 else F.struct(F.xxhash64(F.lit(seed), "class"), "class")
+    hub = F.min_by(F.struct("class", "n", "pos", "before", "root"), order)
     hubs = cut(members.groupBy("list").agg(hub.alias("hub")))
     met = members.join(hubs, "list").where("root <> hub.root")
-    pairs = met.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"))
+    pairs = met.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("before").alias("before_a"), F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"), F.col("hub.before").alias("before_b"))
     return pairs.where(_may_be_similar(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _other_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in each list; those within its largest component never meet."""
+def _other_pairs(members: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in each list that the filters leave; those within its largest
+    component never meet."""
     by_root = members.groupBy("list", "root").count()
     largest = cut(by_root.groupBy("list").agg(F.max_by("root", F.struct("count", "root")).alias("most")))
-    marked = members.join(largest, "list").withColumn("minor", F.col("root") != F.col("most"))
-    one = marked.where("minor").select("list", *[F.col(x).alias(f"{x}_a") for x in ("class", "n", "pos", "root")])
-    two = marked.select("list", "minor", *[F.col(x).alias(f"{x}_b") for x in ("class", "n", "pos", "root")])
-    met = one.join(two, "list").where("root_a <> root_b and (not minor or class_a < class_b)").where(_may_be_similar(percent))
+    marked = cut(members.join(largest, "list").withColumn("minor", F.col("root") != F.col("most")).join(named.select("class", "bits"), "class"))
+    columns = ("class", "n", "pos", "before", "root", "bits")
+    one = marked.where("minor").select("list", *[F.col(x).alias(f"{x}_a") for x in columns])
+    two = marked.select("list", "minor", *[F.col(x).alias(f"{x}_b") for x in columns])
+    apart = F.expr("root_a <> root_b and (not minor or class_a < class_b)")
+    met = one.join(two, "list").where(apart & _may_be_similar(percent) & _bits_allow(percent))
     return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
-def _mixed_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
+def _mixed_lists(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members, with their roots, of lists that still hold more than one component."""
-    members = postings.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    members = cut(members)
+    if roots is None:
+        members = postings.withColumn("root", F.col("class"))
+    else:
+        members = postings.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_ = cut(members.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list"))
     return cut(members.join(open_, "list"))
 
@@ -314,7 +344,7 @@ def _pairs_left(members: DataFrame) -> int:
     return sums.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0))).first()[0]
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, hub_rounds: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, hub_rounds: int = 2, most_rows: int = HOT, at_once: int = DEALT_AT_ONCE) -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row.
 
     Two texts link when 100 * intersection >= percent * union of their shingle sets; the component
@@ -324,35 +354,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
-    first = cut(_classes_and_counts(docs, id_col, text_col))
-    rows = first.where("block is null").select("id", "n", "class")
-    sketch = _summed(first.where("block is not null").select("block", "counts"))
     bins = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    postings = cut(_postings(docs, sketch, id_col, text_col, percent, bins))
-    named = cut(rows.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id")))
-    met = postings.select("class").distinct()
-    sets = cut(_sets(docs, cut(named.join(met, "class", "left_semi")), id_col, text_col))
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    done = links = None
+    found, delete = staged(_classes_and_postings(docs, id_col, text_col, percent, bins, most_rows, at_once))
+    rows = found.where("list is null").select("id", "n", "class", "bits")
+    postings = found.where("list is not null").select("list", "class", "n", "pos", "before").distinct()
+    named = cut(rows.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    roots = done = None
     for turn in range(hub_rounds + 1):
         members = _mixed_lists(postings, roots)
+        postings = members.drop("root")  # lists that are done stay done
         left = _pairs_left(members)
         if not left:
             break
         # Hubs while they save work; then, or at last, every pair that is left.
-        last = turn > 0 and (turn == hub_rounds or left <= 2 * members.count())
-        pairs = _other_pairs(members, percent) if last else _hub_pairs(members, turn, percent)
+        last = turn > 0 and (turn == hub_rounds or left <= 16 * members.count())
+        pairs = _other_pairs(members, named, percent) if last else _hub_pairs(members, turn, percent)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = _verified(pairs, sets, percent)
-        done = found if done is None else done.unionByName(found)
-        links = done.where("linked").select("a", "b")
-        roots = components(links)
+        compared = _verified(pairs, docs, named, percent, id_col, text_col)
+        done = compared if done is None else done.unionByName(compared)
+        roots = components(done.where("linked").select("a", "b"))
         if last:
             break
-    by_class = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    by_class = named.select("class", "id")
+    by_class = by_class.withColumn("root", F.col("class")) if roots is None else by_class.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = cut(by_class.groupBy("root").agg(F.min("id").alias("component_id")))
     answer = cut(by_class.join(smallest, "root").select("class", "component_id"))
     joined = rows.join(answer, "class", "left")
     alone = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    result = cut(joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")))
+    delete()
+    return result

@@ -63,14 +63,14 @@ def mix(
     targets = cut(source_targets(sized.select(F.col(source_col).alias("source"), F.col(f"{prefix}size").alias("size")), weights, most_repeats))
     if targets.count() <= MOST_BROADCAST:  # else a shuffled join, whose hot sources adaptive execution splits
         targets = F.broadcast(targets)
-    targets = targets.withColumnsRenamed({c: f"__mix_{c}" for c in targets.columns})
-    joined = sized.join(targets, sized[source_col].eqNullSafe(targets["__mix_source"]))
-    rate = F.when(F.col("__mix_source_size") > 0, F.least(F.col("__mix_target") / F.col("__mix_source_size"), F.lit(float(most_repeats)))).otherwise(0.0)
+    targets = targets.withColumnsRenamed({c: f"__targets_{c}" for c in targets.columns})
+    joined = sized.join(targets, sized[source_col].eqNullSafe(targets["__targets_source"]))
+    rate = F.when(F.col("__targets_source_size") > 0, F.least(F.col("__targets_target") / F.col("__targets_source_size"), F.lit(float(most_repeats)))).otherwise(0.0)
     extra = draw(seed, F.col(id_col), F.col(text_col)) < rate - F.floor(rate)
     return joined.select(
         *[sized[c] for c in sized.columns],
-        F.col("__mix_source_size").alias(f"{prefix}source_size"),
-        F.col("__mix_target").alias(f"{prefix}target"),
+        F.col("__targets_source_size").alias(f"{prefix}source_size"),
+        F.col("__targets_target").alias(f"{prefix}target"),
         (F.floor(rate) + extra.cast("bigint")).alias(f"{prefix}copies"),
     )
 
