@@ -39,13 +39,13 @@ from lorekeep.llm.common import cut, map_arrow, raw_texts, staged, type_of
 
 #: Keys of a window, and its last positions, which are the ones it scores: each sees 9 to 24 ids.
 KEYS, SCORED = 24, 16
-WIDTH, HIDDEN, CLASSES, NEIGHBOURS = 16, 16, 128, 64
+WIDTH, HIDDEN, CLASSES, NEIGHBOURS = 16, 16, 96, 64
 #: Held-out documents: crc32 of the id modulo FOLDS is HELD.
 FOLDS, HELD = 7, 2
 #: A word is looked up from a table, not in its bin, if it is at least this share of all tokens.
 FREQUENT = 1 / 20_000
 #: One window in so many is trained on, in each round.
-ONE_IN, ROUNDS = 32, 2
+ONE_IN, ROUNDS = 48, 2
 BLOCK_BYTES = 4 << 20
 
 
@@ -148,6 +148,18 @@ class Model:
         return len(self.embed) - 1
 
 
+def pack(model: Model) -> tuple:
+    """All but the trained weights, small enough to go to every task: sizes are the vocabulary's."""
+    halves = [_squeeze(x, np.float16) for x in (model.embed, model.follow)]
+    return _squeeze(model.classes, np.uint8), _squeeze(model.log_share, np.float32), *halves, model.end
+
+
+def unpack(data: tuple, weights: dict[str, np.ndarray]) -> Model:
+    classes, log_share, *halves, end = data
+    embed, follow = (_restore(x, np.float16).astype(np.float32) for x in halves)
+    return Model(_restore(classes, np.uint8).astype(np.int64), _restore(log_share, np.float32), embed.reshape(-1, WIDTH), follow.reshape(-1, CLASSES), weights, end)
+
+
 def first_weights(seed: int = 1) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     make = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -161,19 +173,21 @@ def first_weights(seed: int = 1) -> dict[str, np.ndarray]:
 _LATER = np.where(np.arange(KEYS)[None, :] > np.arange(SCORED)[:, None] + KEYS - SCORED, np.float32(-1e4), np.float32(0))
 
 
-def windows(ids: np.ndarray, lengths: np.ndarray, start: int, pad: int, at_once: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def windows(ids: np.ndarray, lengths: np.ndarray, start: int, pad: int, at_once: int | None = None, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Keys (windows, KEYS), targets (windows, SCORED; -1 beyond the text) and the text of each window.
 
     Inputs of a text are the start and all its ids but the last; every id is the target of one
-    position of one window.  Comes in runs of ``at_once`` windows.
+    position of one window.  Comes in runs of ``at_once`` windows; ``only`` names those to make.
     """
     n_windows = -(-lengths // SCORED)
     all_texts = np.repeat(np.arange(len(lengths)), n_windows)
     first, begins = np.cumsum(n_windows) - n_windows, np.cumsum(lengths) - lengths
     padded = np.concatenate([ids, [0]]).astype(np.int32)
-    for run in range(0, len(all_texts), at_once or max(1, len(all_texts))):
-        text = all_texts[run : run + at_once] if at_once else all_texts
-        base = ((np.arange(run, run + len(text)) - first[text]) * SCORED).astype(np.int64)[:, None]
+    numbers = np.arange(len(all_texts)) if only is None else only
+    for run in range(0, len(numbers), at_once or max(1, len(numbers))):
+        number = numbers[run : run + at_once] if at_once else numbers
+        text = all_texts[number]
+        base = ((number - first[text]) * SCORED).astype(np.int64)[:, None]
         offset, size = begins[text][:, None] + base, lengths[text][:, None] - base
         step = np.arange(SCORED)
         targets = np.where(step < size, padded[np.minimum(offset + step, len(ids))], -1)
@@ -194,7 +208,7 @@ class Scorer:
         mask[model.pad] = -1e4
         self.q = np.hstack([e @ w["q"] * np.float32(1 / np.sqrt(WIDTH)), np.ones((len(e), 1), np.float32), e])
         self.kv = np.hstack([e @ w["k"], mask, e @ (w["v"] @ w["o"]), np.ones((len(e), 1), np.float32)])
-        self.near, self.follow = w["near"] + _LATER, model.follow.astype(np.float32)
+        self.near, self.follow = w["near"] + _LATER, model.follow + w["cb"]
 
     def log_probs(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """ln p of each target; 0 where there is none."""
@@ -212,9 +226,8 @@ class Scorer:
         np.maximum(hidden, 0, out=hidden)
         x += hidden @ w["u"]
         logits = x @ w["c"]
-        logits += w["cb"]
         logits += self.follow[keys[:, KEYS - SCORED :].ravel()]
-        np.clip(logits, -50, 50, out=logits)
+        np.minimum(logits, 50, out=logits)
         flat = targets.ravel()
         chosen = logits[np.arange(len(flat)), m.classes[flat]]
         np.exp(logits, out=logits)
@@ -327,7 +340,7 @@ def _encoded(docs: DataFrame, tokenizer: object, vocabulary: int, end: int, id_t
         return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer.value)
+        words, neighbour = Words(tokenizer.value), _neighbour(np.arange(size)).astype(np.int32)
         after, before, texts, total = np.zeros(wide, np.int64), np.zeros(wide, np.int64), 0, 0
         for doc_ids, raw in in_token_blocks(batches, BLOCK_BYTES):
             found, counts = block_words(raw)
@@ -335,7 +348,10 @@ def _encoded(docs: DataFrame, tokenizer: object, vocabulary: int, end: int, id_t
             run, lengths = sequences(words, places, counts, end)
             held = np.array([is_held_out(i) for i in doc_ids])
             doc = np.repeat(np.arange(len(raw)), counts)
-            used, local = np.unique(places, return_inverse=True)
+            used = np.flatnonzero(np.bincount(places, minlength=len(words.hashes)))
+            rank = np.zeros(len(words.hashes), np.int64)
+            rank[used] = np.arange(len(used))
+            local = rank[places]
             trained = np.bincount(local[~held[doc]], minlength=len(used))
             pairs, times = np.unique(local * np.int64(len(raw)) + doc, return_counts=True)
             own = int(trained.sum())
@@ -343,14 +359,14 @@ def _encoded(docs: DataFrame, tokenizer: object, vocabulary: int, end: int, id_t
             if len(often):
                 yield rows(len(often), words=trained[often].tolist(), word=words.hashes[used[often]].view(np.int64).tolist())
             block = (held, [_row_key(i, t) for i, t in zip(doc_ids, raw, strict=True)], counts + 1, run, lengths, words.hashes[used], trained, pairs // len(raw), pairs % len(raw), times)
-            yield rows(1, ids=[doc_ids], **{c: [_squeeze(np.array(x, k), k)] for (c, k), x in zip(BLOCK.items(), block, strict=True)})
+            yield rows(1, ids=[doc_ids], **{c: [_squeeze(np.asarray(x, k), k)] for (c, k), x in zip(BLOCK.items(), block, strict=True)})
             learnt = np.repeat(~held, lengths)
-            previous = np.empty(len(run), np.int64)
+            previous = np.empty(len(run), np.int32)
             previous[1:] = run[:-1]
             previous[np.cumsum(lengths) - lengths] = vocabulary  # the start
-            run, previous = run[learnt].astype(np.int64), previous[learnt]
-            after += np.bincount(previous * NEIGHBOURS + _neighbour(run), minlength=wide)
-            before += np.bincount(run * NEIGHBOURS + _neighbour(previous), minlength=wide)
+            run, previous = run[learnt].astype(np.int32), previous[learnt]
+            after += np.bincount(previous * NEIGHBOURS + neighbour[run], minlength=wide)
+            before += np.bincount(run * NEIGHBOURS + neighbour[previous], minlength=wide)
             texts, total = texts + int((~held).sum()), total + own
         for i in range(parts):
             at = slice(i * step, (i + 1) * step)
@@ -444,30 +460,26 @@ def _follow(blocks: DataFrame, classes: np.ndarray, vocabulary: int) -> np.ndarr
     counts = counts.reshape(-1, CLASSES)
     share = (counts.sum(axis=0) + 1) / (counts.sum() + CLASSES)
     logits = np.log((counts + 5 * share) / (counts.sum(axis=1, keepdims=True) + 5))
-    return np.vstack([logits, np.zeros((1, CLASSES))]).astype(np.float16)
+    return np.vstack([logits, np.zeros((1, CLASSES))]).astype(np.float32)
 
 
-def _train(blocks: DataFrame, model: Model, turn: int) -> dict[str, np.ndarray]:
+def _train(blocks: DataFrame, packed: object, weights: dict[str, np.ndarray], turn: int) -> dict[str, np.ndarray]:
     """One round: every task takes local steps from the same weights; the results are averaged by ids seen."""
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        follow = m.follow.astype(np.float32)
-        adam, seen = Adam(m.weights, 0.01 if turn == 0 else 0.004), 0
+        m = unpack(packed.value, weights)
+        follow = m.follow
+        adam, seen = Adam(weights, 0.01 if turn == 0 else 0.004), 0
         for batch in batches:
             for block in batch.to_pylist():
                 run, lengths, keep = _restore(block["run"], np.uint16), _restore(block["lengths"], np.uint32).astype(np.int64), _restore(block["held"], np.uint8) == 0
                 run, lengths = run[np.repeat(keep, lengths)], lengths[keep]
-                for keys, targets, text in windows(run, lengths, m.start, m.pad, 1 << 16):
-                    chosen = np.flatnonzero((np.arange(len(text)) * 2654435761 >> 7) % ONE_IN == turn)
-                    chosen = np.random.default_rng(len(text)).permutation(chosen)
-                    for at in range(0, len(chosen), 128):
-                        part = chosen[at : at + 128]
-                        wanted = targets[part]
-                        _, g = gradients(adam.w, m.embed, follow, m.pad, keys[part], np.where(wanted >= 0, m.classes[wanted], -1))
-                        adam.step(g)
-                        seen += int((wanted >= 0).sum())
+                number = np.arange(int((-(-lengths // SCORED)).sum()))
+                chosen = np.random.default_rng(len(number)).permutation(number[(number * 2654435761 >> 7) % ONE_IN == turn])
+                for keys, targets, _ in windows(run, lengths, m.start, m.pad, 128, chosen):
+                    _, g = gradients(adam.w, m.embed, follow, m.pad, keys, np.where(targets >= 0, m.classes[targets], -1))
+                    adam.step(g)
+                    seen += int((targets >= 0).sum())
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(adam.w)), pa.array([(x * np.float64(seen)).tobytes() for x in adam.w.values()], pa.binary()), pa.array([seen] * len(adam.w), pa.int64())], names=["name", "sums", "seen"])
 
@@ -480,25 +492,26 @@ def _train(blocks: DataFrame, model: Model, turn: int) -> dict[str, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x[0].tobytes() for x in sums.values()], pa.binary()), pa.array([x[1] for x in sums.values()], pa.int64())], names=["name", "sums", "seen"])
 
     schema = "name string, sums binary, seen bigint"
-    results = map_arrow(blocks.select("run", "lengths", "held"), work, schema).repartition(len(model.weights), "name")
+    results = map_arrow(blocks.select("run", "lengths", "held"), work, schema).repartition(len(weights), "name")
     rows = map_arrow(results, add, schema).collect()  # one row a weight matrix
-    found = {r["name"]: (np.frombuffer(r["sums"], np.float64) / r["seen"]).astype(np.float32).reshape(model.weights[r["name"]].shape) for r in rows}
-    return model.weights | found
+    found = {r["name"]: (np.frombuffer(r["sums"], np.float64) / r["seen"]).astype(np.float32).reshape(weights[r["name"]].shape) for r in rows}
+    return weights | found
 
 
 # ---------------------------------------------------------------- the unigram base
 def _base_sums(blocks: DataFrame, frequent: object, bins: int) -> DataFrame:
     """``key, word, part, known, tokens, types``: by document key the sums over its rarer words; with a
-    word (hash) the count of a frequent one; with neither all training words and distinct ones."""
-    dealt = "bin int, hashes binary, trained binary, places binary, docs binary, times binary, keys binary"
+    word (hash) the count of a frequent one; with neither, training words and distinct ones of a bin."""
+    dealt = "bin int, block string, hashes binary, trained binary, places binary, docs binary, times binary, keys binary"
     names = [x.split()[0] for x in dealt.split(", ")]
     needed = ["keys", "hashes", "trained", "pair_word", "pair_doc", "times"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.array(sorted(frequent.value), np.int64).view(np.uint64)
         for batch in batches:
-            for block in batch.to_pylist():
-                keys, hashes, trained, pair_word, pair_doc, times = (_restore(block[c], BLOCK[c]) for c in needed)
+            for row in batch.to_pylist():
+                keys, hashes, trained, pair_word, pair_doc, times = (_restore(row[c], BLOCK[c]) for c in needed)
+                block = xxhash.xxh3_128_hexdigest(row["keys"])  # by content, so that retried tasks agree; blocks of equal texts have equal sums
                 rare = ~np.isin(hashes, often)[pair_word]
                 pair_word, pair_doc, times = pair_word[rare], pair_doc[rare], times[rare]
                 bin_ = (hashes % np.uint64(bins)).astype(np.int64)
@@ -507,52 +520,70 @@ def _base_sums(blocks: DataFrame, frequent: object, bins: int) -> DataFrame:
                 pair_edges = np.searchsorted(bin_[pair_word][by_pair], np.arange(bins + 1))
                 rank = np.empty(len(hashes), np.int64)
                 rank[by_word] = np.arange(len(hashes))
-                out = []
+                # negative bins go around: the keys of the block's texts
+                out = [(-1 - int(block[:6], 16) % bins, block, None, None, None, None, None, keys.tobytes())]
                 for b in range(bins):
                     w, p = by_word[word_edges[b] : word_edges[b + 1]], by_pair[pair_edges[b] : pair_edges[b + 1]]
                     if len(w):
-                        in_docs, doc_at = np.unique(pair_doc[p], return_inverse=True)
-                        out.append((b, hashes[w].tobytes(), _squeeze(trained[w], np.uint32), _squeeze(rank[pair_word[p]] - word_edges[b], np.uint32), _squeeze(doc_at, np.uint32), _squeeze(times[p], np.uint32), keys[in_docs].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=names)
+                        out.append((b, block, hashes[w].tobytes(), _squeeze(trained[w], np.uint32), _squeeze(rank[pair_word[p]] - word_edges[b], np.uint32), _squeeze(pair_doc[p], np.uint32), _squeeze(times[p], np.uint32), None))
+                kinds = [pa.int32(), pa.string(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    answers = "block string, docs binary, part binary, known binary, keys binary, word bigint, tokens bigint, types bigint"
+    kinds = dict(zip([x.split()[0] for x in answers.split(", ")], [pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 3], strict=True))
+
+    def table(n: int, **columns: list) -> pa.Table:
+        return pa.table({c: pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()})
 
     def meet(group: pa.Table) -> pa.Table:
-        _u32 = lambda x: _restore(x, np.uint32)
+        """The counts of a bin's words; for each block the sums of its texts over them, packed."""
         rows = group.to_pylist()
+        if rows[0]["bin"] < 0:
+            return table(len(rows), block=[r["block"] for r in rows], keys=[r["keys"] for r in rows])
         hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        trained = np.concatenate([_u32(r["trained"]) for r in rows])
+        trained = np.concatenate([_restore(r["trained"], np.uint32) for r in rows])
         distinct, where = np.unique(hashes, return_inverse=True)
         count = np.bincount(where, weights=trained, minlength=len(distinct))
-        logs, at = np.log10(count + 1), 0
-        all_keys, sums, knowns = [], [], []
+        logs, at, sums = np.log10(count + 1), 0, []
         for r in rows:
             n = len(r["hashes"]) // 8
             own = where[at : at + n]
             at += n
-            word, doc, times, keys = own[_u32(r["places"])], _u32(r["docs"]), _u32(r["times"]), np.frombuffer(r["keys"], np.uint64)
-            all_keys.append(keys)
-            sums.append(np.bincount(doc, weights=times * logs[word], minlength=len(keys)))
-            knowns.append(np.bincount(doc, weights=times * (count[word] > 0), minlength=len(keys)))
-        # Repeated rows come to the same sums; they count once.
-        keys, first = np.unique(np.concatenate(all_keys), return_index=True)
-        part, known = np.concatenate(sums)[first], np.concatenate(knowns)[first]
+            word, doc, times = own[_restore(r["places"], np.uint32)], _restore(r["docs"], np.uint32).astype(np.int64), _restore(r["times"], np.uint32)
+            part = np.bincount(doc, weights=times * logs[word])
+            known = np.bincount(doc, weights=times * (count[word] > 0))
+            there = np.flatnonzero(np.bincount(doc))
+            sums.append((r["block"], _squeeze(there, np.uint32), part[there].tobytes(), _squeeze(known[there], np.uint32)))
         often = np.flatnonzero(np.isin(distinct, np.array(sorted(frequent.value), np.int64).view(np.uint64)))
-        k, o = len(keys), len(often)
-        total = k + o + 1
-        column = lambda kind, values, at: pa.array([None] * at + list(values) + [None] * (total - at - len(values)), kind)
-        return pa.table(
-            {
-                "key": pa.concat_arrays([pa.array(keys.view(np.int64), pa.int64()), pa.nulls(o + 1, pa.int64())]),
-                "word": column(pa.int64(), distinct[often].view(np.int64).tolist(), k),
-                "part": pa.array(np.concatenate([part, np.zeros(o + 1)]), pa.float64()),
-                "known": pa.array(np.concatenate([known, np.zeros(o + 1)]).astype(np.int64), pa.int64()),
-                "tokens": pa.array(np.concatenate([np.zeros(k), count[often], [count.sum()]]).astype(np.int64), pa.int64()),
-                "types": pa.array(np.concatenate([np.zeros(k + o), [(count > 0).sum()]]).astype(np.int64), pa.int64()),
-            }
-        )
+        found = table(len(sums), **dict(zip(("block", "docs", "part", "known"), zip(*sums, strict=True), strict=True)))
+        words = table(len(often), word=distinct[often].view(np.int64).tolist(), tokens=count[often].astype(np.int64).tolist())
+        total = table(1, tokens=[int(count.sum())], types=[int((count > 0).sum())])
+        return pa.concat_tables([found, words, total])
 
-    met = map_arrow(blocks.select(*needed), deal, dealt).groupBy("bin").applyInArrow(meet, "key bigint, word bigint, part double, known bigint, tokens bigint, types bigint")
-    return cut(met.groupBy("key", "word").agg(*(F.sum(c).alias(c) for c in ("part", "known", "tokens", "types"))))
+    def gather(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        keys = np.frombuffer(next(r["keys"] for r in rows if r["keys"] is not None), np.uint64)
+        part, known, seen = np.zeros(len(keys)), np.zeros(len(keys), np.int64), set()
+        for r in rows:
+            # the same block may come twice, with rows of the same bin that are equal
+            if r["docs"] is not None and (mark := (r["docs"], r["part"])) not in seen:
+                seen.add(mark)
+                doc = _restore(r["docs"], np.uint32)
+                part[doc] += np.frombuffer(r["part"])
+                known[doc] += _restore(r["known"], np.uint32)
+        keys, first = np.unique(keys, return_index=True)  # repeated rows
+        return pa.table({"key": pa.array(keys.view(np.int64)), "part": pa.array(part[first]), "known": pa.array(known[first])})
+
+    met, delete = staged(map_arrow(blocks.select(*needed), deal, dealt).groupBy("bin").applyInArrow(meet, answers))
+    sums = met.where("block is not null").select("block", "docs", "part", "known", "keys").groupBy("block").applyInArrow(gather, "key bigint, part double, known bigint")
+    sums = sums.groupBy("key").agg(F.max("part").alias("part"), F.max("known").alias("known"))  # equal rows of several blocks have equal sums
+    none = F.lit(None).cast("bigint")
+    both = sums.select("key", none.alias("word"), "part", "known", none.alias("tokens"), none.alias("types")).unionByName(
+        met.where("block is null").select(none.alias("key"), "word", F.lit(None).cast("double").alias("part"), none.alias("known"), "tokens", "types")
+    )
+    result = cut(both)
+    delete()
+    return result
 
 
 # ---------------------------------------------------------------- scoring
@@ -586,20 +617,20 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     log_share = np.log((counts + 0.5) / in_class[classes]).astype(np.float32)
     follow = _follow(blocks, classes, vocabulary)
     model = Model(classes, log_share, _embeddings(after), follow, first_weights(), end)
+    packed, weights = context.broadcast(pack(model)), model.weights
     for turn in range(ROUNDS):
-        model.weights = _train(blocks, model, turn)
+        weights = _train(blocks, packed, weights, turn)
 
     sums = _base_sums(blocks, context.broadcast(frequent_words), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    totals = sums.where("key is null and word is null").select("tokens", "types").first()
-    words_total, types = (int(totals[0]), int(totals[1])) if totals else (0, 0)
+    totals = sums.where("key is null and word is null").agg(F.sum("tokens"), F.sum("types")).first()
+    words_total, types = int(totals[0] or 0), int(totals[1] or 0)
     train_tokens, types = words_total + train_texts, types + (train_texts > 0)
     often = context.broadcast({r["word"]: r["tokens"] for r in sums.where("word is not null").select("word", "tokens").collect()})  # bounded by FREQUENT
-    shared = context.broadcast(model)
     schema = f"{id_col} {id_type}, held_out boolean, n_tokens bigint, key bigint, often_part double, often_known bigint, score double"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, table = Scorer(shared.value), often.value
+        scorer, table = Scorer(unpack(packed.value, weights)), often.value
         hashes = np.array(sorted(table), np.int64)
         counts_of = np.array([table[h] for h in hashes.tolist()], float)
         for batch in batches:
