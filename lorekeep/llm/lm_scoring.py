@@ -7,8 +7,9 @@ self-attention over a window, and the id within its class by its share of the co
     p(id | before) = softmax(attention(before) + bias(last id))[class(id)] * count(id) / count(class(id))
 
 Counts of ids and of their neighbours are gathered from every training text; classes, embeddings and
-the bias (the logarithm of which class follows the last id how often) come from them.  The attention's weights are trained by tasks over a fixed share of all windows,
-in rounds of local steps whose results are averaged.  For scoring, windows overlap, each id is
+the bias (the logarithm of which class follows the last id how often) come from them.  The attention's
+weights are trained by tasks over every window of the training texts, in rounds of local steps whose
+results are averaged; each window belongs to one round.  For scoring, windows overlap, each id is
 scored once, and all windows of a block go through batched masked attention.
 
 Beside it stands a unigram base over whole words.  Word counts are exact: tasks deal packed runs of
@@ -39,13 +40,13 @@ from lorekeep.llm.common import cut, map_arrow, raw_texts, staged, type_of
 
 #: Keys of a window, and its last positions, which are the ones it scores: each sees 9 to 24 ids.
 KEYS, SCORED = 24, 16
-WIDTH, HIDDEN, CLASSES, NEIGHBOURS = 16, 16, 96, 64
+WIDTH, HIDDEN, CLASSES, NEIGHBOURS = 16, 16, 128, 64
 #: Held-out documents: crc32 of the id modulo FOLDS is HELD.
 FOLDS, HELD = 7, 2
 #: A word is looked up from a table, not in its bin, if it is at least this share of all tokens.
 FREQUENT = 1 / 20_000
-#: One window in so many is trained on, in each round.
-ONE_IN, ROUNDS = 48, 2
+#: Rounds of training; together they take every window of the training texts once.
+ROUNDS = 2
 BLOCK_BYTES = 4 << 20
 
 
@@ -250,44 +251,51 @@ _ONES = np.ones(CLASSES, np.float32)
 def gradients(w: dict[str, np.ndarray], embed: np.ndarray, follow: np.ndarray, pad: int, keys: np.ndarray, classes: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the classes that are given (others -1), and its gradients."""
     n, scale = len(keys), np.float32(1 / np.sqrt(WIDTH))
-    x = embed[keys]
-    xq = x[:, KEYS - SCORED :]
-    q, k, v = xq @ w["q"], x @ w["k"], x @ w["v"]
-    z = np.matmul(q, k.transpose(0, 2, 1)) * scale + w["near"] + _LATER + np.where(keys == pad, np.float32(-1e4), np.float32(0))[:, None, :]
-    z -= z.max(axis=2, keepdims=True)
-    a = np.exp(z)
+    flat = lambda t: t.reshape(-1, t.shape[-1])  # noqa: E731  one product of all rows is faster than one a window
+    windowed = lambda t: t.reshape(n, -1, t.shape[-1])
+    last = np.ascontiguousarray(keys[:, KEYS - SCORED :]).ravel()
+    x, xq = embed[keys.ravel()], embed[last]
+    q, k, v = windowed(xq @ w["q"]), windowed(x @ w["k"]), windowed(x @ w["v"])
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a *= scale
+    a += w["near"] + _LATER
+    a += np.where(keys == pad, np.float32(-1e4), np.float32(0))[:, None, :]
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
-    head = np.matmul(a, v)
+    head = flat(np.matmul(a, v))
     x1 = xq + head @ w["o"]
     pre = x1 @ w["h"] + w["hb"]
     hidden = np.maximum(pre, 0)
     x2 = x1 + hidden @ w["u"]
-    logits = x2 @ w["c"] + w["cb"] + follow[keys[:, KEYS - SCORED :]]
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=2, keepdims=True)
-    there = classes >= 0
-    total = max(1, int(there.sum()))
-    i, j = np.nonzero(there)
-    loss = -float(np.log(np.maximum(p[i, j, classes[there]], 1e-30)).sum()) / total
-    d = p * there[:, :, None]
-    d[i, j, classes[there]] -= 1
-    d /= np.float32(total)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"c": flat(x2).T @ flat(d), "cb": flat(d).sum(axis=0)}
+    d = x2 @ w["c"]
+    d += w["cb"]
+    d += follow[last]
+    d -= d.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
+    d /= d.sum(axis=1, keepdims=True)
+    wanted = classes.ravel()
+    there = np.flatnonzero(wanted >= 0)
+    total = max(1, len(there))
+    loss = -float(np.log(np.maximum(d[there, wanted[there]], 1e-30)).sum()) / total
+    d[there, wanted[there]] -= 1
+    d *= ((wanted >= 0) / np.float32(total)).astype(d.dtype)[:, None]
+    g = {"c": x2.T @ d, "cb": d.sum(axis=0)}
     d2 = d @ w["c"].T
-    g["u"] = flat(hidden).T @ flat(d2)
+    g["u"] = hidden.T @ d2
     dh = (d2 @ w["u"].T) * (pre > 0)
-    g["h"], g["hb"] = flat(x1).T @ flat(dh), flat(dh).sum(axis=0)
+    g["h"], g["hb"] = x1.T @ dh, dh.sum(axis=0)
     d1 = d2 + dh @ w["h"].T
-    g["o"] = flat(head).T @ flat(d1)
-    dhead = d1 @ w["o"].T
+    g["o"] = head.T @ d1
+    dhead = windowed(d1 @ w["o"].T)
     dv = np.matmul(a.transpose(0, 2, 1), dhead)
     da = np.matmul(dhead, v.transpose(0, 2, 1))
-    dz = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-    g["near"] = (dz / scale).sum(axis=0)
-    dq, dk = np.matmul(dz, k), np.matmul(dz.transpose(0, 2, 1), q)
-    g["q"], g["k"], g["v"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+    da -= (da * a).sum(axis=2, keepdims=True)
+    da *= a
+    g["near"] = da.sum(axis=0)
+    da *= scale
+    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+    g["q"], g["k"], g["v"] = xq.T @ flat(dq), x.T @ flat(dk), x.T @ flat(dv)
     return loss, g
 
 
@@ -463,6 +471,11 @@ def _follow(blocks: DataFrame, classes: np.ndarray, vocabulary: int) -> np.ndarr
     return np.vstack([logits, np.zeros((1, CLASSES))]).astype(np.float32)
 
 
+def in_round(number: np.ndarray, turn: int) -> np.ndarray:
+    """Which windows of a block a round trains on."""
+    return (number * 2654435761 >> 7) % ROUNDS == turn
+
+
 def _train(blocks: DataFrame, packed: object, weights: dict[str, np.ndarray], turn: int) -> dict[str, np.ndarray]:
     """One round: every task takes local steps from the same weights; the results are averaged by ids seen."""
 
@@ -475,7 +488,7 @@ def _train(blocks: DataFrame, packed: object, weights: dict[str, np.ndarray], tu
                 run, lengths, keep = _restore(block["run"], np.uint16), _restore(block["lengths"], np.uint32).astype(np.int64), _restore(block["held"], np.uint8) == 0
                 run, lengths = run[np.repeat(keep, lengths)], lengths[keep]
                 number = np.arange(int((-(-lengths // SCORED)).sum()))
-                chosen = np.random.default_rng(len(number)).permutation(number[(number * 2654435761 >> 7) % ONE_IN == turn])
+                chosen = np.random.default_rng(len(number)).permutation(number[in_round(number, turn)])
                 for keys, targets, _ in windows(run, lengths, m.start, m.pad, 128, chosen):
                     _, g = gradients(adam.w, m.embed, follow, m.pad, keys, np.where(targets >= 0, m.classes[targets], -1))
                     adam.step(g)

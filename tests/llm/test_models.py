@@ -39,6 +39,13 @@ def test_base_scores(docs, rows, empty):
     assert lm_scoring.score(empty, vocabulary_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_every_training_window_is_trained_on_once():
+    numbers = np.arange(5000)
+    rounds = [numbers[lm_scoring.in_round(numbers, turn)] for turn in range(lm_scoring.ROUNDS)]
+    assert sorted(np.concatenate(rounds)) == list(numbers) and min(map(len, rounds)) > 1000
+    assert lm_scoring.CLASSES >= 128
+
+
 def random_model(seed=0, size=60):
     r = np.random.default_rng(seed)
     classes = r.integers(0, lm_scoring.CLASSES, size)
