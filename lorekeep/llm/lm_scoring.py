@@ -542,8 +542,8 @@ def _base_sums(blocks: DataFrame, frequent: object, bins: int) -> DataFrame:
                 kinds = [pa.int32(), pa.string(), *[pa.binary()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    answers = "block string, docs binary, part binary, known binary, keys binary, word bigint, tokens bigint, types bigint"
-    kinds = dict(zip([x.split()[0] for x in answers.split(", ")], [pa.string(), *[pa.binary()] * 4, *[pa.int64()] * 3], strict=True))
+    answers = "block string, bin int, docs binary, part binary, known binary, keys binary, word bigint, tokens bigint, types bigint"
+    kinds = dict(zip([x.split()[0] for x in answers.split(", ")], [pa.string(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3], strict=True))
 
     def table(n: int, **columns: list) -> pa.Table:
         return pa.table({c: pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()})
@@ -566,9 +566,9 @@ def _base_sums(blocks: DataFrame, frequent: object, bins: int) -> DataFrame:
             part = np.bincount(doc, weights=times * logs[word])
             known = np.bincount(doc, weights=times * (count[word] > 0))
             there = np.flatnonzero(np.bincount(doc))
-            sums.append((r["block"], _squeeze(there, np.uint32), part[there].tobytes(), _squeeze(known[there], np.uint32)))
+            sums.append((r["block"], r["bin"], _squeeze(there, np.uint32), part[there].tobytes(), _squeeze(known[there], np.uint32)))
         often = np.flatnonzero(np.isin(distinct, np.array(sorted(frequent.value), np.int64).view(np.uint64)))
-        found = table(len(sums), **dict(zip(("block", "docs", "part", "known"), zip(*sums, strict=True), strict=True)))
+        found = table(len(sums), **dict(zip(("block", "bin", "docs", "part", "known"), zip(*sums, strict=True), strict=True)))
         words = table(len(often), word=distinct[often].view(np.int64).tolist(), tokens=count[often].astype(np.int64).tolist())
         total = table(1, tokens=[int(count.sum())], types=[int((count > 0).sum())])
         return pa.concat_tables([found, words, total])
@@ -578,9 +578,9 @@ def _base_sums(blocks: DataFrame, frequent: object, bins: int) -> DataFrame:
         keys = np.frombuffer(next(r["keys"] for r in rows if r["keys"] is not None), np.uint64)
         part, known, seen = np.zeros(len(keys)), np.zeros(len(keys), np.int64), set()
         for r in rows:
-            # the same block may come twice, with rows of the same bin that are equal
-            if r["docs"] is not None and (mark := (r["docs"], r["part"])) not in seen:
-                seen.add(mark)
+            # a bin answers once for a block; where the same block comes twice, its answers say the same
+            if r["docs"] is not None and r["bin"] not in seen:
+                seen.add(r["bin"])
                 doc = _restore(r["docs"], np.uint32)
                 part[doc] += np.frombuffer(r["part"])
                 known[doc] += _restore(r["known"], np.uint32)
@@ -588,7 +588,7 @@ def _base_sums(blocks: DataFrame, frequent: object, bins: int) -> DataFrame:
         return pa.table({"key": pa.array(keys.view(np.int64)), "part": pa.array(part[first]), "known": pa.array(known[first])})
 
     met, delete = staged(map_arrow(blocks.select(*needed), deal, dealt).groupBy("bin").applyInArrow(meet, answers))
-    sums = met.where("block is not null").select("block", "docs", "part", "known", "keys").groupBy("block").applyInArrow(gather, "key bigint, part double, known bigint")
+    sums = met.where("block is not null").select("block", "bin", "docs", "part", "known", "keys").groupBy("block").applyInArrow(gather, "key bigint, part double, known bigint")
     sums = sums.groupBy("key").agg(F.max("part").alias("part"), F.max("known").alias("known"))  # equal rows of several blocks have equal sums
     none = F.lit(None).cast("bigint")
     both = sums.select("key", none.alias("word"), "part", "known", none.alias("tokens"), none.alias("types")).unionByName(
@@ -658,7 +658,7 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
                 part = np.bincount(pair_doc, weights=times * np.log10(c[pair_word] + 1), minlength=n)
                 known = np.bincount(pair_doc, weights=times * (c[pair_word] > 0), minlength=n).astype(np.int64)
                 scores = scorer.text_scores(run, lengths.astype(np.int64))
-                arrays = [pa.array(block["ids"], id_kind), pa.array(held > 0, pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(keys.view(np.int64)), pa.array(part), pa.array(known), pa.array(scores, pa.float64())]
+                arrays = [pa.array(block["ids"], id_kind), pa.array(held > 0, pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(keys.view(np.int64)), pa.array(part, pa.float64()), pa.array(known), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     scored = map_arrow(blocks, work, schema)

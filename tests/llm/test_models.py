@@ -39,6 +39,22 @@ def test_base_scores(docs, rows, empty):
     assert lm_scoring.score(empty, vocabulary_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_base_scores_of_small_blocks(spark):
+    """Blocks of one text: many bins give it the same number of words and the same sum."""
+    texts = [" ".join(f"{chr(97 + i % 26)}{i}x{k}" for i in range(60)) for k in range(4)]
+    one = [(2, texts[0])]
+    many = [(i + 10, t) for i, t in enumerate(texts)] + [(10, texts[0])]
+    for rows in (one, many):
+        held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+        counts = Counter(w for i, t in rows if not held(i) for w in [*t.split(), None])
+        total, types = counts.total(), len(counts)
+        assert total
+        frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")
+        got = lm_scoring.score(frame, vocabulary_path("piece_bpe_32k.model")).collect()
+        wanted = Counter((i, sum(counts[w] > 0 for w in [*t.split(), None]), round(sum(math.log10((counts[w] + 1) / (total + types + 1)) for w in [*t.split(), None]), 4)) for i, t in rows)
+        assert Counter((r["doc_id"], r["n_known"], round(r["base_score"], 4)) for r in got) == wanted
+
+
 def test_every_training_window_is_trained_on_once():
     numbers = np.arange(5000)
     rounds = [numbers[lm_scoring.in_round(numbers, turn)] for turn in range(lm_scoring.ROUNDS)]
