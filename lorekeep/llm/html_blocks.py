@@ -21,6 +21,8 @@ from lorekeep.llm.common import map_arrow, type_of
 
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style noscript template svg iframe object select textarea button head title math canvas audio video".split())
+#: Of these, the ones whose content is no markup, and where it ends: at their own closing tag (a title at the body, too).
+RAW = {name: re.compile(rf"</{name}(?=[\s/>]){'|<body(?=[\s/>])' * (name == 'title')}", re.I) for name in ("script", "style", "textarea", "title")}
 #: Elements that part blocks.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -92,7 +94,9 @@ def blocks_of(page: str) -> list[Block]:
             aside -= was_aside
             main -= was_main
 
-    for token in TOKEN.finditer(page):
+    position = 0
+    while token := TOKEN.search(page, position):
+        position = token.end()
         if not skipping and token.start() > at:
             parts.append(page[at : token.start()])
             if links:
@@ -102,6 +106,9 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         closing, attributes = bool(token[1] or token[4]), token[3] or token[6] or ""
+        if name in RAW and not closing and not attributes.rstrip().endswith("/"):
+            end = RAW[name].search(page, position)
+            position = end.start() if end else len(page)
         if skipping:
             if closing and name == skipping:
                 skipping = ""

@@ -163,6 +163,21 @@ def test_main_text():
     assert html_blocks.main_text(plain, tree).count("\n") == 3
 
 
+def test_raw_elements_end_at_their_own_tag():
+    tree = html_blocks.train_tree()
+    body = "<article><h1>Tide tables</h1><p>Text after the script.</p></article>"
+    for raw in (
+        "<script>for(var i=0;i<n;i++){f();}</script>",
+        "<script>if(a<b){document.write('<p>no</p>')}</SCRIPT >",
+        "<script><!-- x = '<b'</script>",
+        "<style>a:after{content:'<b'}</style>",
+        "<textarea>a <b or <!-- c</textarea>",
+        "<noscript><style>x<y</style></noscript>",
+    ):
+        assert html_blocks.main_text(f"<html><head><title>a <b c</title>{raw}</head><body>{raw}{body}</body></html>", tree) == "Tide tables\nText after the script.", raw
+    assert html_blocks.main_text(f"<title>Open<body>{body}", tree) == "Tide tables\nText after the script."
+
+
 def test_tree_knows_its_table():
     tree = html_blocks.train_tree()
     assert all(round(tree.predict(x[:-1])) == x[-1] for x in html_blocks.LABELLED)
