@@ -37,6 +37,9 @@ ASIDE_NAMES = re.compile(
     r"comments?|commentlist|respond|reply|replies|disqus|discussion|related|recommend\w*|share\w*|sharing|social\w*|subscribe|newsletter|signup|login|search\w*|pagination|pager|skip|hidden|copyright|legal|disclaimer|tags|meta)(?=$|[\s_-])",
     re.I,
 )
+#: What says of a wrapper how its page is laid out, and the header of an article: neither stands for what it names.
+LAYOUT_NAMES = re.compile(r"(?:^|[\s_-])(?:has|with|without|no)[_-]\S*|(?:^|\s)layout-\S*", re.I)
+ARTICLE_HEADER = re.compile(r"(?:^|(?<=\s))(?:article|story|post|entry)[_-]+header(?=$|\s)", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|story|post|entry|main|content|body)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -53,19 +56,24 @@ class Block:
     heading: bool
 
 
-def _standing(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element with these attributes stands aside, and whether it holds the article."""
-    aside, main = name in ASIDE, name in ("article", "main")
+def _standing(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element with these attributes stands aside, whether only its class or id says so,
+    whether it holds the article, and whether it is the page's main element.  ``inside`` an article
+    a header is the article's."""
+    aside, named, main, whole = name in ASIDE, False, name in ("article", "main"), name == "main"
+    own_header = False
     if attributes.strip(" /"):
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
         names = f"{found.get('class', '')} {found.get('id', '')}"
         role = found.get("role", "").lower()
         aside = aside or role in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
-        main = main or role in ("main", "article")
+        main, whole = main or role in ("main", "article"), whole or role == "main"
         if name not in ("html", "body") and not main:
-            aside = aside or bool(ASIDE_NAMES.search(names))
-            main = not aside and bool(MAIN_NAMES.search(names))
-    return aside, main
+            own_header = bool(ARTICLE_HEADER.search(names))
+            named = not aside and bool(ASIDE_NAMES.search(LAYOUT_NAMES.sub(" ", ARTICLE_HEADER.sub(" ", names))))
+            main = not aside and not named and bool(MAIN_NAMES.search(names))
+    aside = aside or (name == "header" and not inside and not own_header)
+    return aside, named and not aside, main, whole
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -73,8 +81,8 @@ def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, stands aside, holds the article
-    aside = main = links = 0
+    stack: list[tuple[str, bool, int, bool]] = []  # element, stands aside, change of those aside by name, holds the article
+    aside = named = main = links = 0
     heading, skipping, at = False, "", 0
 
     def close() -> None:
@@ -84,14 +92,15 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 in_links = len(html.unescape("".join(linked)).split())
-                blocks.append(Block(text, words, min(1.0, in_links / words), aside > 0, main > 0, heading))
+                blocks.append(Block(text, words, min(1.0, in_links / words), aside + named > 0, main > 0, heading))
             parts, linked = [], []
 
     def pop(count: int) -> None:
-        nonlocal aside, main
+        nonlocal aside, named, main
         for _ in range(count):
-            _, was_aside, was_main = stack.pop()
+            _, was_aside, was_named, was_main = stack.pop()
             aside -= was_aside
+            named -= was_named
             main -= was_main
 
     position = 0
@@ -144,10 +153,11 @@ def blocks_of(page: str) -> list[Block]:
                         pop(1)
                     elif stack and stack[-1][0] == "p":
                         pop(1)
-                is_aside, is_main = _standing(name, attributes)
-                is_aside = is_aside or (name == "header" and not main)
-                stack.append((name, is_aside, is_main))
+                is_aside, is_named, is_main, whole = _standing(name, attributes, main > 0)
+                by_name = -named if whole else int(is_named)  # the page's main element isn't what a wrapper's name says
+                stack.append((name, is_aside, by_name, is_main))
                 aside += is_aside
+                named += by_name
                 main += is_main
     if not skipping and at < len(page):
         parts.append(page[at:])

@@ -178,6 +178,20 @@ def test_raw_elements_end_at_their_own_tag():
     assert html_blocks.main_text(f"<title>Open<body>{body}", tree) == "Tide tables\nText after the script."
 
 
+def test_wrappers_named_for_their_layout():
+    tree = html_blocks.train_tree()
+    inner = "<h1>Tide tables</h1><p>Short text.</p>"
+    for names in ("has-sidebar", "content with-sidebar", "page layout-sidebar-right", "no-comments"):
+        page = f"<body><div class='{names}'><article>{inner}</article><div class=sidebar><p>No text of the page</p></div></div></body>"
+        assert html_blocks.main_text(page, tree) == "Tide tables\nShort text.", names
+    for element in ("div", "header"):
+        page = f"<body><div class=post><{element} class='entry-header'><h1>Tide tables</h1></{element}><p>Short text.</p></div></body>"
+        assert html_blocks.main_text(page, tree) == "Tide tables\nShort text.", element
+    assert html_blocks.main_text(f"<body><div class='content-sidebar-wrap'><p>Menu of the site</p><main>{inner}</main><p>No text here</p></div></body>", tree) == "Tide tables\nShort text."
+    for wrapper in ("<div id=comments>", "<div class=related>", "<div class='sidebar has-children'>", "<header class=site-header>", "<div hidden><main>"):
+        assert html_blocks.main_text(f"<body>{wrapper}<article><p>{'words of a reader ' * 9}</p></article></body>", tree) == "", wrapper
+
+
 def test_tree_knows_its_table():
     tree = html_blocks.train_tree()
     assert all(round(tree.predict(x[:-1])) == x[-1] for x in html_blocks.LABELLED)
