@@ -114,11 +114,12 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*views, both))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.95, most_lost: float = 0.002) -> Model:
+def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.95, most_lost: float = 0.002, floor: float = 0.2) -> Model:
     """Fits both views.  Every fourth labelled row is kept for calibration.
 
     ``most_lost`` bounds the share of good calibration rows under the threshold, which is 0.5 at
-    most.  With fewer than 20 rows of either class nothing is fitted and every document is kept.
+    most, and ``floor`` at least: a few odd or mislabelled good rows must not let bad documents
+    through.  With fewer than 20 rows of either class nothing is fitted and every document is kept.
     """
     if min((labels == 0).sum(), (labels == 1).sum()) < 20:
         return Model()
@@ -157,7 +158,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, pool_text:
     model = Model(weights[0], weights[1], calibration)
     score = model.scores(views[0][held], views[1][held])[2]
     good = np.sort(score[truth == 1])
-    model.threshold = float(min(0.5, good[int(most_lost * len(good))])) if len(good) else 0.5
+    model.threshold = float(np.clip(good[int(most_lost * len(good))], floor, 0.5)) if len(good) else 0.5
     return model
 
 

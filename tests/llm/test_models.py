@@ -140,6 +140,17 @@ def test_quality_learns_held_out_labels(spark, empty):
     assert quality.score(empty, model).count() == 0
 
 
+def test_quality_threshold_stands_mislabelled_rows():
+    r = np.random.default_rng(6)
+    labels = (np.arange(2000) % 5 > 0).astype(int)
+    views = [(r.standard_normal((2000, n)) * 0.3 + (labels[:, None] * 2 - 1)).astype(np.float32) for n in (6, 4)]
+    seen = labels.copy()
+    seen[np.flatnonzero((labels == 0) & (np.arange(2000) % 4 == 3))[:5]] = 1  # in the calibration rows
+    model = quality.co_train(*views, seen, *(v[:0] for v in views))
+    keep = model.scores(*views)[2] >= model.threshold
+    assert keep[labels == 1].mean() > 0.99 and keep[labels == 0].mean() < 0.02
+
+
 def test_quality_takes_odd_rows(docs, rows, empty):
     labels = docs.select("doc_id", F.lit(None).cast("int").alias("quality"))
     assert quality.score(docs, quality.fit(docs, labels)).count() == len(rows)

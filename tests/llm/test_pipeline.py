@@ -42,6 +42,15 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert bag(encoded, "doc_id", "n_tokens") == Counter((d, len(library.encode(t or "", add_eos=True))) for d, t in plain(mixed))
 
 
+def test_bad_documents_go(spark):
+    folder = "/root/testdata/sf0.01"  # the smallest with enough labelled bad rows for a fit
+    docs = queries.table(spark, folder, "documents")
+    labels = {r["doc_id"]: r["quality"] for r in queries.table(spark, folder, "labels").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, folder).select("doc_id").collect()}
+    bad, good = ({r["doc_id"] for r in docs.select("doc_id").collect() if labels.get(r["doc_id"]) == q} for q in (0, 1))
+    assert len(bad - kept) >= 0.95 * len(bad) > 0 and len(good & kept) >= 0.99 * len(good)
+
+
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 50
