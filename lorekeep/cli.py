@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from lorekeep import conformance, render
+from lorekeep.operators import audit_chain, gaps
 from lorekeep.operators import explain as reading
-from lorekeep.operators import gaps
 from lorekeep.plans import engine
 from lorekeep.plans.contract import Contract
 from lorekeep.sources import audit_log
@@ -98,7 +98,7 @@ def _validate_schema(spark: SparkSession, a: argparse.Namespace) -> int:
 def _explain(spark: SparkSession, a: argparse.Namespace) -> int:
     x = reading.explain(open_store(spark, a.store), Contract.load(a.schema), a.id, a.scope, a.audit_log, a.versions)
     print(render.as_json(x) if a.json else render.explanation(x))
-    return reading.EXIT_CODES[x["integrity"]["state"]]
+    return audit_chain.EXIT_CODES[x["integrity"]["state"]]
 
 
 def _contradictions(spark: SparkSession, a: argparse.Namespace) -> int:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
     return bare(df.checkpoint(eager=True))
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the shared folder and no more: for plans that must stay DataFrame operations only."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def bare(df: DataFrame) -> DataFrame:
     """The rows of a checkpointed frame without what the planner remembers of their origin.
 
@@ -31,20 +39,55 @@ def bare(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.  A temporary folder stands in on a single machine only: on a
+    cluster no other machine would see it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorekeep-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what earlier plans left behind: Spark deletes shuffle files, checkpoints and broadcast
+    blocks of plans that nobody refers to any more, but only after the driver has collected its garbage,
+    which a driver with room to spare seldom does."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def staged(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """Writes ``df`` as a table in the shared folder: the table, read column by column, and what deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
 
     def delete() -> None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    return spark.read.parquet(path), delete
+    try:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), delete
+    except BaseException:
+        delete()
+        raise
+
+
+@contextmanager
+def kept_until_done(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``staged`` for a block of code: its tables go when the block ends, whether it succeeds or not."""
+    made: list[Callable[[], None]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        rows, delete = staged(df)
+        made.append(delete)
+        return rows
+
+    try:
+        yield keep
+    finally:
+        for delete in made:
+            delete()
+        release(spark)

@@ -16,25 +16,30 @@ def claim_features(claims: DataFrame, text_col: str = "claim") -> DataFrame:
     return claims.withColumn("__tokens", X.claim_tokens(F.col(text_col))).withColumn("words", X.content_tokens(F.col("__tokens"))).withColumn("codes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("negated", X.negations(F.col("__tokens"))).drop("__tokens")
 
 
-def scan(claims: DataFrame, slot_cols: tuple[str, ...] = ("kind", "slot"), key_col: str = "key", salts: int = 16) -> DataFrame:
+def scan(claims: DataFrame, slot_cols: tuple[str, ...] = ("kind", "slot"), key_col: str = "key") -> DataFrame:
     """Pairs of one slot (left key smaller) whose texts disagree: ``detector``, ``overlap``, ``hit``.
 
-    ``claims`` comes from ``claim_features``.  A pair may share only common words, so pairs are
-    compared by slot, as many as there are; a slot's left sides are dealt over ``salts`` partitions,
-    and sets whose sizes alone keep them under the floor never meet.
+    ``claims`` comes from ``claim_features``; a key comes once in its slot.  Claims that overlap enough
+    share one of their rarer words, so they meet there, a slot that holds most claims dealt out by
+    its words; only keys meet.  Each pair that the filters leave is compared once, by hashes first.
     """
     from lorekeep.functions.lexicon import OVERLAP_FLOOR
+    from lorekeep.operators.similarity import may_reach, rare_first
 
     claims = claims.where(F.size("words") > 0)
-    side = lambda n: claims.select(*slot_cols, *[F.col(c).alias(f"{c}_{n}") for c in claims.columns if c not in slot_cols])
-    left = side("a").withColumn("__salt", F.pmod(F.xxhash64(f"{key_col}_a"), F.lit(salts)).cast("int"))
-    right = side("b").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    small, large = F.least(F.size("words_a"), F.size("words_b")), F.greatest(F.size("words_a"), F.size("words_b"))
-    pairs = left.join(right, [*slot_cols, "__salt"]).where((F.col(f"{key_col}_a") < F.col(f"{key_col}_b")) & (small >= large * F.lit(OVERLAP_FLOOR) - F.lit(1e-9)))
-    # hashes of words stand for them until few pairs are left
+    by = list(slot_cols)
+    prefixes = rare_first(claims, by, "codes", [key_col], OVERLAP_FLOOR)
+    sides = [prefixes.withColumnsRenamed({c: f"{c}_{n}" for c in (key_col, "n", "pos")}) for n in ("a", "b")]
+    met = sides[0].join(sides[1], [*by, "item"]).where((F.col(f"{key_col}_a") < F.col(f"{key_col}_b")) & may_reach(OVERLAP_FLOOR))
+    pairs = met.select(*by, f"{key_col}_a", f"{key_col}_b").distinct()
+    for n in ("a", "b"):  # hashes of words stand for them until few pairs are left
+        pairs = pairs.join(claims.select(*by, F.col(key_col).alias(f"{key_col}_{n}"), F.col("codes").alias(f"codes_{n}")), [*by, f"{key_col}_{n}"])
     near = pairs.withColumn("overlap", X.jaccard(F.col("codes_a"), F.col("codes_b"))).where(F.col("overlap") >= OVERLAP_FLOOR).drop("codes_a", "codes_b")
+    rest = [c for c in claims.columns if c not in (*by, "codes")]
+    for n in ("a", "b"):
+        near = near.join(claims.select(*by, *[F.col(c).alias(f"{c}_{n}") for c in rest]), [*by, f"{key_col}_{n}"])
     scored = near.withColumn("hit", X.antonym_hit(F.col("words_a"), F.col("words_b")))
-    return scored.withColumn("detector", X.detector(F.col("overlap"), F.col("negated_a"), F.col("negated_b"), F.col("hit"))).where("detector is not null").drop("__salt")
+    return scored.withColumn("detector", X.detector(F.col("overlap"), F.col("negated_a"), F.col("negated_b"), F.col("hit"))).where("detector is not null")
 
 
 def node_claims(nodes: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -29,6 +29,17 @@ def new_observations(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
+def resolved(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Resolutions after ``rows``: one a slug, the new one where there is one."""
+    return stored.join(rows.select("slug"), "slug", "left_anti").select(*stored.columns).unionByName(rows.select(*stored.columns))
+
+
+def promotion_entries(gaps: DataFrame, floor: int = L.PROMOTION_FLOOR) -> DataFrame:
+    """``slug, entry, evidence`` of every gap that can be promoted: what the vocabulary would gain, and why."""
+    entry = F.struct(F.col("means").alias("definition"), F.lit("active").alias("status"), F.col("slug").alias("promoted_from_gap"))
+    return promotable(gaps, floor).select("slug", entry.alias("entry"), F.struct(F.col("independent").alias("independent_scopes"), "scopes", "observations", "items").alias("evidence"))
+
+
 def aggregate(rows: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
     """Gaps by independent support: ``slug, means, observations, scopes, sources, items, first_seen,
     last_seen, independent, status, promoted_to, note``.

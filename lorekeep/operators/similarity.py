@@ -1,8 +1,8 @@
-"""Near-duplicate keys: a similarity join within blocks."""
+"""Near-duplicate keys: a similarity join within blocks, by rare-first prefixes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
@@ -15,23 +15,43 @@ def prepare_keys(keys: DataFrame, key_col: str, group_cols: list[str]) -> DataFr
     return normal.where(X.is_comparable(F.col("normal"))).withColumn("grams", X.trigrams(F.col("normal"))).withColumn("block", X.block_key(F.col("normal")))
 
 
+def rare_first(rows: DataFrame, by: list[str], set_col: str, key_cols: list[str], threshold: float, counted: DataFrame | None = None) -> DataFrame:
+    """``by, key_cols, item, pos, n``: the elements of each row's set that a similar set must share one of.
+
+    Elements are in one order for all rows of a group (``by``): those that few rows of ``counted``
+    (``rows`` themselves if None) hold come first.  Two sets whose Jaccard similarity reaches
+    ``threshold`` share one of the first ``n - ceil(threshold n) + 1`` of each.  Only keys and single
+    elements are shuffled.
+    """
+    items = rows.select(*by, *key_cols, F.size(set_col).alias("n"), F.explode(set_col).alias("item"))
+    counts = (items if counted is None else counted.select(*by, F.explode(set_col).alias("item"))).groupBy(*by, "item").agg(F.count("*").alias("held"))
+    ranked = items.join(counts, [*by, "item"]).groupBy(*by, *key_cols, "n").agg(F.array_sort(F.collect_list(F.struct("held", "item"))).alias("sorted"))
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    return ranked.select(*by, *key_cols, "n", F.posexplode(F.slice("sorted", F.lit(1), most)).alias("pos", "__item")).select(*by, *key_cols, "n", "pos", F.col("__item.item").alias("item"))
+
+
+def may_reach(threshold: float) -> Column:
+    """Length filter, and positional filter at the first element that (n_a, pos_a) and (n_b, pos_b) share."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    common = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b"))
+    return (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(threshold) - F.lit(1e-9)) & (common * (1 + threshold) >= (n_a + n_b) * F.lit(threshold) - F.lit(1e-9))
+
+
 def near_duplicates(incoming: DataFrame, existing: DataFrame, key_col: str = "key", group_cols: tuple[str, ...] = (), threshold: float = L.SIMILARITY_FLOOR) -> DataFrame:
     """``key, other, score`` (with ``group_cols``) for pairs of different normal form at ``threshold`` or more.
 
     Every unordered pair comes once.  Pairs meet on their block's first characters and, within it, on
-    shared trigrams of a prefix that any similar pair must share, so a block that most keys fall into
-    is dealt out by its trigrams; the ratio of sizes is checked before any set is compared.
+    shared trigrams of a rare-first prefix that any similar pair must share, so a block that most keys
+    fall into is dealt out by its trigrams.  Only keys meet; what is left after the filters is compared once.
     """
     groups = list(group_cols)
     left, right = prepare_keys(incoming, key_col, groups), prepare_keys(existing, key_col, groups)
-    # Sorted trigrams: sets that share a fraction t of their union share one of their first n - ceil(t n) + 1.
-    prefix = lambda g: F.slice(F.array_sort(g), F.lit(1), F.size(g) - F.ceil(F.size(g) * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)
-    sides = []
-    for side, name in ((left, "a"), (right, "b")):
-        sides.append(side.select(*groups, "block", *[F.col(c).alias(f"{c}_{name}") for c in ("key", "normal", "grams")], F.explode(prefix(F.col("grams"))).alias("gram")))
-    met = sides[0].join(sides[1], [*groups, "block", "gram"])
-    n_a, n_b = F.size("grams_a"), F.size("grams_b")
-    possible = met.where((F.col("normal_a") != F.col("normal_b")) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(threshold) - F.lit(1e-9)))
-    pairs = possible.select(*groups, F.col("key_a").alias("key"), F.col("key_b").alias("other"), "normal_a", "normal_b", "grams_a", "grams_b").dropDuplicates([*groups, "key", "other"])
-    scored = pairs.withColumn("score", X.similarity(F.col("normal_a"), F.col("normal_b"), F.col("grams_a"), F.col("grams_b"))).where(F.col("score") >= threshold)
-    return scored.withColumn("lo", F.least("key", "other")).withColumn("hi", F.greatest("key", "other")).groupBy(*groups, "lo", "hi").agg(F.min(F.struct("key", "other", "score")).alias("p")).select(*groups, "p.key", "p.other", "p.score")
+    by, both = [*groups, "block"], left.unionByName(right)
+    sides = [rare_first(rows, by, "grams", ["key"], threshold, both).withColumnsRenamed({c: f"{c}_{name}" for c in ("key", "n", "pos")}) for rows, name in ((left, "a"), (right, "b"))]
+    met = sides[0].join(sides[1], [*by, "item"]).where((F.col("key_a") != F.col("key_b")) & may_reach(threshold))
+    pairs = met.groupBy(*groups, F.least("key_a", "key_b").alias("lo"), F.greatest("key_a", "key_b").alias("hi")).agg(F.min(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("other"))).alias("p"))
+    pairs = pairs.select(*groups, "p.key", "p.other")
+    for rows, key, name in ((left, "key", "a"), (right, "other", "b")):
+        pairs = pairs.join(rows.select(*groups, F.col("key").alias(key), F.col("normal").alias(f"normal_{name}"), F.col("grams").alias(f"grams_{name}")), [*groups, key])
+    scored = pairs.where("normal_a <> normal_b").withColumn("score", X.similarity(F.col("normal_a"), F.col("normal_b"), F.col("grams_a"), F.col("grams_b")))
+    return scored.where(F.col("score") >= threshold).select(*groups, "key", "other", "score")

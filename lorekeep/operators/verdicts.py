@@ -79,6 +79,12 @@ def resolve_actions(items: DataFrame, findings: DataFrame, existing: DataFrame,
     return rows.withColumn("detail", detail).withColumn("renames", F.when(rewritten, F.col("renames"))).select(*items.columns, "verdict", "approved", "action", "detail", "renames")
 
 
+def landing_order(plans: DataFrame) -> DataFrame:
+    """Plans that write something, with ``section_ord``, in the order in which they are applied."""
+    order = F.create_map(*[F.lit(x) for pair in (("declare", 0), ("node", 1), ("unmapped", 2)) for x in pair])[F.col("section")]
+    return plans.where(F.col("action").isin("create", "create_unmapped", "supersede")).withColumn("section_ord", order).orderBy("section_ord", "pos")
+
+
 def action_counts(plans: DataFrame) -> DataFrame:
     """One row of counts by action."""
     names = {"create": "created", "supersede": "superseded", "create_unmapped": "unmapped", "unchanged": "unchanged", "held": "held", "blocked": "blocked"}

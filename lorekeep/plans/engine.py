@@ -11,6 +11,7 @@ from lorekeep.functions import lexicon as L
 from lorekeep.functions import text as X
 from lorekeep.lineage import cut
 from lorekeep.operators import checks, contradictions, gaps, verdicts
+from lorekeep.operators.landing import clashes, links, new_edges, retired, superseded
 from lorekeep.plans.contract import Contract
 from lorekeep.plugins import load_packs
 from lorekeep.sources import audit_log, batches, proposals
@@ -34,10 +35,10 @@ class Result:
 
 
 def writes(store: Store, base: dict, batch: checks.Batch, plans: DataFrame, now: str, today: str) -> dict[str, DataFrame]:
-    """New contents of the tables that the plans change, without the ledger and the gaps.
+    """What the plans add to the graph's tables, without the ledger and the gaps.
 
-    Creates must meet no existing node; superseded nodes move to the revisions; references become
-    edges once.
+    Creates must meet no existing node; superseded nodes go to the revisions; references become
+    edges once.  Nodes replace those of the same key.
     """
     spark, contract, partition = batch.spark, batch.contract, batch.contract.partition(batch.scope)
     fields = F.col("fields")
@@ -53,25 +54,14 @@ def writes(store: Store, base: dict, batch: checks.Batch, plans: DataFrame, now:
         F.coalesce(X.slot_value(fields, F.col("claim_slot")), F.lit("")).alias("slot"), "action", "fields", "pos",
     )
     landing = cut(landing)
-    nodes, revisions, edges = (store.read(t, base) for t in ("nodes", "node_revisions", "edges"))
-    key = ["scope", "kind", "key"]
+    nodes, edges = (store.read(t, base) for t in ("nodes", "edges"))
     created, replacing = landing.where("action <> 'supersede'"), landing.where("action = 'supersede'")
-    clash = created.join(nodes.select(*key), key, "left_semi")
-    twice = created.groupBy(*key).count().where("count > 1")
-    if not clash.isEmpty() or not twice.isEmpty():
+    if not clashes(created, nodes).isEmpty():
         raise DuplicateNode("a node to create exists already")
-    columns = nodes.columns
-    old = nodes.join(replacing.select(*key), key, "left_semi")
-    superseded = replacing.drop("revision").join(old.select(*key, (F.col("revision") + 1).alias("revision")), key)
-    retired = old.select(*key, "props", "revision", "owner", F.lit(today).cast("date").alias("valid_until"), F.lit(batch.run_id).alias("superseded_by_run"), "run_id")
-    links = landing.join(F.broadcast(contract.ref_rows(spark)), "kind").select(
-        "scope", F.col("kind").alias("src_kind"), F.col("key").alias("src_key"), "field", F.col("target_kind").alias("dst_kind"), F.explode(X.as_list(fields[F.col("field")])).alias("dst_key")
-    )
-    kept = nodes.join(replacing.select(*key), key, "left_anti").select(*columns)
     return {
-        "nodes": kept.unionByName(created.select(*columns)).unionByName(superseded.select(*columns)),
-        "node_revisions": revisions.unionByName(retired.select(*revisions.columns)),
-        "edges": edges.unionByName(links.where("dst_key is not null")).distinct(),
+        "nodes": created.select(*nodes.columns).unionByName(superseded(nodes, replacing)),
+        "node_revisions": retired(nodes, replacing, batch.run_id, F.lit(today)),
+        "edges": new_edges(links(landing, contract.ref_rows(spark)), edges),
     }
 
 
@@ -117,20 +107,21 @@ def ingest(
     fresh = cut(gaps.new_observations(seen, store.read("gap_observations", base)))
     slugs = sorted(r["slug"] for r in fresh.select("slug").distinct().collect())
     if slugs:
-        changed["gap_observations"] = store.read("gap_observations", base).unionByName(fresh)
-    after = changed["nodes"].where(F.col("scope") == partition) if contract.scoped else changed["nodes"]
+        changed["gap_observations"] = fresh
+    key = ["scope", "kind", "key"]
+    after = store.read("nodes", base).join(changed["nodes"].select(*key), key, "left_anti").unionByName(changed["nodes"])
+    after = after.where(F.col("scope") == partition) if contract.scoped else after
     found = cut(contradictions.observations(after.withColumn("fields", F.from_json("props", "map<string,string>")), contract.kind_rows(spark)))
     ledger, changes = contradictions.reconcile(found, store.read("contradictions", base), partition, run_id, now)
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     if counts:
-        changed["contradictions"] = ledger
+        changed["contradictions"] = ledger.join(changes, "pair_key", "left_semi").where(F.col("scope") == partition)
     store.commit(base, changed)
     # The log follows the commit: a write that failed leaves no entry.
     result.applied = verdicts.action_counts(plans).first().asDict()
     result.gaps = {"recorded": fresh.count(), "slugs": slugs}
     result.contradictions = {k: counts.get(k, 0) for k in ("upsert", "reactivate", "resolve")}
-    order = {"declare": 0, "node": 1, "unmapped": 2}
-    done = sorted((p for p in plans.select("section", "pos", "action", "id").collect() if p["action"] in ("create", "create_unmapped", "supersede")), key=lambda p: (order[p["section"]], p["pos"]))
+    done = verdicts.landing_order(plans).select("action", "id").collect()  # of one batch file
     result.audit_entry = audit_log.append(
         spark, audit_path,
         {"event": "apply", "run_id": run_id, "file": file, "owner": owner, "scope": scope, "identity": contract.identity, "content_hash": content, "schema_hash": bound, "summary": result.applied,

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
 from lorekeep.functions import text as X
 from lorekeep.operators import audit_chain, checks, contradictions, gaps, similarity, verdicts
+from lorekeep.plans.contract import Contract
+from lorekeep.sources import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -62,14 +63,6 @@ def deprecated_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).where("how = 'deprecated'").groupBy("how", "canonical").agg(F.count("*").alias("held"))
 
 
-@query("SELECT d.doc_id, 'quality' AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL")
-def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    rows = read(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
-    truthy = F.when(F.col("quality").isNotNull(), X.strings(["quality"])).otherwise(F.array().cast("array<string>"))
-    return rows.select("doc_id", F.explode(F.array_except(X.strings(["quality"]), truthy)).alias("missing"))
-
-
 @query("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def key_unique_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.repeated_keys(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -107,11 +100,6 @@ def collision_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _proposed_orders(spark, sf_dir).select("key", checks.collision_class(F.col("changed"), F.col("supersedable"), F.col("supersede")).alias("class"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, 'team-b' AS owner FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0")
-def protected_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _proposed_orders(spark, sf_dir).where("changed and old_protected and old_owner <> 'team-a'").select("key", F.col("old_owner").alias("owner"))
-
-
 _GRAMS = "list_distinct(list_transform(generate_series(1, greatest(length({d}) - 2, 1)), lambda i: substr({d}, i, 3)))"
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -209,20 +197,22 @@ def known_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claim = F.concat(F.when(F.col("doc_id") % 2 == 0, "not ").otherwise(""), F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " open").when(F.col("doc_id") % 3 == 1, " closed").otherwise(""))
-    return contradictions.claim_features(read(spark, sf_dir, "documents").select(F.col("lang").alias("slot"), F.col("doc_id").alias("key"), claim.alias("claim"))).drop("claim")
+    return contradictions.claim_features(read(spark, sf_dir, "documents").select(F.col("lang").alias("slot"), F.col("doc_id").alias("key"), claim.alias("claim")).where("slot is not null")).drop("claim")
 
 
+#: Pairs come from an inverted index of words, which counts what two claims share.
 _CLAIMS_SQL = (
-    "WITH c AS (SELECT lang AS slot, doc_id AS key, list_filter(regexp_split_to_array(lower(concat(CASE WHEN doc_id % 2 = 0 THEN 'not ' ELSE '' END, coalesce(text, ''), CASE doc_id % 3 WHEN 0 THEN ' open' WHEN 1 THEN ' closed' ELSE '' END)), '[^a-z0-9]+'), lambda t: t <> '') AS toks FROM documents), "
+    "WITH c AS (SELECT lang AS slot, doc_id AS key, list_filter(regexp_split_to_array(lower(concat(CASE WHEN doc_id % 2 = 0 THEN 'not ' ELSE '' END, coalesce(text, ''), CASE doc_id % 3 WHEN 0 THEN ' open' WHEN 1 THEN ' closed' ELSE '' END)), '[^a-z0-9]+'), lambda t: t <> '') AS toks FROM documents WHERE lang IS NOT NULL), "
     f"f AS (SELECT slot, key, list_filter(list_distinct(toks), lambda t: length(t) > 1 AND t NOT IN ({_IN(L.CLAIM_STOP_WORDS)})) AS words, len(list_filter(toks, lambda t: t IN ({_IN(L.NEGATORS)}))) > 0 AS neg FROM c), "
-    "p AS (SELECT a.slot, a.key AS left_key, b.key AS right_key, a.neg AS na, b.neg AS nb, a.words AS wa, b.words AS wb, len(list_intersect(a.words, b.words)) AS common FROM f a JOIN f b ON a.slot = b.slot AND a.key < b.key WHERE len(a.words) > 0 AND len(b.words) > 0), "
-    "s AS (SELECT *, common / CAST(len(wa) + len(wb) - common AS DOUBLE) AS overlap FROM p), "
+    "w AS (SELECT slot, key, len(words) AS n, neg, unnest(words) AS word FROM f), "
+    "p AS (SELECT a.slot, a.key AS left_key, b.key AS right_key, any_value(a.n) AS na, any_value(b.n) AS nb, any_value(a.neg) AS nega, any_value(b.neg) AS negb, count(*) AS common FROM w a JOIN w b ON a.slot = b.slot AND a.word = b.word AND a.key < b.key AND least(a.n, b.n) >= 0.35 * greatest(a.n, b.n) - 0.000001 GROUP BY a.slot, a.key, b.key), "
+    f"o AS (SELECT *, common / CAST(na + nb - common AS DOUBLE) AS overlap FROM p WHERE common / CAST(na + nb - common AS DOUBLE) >= {L.OVERLAP_FLOOR}), "
     f"ant AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {chr(39)}{y}{chr(39)})' for a, b in L.ANTONYMS for x, y in ((a, b), (b, a)))}) AS t(word, other)), "
-    f"o AS (SELECT * FROM s WHERE overlap >= {L.OVERLAP_FLOOR}), h AS (SELECT DISTINCT o.slot, o.left_key, o.right_key FROM o JOIN ant ON list_contains(o.wa, ant.word) AND NOT list_contains(o.wb, ant.word) AND list_contains(o.wb, ant.other)) "
+    "h AS (SELECT DISTINCT o.slot, o.left_key, o.right_key FROM o JOIN f a ON o.slot = a.slot AND o.left_key = a.key JOIN f b ON o.slot = b.slot AND o.right_key = b.key JOIN ant ON list_contains(a.words, ant.word) AND NOT list_contains(b.words, ant.word) AND list_contains(b.words, ant.other)) "
 )
 
 
-@query(_CLAIMS_SQL + "SELECT o.slot, o.left_key, o.right_key, round(o.overlap, 6) AS overlap, CASE WHEN na <> nb THEN 'negation_mismatch' ELSE 'antonym_pair' END AS detector FROM o LEFT JOIN h ON o.slot = h.slot AND o.left_key = h.left_key AND o.right_key = h.right_key WHERE na <> nb OR h.left_key IS NOT NULL")
+@query(_CLAIMS_SQL + "SELECT o.slot, o.left_key, o.right_key, round(o.overlap, 6) AS overlap, CASE WHEN nega <> negb THEN 'negation_mismatch' ELSE 'antonym_pair' END AS detector FROM o LEFT JOIN h ON o.slot = h.slot AND o.left_key = h.left_key AND o.right_key = h.right_key WHERE nega <> negb OR h.left_key IS NOT NULL")
 def contradiction_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contradictions.scan(_claims(spark, sf_dir), ("slot",))
     return found.select("slot", F.col("key_a").alias("left_key"), F.col("key_b").alias("right_key"), F.round("overlap", 6).alias("overlap"), "detector")
@@ -262,75 +252,86 @@ def ledger_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contradictions.ledger_changes(*_snapshots(spark, sf_dir))
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a chain of single hashes over the one before; every thousandth payload edited afterwards."""
+#: Entries of a log; runs in it.
+_ENTRIES, _RUN = 40, 10
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as logs of forty entries, each a true chain of hashes."""
     payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
-    own = F.sha2(payload, 256)
-    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("line"), payload.alias("payload"), own.alias("link"), "event_id", F.concat(F.lit("run-"), (F.col("event_id") % 200).cast("string")).alias("run_id"))
-    previous = F.coalesce(F.lag("link").over(W.orderBy("line")), F.lit(L.GENESIS))
-    return rows.withColumn("prev_hash", previous)
+    entries = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / _ENTRIES).alias("log"), F.struct(F.col("event_id").alias("line"), payload.alias("payload")).alias("e"))
+    logs = entries.groupBy("log").agg(F.array_sort(F.collect_list("e")).alias("entries"))  # forty at most
+    hashes = F.aggregate("entries", F.array(F.lit(L.GENESIS)), lambda known, e: F.concat(known, F.array(audit_chain.chain_hash(F.element_at(known, -1), e["payload"]))))
+    rows = logs.withColumn("hashes", hashes).select("log", "hashes", F.posexplode("entries").alias("pos", "e"))
+    run = F.concat(F.lit("run-"), F.floor(F.col("e.line") / _RUN).cast("string"))
+    return rows.select("log", "e.line", "e.payload", F.col("hashes")[F.col("pos")].alias("prev_hash"), F.col("hashes")[F.col("pos") + 1].alias("hash"), run.alias("run_id"))
 
 
-@query("SELECT event_id, sha256(concat(coalesce(lag(sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type, props))) OVER (ORDER BY event_id), repeat('0', 64)), concat_ws('|', CAST(event_id AS VARCHAR), event_type, props))) AS hash FROM events")
-def audit_row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _log(spark, sf_dir).select("event_id", audit_chain.chain_hash(F.col("prev_hash"), F.col("payload")).alias("hash"))
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after damage: some lines are gone, some contents edited, some unreadable.  Most logs are intact."""
+    line = F.col("line")
+    altered = F.when(line % 1499 == 300, F.lit(None).cast("string")).when(line % 997 == 500, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    return _chains(spark, sf_dir).where(line % 1103 != 7).withColumn("payload", altered)
 
 
-def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines whose links hold, but for two kinds of damage at fixed places."""
-    log = _log(spark, sf_dir).withColumn("hash", F.col("link")).drop("link")
-    return log.withColumn("prev_hash", F.when(F.col("event_id") % 997 == 500, "moved").otherwise(F.col("prev_hash"))).withColumn("payload", F.when(F.col("event_id") % 1499 == 300, F.lit(None).cast("string")).otherwise(F.col("payload")))
+_CHAINS_SQL = (
+    f"WITH l AS (SELECT event_id // {_ENTRIES} AS log, list(event_id ORDER BY event_id) AS ids, list(concat_ws('|', CAST(event_id AS VARCHAR), event_type, props) ORDER BY event_id) AS payloads FROM events GROUP BY 1), "
+    "h AS (SELECT log, ids, list_reduce(list_prepend([repeat('0', 64)], list_transform(payloads, lambda p: [p])), lambda known, x: list_append(known, sha256(concat(known[-1], x[1])))) AS hashes FROM l), "
+    "c AS (SELECT log, ids[i] AS line, hashes[i + 1] AS hash FROM (SELECT *, unnest(generate_series(1, len(ids))) AS i FROM h)) "
+)
+_BREAKS_SQL = (
+    f"WITH d AS (SELECT event_id AS line, event_id // {_ENTRIES} AS log, event_id // {_RUN} AS run FROM events WHERE event_id % 1103 <> 7), "
+    f"b AS (SELECT log, line, CASE WHEN line % 1499 = 300 THEN '{audit_chain.UNREADABLE}' WHEN (line - 1) % 1103 = 7 AND (line - 1) // {_ENTRIES} = log THEN '{audit_chain.DETACHED}' WHEN line % 997 = 500 THEN '{audit_chain.ALTERED}' END AS reason FROM d), "
+    f"v AS (SELECT d.log, f.line AS broken_at, f.reason, count(*) FILTER (WHERE f.line IS NULL OR d.line < f.line) AS entries FROM d LEFT JOIN (SELECT log, min(line) AS line, arg_min(reason, line) AS reason FROM b WHERE reason IS NOT NULL GROUP BY log) f ON d.log = f.log GROUP BY d.log, f.line, f.reason) "
+)
 
 
-@query("SELECT event_id AS line, CASE WHEN event_id % 1499 = 300 THEN 'unparseable JSON' WHEN event_id % 997 = 500 THEN 'prev_hash mismatch (line inserted/removed/reordered)' ELSE 'payload edited after write (hash mismatch)' END AS reason FROM events")
+@query(_CHAINS_SQL + "SELECT line AS event_id, hash FROM c")
+def audit_row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chains(spark, sf_dir).select(F.col("line").alias("event_id"), audit_chain.chain_hash(F.col("prev_hash"), F.col("payload")).alias("hash"))
+
+
+@query(_BREAKS_SQL + "SELECT log, line, reason FROM b WHERE reason IS NOT NULL")
 def audit_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_chain.breaks(_chained(spark, sf_dir))
+    return audit_chain.breaks(_logs(spark, sf_dir), chain_cols=("log",))
 
 
-@query(
-    "WITH m AS (SELECT min(event_id) AS b FROM events) SELECT false AS ok, (SELECT CAST(count(*) AS BIGINT) FROM events, m WHERE event_id < b) AS entries, b AS broken_at, "
-    "CASE WHEN b % 1499 = 300 THEN 'unparseable JSON' WHEN b % 997 = 500 THEN 'prev_hash mismatch (line inserted/removed/reordered)' ELSE 'payload edited after write (hash mismatch)' END AS reason FROM m"
-)
+@query(_BREAKS_SQL + f"SELECT log, broken_at IS NULL AS ok, CAST(entries AS BIGINT) AS entries, broken_at, coalesce(reason, '{audit_chain.INTACT}') AS reason FROM v")
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_chain.verify(_chained(spark, sf_dir))
+    return audit_chain.verify(_logs(spark, sf_dir), ("log",))
+
 
+@query(_CHAINS_SQL + "SELECT log, arg_max(hash, line) AS head FROM c WHERE line % 1103 <> 7 AND line % 1499 <> 300 GROUP BY log")
+def audit_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_chain.last_hash(_logs(spark, sf_dir), ("log",))
 
-@query("SELECT run_id, min(event_id) AS line FROM (SELECT event_id, concat('run-', CAST(event_id % 200 AS VARCHAR)) AS run_id FROM events) GROUP BY run_id")
+
+@query(f"SELECT concat('run-', CAST(event_id // {_RUN} AS VARCHAR)) AS run_id, min(event_id) AS line FROM events WHERE event_id % 1103 <> 7 GROUP BY 1")
 def audit_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_chain.run_index(_log(spark, sf_dir).select("run_id", "line"))
+    return audit_chain.run_index(_logs(spark, sf_dir).select("run_id", "line"))
 
 
-@query(
-    "WITH x AS (SELECT concat('run-', CAST(event_id % 200 AS VARCHAR)) AS run_id, min(event_id) AS line FROM events GROUP BY 1), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('run-', CAST(o_orderkey % 260 AS VARCHAR)) END AS run_id, CASE WHEN o_orderkey % 17 = 0 THEN 'retired' WHEN o_orderkey % 2 = 0 THEN 'active' ELSE 'unmapped' END AS status FROM orders) "
-    "SELECT o_orderkey, CASE WHEN status = 'retired' THEN 'invalidated' WHEN n.run_id = '' OR x.line IS NULL THEN 'unverified' WHEN x.line >= 150 THEN 'invalidated' ELSE 'unverified' END AS state FROM n LEFT JOIN x ON n.run_id = x.run_id"
-)
-def integrity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    nodes = read(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 13 == 0, "").otherwise(F.concat(F.lit("run-"), (key % 260).cast("string"))).alias("run_id"), F.when(key % 17 == 0, "retired").when(key % 2 == 0, "active").otherwise("unmapped").alias("status"))
-    index = audit_chain.run_index(_log(spark, sf_dir).select("run_id", "line"))
-    joined = nodes.join(index, "run_id", "left")
-    return joined.select("o_orderkey", audit_chain.integrity_state(F.lit(True), F.col("status"), F.col("run_id"), F.col("line"), F.lit(150)).alias("state"))
+    nodes = read(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 13 == 0, "").otherwise(F.concat(F.lit("run-"), (key % 1300).cast("string"))).alias("run_id"), F.when(key % 17 == 0, "retired").when(key % 2 == 0, "active").otherwise("unmapped").alias("status"))
+    return audit_chain.integrity_report(nodes, _logs(spark, sf_dir), ("log",))
 
 
-_TOP = 3
+_INTEGRITY_SQL = (
+    _BREAKS_SQL + ", x AS (SELECT run, min(line) AS line, any_value(log) AS log FROM d GROUP BY run), "
+    "n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 1300 END AS run, o_orderkey % 17 = 0 AS retired FROM orders), "
+    "s AS (SELECT n.o_orderkey, CASE WHEN retired THEN 'invalidated' WHEN x.line IS NULL THEN 'unverified' WHEN v.broken_at IS NULL THEN 'verified' WHEN v.broken_at <= x.line THEN 'invalidated' ELSE 'unverified' END AS state FROM n LEFT JOIN x ON n.run = x.run LEFT JOIN v ON x.log = v.log) "
+)
 
 
-@query(f"SELECT o_custkey, o_orderkey, CAST(n AS INTEGER) AS place, total > {_TOP} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) WHERE n <= {_TOP}")
-def revision_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = W.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    ranked = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("place", F.row_number().over(recent)).where(F.col("place") <= _TOP + 1)
-    return ranked.withColumn("truncated", F.max("place").over(W.partitionBy("o_custkey")) > _TOP).where(F.col("place") <= _TOP).select("o_custkey", "o_orderkey", "place", "truncated")
+@query(_INTEGRITY_SQL + "SELECT o_orderkey, state FROM s")
+def integrity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _integrity(spark, sf_dir).select("o_orderkey", "state")
 
 
-@query(
-    "SELECT concat('customer:', CAST(c_custkey AS VARCHAR)) AS src, 'nation' AS field, concat('nation:', n_name) AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey "
-    "UNION SELECT concat('nation:', n_name), 'region', concat('region:', r_name) FROM nation JOIN region ON n_regionkey = r_regionkey"
-)
-def edges_onehop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = F.broadcast(read(spark, sf_dir, "nation")), F.broadcast(read(spark, sf_dir, "region"))  # 25 and 5 rows at any scale
-    first = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(X.composite_id(F.lit("customer"), F.col("c_custkey").cast("string")).alias("src"), F.lit("nation").alias("field"), X.composite_id(F.lit("nation"), F.col("n_name")).alias("dst"))
-    second = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(X.composite_id(F.lit("nation"), F.col("n_name")).alias("src"), F.lit("region").alias("field"), X.composite_id(F.lit("region"), F.col("r_name")).alias("dst"))
-    return first.unionByName(second).distinct()
+@query(_INTEGRITY_SQL + "SELECT o_orderkey, CAST(CASE state WHEN 'verified' THEN 0 WHEN 'unverified' THEN 4 ELSE 5 END AS INTEGER) AS exit_code FROM s")
+def explain_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _integrity(spark, sf_dir).select("o_orderkey", audit_chain.exit_code(F.col("state")).alias("exit_code"))
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,9 +361,32 @@ def verdict_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.worst_verdicts(_findings(spark, sf_dir))
 
 
-@query("SELECT 0 AS floor, false AS halts, '' AS why")
+def _run_findings(spark: SparkSession, sf_dir: str, date: str) -> DataFrame:
+    run = checks.Batch(spark, Contract("shared", {}), None, None, date=date)
+    return _findings(spark, sf_dir).unionByName(checks.date_format(run))
+
+
+@query("SELECT 2 AS floor, false AS halts, 'the date must be YYYY-MM-DD, not ''2024-02-30''' AS why")
 def run_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.run_floor(_findings(spark, sf_dir))
+    return verdicts.run_floor(_run_findings(spark, sf_dir, "2024-02-30"))
+
+
+@query("SELECT 0 AS floor, false AS halts, '' AS why")
+def run_floor_of_a_good_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.run_floor(_run_findings(spark, sf_dir, "2024-2-9"))
+
+
+@query("SELECT 0 AS floor, count(*) > 0 AS halts, '' AS why FROM events WHERE event_type = 'error'")
+def run_halts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item that halts stops the run."""
+    halting = checks.found(read(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").cast("string").alias("id"), F.col("event_id").cast("int").alias("pos")), "key_present", L.HALT, F.lit("halts"))
+    return verdicts.run_floor(_findings(spark, sf_dir).unionByName(halting))
+
+
+@query("SELECT concat('event:', CAST(event_id AS VARCHAR)) AS id, 2 AS verdict, 'blocked' AS action, CASE WHEN event_id % 31 = 0 THEN 'failed a blocking check' ELSE 'blocked by a run-level check: the date must be YYYY-MM-DD, not ''2024-02-30''' END AS detail FROM events")
+def run_floor_blocks_every_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, existing, approvals = _event_items(spark, sf_dir)
+    return verdicts.resolve_actions(items, _run_findings(spark, sf_dir, "2024-02-30"), existing, approvals).select("id", "verdict", "action", "detail")
 
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,6 +399,11 @@ def resolve_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plans(spark, sf_dir).select("id", "verdict", "approved", "action")
 
 
+@query(_ACTION_SQL.replace("SELECT concat('event:'", "SELECT event_type, concat('event:'") + "SELECT id, 'failure' AS to_term, concat('approved: ', action, ' [deprecated term rewritten]') AS detail FROM a WHERE verdict = 1 AND approved AND action <> 'unchanged' AND event_type = 'error'")
+def deferred_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir).where("renames is not null").select("id", F.col("renames")["event_type"].alias("to_term"), "detail")
+
+
 @query(_ACTION_SQL + "SELECT " + ", ".join(f"CAST(count(*) FILTER (WHERE action = '{a}') AS BIGINT) AS {n}" for a, n in (("create", "created"), ("supersede", "superseded"), ("create_unmapped", "unmapped"), ("unchanged", "unchanged"), ("held", "held"), ("blocked", "blocked"))) + " FROM a")
 def apply_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.action_counts(_plans(spark, sf_dir))
@@ -393,7 +422,7 @@ def composite_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, sha256(props) AS content_hash FROM events")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.sha2("props", 256).alias("content_hash"))
+    return read(spark, sf_dir, "events").select("event_id", batches.content_digest(F.col("props")).alias("content_hash"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -409,10 +438,13 @@ def date_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from lorekeep import registry_batch, registry_graph  # noqa: F401  they register theirs here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

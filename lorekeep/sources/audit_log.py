@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
@@ -25,31 +26,46 @@ def entry_hash(previous: str, payload: dict) -> str:
     return hashlib.sha256((previous + canonical(payload)).encode()).hexdigest()
 
 
-def append(spark: SparkSession, path: str, payload: dict, now: str) -> dict:
-    """Adds one chained entry; one writer at a time, as the chain demands."""
-    files = Files(spark)
-    text = files.read(path) or ""
-    head = L.GENESIS
-    for line in text.splitlines():
+def last_hash(spark: SparkSession, path: str) -> str:
+    """The hash that the next entry names: that of the last line that is an entry.  Read from the end."""
+    for line in Files(spark).lines_from_end(path):
         try:
-            head = json.loads(line).get("hash", head) if line.strip() else head
+            head = json.loads(line).get("hash") if line.strip() else None
         except (json.JSONDecodeError, AttributeError):
             continue
+        if head:
+            return head
+    return L.GENESIS
+
+
+def append(spark: SparkSession, path: str, payload: dict, now: str) -> dict:
+    """Adds one chained entry at the end; one writer at a time, as the chain demands."""
+    files, head = Files(spark), last_hash(spark, path)
     body = {"ts": now} | payload
     entry = {"prev_hash": head} | body | {"hash": entry_hash(head, body)}
-    files.replace(path, text + ("" if not text or text.endswith("\n") else "\n") + json.dumps(entry, default=str) + "\n")
+    unfinished = next(files.lines_from_end(path), "")  # a last line without its line feed
+    files.append(path, ("\n" if unfinished else "") + json.dumps(entry, default=str) + "\n")
     return entry
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line, raw``: the lines of a text file, however large, by their physical number.  Each task numbers
+    the lines of its part of the file; the parts' own numbers come from a table of one row a part."""
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    before = F.coalesce(F.sum("lines").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = text.groupBy("part").agg(F.count("*").alias("lines")).select("part", before.alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("at"))
+    return text.withColumn("place", place).join(F.broadcast(parts), "part").select((F.col("place") + F.col("before")).alias("line"), "raw")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are not blank, with their physical number, parsed: null payload where that fails.
 
     A missing log has no lines.
     """
-    if Files(spark).read(path) is None:
+    if not Files(spark).exists(path):
         return spark.createDataFrame([], LINE)
-    text = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("pos", "raw"))
-    numbered = text.where(F.trim("raw") != "").select((F.col("pos") + 1).cast("bigint").alias("line"), "raw")
+    numbered = numbered_lines(spark, path).where(F.trim("raw") != "")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

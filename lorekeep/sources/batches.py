@@ -14,7 +14,7 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.plans.contract import Contract
@@ -39,13 +39,31 @@ def content_hash(path: str | Path) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+def content_digest(content: Column) -> Column:
+    """What approvals are bound to: SHA-256 of the bytes of a batch."""
+    return F.sha2(content, 256)
+
+
+def header_findings(heads: DataFrame) -> DataFrame:
+    """``file, check, message`` of what makes batches unreadable as a whole, for any number of files; each one
+    halts its run.  ``heads``: file, mapping, source, date, filled (whether it has anything to ingest)."""
+    missing = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.struct(F.lit("top_level_required").alias("check"), F.lit(f"missing required top-level field: {c}").alias("message")))
+    nothing = F.when(~F.col("filled"), F.struct(F.lit("top_level_required").alias("check"), F.lit(NOTHING).alias("message")))
+    no_mapping = F.array(F.struct(F.lit("parse").alias("check"), F.lit(NO_MAPPING).alias("message")))
+    problems = F.when(~F.col("mapping"), no_mapping).otherwise(F.array_compact(F.array(missing("source"), missing("date"), nothing)))
+    return heads.select("file", F.explode(problems).alias("p")).select("file", "p.check", "p.message")
+
+
+NO_MAPPING, NOTHING = "the file is no YAML mapping", "the file has no nodes, declare or unmapped_for_review to ingest"
+
+
 def structural_problems(data: Any) -> list[tuple[str, str]]:
     """(check, message) of what makes a batch unreadable as a whole; each one halts the run."""
     if not isinstance(data, dict):
-        return [("parse", "the file is no YAML mapping")]
+        return [("parse", NO_MAPPING)]
     found = [("top_level_required", f"missing required top-level field: {k}") for k in ("source", "date") if not data.get(k)]
     if not any(data.get(k) for k in ("nodes", "declare", "unmapped_for_review")):
-        found.append(("top_level_required", "the file has no nodes, declare or unmapped_for_review to ingest"))
+        found.append(("top_level_required", NOTHING))
     return found
 
 

@@ -22,3 +22,16 @@ def rewritten(props: pd.Series, over: pd.Series, under: pd.Series, without: pd.S
         merged = {**json.loads(u or "{}"), **json.loads(p), **json.loads(o or "{}")}
         out.append(canonical({k: v for k, v in merged.items() if k not in set(drop)}))
     return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(StringType())
+def canonical_text(document: pd.Series) -> pd.Series:
+    """JSON text in the form that hashes are taken of; null for what is no JSON."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return canonical(json.loads(text)) if text is not None else None
+        except json.JSONDecodeError:
+            return None
+
+    return pd.Series([one(x) for x in document], dtype=object)
