@@ -2,9 +2,12 @@
 
 Texts are words (A-Z lower-cased, ASCII white space parts them) as subword ids of a public
 tokenizer, and an end.  The model predicts the class of the next id by one layer of causal
-self-attention over a window, and the id within its class by its share of the corpus:
+self-attention over a window, and the id within its class by its share of the corpus.  Classes stand
+in groups of equal size, so that a class is two choices of a few instead of one of many:
 
-    p(id | before) = softmax(attention(before) + bias(last id))[class(id)] * count(id) / count(class(id))
+    p(id | before) = softmax(g(x) + bias(last id))[group] * softmax(c(x, group) + bias(last id, group))[class] * count(id) / count(class)
+
+where x is the last id's embedding and what attention over the window adds to it.
 
 Counts of ids and of their neighbours are gathered from every training text; classes, embeddings and
 the bias (the logarithm of which class follows the last id how often) come from them.  The attention's
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -40,13 +44,18 @@ from lorekeep.llm.common import cut, map_arrow, raw_texts, staged, type_of
 
 #: Keys of a window, and its last positions, which are the ones it scores: each sees 9 to 24 ids.
 KEYS, SCORED = 24, 16
-WIDTH, HIDDEN, CLASSES, NEIGHBOURS = 16, 16, 128, 64
+WIDTH, HIDDEN, NEIGHBOURS = 16, 16, 64
+#: Classes of ids, in groups of equal size: the next group is predicted, then the class within it.
+GROUPS, MEMBERS = 16, 16
+CLASSES = GROUPS * MEMBERS
 #: Held-out documents: crc32 of the id modulo FOLDS is HELD.
 FOLDS, HELD = 7, 2
 #: A word is looked up from a table, not in its bin, if it is at least this share of all tokens.
 FREQUENT = 1 / 20_000
 #: Rounds of training; together they take every window of the training texts once.
 ROUNDS = 2
+#: Windows of a training step.
+AT_ONCE = 128
 BLOCK_BYTES = 4 << 20
 
 
@@ -59,7 +68,7 @@ def is_held_out(doc_id: object) -> bool:
 class Words:
     """Places of words in arrays of their ids and hashes; new words are encoded by the library, all at once."""
 
-    def __init__(self, model: bytes, most: int = 600_000) -> None:
+    def __init__(self, model: bytes, most: int = 300_000) -> None:
         import sentencepiece
 
         self.library, self.most = sentencepiece.SentencePieceProcessor(model_proto=model), most
@@ -74,7 +83,9 @@ class Words:
         """Valid until the next call."""
         if len(self.known) > self.most:
             self.reset()
-        new = list(set(words).difference(self.known))
+        at, distinct = pd.factorize(np.array(words, dtype=object))
+        distinct = distinct.tolist()
+        new = [w for w in distinct if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             encoded = self.library.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
@@ -83,7 +94,7 @@ class Words:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint16, int(lengths.sum()))])
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int32, len(distinct))[at]
 
     def id_run(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of words, and how many each has."""
@@ -131,7 +142,8 @@ def in_token_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Itera
 # ---------------------------------------------------------------- the model
 @dataclass
 class Model:
-    """``embed`` has a row for each id, one for the start and one for padding."""
+    """``embed`` has a row for each id, one for the start and one for padding.  Class ``c`` is number
+    ``c % MEMBERS`` of group ``c // MEMBERS``."""
 
     classes: np.ndarray  # class of each id
     log_share: np.ndarray  # ln of each id's share of its class
@@ -139,6 +151,11 @@ class Model:
     follow: np.ndarray  # logits of the class that comes next, by last id
     weights: dict[str, np.ndarray]
     end: int
+    groups: np.ndarray | None = None  # logits of its group
+
+    def __post_init__(self) -> None:
+        if self.groups is None:
+            self.groups = group_logits(self.follow)
 
     @property
     def start(self) -> int:
@@ -151,25 +168,45 @@ class Model:
 
 def pack(model: Model) -> tuple:
     """All but the trained weights, small enough to go to every task: sizes are the vocabulary's."""
-    halves = [_squeeze(x, np.float16) for x in (model.embed, model.follow)]
+    halves = [_squeeze(x, np.float16) for x in (model.embed, model.follow, model.groups)]
     return _squeeze(model.classes, np.uint8), _squeeze(model.log_share, np.float32), *halves, model.end
 
 
+#: The model that this process unpacked last: every task of a worker asks for the same one.
+_UNPACKED: dict[bytes, tuple] = {}
+
+
 def unpack(data: tuple, weights: dict[str, np.ndarray]) -> Model:
-    classes, log_share, *halves, end = data
-    embed, follow = (_restore(x, np.float16).astype(np.float32) for x in halves)
-    return Model(_restore(classes, np.uint8).astype(np.int64), _restore(log_share, np.float32), embed.reshape(-1, WIDTH), follow.reshape(-1, CLASSES), weights, end)
+    name = xxhash.xxh3_128_digest(data[0]) + xxhash.xxh3_128_digest(data[3])
+    if name not in _UNPACKED:
+        classes, log_share, *halves, end = data
+        embed, follow, groups = (_restore(x, np.float16).astype(np.float32) for x in halves)
+        _UNPACKED.clear()
+        _UNPACKED[name] = _restore(classes, np.uint8).astype(np.int64), _restore(log_share, np.float32), embed.reshape(-1, WIDTH), follow.reshape(-1, CLASSES), end, groups.reshape(-1, GROUPS)
+    classes, log_share, embed, follow, end, groups = _UNPACKED[name]
+    return Model(classes, log_share, embed, follow, weights, end, groups)
 
 
 def first_weights(seed: int = 1) -> dict[str, np.ndarray]:
+    """``qk`` is the product of the query and key projections, ``vo`` that of values and output: embeddings
+    are not trained, so that only these products count."""
     r = np.random.default_rng(seed)
-    make = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+    make = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
+    biased = lambda x: np.concatenate([x, np.zeros_like(x[..., :1, :])], axis=-2)  # noqa: E731  the last row meets a column of ones
     return {
-        "near": np.zeros((SCORED, KEYS), np.float32), "q": make(WIDTH, WIDTH), "k": make(WIDTH, WIDTH), "v": make(WIDTH, WIDTH), "o": make(WIDTH, WIDTH) * np.float32(0.3),
-        "h": make(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN, np.float32), "u": make(HIDDEN, WIDTH) * np.float32(0.3), "c": make(WIDTH, CLASSES) * np.float32(0.1), "cb": np.zeros(CLASSES, np.float32),
+        "near": np.zeros((SCORED, KEYS), np.float32), "qk": make(WIDTH, WIDTH), "vo": make(WIDTH, WIDTH) * np.float32(0.3),
+        "h": make(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN, np.float32), "u": make(HIDDEN, WIDTH) * np.float32(0.3),
+        "g": biased(make(WIDTH, GROUPS) * np.float32(0.1)), "c": biased(make(GROUPS, WIDTH, MEMBERS) * np.float32(0.1)),
     }
 
 
+def group_logits(follow: np.ndarray) -> np.ndarray:
+    """Logits of the next group, by last id: the sums of its classes' shares."""
+    by_group = follow.reshape(len(follow), GROUPS, MEMBERS)
+    top = by_group.max(axis=2)
+    return top + np.log(np.exp(by_group - top[:, :, None]).sum(axis=2))
+
+
 #: Positions of a window after the query are masked; the query is one of the last SCORED keys.
 _LATER = np.where(np.arange(KEYS)[None, :] > np.arange(SCORED)[:, None] + KEYS - SCORED, np.float32(-1e4), np.float32(0))
 
@@ -198,118 +235,177 @@ def windows(ids: np.ndarray, lengths: np.ndarray, start: int, pad: int, at_once:
         yield keys, targets, text
 
 
+def _by_group(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places of classes that are not -1, equal groups together; and (group, begin, end) of those that occur."""
+    groups = (classes // MEMBERS).astype(np.int8)
+    order = np.argsort(groups, kind="stable")
+    edges = np.cumsum(np.bincount(groups + 1, minlength=GROUPS + 1)).tolist()
+    first = edges[0]  # before them comes what has no class
+    return order[first:], [(g, edges[g] - first, edges[g + 1] - first) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+
+
+def _with_ones(n: int, kind: type = np.float32) -> np.ndarray:
+    x = np.empty((n, WIDTH + 1), kind)
+    x[:, WIDTH] = 1
+    return x
+
+
 class Scorer:
     """The model with its projections of every embedding worked out, for inference."""
 
     def __init__(self, model: Model) -> None:
         w, e = model.weights, model.embed
         self.model = model
-        # one more dimension of the keys masks the padding
-        mask = np.zeros((len(e), 1), np.float32)
-        mask[model.pad] = -1e4
-        self.q = np.hstack([e @ w["q"] * np.float32(1 / np.sqrt(WIDTH)), np.ones((len(e), 1), np.float32), e])
-        self.kv = np.hstack([e @ w["k"], mask, e @ (w["v"] @ w["o"]), np.ones((len(e), 1), np.float32)])
-        self.near, self.follow = w["near"] + _LATER, model.follow + w["cb"]
+        one = np.ones((len(e), 1), np.float32)  # in the keys it sums the weights
+        self.q, self.k = np.hstack([e @ w["qk"] * np.float32(1 / np.sqrt(WIDTH)), one]), np.hstack([with_mask(e, model.pad), one])
+        self.near, self.class_of = w["near"] + _LATER, np.append(model.classes, -1)  # the target -1 has the class -1
+        self.group_bias, self.class_bias = model.groups, model.follow.reshape(-1, MEMBERS)
 
     def log_probs(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """ln p of each target; 0 where there is none."""
         w, m = self.model.weights, self.model
-        n = len(keys)
-        q, kv = self.q[keys[:, KEYS - SCORED :]], self.kv[keys]
-        z = np.matmul(q[:, :, : WIDTH + 1], kv[:, :, : WIDTH + 1].transpose(0, 2, 1))
+        n, last = len(keys), keys[:, KEYS - SCORED :]
+        k = self.k.take(keys, axis=0)
+        z = np.matmul(self.q.take(last, axis=0), k[:, :, : WIDTH + 1].transpose(0, 2, 1))
         z += self.near
         np.minimum(z, 50, out=z)
         np.exp(z, out=z)
-        head = np.matmul(z, kv[:, :, WIDTH + 1 :])  # the last column is the sum of weights
-        x = (head[:, :, :WIDTH] / head[:, :, WIDTH:] + q[:, :, WIDTH + 1 :]).reshape(n * SCORED, WIDTH)
-        hidden = x @ w["h"]
+        met = np.matmul(z, k).reshape(n * SCORED, WIDTH + 2)
+        flat, last = targets.ravel(), last.ravel()
+        wanted = self.class_of.take(flat)
+        at, runs = _by_group(wanted)
+        last, wanted, met = last.take(at), wanted.take(at), met.take(at, axis=0)
+        x = _with_ones(len(at))
+        np.divide(met[:, :WIDTH], met[:, WIDTH + 1 :], out=met[:, :WIDTH])
+        x[:, :WIDTH] = met[:, :WIDTH] @ w["vo"] + m.embed.take(last, axis=0)
+        hidden = x[:, :WIDTH] @ w["h"]
         hidden += w["hb"]
         np.maximum(hidden, 0, out=hidden)
-        x += hidden @ w["u"]
-        logits = x @ w["c"]
-        logits += self.follow[keys[:, KEYS - SCORED :].ravel()]
-        np.minimum(logits, 50, out=logits)
-        flat = targets.ravel()
-        chosen = logits[np.arange(len(flat)), m.classes[flat]]
-        np.exp(logits, out=logits)
-        out = chosen - np.log(logits @ _ONES) + m.log_share[flat]
-        return np.where(flat >= 0, out, 0).reshape(n, SCORED)
-
-    def text_scores(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 128) -> np.ndarray:
+        x[:, :WIDTH] += hidden @ w["u"]
+        groups, members, rows = wanted // MEMBERS, wanted % MEMBERS, np.arange(len(at))
+        logits = x @ w["g"]
+        logits += self.group_bias.take(last, axis=0)
+        own = np.empty((len(at), MEMBERS), np.float32)
+        for g, begin, end in runs:
+            np.matmul(x[begin:end], w["c"][g], out=own[begin:end])
+        own += self.class_bias.take(last * GROUPS + groups, axis=0)
+        total = m.log_share.take(flat.take(at))
+        for values, chosen in ((logits, groups), (own, members)):
+            np.minimum(values, 50, out=values)
+            total += values[rows, chosen]
+            np.exp(values, out=values)
+            total -= np.log(values @ _ONES[: values.shape[1]])
+        out = np.zeros(n * SCORED, np.float32)
+        out[at] = total
+        return out.reshape(n, SCORED)
+
+    def text_scores(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 256) -> np.ndarray:
         """log10 p of each text."""
         sums = np.zeros(len(lengths))
-        for many_keys, many_targets, many_texts in windows(ids, lengths, self.model.start, self.model.pad, 64 * at_once):
+        for many_keys, many_targets, many_texts in windows(ids, lengths, self.model.start, self.model.pad, 32 * at_once):
             for at in range(0, len(many_texts), at_once):
                 values = self.log_probs(many_keys[at : at + at_once], many_targets[at : at + at_once]).sum(axis=1, dtype=np.float64)
                 sums += np.bincount(many_texts[at : at + at_once], weights=values, minlength=len(lengths))
         return sums / np.log(10)
 
 
-_ONES = np.ones(CLASSES, np.float32)
+_ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
+
 
+def _softmax(logits: np.ndarray) -> None:
+    np.minimum(logits, 50, out=logits)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None] + np.float32(1e-30)
 
-def gradients(w: dict[str, np.ndarray], embed: np.ndarray, follow: np.ndarray, pad: int, keys: np.ndarray, classes: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the classes that are given (others -1), and its gradients."""
-    n, scale = len(keys), np.float32(1 / np.sqrt(WIDTH))
-    flat = lambda t: t.reshape(-1, t.shape[-1])  # noqa: E731  one product of all rows is faster than one a window
-    windowed = lambda t: t.reshape(n, -1, t.shape[-1])
-    last = np.ascontiguousarray(keys[:, KEYS - SCORED :]).ravel()
-    x, xq = embed[keys.ravel()], embed[last]
-    q, k, v = windowed(xq @ w["q"]), windowed(x @ w["k"]), windowed(x @ w["v"])
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= scale
+
+def with_mask(embed: np.ndarray, pad: int) -> np.ndarray:
+    """Embeddings with one more dimension, which a query with a one there adds to its logits: it masks the padding."""
+    mask = np.zeros((len(embed), 1), embed.dtype)
+    mask[pad] = -1e4
+    return np.hstack([embed, mask])
+
+
+def gradients(w: dict[str, np.ndarray], masked: np.ndarray, group_bias: np.ndarray, class_bias: np.ndarray, keys: np.ndarray, classes: np.ndarray, with_loss: bool = False) -> tuple[float | None, dict[str, np.ndarray]]:
+    """Mean loss over the classes that are given (others -1), if asked for, and its gradients.  ``masked`` as of ``with_mask``."""
+    n, scale, kind = len(keys), np.float32(1 / np.sqrt(WIDTH)), masked.dtype
+    windowed = lambda t: t.reshape(n, -1, t.shape[-1])  # noqa: E731  one product of all rows is faster than one a window
+    last = keys[:, KEYS - SCORED :].ravel()
+    x = masked.take(keys, axis=0)
+    xq = x[:, KEYS - SCORED :, :WIDTH].reshape(-1, WIDTH)
+    turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+    q = _with_ones(n * SCORED, kind)
+    np.matmul(xq, w["qk"] * scale, out=q[:, :WIDTH])
+    a = np.matmul(windowed(q), turned)
     a += w["near"] + _LATER
-    a += np.where(keys == pad, np.float32(-1e4), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
+    np.minimum(a, 50, out=a)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    head = flat(np.matmul(a, v))
-    x1 = xq + head @ w["o"]
-    pre = x1 @ w["h"] + w["hb"]
-    hidden = np.maximum(pre, 0)
-    x2 = x1 + hidden @ w["u"]
-    d = x2 @ w["c"]
-    d += w["cb"]
-    d += follow[last]
-    d -= d.max(axis=1, keepdims=True)
-    np.exp(d, out=d)
-    d /= d.sum(axis=1, keepdims=True)
+    a /= np.matmul(a, np.ones((KEYS, 1), kind)) + np.float32(1e-30)
+    met = np.matmul(a, x[:, :, :WIDTH]).reshape(-1, WIDTH)
+    # What has no class takes no part from here on; the rest is put in order of groups.
     wanted = classes.ravel()
-    there = np.flatnonzero(wanted >= 0)
-    total = max(1, len(there))
-    loss = -float(np.log(np.maximum(d[there, wanted[there]], 1e-30)).sum()) / total
-    d[there, wanted[there]] -= 1
-    d *= ((wanted >= 0) / np.float32(total)).astype(d.dtype)[:, None]
-    g = {"c": x2.T @ d, "cb": d.sum(axis=0)}
-    d2 = d @ w["c"].T
-    g["u"] = hidden.T @ d2
-    dh = (d2 @ w["u"].T) * (pre > 0)
-    g["h"], g["hb"] = x1.T @ dh, dh.sum(axis=0)
-    d1 = d2 + dh @ w["h"].T
-    g["o"] = head.T @ d1
-    dhead = windowed(d1 @ w["o"].T)
-    dv = np.matmul(a.transpose(0, 2, 1), dhead)
-    da = np.matmul(dhead, v.transpose(0, 2, 1))
-    da -= (da * a).sum(axis=2, keepdims=True)
+    at, runs = _by_group(wanted)
+    total, wanted, last, met = max(1, len(at)), wanted.take(at), last.take(at), met.take(at, axis=0)
+    groups, members, rows, ones = wanted // MEMBERS, wanted % MEMBERS, np.arange(len(at)), np.ones(len(at), kind)
+    x1 = met @ w["vo"]
+    x1 += xq.take(at, axis=0)
+    hidden = x1 @ w["h"]
+    hidden += w["hb"]
+    np.maximum(hidden, 0, out=hidden)
+    x2 = _with_ones(len(at), kind)
+    np.add(x1, hidden @ w["u"], out=x2[:, :WIDTH])
+    dg = x2 @ w["g"]
+    dg += group_bias.take(last, axis=0)
+    dc = np.empty((len(at), MEMBERS), kind)
+    for g, begin, end in runs:
+        np.matmul(x2[begin:end], w["c"][g], out=dc[begin:end])
+    dc += class_bias.take(last * GROUPS + groups, axis=0)
+    _softmax(dg)
+    _softmax(dc)
+    loss = -float(np.log(np.maximum(dg[rows, groups] * dc[rows, members], 1e-30)).sum()) / total if with_loss else None
+    dg[rows, groups] -= 1
+    dc[rows, members] -= 1
+    grad = {"g": x2.T @ dg, "c": np.zeros_like(w["c"])}
+    d2 = np.empty((len(at), WIDTH), kind)
+    for g, begin, end in runs:
+        own = dc[begin:end]
+        np.matmul(x2[begin:end].T, own, out=grad["c"][g])
+        np.matmul(own, w["c"][g, :WIDTH].T, out=d2[begin:end])
+    d2 += dg @ w["g"][:WIDTH].T
+    grad["u"] = hidden.T @ d2
+    dh = d2 @ w["u"].T
+    dh *= hidden > 0
+    grad["h"], grad["hb"] = x1.T @ dh, ones @ dh
+    d2 += dh @ w["h"].T
+    grad["vo"] = met.T @ d2
+    dmet = d2 @ w["vo"].T
+    back = np.zeros((n * SCORED, WIDTH + 1), kind)
+    back[at, :WIDTH] = dmet
+    back[at, WIDTH] = (dmet * met) @ np.ones(WIDTH, kind)  # the mean of what each key gets
+    back = windowed(back)
+    da = np.matmul(back[:, :, :WIDTH], turned[:, :WIDTH])
+    da -= back[:, :, WIDTH:]
     da *= a
-    g["near"] = da.sum(axis=0)
-    da *= scale
-    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-    g["q"], g["k"], g["v"] = xq.T @ flat(dq), x.T @ flat(dk), x.T @ flat(dv)
-    return loss, g
+    grad["near"] = da.sum(axis=0)
+    grad["qk"] = xq.T @ np.matmul(da, x[:, :, :WIDTH]).reshape(-1, WIDTH) * scale
+    return loss, {k: g * np.float32(1 / total) for k, g in grad.items()}  # sums so far
 
 
 class Adam:
+    """All weights are views of one vector, so that a step is a few operations."""
+
     def __init__(self, weights: dict[str, np.ndarray], rate: float) -> None:
-        self.w, self.rate, self.t = {k: v.copy() for k, v in weights.items()}, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+        self.rate, self.t, self.names = rate, 0, list(weights)
+        self.all = np.concatenate([x.ravel() for x in weights.values()])
+        self.m, self.v = np.zeros_like(self.all), np.zeros_like(self.all)
+        ends = np.cumsum([x.size for x in weights.values()])
+        self.w = {k: self.all[end - x.size : end].reshape(x.shape) for (k, x), end in zip(weights.items(), ends, strict=True)}
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.w[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        x = np.concatenate([g[k].ravel() for k in self.names])
+        self.m += 0.1 * (x - self.m)
+        self.v += 0.01 * (x * x - self.v)
+        self.all -= (self.rate / (1 - 0.9**self.t)) * self.m / (np.sqrt(self.v * (1 / (1 - 0.99**self.t))) + 1e-8)
 
 
 # ---------------------------------------------------------------- what is gathered from the corpus
@@ -320,12 +416,39 @@ def _neighbour(ids: np.ndarray) -> np.ndarray:
 def _squeeze(x: np.ndarray, kind: type) -> bytes:
     """Numbers as byte planes, compressed."""
     x = np.ascontiguousarray(x, kind)
-    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+    bits = x.view(f"u{x.itemsize}")
+    return zstandard.compress(b"".join([(bits >> bits.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(x.itemsize)]), 1)
 
 
 def _restore(data: bytes, kind: type) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    out = np.empty(planes.shape[1], kind)
+    for i, plane in enumerate(planes):
+        out.view(np.uint8)[i :: out.itemsize] = plane
+    return out
+
+
+class Tally:
+    """How often each of ``size`` codes comes in a task; codes are kept until there are enough to be worth a pass over the counts."""
+
+    def __init__(self, size: int, most: int = 4_000_000) -> None:
+        self.counts, self.most, self.held, self.waiting = np.zeros(size, np.uint32), most, 0, []
+
+    def add(self, codes: np.ndarray) -> None:
+        self.waiting.append(codes.astype(np.int32))
+        self.held += len(codes)
+        if self.held >= self.most:
+            self.total()
+
+    def total(self) -> np.ndarray:
+        if self.held:
+            codes, step = np.sort(np.concatenate(self.waiting)), 1 << 20  # a slice of the counts at a time
+            edges = np.searchsorted(codes, np.arange(0, len(self.counts) + step, step))
+            for i, begin in enumerate(range(0, len(self.counts), step)):
+                at = slice(begin, min(begin + step, len(self.counts)))
+                self.counts[at] += np.bincount(codes[edges[i] : edges[i + 1]] - begin, minlength=at.stop - begin).astype(np.uint32)
+            self.held, self.waiting = 0, []
+        return self.counts
 
 
 def _row_key(doc_id: object, raw: bytes) -> int:
@@ -349,7 +472,7 @@ def _encoded(docs: DataFrame, tokenizer: object, vocabulary: int, end: int, id_t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, neighbour = Words(tokenizer.value), _neighbour(np.arange(size)).astype(np.int32)
-        after, before, texts, total = np.zeros(wide, np.int64), np.zeros(wide, np.int64), 0, 0
+        after, before, texts, total = Tally(wide), Tally(wide), 0, 0
         for doc_ids, raw in in_token_blocks(batches, BLOCK_BYTES):
             found, counts = block_words(raw)
             places = words.places(found)
@@ -373,12 +496,13 @@ def _encoded(docs: DataFrame, tokenizer: object, vocabulary: int, end: int, id_t
             previous[1:] = run[:-1]
             previous[np.cumsum(lengths) - lengths] = vocabulary  # the start
             run, previous = run[learnt].astype(np.int32), previous[learnt]
-            after += np.bincount(previous * NEIGHBOURS + neighbour[run], minlength=wide)
-            before += np.bincount(run * NEIGHBOURS + neighbour[previous], minlength=wide)
+            after.add(previous * NEIGHBOURS + neighbour[run])
+            before.add(run * NEIGHBOURS + neighbour[previous])
             texts, total = texts + int((~held).sum()), total + own
+        followed, preceded = after.total(), before.total()
         for i in range(parts):
             at = slice(i * step, (i + 1) * step)
-            yield rows(1, part=[i], after=[_squeeze(after[at], np.int64)], before=[_squeeze(before[at], np.int64)], texts=[texts * (i == 0)], words=[total * (i == 0)])
+            yield rows(1, part=[i], after=[_squeeze(followed[at], np.int64)], before=[_squeeze(preceded[at], np.int64)], texts=[texts * (i == 0)], words=[total * (i == 0)])
 
     return map_arrow(docs, work, schema)
 
@@ -420,7 +544,22 @@ def _cluster(counts: np.ndarray, before: np.ndarray, begins: np.ndarray, rounds:
         for k in range(CLASSES):
             if (mine := nearest == k).any():
                 centres[k] = np.average(x[mine], axis=0, weights=weight[mine])
-    return nearest.astype(np.int64)
+    return _in_groups(centres)[nearest]
+
+
+def _in_groups(centres: np.ndarray) -> np.ndarray:
+    """New numbers of classes: like ones share a group.  Halved along the leading direction until groups have their size."""
+    parts = [np.arange(len(centres))]
+    while len(parts) < GROUPS:
+        halves = []
+        for part in parts:
+            centred = centres[part] - centres[part].mean(axis=0)
+            order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+            halves += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+        parts = halves
+    number = np.empty(len(centres), np.int64)
+    number[np.concatenate(parts)] = np.arange(len(centres))
+    return number
 
 
 def _embeddings(after: np.ndarray) -> np.ndarray:
@@ -442,15 +581,16 @@ def _follow(blocks: DataFrame, classes: np.ndarray, vocabulary: int) -> np.ndarr
     step = -(-size // parts) * CLASSES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size * CLASSES, np.int64)
+        tally = Tally(size * CLASSES)
         for batch in batches:
             for block in batch.to_pylist():
-                run, lengths, keep = _restore(block["run"], np.uint16).astype(np.int64), _restore(block["lengths"], np.uint32), _restore(block["held"], np.uint8) == 0
+                run, lengths, keep = _restore(block["run"], np.uint16).astype(np.int32), _restore(block["lengths"], np.uint32), _restore(block["held"], np.uint8) == 0
                 previous = np.empty_like(run)
                 previous[1:] = run[:-1]
                 previous[np.cumsum(lengths) - lengths] = vocabulary
                 learnt = np.repeat(keep, lengths)
-                counts += np.bincount(previous[learnt] * CLASSES + shared.value[run[learnt]], minlength=len(counts))
+                tally.add(previous[learnt] * CLASSES + shared.value[run[learnt]].astype(np.int32))
+        counts = tally.total()
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([_squeeze(counts[i * step : (i + 1) * step], np.int64) for i in range(parts)], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,16 +621,16 @@ def _train(blocks: DataFrame, packed: object, weights: dict[str, np.ndarray], tu
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = unpack(packed.value, weights)
-        follow = m.follow
-        adam, seen = Adam(weights, 0.01 if turn == 0 else 0.004), 0
+        masked, group_bias, class_bias = with_mask(m.embed, m.pad), m.groups, m.follow.reshape(-1, MEMBERS)
+        adam, seen, class_of = Adam(weights, 0.01 if turn == 0 else 0.004), 0, np.append(m.classes, -1)
         for batch in batches:
             for block in batch.to_pylist():
                 run, lengths, keep = _restore(block["run"], np.uint16), _restore(block["lengths"], np.uint32).astype(np.int64), _restore(block["held"], np.uint8) == 0
                 run, lengths = run[np.repeat(keep, lengths)], lengths[keep]
                 number = np.arange(int((-(-lengths // SCORED)).sum()))
                 chosen = np.random.default_rng(len(number)).permutation(number[in_round(number, turn)])
-                for keys, targets, _ in windows(run, lengths, m.start, m.pad, 128, chosen):
-                    _, g = gradients(adam.w, m.embed, follow, m.pad, keys, np.where(targets >= 0, m.classes[targets], -1))
+                for keys, targets, _ in windows(run, lengths, m.start, m.pad, AT_ONCE, chosen):
+                    _, g = gradients(adam.w, masked, group_bias, class_bias, keys, class_of.take(targets))
                     adam.step(g)
                     seen += int((targets >= 0).sum())
         if seen:
