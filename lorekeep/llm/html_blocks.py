@@ -2,7 +2,7 @@
 
 A page is read once into a flat list of blocks.  Each block has its number of words and its link
 density, those of its two neighbours, and where it stands (inside navigation-like elements, inside
-the article, a heading).  A decision tree, trained on the small labelled table below, says which
+the article, a heading, in an element whose own name says it is beside the text).  A decision tree, trained on the small labelled table below, says which
 blocks are article text.
 """
 
@@ -22,11 +22,15 @@ from lorekeep.llm.common import map_arrow, type_of
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style noscript template svg iframe object select textarea button head title math canvas audio video".split())
 #: Of these, the ones whose content is no markup, and where it ends: at their own closing tag (a title at the body, too).
-RAW = {name: re.compile(rf"</{name}(?=[\s/>]){'|<body(?=[\s/>])' * (name == 'title')}", re.I) for name in ("script", "style", "textarea", "title")}
+RAW = {name: re.compile(f"</{name}(?=[ \t\r\n\f/>])" + ("|<body(?=[ \t\r\n\f/>])" if name == "title" else ""), re.I) for name in ("script", "style", "textarea", "title")}
 #: Elements that part blocks.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Of these, the ones that end an open one of their own kind.
+ENDS_ITSELF = frozenset("li td th tr dd dt".split())
+#: Elements that are a block themselves: their class or id says something of them, not of what is around.
+OWN_BLOCKS = frozenset("p blockquote pre li dd dt h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, roles and words of class and id names that stand for anything but the article.
@@ -54,6 +58,7 @@ class Block:
     aside: bool
     main: bool
     heading: bool
+    own: bool
 
 
 def _standing(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool]:
@@ -81,8 +86,8 @@ def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # element, stands aside, change of those aside by name, holds the article
-    aside = named = main = links = 0
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # element, stands aside, change of those aside by name, holds the article, named itself
+    aside = named = main = links = own = 0
     heading, skipping, at = False, "", 0
 
     def close() -> None:
@@ -92,16 +97,17 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 in_links = len(html.unescape("".join(linked)).split())
-                blocks.append(Block(text, words, min(1.0, in_links / words), aside + named > 0, main > 0, heading))
+                blocks.append(Block(text, words, min(1.0, in_links / words), aside + named > 0, main > 0, heading, own > 0))
             parts, linked = [], []
 
     def pop(count: int) -> None:
-        nonlocal aside, named, main
+        nonlocal aside, named, main, own
         for _ in range(count):
-            _, was_aside, was_named, was_main = stack.pop()
+            _, was_aside, was_named, was_main, was_own = stack.pop()
             aside -= was_aside
             named -= was_named
             main -= was_main
+            own -= was_own
 
     position = 0
     while token := TOKEN.search(page, position):
@@ -148,46 +154,53 @@ def blocks_of(page: str) -> list[Block]:
                 if (depth := next((i for i, x in enumerate(reversed(stack)) if x[0] == name), None)) is not None:
                     pop(depth + 1)
             else:
-                if name == "p" or name in ("li", "td", "th", "tr", "dd", "dt"):  # what these leave open ends here
-                    if stack and stack[-1][0] == name:
-                        pop(1)
-                    elif stack and stack[-1][0] == "p":
-                        pop(1)
+                if stack and stack[-1][0] == "p":  # a paragraph holds no block: one that is left open ends here
+                    pop(1)
+                if name in ENDS_ITSELF and stack and stack[-1][0] == name:
+                    pop(1)
                 is_aside, is_named, is_main, whole = _standing(name, attributes, main > 0)
-                by_name = -named if whole else int(is_named)  # the page's main element isn't what a wrapper's name says
-                stack.append((name, is_aside, by_name, is_main))
+                is_own = is_named and name in OWN_BLOCKS
+                by_name = -named if whole else int(is_named and not is_own)  # the page's main element isn't what a wrapper's name says
+                stack.append((name, is_aside, by_name, is_main, is_own))
                 aside += is_aside
                 named += by_name
                 main += is_main
+                own += is_own
     if not skipping and at < len(page):
         parts.append(page[at:])
     close()
     return blocks
 
 
-#: Labelled situations: stands aside, in the article, heading; (words, link density) of blocks; of the neighbours they
-#: were seen between; article text or not.
+#: Labelled situations: stands aside, in the article, heading, named itself; (words, link density) of blocks; of the
+#: neighbours they were seen between; article text or not.
 SITUATIONS = [
     # menus, breadcrumbs, adverts, notices, side columns, site headers and footers, forms, comments of readers
-    (1, 0, 0, [(1, 1.0), (4, 0.0), (12, 0.1), (80, 0.0), (30, 0.4)], [((0, 0.0), (1, 1.0)), ((60, 0.0), (9, 0.0)), ((1, 1.0), (40, 0.0)), ((6, 0.0), (0, 0.0))], 0),
-    (1, 1, 0, [(2, 1.0), (5, 0.0), (18, 0.2), (120, 0.0)], [((90, 0.0), (15, 0.0)), ((30, 0.0), (2, 1.0)), ((4, 0.0), (0, 0.0))], 0),
-    (1, 0, 1, [(2, 0.0), (6, 0.5)], [((0, 0.0), (2, 1.0)), ((70, 0.0), (25, 0.0))], 0),
-    (1, 1, 1, [(2, 0.0), (9, 0.0)], [((70, 0.0), (8, 1.0)), ((3, 0.0), (60, 0.0))], 0),
+    (1, 0, 0, 0, [(1, 1.0), (4, 0.0), (12, 0.1), (80, 0.0), (30, 0.4)], [((0, 0.0), (1, 1.0)), ((60, 0.0), (9, 0.0)), ((1, 1.0), (40, 0.0)), ((6, 0.0), (0, 0.0))], 0),
+    (1, 1, 0, 0, [(2, 1.0), (5, 0.0), (18, 0.2), (120, 0.0)], [((90, 0.0), (15, 0.0)), ((30, 0.0), (2, 1.0)), ((4, 0.0), (0, 0.0))], 0),
+    (1, 0, 1, 0, [(2, 0.0), (6, 0.5)], [((0, 0.0), (2, 1.0)), ((70, 0.0), (25, 0.0))], 0),
+    (1, 1, 1, 0, [(2, 0.0), (9, 0.0)], [((70, 0.0), (8, 1.0)), ((3, 0.0), (60, 0.0))], 0),
+    (1, 1, 0, 1, [(3, 0.0), (40, 0.0)], [((70, 0.0), (8, 1.0)), ((3, 0.0), (60, 0.0))], 0),
+    # bylines, share lines, tags and the like inside an article; the same names on paragraphs that say something
+    (0, 1, 0, 1, [(1, 0.0), (3, 0.5), (6, 0.0), (9, 0.2), (20, 0.8)], [((9, 0.0), (60, 0.0)), ((60, 0.0), (70, 0.0)), ((40, 0.0), (0, 0.0)), ((1, 1.0), (1, 1.0))], 0),
+    (0, 1, 1, 1, [(2, 0.0), (6, 0.0)], [((60, 0.0), (9, 1.0)), ((9, 0.0), (60, 0.0))], 0),
+    (0, 1, 0, 1, [(16, 0.0), (30, 0.1), (120, 0.0)], [((9, 0.0), (60, 0.0)), ((60, 0.0), (70, 0.0)), ((40, 0.0), (0, 0.0)), ((12, 0.0), (14, 0.0))], 1),
+    (0, 0, 0, 1, [(3, 0.0), (12, 0.1), (25, 0.0), (70, 0.0)], [((60, 0.0), (70, 0.0)), ((1, 1.0), (40, 0.0)), ((5, 0.0), (0, 0.0))], 0),
     # lists of links that no name gives away, inside an article and elsewhere
-    (0, 1, 0, [(1, 1.0), (6, 0.9), (9, 0.7), (25, 0.8)], [((60, 0.0), (9, 1.0)), ((5, 1.0), (7, 0.8)), ((3, 0.0), (0, 0.0)), ((20, 0.0), (50, 0.0))], 0),
-    (0, 0, 0, [(1, 1.0), (3, 1.0), (14, 0.9), (25, 0.7)], [((2, 1.0), (3, 1.0)), ((60, 0.0), (40, 0.1)), ((0, 0.0), (12, 0.0))], 0),
+    (0, 1, 0, 0, [(1, 1.0), (6, 0.9), (9, 0.7), (25, 0.8)], [((60, 0.0), (9, 1.0)), ((5, 1.0), (7, 0.8)), ((3, 0.0), (0, 0.0)), ((20, 0.0), (50, 0.0))], 0),
+    (0, 0, 0, 0, [(1, 1.0), (3, 1.0), (14, 0.9), (25, 0.7)], [((2, 1.0), (3, 1.0)), ((60, 0.0), (40, 0.1)), ((0, 0.0), (12, 0.0))], 0),
     # scraps that stand nowhere in particular
-    (0, 0, 0, [(1, 0.0), (3, 0.0), (6, 0.2), (8, 0.0)], [((1, 1.0), (1, 1.0)), ((0, 0.0), (2, 1.0)), ((4, 0.0), (0, 0.0)), ((3, 0.0), (3, 0.0)), ((60, 0.0), (2, 1.0)), ((0, 0.0), (40, 0.0))], 0),
+    (0, 0, 0, 0, [(1, 0.0), (3, 0.0), (6, 0.2), (8, 0.0)], [((1, 1.0), (1, 1.0)), ((0, 0.0), (2, 1.0)), ((4, 0.0), (0, 0.0)), ((3, 0.0), (3, 0.0)), ((60, 0.0), (2, 1.0)), ((0, 0.0), (40, 0.0))], 0),
     # headlines and paragraphs of an article that is marked as such, short ones too
-    (0, 1, 0, [(1, 0.0), (4, 0.0), (12, 0.25), (30, 0.45), (90, 0.0), (400, 0.02)], [((1, 1.0), (60, 0.0)), ((8, 0.0), (0, 0.0)), ((40, 0.0), (50, 0.0)), ((1, 0.0), (2, 0.0)), ((30, 0.3), (9, 1.0)), ((120, 0.0), (7, 0.0))], 1),
-    (0, 1, 1, [(2, 0.0), (9, 0.0), (15, 0.3)], [((7, 0.0), (60, 0.0)), ((3, 1.0), (1, 0.0)), ((50, 0.0), (2, 1.0)), ((12, 0.0), (12, 0.0))], 1),
+    (0, 1, 0, 0, [(1, 0.0), (4, 0.0), (12, 0.25), (30, 0.45), (90, 0.0), (400, 0.02)], [((1, 1.0), (60, 0.0)), ((8, 0.0), (0, 0.0)), ((40, 0.0), (50, 0.0)), ((1, 0.0), (2, 0.0)), ((30, 0.3), (9, 1.0)), ((120, 0.0), (7, 0.0))], 1),
+    (0, 1, 1, 0, [(2, 0.0), (9, 0.0), (15, 0.3)], [((7, 0.0), (60, 0.0)), ((3, 1.0), (1, 0.0)), ((50, 0.0), (2, 1.0)), ((12, 0.0), (12, 0.0))], 1),
     # running text on pages that mark nothing, with the short paragraphs and headlines among it
-    (0, 0, 0, [(14, 0.0), (22, 0.2), (60, 0.05), (150, 0.4)], [((1, 1.0), (80, 0.0)), ((60, 0.0), (75, 0.1)), ((40, 0.0), (3, 1.0)), ((2, 1.0), (2, 1.0)), ((0, 0.0), (4, 0.0)), ((5, 0.0), (0, 0.0))], 1),
-    (0, 0, 0, [(1, 0.0), (3, 0.1), (8, 0.0)], [((60, 0.0), (70, 0.0)), ((45, 0.1), (30, 0.0)), ((25, 0.0), (40, 0.2))], 1),
-    (0, 0, 1, [(3, 0.0), (8, 0.0)], [((2, 1.0), (60, 0.0)), ((45, 0.0), (50, 0.0)), ((0, 0.0), (30, 0.0))], 1),
+    (0, 0, 0, 0, [(14, 0.0), (22, 0.2), (60, 0.05), (150, 0.4)], [((1, 1.0), (80, 0.0)), ((60, 0.0), (75, 0.1)), ((40, 0.0), (3, 1.0)), ((2, 1.0), (2, 1.0)), ((0, 0.0), (4, 0.0)), ((5, 0.0), (0, 0.0))], 1),
+    (0, 0, 0, 0, [(1, 0.0), (3, 0.1), (8, 0.0)], [((60, 0.0), (70, 0.0)), ((45, 0.1), (30, 0.0)), ((25, 0.0), (40, 0.2))], 1),
+    (0, 0, 1, 0, [(3, 0.0), (8, 0.0)], [((2, 1.0), (60, 0.0)), ((45, 0.0), (50, 0.0)), ((0, 0.0), (30, 0.0))], 1),
 ]
-#: One row a block: aside, main, link density, words, words and link density before, the same after, heading; label.
-LABELLED = [(aside, main, density, words, *before, *after, heading, label) for aside, main, heading, blocks, around, label in SITUATIONS for words, density in blocks for before, after in around]
+#: One row a block: aside, main, link density, words, words and link density before, the same after, heading, own; label.
+LABELLED = [(aside, main, density, words, *before, *after, heading, own, label) for aside, main, heading, own, blocks, around, label in SITUATIONS for words, density in blocks for before, after in around]
 
 
 class Tree:
@@ -236,7 +249,7 @@ def train_tree(table: list[tuple] = LABELLED) -> Tree:
 def features(blocks: list[Block]) -> list[tuple]:
     """A row for each block, in the order of the labelled table."""
     around = [(0, 0.0), *((b.words, b.link_density) for b in blocks), (0, 0.0)]
-    return [(int(b.aside), int(b.main), b.link_density, b.words, *around[i], *around[i + 2], int(b.heading)) for i, b in enumerate(blocks)]
+    return [(int(b.aside), int(b.main), b.link_density, b.words, *around[i], *around[i + 2], int(b.heading), int(b.own)) for i, b in enumerate(blocks)]
 
 
 def main_text(page: str, tree: Tree) -> str:
