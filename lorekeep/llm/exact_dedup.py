@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACE_CLASS, cut, type_of
+from lorekeep.llm.common import SPACE_CLASS, cut, release, type_of
 
 
 def normalised(text: Column) -> Column:
@@ -50,7 +50,8 @@ class DigestIndex:
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds ``docs`` and says for each row which row of its text stays.
 
-        Returns ``id_col, keep_id, group_size, kept, text_sha256``, one row per input row.  Within
+        Returns ``id_col, keep_id, group_size, kept, text_sha256``, one row per input row.  Ids may be of
+        any type that has an order.  Within
         a batch the row with the most code points of original text stays, then the smallest id
         (nulls last), then one of the identical rows.  A text that the index already holds keeps
         its earlier row and size: all new copies are dropped.  Null text is the empty text; other
@@ -64,8 +65,8 @@ class DigestIndex:
                 F.char_length(F.coalesce(text, F.lit(""))).alias("points"),
             ).withColumn("row", F.monotonically_increasing_id())
         )
-        order = F.struct("points", F.col("id").isNotNull(), (-F.col("id")), (-F.col("row")).alias("last"))
-        batch = cut(digests.groupBy("digest").agg(F.max_by(F.struct("id", "row"), order).alias("best"), F.count("*").alias("n")))
+        order = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("without"), "id", "row")
+        batch = cut(digests.groupBy("digest").agg(F.min_by(F.struct("id", "row"), order).alias("best"), F.count("*").alias("n")))
         seen = self.rows().select("digest")
         fresh = batch.join(seen.hint("merge"), "digest", "left_anti").select("digest", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
         fresh = cut(fresh)
@@ -87,6 +88,8 @@ class DigestIndex:
 def dedupe_once(docs: DataFrame, name: str, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ingests ``docs`` into a fresh index called ``name``, which goes once the result is written."""
     index = DigestIndex(docs.sparkSession, name, buckets, type_of(docs, id_col)).create()
-    result = cut(index.ingest(docs, id_col, text_col))
-    index.drop()
-    return result
+    try:
+        return cut(index.ingest(docs, id_col, text_col))
+    finally:
+        index.drop()
+        release(docs.sparkSession)
