@@ -1,18 +1,20 @@
 """Line dedup with keep bitmaps, in DataFrame operations only.
 
-Line digests are range-partitioned with a secondary sort by document and position, so that even a
-line that every document holds is dealt over many partitions.  Each (digest, document) becomes one
-row with its positions; per digest only a count and the first document in that order (the largest
-id) are gathered, with partial aggregation.  What goes back to the documents is a run-length
-compressed bitmap of the lines to keep, never their text.
+Line digests are range-partitioned by digest and document with a secondary sort by position, so that
+even a line that every document holds is dealt over many partitions.  A window over that order, which
+needs no other, streams through it and flags the first occurrence in each document; per digest only
+the number of those and the largest id are gathered, partition by partition.  What goes back to the
+documents is a run-length compressed bitmap of the lines to keep, never their text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACE_CHARS, ascii_lower, cut
+from lorekeep.lineage import pinned
+from lorekeep.llm.common import SPACE_CHARS, ascii_lower, kept_until_done
 
 
 def lines_of(text: Column) -> Column:
@@ -31,23 +33,21 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int
     every other.
     """
     lines = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    # Lower-casing A-Z keeps the length, so short lines go before any of that work.
-    keyed = cut(  # else the sampling for the ranges reads all texts once more
-        lines.withColumn("key", F.btrim("line", F.lit(SPACE_CHARS)))
-        .where(F.char_length("key") >= least_chars)
-        .select(F.unhex(F.md5(ascii_lower(F.col("key")))).alias("digest"), "id", "text_key", "pos")
-    )
-    largest_first = F.col("id").desc()
-    ranged = keyed.repartitionByRange("digest", largest_first).sortWithinPartitions("digest", largest_first, "pos")
-    held = cut(ranged.groupBy("digest", "id", "text_key").agg(F.collect_set("pos").alias("positions")))
-    repeated = cut(  # written, so that the join below shuffles both sides and splits a line that most documents hold
-        held.groupBy("digest")
-        .agg(F.count_distinct("id").alias("ids"), F.max(F.col("id").isNull().cast("int")).alias("without"), F.max("id").alias("first_id"))
-        .where(F.col("ids") + F.col("without") >= least_docs)
-        .select("digest", "first_id")
-    )
-    losing = held.join(repeated, "digest").where(~F.col("id").eqNullSafe(F.col("first_id")))
-    return losing.groupBy("id", "text_key").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("gone"))
+    with kept_until_done(docs.sparkSession) as keep:
+        # Lower-casing A-Z keeps the length, so short lines go before any of that work.
+        keyed = keep(  # else the sampling for the ranges reads all texts once more
+            lines.withColumn("key", F.btrim("line", F.lit(SPACE_CHARS)))
+            .where(F.char_length("key") >= least_chars)
+            .select(F.unhex(F.md5(ascii_lower(F.col("key")))).alias("digest"), "id", "text_key", "pos")
+        )
+        ranged = keyed.repartitionByRange("digest", "id").sortWithinPartitions("digest", "id", "pos")
+        first = F.row_number().over(W.partitionBy("digest", "id").orderBy("pos")) == 1
+        occurrences = ranged.withColumn("first", first).where("first")
+        repeated = keep(  # written, so that the join below shuffles both sides and splits a line that most documents hold
+            occurrences.groupBy("digest").agg(F.count("*").alias("documents"), F.max("id").alias("largest")).where(F.col("documents") >= least_docs).select("digest", "largest")
+        )
+        losing = keyed.join(repeated, "digest").where(~F.col("id").eqNullSafe(F.col("largest")))
+        return pinned(losing.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("gone")))
 
 
 def kept_runs(gone: Column, n_lines: Column) -> Column:
@@ -66,8 +66,11 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     A line's key is the line without outer white space and with A-Z lower-cased.  Keys of at least
     ``least_chars`` code points that ``least_docs`` different ids hold lose their lines everywhere
     but in the largest id.  Repeats inside one document stay together.  Null or empty text is one
-    empty line, which is too short to go.  All columns of ``docs`` stay, and so does every row.
+    empty line, which is too short to go.  All columns of ``docs`` stay, but for those with the names
+    of new ones, and so does every row.
     """
+    new = {f"{prefix}{x}" for x in ("total", "dropped", "keep_runs")}
+    docs = docs.select(*[c for c in docs.columns if c not in new])
     gone = dropped_lines(docs, id_col, text_col, least_chars, least_docs)
     names = {c: f"__gone_{c}" for c in gone.columns}
     gone = gone.withColumnsRenamed(names)
