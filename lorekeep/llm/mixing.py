@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import WORD_PATTERN, cut
 
-#: Sources whose targets are sent to every task; each takes some tens of bytes.
-MOST_BROADCAST = 50_000
+#: Bytes of sources and targets sent to every task.
+MOST_BROADCAST = 8 << 20
 
 
 def token_count(text: Column) -> Column:
@@ -57,11 +57,13 @@ def mix(
 
     Every row stays, with the number of copies that the mix takes of it (0 to ``most_repeats``).
     Null texts have size 0; null is a source of its own; a mix without any words takes no copies.
-    Repeated rows draw alike.  An empty table gives an empty result.
+    Repeated rows draw alike.  Columns of ``docs`` with the names of new ones go.  An empty table gives
+    an empty result.
     """
-    sized = docs.withColumn(f"{prefix}size", token_count(F.col(text_col)))
+    new = {f"{prefix}{x}" for x in ("size", "source_size", "target", "copies")}
+    sized = docs.select(*[c for c in docs.columns if c not in new]).withColumn(f"{prefix}size", token_count(F.col(text_col)))
     targets = cut(source_targets(sized.select(F.col(source_col).alias("source"), F.col(f"{prefix}size").alias("size")), weights, most_repeats))
-    if targets.count() <= MOST_BROADCAST:  # else a shuffled join, whose hot sources adaptive execution splits
+    if (targets.agg(F.sum(F.lit(40) + F.coalesce(F.octet_length("source"), F.lit(0)))).first()[0] or 0) <= MOST_BROADCAST:  # else a shuffled join, whose hot sources adaptive execution splits
         targets = F.broadcast(targets)
     targets = targets.withColumnsRenamed({c: f"__targets_{c}" for c in targets.columns})
     joined = sized.join(targets, sized[source_col].eqNullSafe(targets["__targets_source"]))
