@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorekeep.lineage import cut, staged  # noqa: F401  for the operators here
+from lorekeep.lineage import cut, kept_until_done, release, staged  # noqa: F401  for the operators here
 from lorekeep.workers import ship
 
 #: The white space of every contract: space and U+0009 to U+000D, and nothing else.
@@ -30,10 +32,35 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+#: Rows and bytes of an Arrow batch on its way to a Python worker.  The defaults (10,000 rows, 64 MB) make
+#: every task hold some hundred MB of whole texts outside the heap.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless the session says something else."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the system: idle workers stay alive."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow``, with this package on the workers."""
+    """``mapInArrow``, with this package on the workers, in small batches."""
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    small_batches(df.sparkSession)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        trim()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def type_of(df: DataFrame, column: str) -> str:

@@ -24,9 +24,13 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 
 
 class ChunkTable:
-    """Ids and decoded text of chunks, segmented by the library at most once while they are kept."""
+    """Ids and decoded text of chunks.
 
-    def __init__(self, model_path: str | bytes, most: int) -> None:
+    What is kept takes ``most_bytes`` at most, in two generations: a full young one becomes the old one,
+    whose chunks move back as they are met again, so that frequent chunks are segmented once a task.
+    """
+
+    def __init__(self, model_path: str | bytes, most_bytes: int = 16 << 20) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model_path) if isinstance(model_path, bytes) else sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -37,17 +41,29 @@ class ChunkTable:
         self.head = library.encode("\n")
         if len(self.head) != 2 or library.normalize("a  b ") != f"{MARK}a{MARK}{MARK}b{MARK}":
             raise ValueError("this model normalises white space; chunks can't be segmented alone")
-        self.end, self.most = library.eos_id(), most
-        self.known: dict[str, tuple[str, str, int]] = {}
+        self.end, self.most = library.eos_id(), most_bytes
+        self.young: dict[str, tuple[str, str, int]] = {}
+        self.old: dict[str, tuple[str, str, int]] = {}
+        self.held = 0
 
     def learn(self, chunks: list[list[str]]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({c for x in chunks for c in x if c not in self.known})
+        """Afterwards all of ``chunks`` are young."""
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+        new = []
+        for chunk in {c for x in chunks for c in x}.difference(self.young):
+            if (known := self.old.get(chunk)) is None:
+                new.append(chunk)
+            else:
+                self._keep(chunk, known)
         # Behind a line feed no mark is added, and nothing merges with it.
         for chunk, ids in zip(new, self.library.encode(["\n" + c for c in new], num_threads=1), strict=True):
             ids = ids[2:]
-            self.known[chunk] = (" ".join(map(str, ids)), self.library.decode([*self.head, *ids])[1:], len(ids))
+            self._keep(chunk, (" ".join(map(str, ids)), self.library.decode([*self.head, *ids])[1:], len(ids)))
+
+    def _keep(self, chunk: str, found: tuple[str, str, int]) -> None:
+        self.young[chunk] = found
+        self.held += 330 + len(chunk) + len(found[0]) + len(found[1])  # objects of an entry, and its characters
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """For each text: its decimal ids joined by a space (the end id last), decoded text, number of ids."""
@@ -55,18 +71,18 @@ class ChunkTable:
         self.learn(chunked)
         out = []
         for chunks in chunked:
-            found = [self.known[c] for c in chunks]
+            found = [self.young[c] for c in chunks]
             ids = " ".join([x[0] for x in found] + [str(self.end)])
             out.append((ids, "".join([x[1] for x in found])[1:], sum([x[2] for x in found]) + 1))
         return out
 
 
-def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, kept_chunks: int = 300_000, block_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, kept_bytes: int = 16 << 20, block_bytes: int = 1 << 20) -> DataFrame:
     """``id_col, n_tokens, ids, decoded`` for every row; with ``digests`` SHA-256 of both instead.
 
     ``ids`` are those of the library with an end id and no sampling.  Null and empty texts have
     the end id alone and decode to the empty text.  Ids may be null or repeated; other columns are
-    not read.  The chunk table of a task holds ``kept_chunks`` and those of one block at most.
+    not read.  The chunk table of a task takes twice ``kept_bytes`` and what one block needs at most.
     """
     kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     schema = f"{id_col} {type_of(docs, id_col)}, n_tokens bigint, {kind}"
@@ -77,7 +93,7 @@ def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a model file: its size doesn't depend on the data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(shared.value, kept_chunks)
+        table = ChunkTable(shared.value, kept_bytes)
         for batch in in_blocks(batches, text_col, block_bytes):
             found = table.encode([x or "" for x in batch.column(1).to_pylist()])
             if digests:
