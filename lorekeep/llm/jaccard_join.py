@@ -11,9 +11,13 @@ counts its own, and what is in one text alone (most are) goes no further.  A blo
 its shared shingles with their counts, which is all that its prefixes need.
 
 Lists can be long (a large group of near copies shares its shingles), and all pairs of a list are
-never made.  Each list first links its members to a hub; lists whose members are then in one
-component are done, since no link between them can change a component.  Only members of different
-components are compared further.
+never made.  A list's members are first compared with a hub; then, as long as that closes lists, what
+is still apart from a list's largest component is compared with a few members of it, others in each
+list and round.  Lists whose members are all in one component are done, since no link between them
+can change a component.  What is left at last is compared pair by pair.
+
+Comparisons go by cells of a grid over (hash of one class, hash of the other): a class's set is sent
+once to each cell that needs it, not once a pair.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lorekeep.llm.common import cut, map_arrow, raw_texts, staged, type_of
+from lorekeep.llm.common import cut, kept_until_done, map_arrow, raw_texts, release, small_batches, trim, type_of
 from lorekeep.llm.graph import components
 
 WORDS = 5
@@ -37,8 +41,10 @@ WORDS = 5
 LIST_BITS = 48
 #: Bits of a class's bitmap.
 BITS = 1024
-#: Ids sent to every task (some tens of bytes each), instead of shuffling the texts to join with them.
-MOST_BROADCAST = 1_000_000
+#: Bytes of ids sent to every task, instead of shuffling the texts to join with them.
+MOST_BROADCAST = 32 << 20
+#: Bytes of input that a bin of counted shingles stands for, and of sets on each side of a cell of comparisons.
+BIN_BYTES, CELL_BYTES = 32 << 20, 4 << 20
 #: Shingles gathered before a task deals them out.
 DEALT_AT_ONCE = 1_000_000
 #: Of a shingle that so many texts of one deal share, the bin gets the number alone.
@@ -74,9 +80,10 @@ def shingle_set(raw: bytes, hashes: _Hashes, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """One number for equal sets."""
-    return int((_mixed(shingles * np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64) ^ np.uint64(len(shingles) * 0x9E3779B1)).view(np.int64))
+def class_of(shingles: np.ndarray) -> bytes:
+    """Equal for equal sets: 128 bits, so that different sets do not meet by chance however many there are."""
+    sums = [_mixed(shingles * by).sum(dtype=np.uint64) for by in _MULTIPLIERS[:2]]
+    return np.array(sums, np.uint64).tobytes()
 
 
 def bitmap_of(shingles: np.ndarray) -> bytes:
@@ -108,26 +115,35 @@ def _sorted_unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
 
+def _bins(docs: DataFrame) -> int:
+    """As many as shuffles have partitions, and more for a large input, so that a bin stays small."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BIN_BYTES, 1_000_000) if size < 1 << 60 else 0)
+
+
 def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent: int, bins: int, most_rows: int, at_once: int) -> DataFrame:
-    """Rows of (id, n, class, bits) for each document, and rows of (list, class, n, pos, before) for the
+    """Rows of (id, key, n, class, bits) for each document, and rows of (list, class, n, pos, before) for the
     prefix shingles that another text shares; ``before`` is how many shared ones come earlier."""
     id_type, id_kind = type_of(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
-    dealt = f"bin int, block bigint, shingles binary, counts binary, places binary, ids array<{id_type}>, classes binary, sizes binary, bits binary"
-    names = ["bin", "block", "shingles", "counts", "places", "ids", "classes", "sizes", "bits"]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), pa.binary(), pa.binary(), pa.binary()]
-    table: Callable[[list], pa.RecordBatch] = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    dealt = f"bin int, block bigint, shingles binary, counts binary, places binary, ids array<{id_type}>, keys binary, classes binary, sizes binary, bits binary"
+    kinds = dict(zip([x.split()[0] for x in dealt.split(", ")], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), *[pa.binary()] * 4], strict=True))
+
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], names=list(kinds))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part, deals = _Hashes(), TaskContext.get().partitionId(), 0
         ids: list = []
+        keys: list[int] = []
         sets: list[np.ndarray] = []
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             """A run for each bin; the texts' own row, and what its bins were not sent, go around them."""
             block, around = part << 32 | deals, -1 - (part + deals) % bins
-            classes = [class_of(s) if len(s) else 0 for s in sets]
-            yield table([(around, block, None, None, None, ids, np.array(classes, np.int64).tobytes(), _packed(np.array([len(s) for s in sets], np.uint32)), b"".join(bitmap_of(s) for s in sets))])
+            classes = [class_of(s) for s in sets]
+            yield table([{"bin": around, "block": block, "ids": ids, "keys": np.array(keys, np.uint64).tobytes(), "classes": b"".join(classes), "sizes": _packed(np.array([len(s) for s in sets], np.uint32)), "bits": b"".join(bitmap_of(s) for s in sets)}])
             first = {c: i for i, c in reversed(list(enumerate(classes))) if len(sets[i])}  # equal texts of a deal go once
             chosen = sorted(first.values())
             if not chosen:
@@ -145,26 +161,26 @@ def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent:
             sent[starts] = True
             counts[starts[lengths > most_rows]] = lengths[lengths > most_rows]
             if hot.any():
-                yield table([(around, block, _sorted_packed(shingles[hot]), None, _packed(place[hot]), None, None, None, None)])
+                yield table([{"bin": around, "block": block, "shingles": _sorted_packed(shingles[hot]), "places": _packed(place[hot])}])
             shingles, place, counts = shingles[sent], place[sent], counts[sent]
             bin_ = (shingles % np.uint64(bins)).astype(np.int64)
             order = np.argsort(bin_, kind="stable")
             edges = np.searchsorted(bin_[order], np.arange(bins + 1))
             rows = []
-            for b in range(bins):
+            for b in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[b] : edges[b + 1]]
-                if len(own):
-                    rows.append((b, block, _sorted_packed(shingles[own]), _packed(counts[own]), _packed(place[own]), None, None, None, None))
+                rows.append({"bin": b, "block": block, "shingles": _sorted_packed(shingles[own]), "counts": _packed(counts[own]), "places": _packed(place[own])})
             yield table(rows)
 
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
                 ids.append(i)
+                keys.append(xxhash.xxh64_intdigest(raw, seed=42))
                 sets.append(shingle_set(raw, hashes))
                 held += len(sets[-1]) + 20
                 if held >= at_once:
                     yield from out()
-                    ids, sets, held, deals = [], [], 0, deals + 1
+                    ids, keys, sets, held, deals = [], [], [], 0, deals + 1
         if ids:
             yield from out()
 
@@ -187,13 +203,15 @@ def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent:
             at += n
             many = total > 1
             if many.any():
-                out.append((0, row["block"], _sorted_packed(run[many]), _packed(np.minimum(total[many], 2**32 - 1).astype(np.uint32)), _packed(_unpacked(row["places"], np.uint32)[many]), None, None, None, None))
+                out.append({"bin": 0, "block": row["block"], "shingles": _sorted_packed(run[many]), "counts": _packed(np.minimum(total[many], 2**32 - 1).astype(np.uint32)), "places": _packed(_unpacked(row["places"], np.uint32)[many])})
+        trim()
         return pa.Table.from_batches([table(out)]) if out else group.slice(0, 0)
 
     def prefixes(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         own = next(r for r in rows if r["classes"] is not None)
-        ids, classes, n = own["ids"], np.frombuffer(own["classes"], np.int64), _unpacked(own["sizes"], np.uint32).astype(np.int64)
+        ids, n = own["ids"], _unpacked(own["sizes"], np.uint32).astype(np.int64)
+        classes = pa.array([own["classes"][i : i + 16] for i in range(0, len(own["classes"]), 16)], pa.binary())
         bits = np.frombuffer(own["bits"], np.int64).reshape(-1, BITS // 64).tolist()
         counted = [r for r in rows if r["counts"] is not None]
         empty = np.zeros(0, np.uint64)
@@ -217,38 +235,41 @@ def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent:
         wanted = pos < (n - -(-percent * n // 100) + 1)[places]
         shingles, places, pos, before = shingles[wanted], places[wanted], pos[wanted], before[wanted]
         there, k = n > 0, len(pos)
-        column = lambda values, kind: pa.concat_arrays([values, pa.nulls(k, kind)])
-        words = pa.list_(pa.int64())
+        column = lambda values: pa.concat_arrays([values, pa.nulls(k, values.type)])
+        posted = lambda values: pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(values.astype(np.int64))])
+        trim()
         return pa.table(
             {
-                "id": column(pa.array(ids, id_kind), id_kind),
+                "id": column(pa.array(ids, id_kind)),
+                "key": column(pa.array(np.frombuffer(own["keys"], np.int64))),
                 "n": pa.array(np.concatenate([n, n[places]])),
-                "class": pa.concat_arrays([pa.array(classes, pa.int64(), mask=~there), pa.array(classes[places])]),
-                "bits": column(pa.array([b if t else None for b, t in zip(bits, there, strict=True)], words), words),
-                "list": pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(shingles.astype(np.int64))]),
-                "pos": pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(pos)]),
-                "before": pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(before)]),
+                "class": pa.concat_arrays([pa.compute.if_else(pa.array(there), classes, pa.scalar(None, pa.binary())), classes.take(pa.array(places))]),
+                "bits": column(pa.array([b if t else None for b, t in zip(bits, there, strict=True)], pa.list_(pa.int64()))),
+                "list": posted(shingles),
+                "pos": posted(pos),
+                "before": posted(before),
             }
         )
 
     counted = map_arrow(docs.select(id_col, text_col), deal, dealt).groupBy("bin").applyInArrow(count, dealt)
-    return counted.groupBy("block").applyInArrow(prefixes, f"id {id_type}, n bigint, class bigint, bits array<bigint>, list bigint, pos bigint, before bigint")
+    return counted.groupBy("block").applyInArrow(prefixes, f"id {id_type}, key bigint, n bigint, class binary, bits array<bigint>, list bigint, pos bigint, before bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``class, shingles`` for the classes of ``wanted`` (id, class), from their documents' texts."""
+    """``node, shingles`` for the classes of ``wanted`` (node, class, id, key), each from one of its documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             sets = [shingle_set(raw, hashes) for raw in raw_texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["wanted", "class", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "wanted", "class", "shingles"])
 
-    if wanted.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("text", F.col("class").alias("wanted"))
-    # An id with several texts brings more than one set; the class tells which was meant.
-    return map_arrow(texts, work, "wanted bigint, class bigint, shingles binary").where("wanted = class").select("class", "shingles")
+    size = wanted.agg(F.sum(F.lit(48) + F.coalesce(F.octet_length(F.col("id").cast("string")), F.lit(0)))).first()[0] or 0
+    wanted = wanted.withColumnsRenamed({"id": "__id", "key": "__key"})
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = texts.join(F.broadcast(wanted) if size <= MOST_BROADCAST else wanted, (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")))
+    # Rows that repeat id and text bring a set more than once; another text of the same key isn't meant.
+    return map_arrow(met.select("text", "node", "class"), work, "node bigint, wanted binary, class binary, shingles binary").where("wanted = class").select("node", "shingles").dropDuplicates(["node"])
 
 
 # ---------------------------------------------------------------- pairs
@@ -283,105 +304,110 @@ def _bits_allow(percent: int) -> Column:
     return both - apart >= F.ceil(both * percent / (100 + percent)) * 2
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``a, b, linked`` for pairs of classes, each compared once."""
+def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, percent: int, id_col: str, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``a, b`` of those pairs of classes that link.  Bitmaps are looked up first; what they leave is compared by cells."""
+    pairs = keep(pairs)
+    sides = [named.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
+    likely = keep(pairs.join(sides[0], "a").join(sides[1], "b").where(_bits_allow(percent)).select("a", "b", "n_a", "n_b"))
+    met = keep(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct().join(named.drop("bits"), "node"))
+    total, count = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(-(-total * 8 // CELL_BYTES), min(int(np.sqrt(tasks)) + 1, -(-count // 500)), 1)
+    part = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(side))
+    likely = likely.select((part("a") * side + part("b")).alias("cell"), "a", "b")
+    needed = likely.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = needed.join(_sets(docs, met.select("node", "class", "id", "key"), id_col, text_col), "node").select(F.col("cell").alias("to"), "node", "shingles")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    pairs = cut(pairs)
-    sides = [named.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
-    likely = cut(pairs.join(sides[0], "a").join(sides[1], "b").where(_bits_allow(percent)).select("a", "b"))
-    met = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()
-    sets = _sets(docs, cut(named.select("id", "class").join(met, "class", "left_semi")), id_col, text_col)
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
-    both = likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    compared = map_arrow(both, work, "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
-    return cut(pairs.join(compared, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")))
-
-
-def _hub_pairs(members: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs of each list's hub with its other members, where the components differ."""
-    # A text with few shingles of its own lies in the middle of its list; after that any member will do.
-    order = F.struct(F.col("pos") / F.col("n"), "n", "class") if seed == 0 else F.struct(F.xxhash64(F.lit(seed), "class"), "class")
-    hub = F.min_by(F.struct("class", "n", "pos", "before", "root"), order)
-    hubs = cut(members.groupBy("list").agg(hub.alias("hub")))
-    met = members.join(hubs, "list").where("root <> hub.root")
-    pairs = met.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("before").alias("before_a"), F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"), F.col("hub.before").alias("before_b"))
-    return pairs.where(_may_be_similar(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _other_pairs(members: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    def work(asked: pa.Table, given: pa.Table) -> pa.Table:
+        sets = {node: np.frombuffer(x, np.uint64) for node, x in zip(given["node"].to_pylist(), given["shingles"].to_pylist(), strict=True)}
+        linked = [(a, b) for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True) if _linked(sets[a], sets[b], percent)]
+        return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
+
+    return keep(likely.groupBy("cell").cogroup(sent.groupBy("to")).applyInArrow(work, "a bigint, b bigint"))
+
+
+def _pairs_of(met: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` (a smaller) once each, of rows with the columns of both that the filters need."""
+    return met.where(_may_be_similar(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _side(members: DataFrame, name: str) -> list[Column]:
+    return [F.col(x).alias(f"{x}_{name}") for x in ("node", "n", "pos", "before", "root")]
+
+
+def _hub_pairs(members: DataFrame, most: DataFrame, turn: int, hubs: int, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs of hubs with members of other components of their list.  First one hub a list; later ``hubs`` of
+    its largest component, others in each list and turn, so that a member meets many."""
+    me = F.struct("node", "n", "pos", "before", "root")
+    if turn == 0:  # a text with few shingles of its own lies in the middle of its list
+        chosen = members.groupBy("list").agg(F.min_by(me, F.struct(F.col("pos") / F.col("n"), "n", "node")).alias("hub"))
+    else:
+        lot = F.xxhash64(F.lit(turn), "list", "node")
+        inside = members.join(most, "list").where("root = most")
+        chosen = inside.groupBy("list", F.pmod(lot, F.lit(hubs)).alias("slot")).agg(F.min_by(me, F.struct(lot, "node")).alias("hub"))
+    chosen = keep(chosen.select("list", *[F.col(f"hub.{x}").alias(f"{x}_b") for x in ("node", "n", "pos", "before", "root")]))
+    return _pairs_of(members.select("list", *_side(members, "a")).join(chosen, "list").where("root_a <> root_b"), percent)
+
+
+def _other_pairs(members: DataFrame, most: DataFrame, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All pairs of different components in each list that the filters leave; those within its largest
     component never meet."""
-    by_root = members.groupBy("list", "root").count()
-    largest = cut(by_root.groupBy("list").agg(F.max_by("root", F.struct("count", "root")).alias("most")))
-    marked = cut(members.join(largest, "list").withColumn("minor", F.col("root") != F.col("most")).join(named.select("class", "bits"), "class"))
-    columns = ("class", "n", "pos", "before", "root", "bits")
-    one = marked.where("minor").select("list", *[F.col(x).alias(f"{x}_a") for x in columns])
-    two = marked.select("list", "minor", *[F.col(x).alias(f"{x}_b") for x in columns])
-    apart = F.expr("root_a <> root_b and (not minor or class_a < class_b)")
-    met = one.join(two, "list").where(apart & _may_be_similar(percent) & _bits_allow(percent))
-    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
-
-
-def _mixed_lists(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    marked = keep(members.join(most, "list").withColumn("minor", F.col("root") != F.col("most")))
+    one, two = marked.where("minor").select("list", *_side(marked, "a")), marked.select("list", "minor", *_side(marked, "b"))
+    return _pairs_of(one.join(two, "list").where(F.expr("root_a <> root_b and (not minor or node_a < node_b)")), percent)
+
+
+def _mixed_lists(postings: DataFrame, roots: DataFrame | None, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Members, with their roots, of lists that still hold more than one component."""
     if roots is None:
-        members = postings.withColumn("root", F.col("class"))
+        members = postings.withColumn("root", F.col("node"))
     else:
-        members = postings.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_ = cut(members.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list"))
-    return cut(members.join(open_, "list"))
-
-
-def _pairs_left(members: DataFrame) -> int:
-    sums = members.groupBy("list", "root").count().groupBy("list").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-    return sums.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0))).first()[0]
+        members = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = keep(members.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list"))
+    return keep(members.join(open_, "list"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, hub_rounds: int = 2, most_rows: int = HOT, at_once: int = DEALT_AT_ONCE) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, hub_rounds: int = 6, hubs: int = 4, most_rows: int = HOT, at_once: int = DEALT_AT_ONCE) -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row.
 
     Two texts link when 100 * intersection >= percent * union of their shingle sets; the component
     is the smallest id reachable by links.  Null and empty texts link with nothing.  Repeated rows
-    and equal texts are one class.  A row without id can't be named by others: its component is the
-    smallest id of its equals, or null.  An empty table gives an empty result.
+    and equal texts are one class.  A row without id links like any other but can't be named: a
+    component of such rows alone has a null id.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
-    bins = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found, delete = staged(_classes_and_postings(docs, id_col, text_col, percent, bins, most_rows, at_once))
-    rows = found.where("list is null").select("id", "n", "class", "bits")
-    postings = found.where("list is not null").select("list", "class", "n", "pos", "before").distinct()
-    named = cut(rows.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    roots = done = None
-    for turn in range(hub_rounds + 1):
-        members = _mixed_lists(postings, roots)
-        postings = members.drop("root")  # lists that are done stay done
-        left = _pairs_left(members)
-        if not left:
-            break
-        # Hubs while they save work; then, or at last, every pair that is left.
-        last = turn > 0 and (turn == hub_rounds or left <= 16 * members.count())
-        pairs = _other_pairs(members, named, percent) if last else _hub_pairs(members, turn, percent)
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        compared = _verified(pairs, docs, named, percent, id_col, text_col)
-        done = compared if done is None else done.unionByName(compared)
-        roots = components(done.where("linked").select("a", "b"))
-        if last:
-            break
-    by_class = named.select("class", "id")
-    by_class = by_class.withColumn("root", F.col("class")) if roots is None else by_class.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = cut(by_class.groupBy("root").agg(F.min("id").alias("component_id")))
-    answer = cut(by_class.join(smallest, "root").select("class", "component_id"))
-    joined = rows.join(answer, "class", "left")
-    alone = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    result = cut(joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")))
-    delete()
-    return result
+    small_batches(spark)
+    with kept_until_done(spark) as keep:
+        found = keep(_classes_and_postings(docs, id_col, text_col, percent, _bins(docs), most_rows, at_once))
+        rows = found.where("list is null").select("id", "key", "n", "class", "bits")
+        of_class = rows.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        named = keep(of_class.select(F.monotonically_increasing_id().alias("node"), "class", "one.id", "one.key", "n", "bits"))
+        postings = found.where("list is not null").select("list", "class", "n", "pos", "before").distinct()
+        postings = keep(postings.join(named.select("class", "node"), "class").drop("class"))
+        roots = links = before = None
+        for turn in range(hub_rounds + 1):
+            members = _mixed_lists(postings, roots, keep)
+            postings = members.drop("root")  # lists that are done stay done
+            by_root = keep(members.groupBy("list", "root").count())
+            sizes = by_root.groupBy("list").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
+            left, size = sizes.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+            if not left:
+                break
+            # Hubs while they save work; then every pair that is left.
+            last = turn > 0 and (turn == hub_rounds or left <= 8 * size or left > 0.8 * before)
+            before = left
+            most = keep(by_root.groupBy("list").agg(F.max_by("root", F.struct("count", "root")).alias("most")))
+            pairs = _other_pairs(members, most, percent, keep) if last else _hub_pairs(members, most, turn, hubs, percent, keep)
+            linked = _verified(pairs, docs, named, percent, id_col, text_col, keep)
+            links = linked if links is None else links.unionByName(linked)
+            roots = keep(components(links))
+            release(spark)
+            if last:
+                break
+        by_class = named.select("class", "node", "id")
+        by_class = by_class.withColumn("root", F.col("node")) if roots is None else by_class.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        smallest = keep(by_class.groupBy("root").agg(F.min("id").alias("component_id")))
+        answer = keep(by_class.join(smallest, "root").select("class", "component_id"))
+        alone = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        return cut(rows.join(answer, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")))
