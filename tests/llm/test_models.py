@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import math
 import os
 import re
@@ -10,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from lorekeep.llm import graph, html_blocks, jaccard_join, lm_scoring, motion_jpeg, quality
@@ -109,9 +111,10 @@ def test_gradients():
     r = np.random.default_rng(2)
     w = {k: v.astype(float) for k, v in model.weights.items()}
     keys, classes = r.integers(0, 62, (3, lm_scoring.KEYS)), r.integers(-1, lm_scoring.CLASSES, (3, lm_scoring.SCORED))
-    args = (model.embed.astype(float), model.follow.astype(float), model.pad, keys, classes)
+    follow = model.follow.astype(float)
+    args = (lm_scoring.with_mask(model.embed.astype(float), model.pad), lm_scoring.group_logits(follow), follow.reshape(-1, lm_scoring.MEMBERS), keys, classes, True)
     _, g = lm_scoring.gradients(w, *args)
-    for name, x in w.items():
+    for name, x in [(k, v) for k, v in w.items() for _ in range(4)]:
         i = tuple(r.integers(0, n) for n in x.shape)
         both = []
         for sign in (1, -1):
@@ -121,6 +124,24 @@ def test_gradients():
         assert abs((both[0] - both[1]) / 2e-5 - g[name][i]) < 1e-5
 
 
+def test_score_beats_the_base_on_held_out_texts(spark):
+    """Texts of a Markov chain: what comes next depends on the word before, and on one further back."""
+    r = np.random.default_rng(9)
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    pieces = [library.id_to_piece(i) for i in range(3000, 9000)]
+    words = [p[1:] for p in pieces if len(p) > 5 and p[0] == "▁" and p[1:].isascii() and p[1:].isalpha() and p[1:].islower()][:120]
+    rows = []
+    for i in range(500):
+        at, text = int(r.integers(120)), []
+        for _ in range(80):
+            at = int((at * 7 + 13 + r.integers(4)) % 120)
+            text.append(words[at])
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = lm_scoring.score(docs, vocabulary_path("piece_bpe_32k.model")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.3, got
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_learns_held_out_labels(spark, empty):
     r = np.random.default_rng(5)
@@ -146,14 +167,42 @@ def test_quality_threshold_stands_mislabelled_rows():
     views = [(r.standard_normal((2000, n)) * 0.3 + (labels[:, None] * 2 - 1)).astype(np.float32) for n in (6, 4)]
     seen = labels.copy()
     seen[np.flatnonzero((labels == 0) & (np.arange(2000) % 4 == 3))[:5]] = 1  # in the calibration rows
-    model = quality.co_train(*views, seen, *(v[:0] for v in views))
+    model = quality.co_train(*views, seen)
     keep = model.scores(*views)[2] >= model.threshold
     assert keep[labels == 1].mean() > 0.99 and keep[labels == 0].mean() < 0.02
 
 
+def test_quality_of_held_out_labels(spark):
+    """Fitted on four fifths of the labels of sf0.01; text ids."""
+    folder = "/root/testdata/sf0.01"
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(name, "text", "lang", "source", "n_chars")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(name, "quality").where("quality is not null")
+    held = F.crc32("name") % 5 == 0
+    model = quality.fit(docs, labels.where(~held), "name")
+    got = quality.score(docs, model, ["name"]).join(labels.where(held), "name").select("quality", "quality_keep", "quality_text", "quality_meta").collect()
+    good, bad = ([r for r in got if r["quality"] == q] for q in (1, 0))
+    assert len(bad) >= 10 and sum(r["quality_keep"] for r in good) >= 0.98 * len(good) and sum(not r["quality_keep"] for r in bad) >= 0.9 * len(bad)
+    assert len({r["quality_meta"] for r in got}) > 5  # the metadata view says something of its own
+
+
+def test_packed_features():
+    r = np.random.default_rng(1)
+    rows = np.where(r.random((7, 40)) < 0.3, r.random((7, 40)), 0).astype(np.float16).astype(np.float32)
+    rows[3] = 0
+    packed, w = [quality.pack_row(x) for x in rows], r.standard_normal(41).astype(np.float32)
+    assert (quality.unpack_rows(packed, 40) == rows).all() and np.allclose(quality.packed_logits(packed, w), quality.logit(rows, w), atol=1e-5)
+
+
 def test_quality_takes_odd_rows(docs, rows, empty):
     labels = docs.select("doc_id", F.lit(None).cast("int").alias("quality"))
     assert quality.score(docs, quality.fit(docs, labels)).count() == len(rows)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")).where("doc_id is not null").distinct()
+    both = quality.fit_and_score(docs, labels)
+    assert both.columns == ["doc_id", "quality_text", "quality_meta", "quality_score", "quality_keep"] and both.count() == len(rows)
+    assert quality.fit_and_score(empty, labels).count() == 0
+    clash = docs.withColumn("quality_score", F.lit("clash"))
+    assert Counter(quality.score(clash, quality.Model()).columns) == Counter(quality.score(docs, quality.Model()).columns)
     assert quality.score(docs, quality.Model(), ["doc_id", "size"]).columns == ["doc_id", "size", "quality_text", "quality_meta", "quality_score", "quality_keep"]
 
 
@@ -189,6 +238,49 @@ def test_raw_elements_end_at_their_own_tag():
     assert html_blocks.main_text(f"<title>Open<body>{body}", tree) == "Tide tables\nText after the script."
 
 
+def test_open_paragraphs_end_before_blocks():
+    tree = html_blocks.train_tree()
+    body = "<h2>Part one</h2><p>Text of the article.</p>"
+    for page in (
+        f"<body><article><p class='meta'>By me<div>{body}</div></article></body>",
+        f"<body><article><p class='share'>Share{body}</article></body>",
+        f"<body><article><ul><li><p class='meta'>x<ul><li>y</ul></ul>{body}</article></body>",
+    ):
+        assert html_blocks.main_text(page, tree).endswith("Part one\nText of the article."), page
+
+
+#: Pages of other makes, by what of them is article text (in <x>) and what isn't.
+LABELLED_PAGES = [
+    "<body><nav><a href=a>News</a> <a href=b>Sport</a></nav><div id=content><h1><x>Harbour reopens</x></h1><p class=byline>By A. Writer</p><p><x>The harbour was opened again on Monday after two weeks of storms and repairs to the quay.</x></p>"
+    "<p class=legal><x>The port authority says in a notice that ships of every size may enter from today, at their own risk, until the light is mended.</x></p><div class='share-box'>Share this</div></div><footer>All rights</footer></body>",
+    "<body><main><article><h2><x>Why tides differ</x></h2><blockquote class=reply><x>The moon does most of it, the sun does the rest, and the shape of the coast decides what we see of both.</x></blockquote><p><x>So said the keeper.</x></p>"
+    "<section class=comments><p>I was there when the keeper said it and can confirm every single word of it, and more.</p></section></article></main><aside>Most read</aside></body>",
+    "<body><header><h1>The Daily Quay</h1></header><div class=cookie-banner>We use cookies to make this page better for you and for our many partners.</div><div class=post><p><x>A crane fell over last night near berth nine; nobody was hurt, says the harbour master in a statement.</x></p>"
+    "<p><x>Work goes on.</x></p><ul class=related><li><a href=a>Crane fell last year too</a></ul></div><form><p>Get our letter</p></form></body>",
+    "<body><table><tr><td><a href=1>One</a><td><a href=2>Two</a></table><p><x>This page marks nothing at all but has a paragraph of running text that is long enough to be read.</x></p><p><x>And another of the same kind follows it, which says as much again in other words than the first.</x></p><p>Top</p></body>",
+]
+
+
+def test_other_pages_by_precision_and_recall():
+    tree, kept, right, wanted = html_blocks.train_tree(), 0, 0, 0
+    for page in LABELLED_PAGES:
+        truth = Counter(re.sub(r"<[^>]*>", "", x).strip() for x in re.findall(r"<x>(.*?)</x>", page, re.S))
+        got = Counter(html_blocks.main_text(page.replace("<x>", "").replace("</x>", ""), tree).split("\n"))
+        kept, right, wanted = kept + got.total(), right + (got & truth).total(), wanted + truth.total()
+    assert right / kept >= 0.9 and right / wanted >= 0.95, (kept, right, wanted)
+
+
+def test_shared_pages(sf_dir):
+    """Against the article element of every shared page, cut out by hand: no word lost, none added."""
+    import pyarrow.parquet as pq
+
+    tree = html_blocks.train_tree()
+    for page in pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist():
+        article = re.search(r"<article>(.*)</article>", page or "", re.S)
+        wanted = html.unescape(re.sub(r"<[^>]*>", " ", article[1])).split() if article else []
+        assert html_blocks.main_text(page or "", tree).split() == wanted
+
+
 def test_wrappers_named_for_their_layout():
     tree = html_blocks.train_tree()
     inner = "<h1>Tide tables</h1><p>Short text.</p>"

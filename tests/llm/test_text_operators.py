@@ -6,9 +6,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.llm import exact_dedup, line_dedup, mixing, piece_encoding, token_counts
@@ -40,6 +42,16 @@ def test_exact_dedup(spark, docs, rows, empty):
     assert exact_dedup.dedupe_once(empty, "t_index", 4).count() == 0
 
 
+def test_exact_dedup_of_other_ids(spark):
+    rows = [("d9", "a b"), ("d10", "a  b"), (None, "a  b"), ("x", "c"), ("x", "c")]
+    docs = spark.createDataFrame(rows, "name string, body string")
+    got = exact_dedup.dedupe_once(docs, "t_text_ids", 4, "name", "body")
+    assert bag(got, "name", "keep_id", "group_size", "kept") == Counter({("d9", "d10", 3, False): 1, ("d10", "d10", 3, True): 1, (None, "d10", 3, False): 1, ("x", "x", 2, True): 1, ("x", "x", 2, False): 1})
+    with pytest.raises(Exception, match="no_such|UNRESOLVED"):
+        exact_dedup.dedupe_once(docs, "t_text_ids", 4, "name", "no_such")
+    assert not spark.catalog.tableExists("t_text_ids")
+
+
 def test_digest_index_is_kept(spark):
     batch = lambda *x: spark.createDataFrame(list(x), "doc_id bigint, text string")
     index = exact_dedup.DigestIndex(spark, "t_persistent", 4).create()
@@ -70,6 +82,18 @@ def test_line_dedup(docs, rows, empty):
     assert bag(got, "doc_id", "lines_total", "lines_dropped", "sha") == Counter(brute_lines(rows))
     assert sum(r[2] for r in brute_lines(rows)) >= 5
     assert line_dedup.mark(empty).count() == 0
+    clash = docs.withColumn("lines_total", F.lit("clash")).withColumn("lines_keep_runs", F.lit(1))
+    assert Counter(line_dedup.mark(clash).columns) == Counter(marked.columns)
+    assert bag(line_dedup.mark(clash), "doc_id", "lines_total", "lines_dropped") == bag(marked, "doc_id", "lines_total", "lines_dropped")
+
+
+def test_line_dedup_streams_the_range_order(spark):
+    """The window over ranged lines needs neither a shuffle nor a sort of its own."""
+    lines = spark.range(20).selectExpr("md5(string(id % 3)) as digest", "id", "int(id % 2) as pos")
+    ranged = lines.repartitionByRange(2, "digest", "id").sortWithinPartitions("digest", "id", "pos")
+    first = ranged.withColumn("first", F.row_number().over(W.partitionBy("digest", "id").orderBy("pos")))
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Window" in plan
 
 
 def test_mixing(spark, docs, rows, empty):
@@ -98,6 +122,8 @@ def test_mixing(spark, docs, rows, empty):
     assert bag(mixing.mix(docs.repartition(5)), "doc_id", "mix_copies") == bag(mixed, "doc_id", "mix_copies")
     emitted = mixing.emit(mixed, docs.columns)
     assert emitted.columns == docs.columns and emitted.count() == mixed.agg(F.sum("mix_copies")).first()[0]
+    clash = docs.withColumn("mix_size", F.lit("clash")).withColumn("mix_copies", F.lit(7))
+    assert Counter(mixing.mix(clash).columns) == Counter(mixed.columns) and bag(mixing.mix(clash), "doc_id", "mix_size", "mix_copies") == bag(mixed, "doc_id", "mix_size", "mix_copies")
     assert mixing.mix(empty).count() == 0 and mixing.mix(spark.createDataFrame([(1, None, "a")], "doc_id bigint, text string, source string")).first()["mix_copies"] == 0
 
 
@@ -139,12 +165,14 @@ def test_piece_counts(docs, rows, empty):
     assert token_counts.piece_counts(empty, pieces).count() == 0
 
 
+TABLE = piece_encoding.ChunkTable(MODEL, 1000)  # so small that its generations come and go
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" ▁\nabcdeé😀\t "), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_chunks_encode_like_the_library(text):
-    table = piece_encoding.ChunkTable(MODEL, 1000)
-    ids = table.library.encode(text, add_eos=True)
-    assert table.encode([text]) == [(" ".join(map(str, ids)), table.library.decode(ids), len(ids))]
+    ids = TABLE.library.encode(text, add_eos=True)
+    assert TABLE.encode([text]) == [(" ".join(map(str, ids)), TABLE.library.decode(ids), len(ids))]
 
 
 def test_piece_encoding(docs, rows, empty):
