@@ -193,16 +193,12 @@ def implicit_create_guard(b: Batch) -> DataFrame:
 
 def near_duplicate_key(b: Batch) -> DataFrame:
     """New keys of kinds that ask for it, against existing keys of the kind; held, never merged."""
-    checked = [k for k in b.contract.kinds.values() if k.near_duplicate_check]
-    out = b.spark.createDataFrame([], FINDING)
-    for threshold in sorted({k.near_duplicate_threshold for k in checked}):
-        kinds = [k.name for k in checked if k.near_duplicate_threshold == threshold]
-        new = b.items.where(F.col("kind").isin(kinds) & F.col("key").isNotNull()).join(b.ids(), ["kind", "key"], "left_anti")
-        pairs = near_duplicates(new, b.ids().where(F.col("kind").isin(kinds)), group_cols=("kind",), threshold=threshold)
-        rows = pairs.withColumn("id", X.composite_id(F.col("kind"), F.col("key"))).join(new.groupBy("id").agg(F.min("pos").alias("pos")), "id")
-        said = texts("'", F.col("key"), "' is ", F.round(F.col("score") * 100).cast("int"), "% similar to existing ", F.col("kind"), " '", F.col("other"), "'; approve to create it apart, or reuse the existing key. Nothing is merged.")
-        out = out.unionByName(found(rows, "near_duplicate_key", L.REQUIRE_APPROVAL, said, "warn", data_of(near_duplicate_of=F.col("other"), score=F.round("score", 4))))
-    return out
+    kinds = b.kinds().where("near_duplicate_check").select("kind", F.col("near_duplicate_threshold").alias("threshold"))
+    new = b.items.where(F.col("key").isNotNull()).join(F.broadcast(kinds), "kind").join(b.ids(), ["kind", "key"], "left_anti")
+    pairs = near_duplicates(new, b.ids().join(F.broadcast(kinds), "kind"), group_cols=("kind", "threshold"), threshold="threshold")
+    rows = pairs.withColumn("id", X.composite_id(F.col("kind"), F.col("key"))).join(new.groupBy("id").agg(F.min("pos").alias("pos")), "id")
+    said = texts("'", F.col("key"), "' is ", F.round(F.col("score") * 100).cast("int"), "% similar to existing ", F.col("kind"), " '", F.col("other"), "'; approve to create it apart, or reuse the existing key. Nothing is merged.")
+    return found(rows, "near_duplicate_key", L.REQUIRE_APPROVAL, said, "warn", data_of(near_duplicate_of=F.col("other"), score=F.round("score", 4)))
 
 
 def against_existing(items: DataFrame, existing: DataFrame) -> DataFrame:

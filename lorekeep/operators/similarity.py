@@ -15,7 +15,11 @@ def prepare_keys(keys: DataFrame, key_col: str, group_cols: list[str]) -> DataFr
     return normal.where(X.is_comparable(F.col("normal"))).withColumn("grams", X.trigrams(F.col("normal"))).withColumn("block", X.block_key(F.col("normal")))
 
 
-def rare_first(rows: DataFrame, by: list[str], set_col: str, key_cols: list[str], threshold: float, counted: DataFrame | None = None) -> DataFrame:
+def _column(threshold: float | Column) -> Column:
+    return threshold if isinstance(threshold, Column) else F.lit(threshold)
+
+
+def rare_first(rows: DataFrame, by: list[str], set_col: str, key_cols: list[str], threshold: float | Column, counted: DataFrame | None = None) -> DataFrame:
     """``by, key_cols, item, pos, n``: the elements of each row's set that a similar set must share one of.
 
     Elements are in one order for all rows of a group (``by``): those that few rows of ``counted``
@@ -26,27 +30,29 @@ def rare_first(rows: DataFrame, by: list[str], set_col: str, key_cols: list[str]
     items = rows.select(*by, *key_cols, F.size(set_col).alias("n"), F.explode(set_col).alias("item"))
     counts = (items if counted is None else counted.select(*by, F.explode(set_col).alias("item"))).groupBy(*by, "item").agg(F.count("*").alias("held"))
     ranked = items.join(counts, [*by, "item"]).groupBy(*by, *key_cols, "n").agg(F.array_sort(F.collect_list(F.struct("held", "item"))).alias("sorted"))
-    most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    most = F.col("n") - F.ceil(F.col("n") * _column(threshold) - F.lit(1e-9)).cast("int") + 1
     return ranked.select(*by, *key_cols, "n", F.posexplode(F.slice("sorted", F.lit(1), most)).alias("pos", "__item")).select(*by, *key_cols, "n", "pos", F.col("__item.item").alias("item"))
 
 
-def may_reach(threshold: float) -> Column:
+def may_reach(threshold: float | Column) -> Column:
     """Length filter, and positional filter at the first element that (n_a, pos_a) and (n_b, pos_b) share."""
-    n_a, n_b = F.col("n_a"), F.col("n_b")
+    n_a, n_b, t = F.col("n_a"), F.col("n_b"), _column(threshold)
     common = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b"))
-    return (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(threshold) - F.lit(1e-9)) & (common * (1 + threshold) >= (n_a + n_b) * F.lit(threshold) - F.lit(1e-9))
+    return (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * t - F.lit(1e-9)) & (common * (t + 1) >= (n_a + n_b) * t - F.lit(1e-9))
 
 
-def near_duplicates(incoming: DataFrame, existing: DataFrame, key_col: str = "key", group_cols: tuple[str, ...] = (), threshold: float = L.SIMILARITY_FLOOR) -> DataFrame:
+def near_duplicates(incoming: DataFrame, existing: DataFrame, key_col: str = "key", group_cols: tuple[str, ...] = (), threshold: float | str = L.SIMILARITY_FLOOR) -> DataFrame:
     """``key, other, score`` (with ``group_cols``) for pairs of different normal form at ``threshold`` or more.
 
-    Every unordered pair comes once.  Pairs meet on their block's first characters and, within it, on
+    ``threshold`` may be the name of one of ``group_cols``.  Every unordered pair comes once.  Pairs meet on their block's first characters and, within it, on
     shared trigrams of a rare-first prefix that any similar pair must share, so a block that most keys
     fall into is dealt out by its trigrams.  Only keys meet; what is left after the filters is compared once.
     """
     groups = list(group_cols)
     left, right = prepare_keys(incoming, key_col, groups), prepare_keys(existing, key_col, groups)
     by, both = [*groups, "block"], left.unionByName(right)
+    if isinstance(threshold, str):  # one of the groups' columns
+        threshold = F.col(threshold)
     sides = [rare_first(rows, by, "grams", ["key"], threshold, both).withColumnsRenamed({c: f"{c}_{name}" for c in ("key", "n", "pos")}) for rows, name in ((left, "a"), (right, "b"))]
     met = sides[0].join(sides[1], [*by, "item"]).where((F.col("key_a") != F.col("key_b")) & may_reach(threshold))
     pairs = met.groupBy(*groups, F.least("key_a", "key_b").alias("lo"), F.greatest("key_a", "key_b").alias("hi")).agg(F.min(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("other"))).alias("p"))

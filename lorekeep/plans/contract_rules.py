@@ -34,7 +34,7 @@ def tables_of(spark: SparkSession, contracts: list[Contract]) -> Tables:
     make = lambda rows, schema: spark.createDataFrame([r for c in contracts for r in rows(c)], f"contract string, {schema}")
     return Tables(
         make(lambda c: [(c.name, c.identity)], "identity string"),
-        make(lambda c: [(c.name, k.name, k.key, k.required, k.content_fields, k.claim_field, k.claim_slot, k.near_duplicate_threshold) for k in c.kinds.values()], "kind string, key_field string, required array<string>, content_fields array<string>, claim_field string, claim_slot array<string>, near_duplicate_threshold double"),
+        make(lambda c: [(c.name, k.name, k.key, k.required, k.content_fields, k.claim_field, k.claim_slot, float(k.near_duplicate_threshold)) for k in c.kinds.values()], "kind string, key_field string, required array<string>, content_fields array<string>, claim_field string, claim_slot array<string>, near_duplicate_threshold double"),
         make(lambda c: [(c.name, k.name, f, v) for k in c.kinds.values() for f, v in k.vocab_fields.items()], "kind string, field string, vocab string"),
         make(lambda c: [(c.name, k.name, f, t) for k in c.kinds.values() for f, t in k.refs.items()], "kind string, field string, target_kind string"),
         make(lambda c: [(c.name, v) for v in c.vocabularies], "vocab string"),

@@ -51,6 +51,8 @@ class Proposals:
         """Proposals of this content (and contract, if given), newest first; unreadable files are passed over."""
         found = []
         for path in self.files.list(self.folder, ".json"):
+            if f"-{content[:8]}-" not in path:  # a run's id names its content; only those files are opened
+                continue
             try:
                 proposal = json.loads(self.files.read(path) or "")
             except json.JSONDecodeError:
