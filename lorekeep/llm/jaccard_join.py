@@ -367,8 +367,9 @@ def _mixed_lists(postings: DataFrame, roots: DataFrame | None, keep: Callable[[D
     return keep(members.join(open_, "list"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, hub_rounds: int = 6, hubs: int = 4, most_rows: int = HOT, at_once: int = DEALT_AT_ONCE) -> DataFrame:
-    """``id_col, n_shingles, component_id`` for every row.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, hub_rounds: int = 6, hubs: int = 4, most_rows: int = HOT, at_once: int = DEALT_AT_ONCE, keys: bool = False) -> DataFrame:
+    """``id_col, n_shingles, component_id`` for every row; with ``keys`` also ``text_key`` (``xxhash64`` of the text)
+    and ``group``, which tells components apart that have no id.
 
     Two texts link when 100 * intersection >= percent * union of their shingle sets; the component
     is the smallest id reachable by links.  Null and empty texts link with nothing.  Repeated rows
@@ -408,6 +409,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         by_class = named.select("class", "node", "id")
         by_class = by_class.withColumn("root", F.col("node")) if roots is None else by_class.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         smallest = keep(by_class.groupBy("root").agg(F.min("id").alias("component_id")))
-        answer = keep(by_class.join(smallest, "root").select("class", "component_id"))
+        answer = keep(by_class.join(smallest, "root").select("class", "component_id", "root"))
         alone = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
-        return cut(rows.join(answer, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")))
+        more = [F.col("key").alias("text_key"), F.col("root").alias("group")] if keys else []
+        return cut(rows.join(answer, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"), *more))

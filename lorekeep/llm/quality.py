@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,17 +198,23 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def row_key(text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> Column:
+    """What a score depends on, as one number: with the id it tells rows apart that score differently."""
+    return F.xxhash64(text_col, lang_col, source_col, chars_col)
+
+
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
-    """``id, a, b``: the packed features of every row in both views."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    """``id, a, b, key``: the packed features of every row in both views, and its ``row_key``."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("key", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in _slices(batches):
             a, b = _views(batch, words, text_col, lang_col, source_col, chars_col)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array([pack_row(x) for x in v], pa.binary()) for v in (a, b))], names=["id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([pack_row(x) for x in v], pa.binary()) for v in (a, b)), batch.column(1)], names=["id", "a", "b", "key"])
 
-    return map_arrow(docs.select(*dict.fromkeys([id_col, text_col, lang_col, source_col, chars_col])), work, schema)
+    rows = docs.select(F.col(id_col).alias("__id"), row_key(text_col, lang_col, source_col, chars_col).alias("__key"), *dict.fromkeys([text_col, lang_col, source_col, chars_col]))
+    return map_arrow(rows, work, schema)
 
 
 def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -217,7 +223,7 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return known.groupBy("id").agg(F.max("label").cast("int").alias("label"))
 
 
-def _fit(features: DataFrame, labels: DataFrame, keep: Callable[[DataFrame], DataFrame], labelled_rows: int, added_rows: int, sure: float) -> Model:
+def _fit(features: DataFrame, labels: DataFrame, keep: Callable[[DataFrame], DataFrame], labelled_rows: int, added_rows: int, sure: float, rounds: int) -> Model:
     """``features`` as of ``featured``, ``labels`` as of ``_labelled``."""
     order = F.xxhash64(F.lit(9), F.col("id"))
     labels = keep(labels)
@@ -243,7 +249,7 @@ def _fit(features: DataFrame, labels: DataFrame, keep: Callable[[DataFrame], Dat
 
         schema = T.StructType([features.schema["id"], T.StructField("t", T.DoubleType()), T.StructField("m", T.DoubleType())])
         sure_enough = float(np.log(sure / (1 - sure)))
-        rows = map_arrow(features.where("id is not null"), work, schema).where((F.abs("t") >= sure_enough) | (F.abs("m") >= sure_enough))
+        rows = map_arrow(features.where("id is not null").select("id", "a", "b"), work, schema).where((F.abs("t") >= sure_enough) | (F.abs("m") >= sure_enough))
         scored = keep(rows.join(labels, "id", "left_anti").groupBy("id").agg(F.max("t").alias("t"), F.max("m").alias("m")))
         chosen = None
         for (view, good), k in most.items():
@@ -258,10 +264,10 @@ def _fit(features: DataFrame, labels: DataFrame, keep: Callable[[DataFrame], Dat
         at = {key: np.array([(r["view"], r["good"]) == key for r in table], bool) for key in most}
         return {key: (text[rows], meta[rows]) for key, rows in at.items()}
 
-    return co_train(text, meta, np.array([r["label"] for r in known], int), pool, added_rows=added_rows)
+    return co_train(text, meta, np.array([r["label"] for r in known], int), pool, rounds, added_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = 6000, added_rows: int = 300, sure: float = 0.95) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = 6000, added_rows: int = 300, sure: float = 0.95, rounds: int = 3) -> Model:
     """Fits on at most ``labelled_rows`` labelled documents, and on those of all others that a view is
     ``sure`` of: ``added_rows`` a round and view, the surest.
 
@@ -270,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     with kept_until_done(docs.sparkSession) as keep:
         features = keep(featured(docs, id_col, text_col, lang_col, source_col, chars_col))
-        return _fit(features, _labelled(labels, id_col, label_col), keep, labelled_rows, added_rows, sure)
+        return _fit(features, _labelled(labels, id_col, label_col), keep, labelled_rows, added_rows, sure, rounds)
 
 
 def _score_columns(scores: tuple, threshold: float) -> list[pa.Array]:
@@ -303,12 +309,13 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_co
     return map_arrow(docs.select(*needed), work, schema)
 
 
-def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = 6000, added_rows: int = 300, sure: float = 0.95, prefix: str = "quality_") -> DataFrame:
-    """``id_col`` and the columns that ``score`` adds, for every row: as ``fit`` and then ``score`` do, reading the texts once."""
-    fields = _score_fields(prefix)
+def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = 6000, added_rows: int = 300, sure: float = 0.95, rounds: int = 3, prefix: str = "quality_", keys: bool = False) -> DataFrame:
+    """``id_col`` and the columns that ``score`` adds (with ``keys`` also ``<prefix>key``, the row's ``row_key``), for
+    every row: as ``fit`` and then ``score`` do, reading the texts once."""
+    fields = _score_fields(prefix) + [T.StructField(f"{prefix}key", T.LongType())] * keys
     with kept_until_done(docs.sparkSession) as keep:
         features = keep(featured(docs, id_col, text_col, lang_col, source_col, chars_col))
-        model = _fit(features, _labelled(labels, id_col, label_col), keep, labelled_rows, added_rows, sure)
+        model = _fit(features, _labelled(labels, id_col, label_col), keep, labelled_rows, added_rows, sure, rounds)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -316,6 +323,6 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                     scores = model.scores(np.zeros(batch.num_rows), np.zeros(batch.num_rows))
                 else:
                     scores = model.of_logits(packed_logits(batch.column(1).to_pylist(), model.text), packed_logits(batch.column(2).to_pylist(), model.meta))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *_score_columns(scores, model.threshold)], names=[id_col, *(f.name for f in fields)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_score_columns(scores, model.threshold), *[batch.column(3)] * keys], names=[id_col, *(f.name for f in fields)])
 
         return cut(map_arrow(features, work, T.StructType([T.StructField(id_col, features.schema["id"].dataType), *fields])))

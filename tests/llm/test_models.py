@@ -152,7 +152,7 @@ def test_quality_learns_held_out_labels(spark, empty):
         rows.append((i, " ".join(words), "en", "spam" if bad and i % 2 else "web", 400, int(not bad)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, q int")
     labels = docs.where("doc_id < 600").select("doc_id", F.col("q").alias("quality"))
-    model = quality.fit(docs, labels)
+    model = quality.fit(docs, labels, rounds=1)
     scored = quality.score(docs, model).where("doc_id >= 600")
     assert scored.where("quality_keep <> (q = 1)").count() <= 6
     assert quality.score(docs, model).columns[:6] == docs.columns
@@ -198,7 +198,7 @@ def test_quality_takes_odd_rows(docs, rows, empty):
     labels = docs.select("doc_id", F.lit(None).cast("int").alias("quality"))
     assert quality.score(docs, quality.fit(docs, labels)).count() == len(rows)
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")).where("doc_id is not null").distinct()
-    both = quality.fit_and_score(docs, labels)
+    both = quality.fit_and_score(docs, labels, rounds=1)
     assert both.columns == ["doc_id", "quality_text", "quality_meta", "quality_score", "quality_keep"] and both.count() == len(rows)
     assert quality.fit_and_score(empty, labels).count() == 0
     clash = docs.withColumn("quality_score", F.lit("clash"))

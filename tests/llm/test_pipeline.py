@@ -57,11 +57,18 @@ def test_run(spark, sf_dir):
 
 
 def test_stages_take_odd_rows(spark, docs, empty, sf_dir):
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() > 0, name
         assert stage(spark, empty, sf_dir).count() == 0, name
 
 
+def test_rows_without_id_are_near_copies_too(spark, docs):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words)), (None, " ".join(words[:-1])), (3, " ".join(x + "y" for x in words)), (None, " ".join(x + "y" for x in words[1:])), (3, "other text of five words"), (None, ""), (None, "")]
+    got = corpus_pipeline.keep_one_of_similar(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert Counter(i for i, _ in plain(got)) == Counter({None: 2, 3: 2})
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
