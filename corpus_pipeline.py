@@ -19,14 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import jaccard_join, line_dedup, mixing, piece_encoding, quality
-from lorekeep.llm.common import staged, table
+from lorekeep.llm.common import release, staged, table
 from lorekeep.llm.queries import vocabulary_path
 
 
+#: Bytes of rejected rows (id and hash) sent to every task, instead of shuffling the texts to join with them.
+MOST_BROADCAST = 32 << 20
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier keeps, unchanged."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, prefix="__quality_").where("__quality_keep").select(*docs.columns)
+    scored = quality.fit_and_score(docs, table(spark, sf_dir, "labels"), keys=True)
+    rejected = scored.where("not quality_keep").select(F.col("doc_id").alias("__id"), F.col("quality_key").alias("__rejected")).distinct()
+    if rejected.count() * 48 <= MOST_BROADCAST:
+        rejected = F.broadcast(rejected)
+    keyed = docs.withColumn("__key", quality.row_key())
+    return keyed.join(rejected, keyed["doc_id"].eqNullSafe(rejected["__id"]) & (keyed["__key"] == rejected["__rejected"]), "left_anti").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +49,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of each group's smallest id.  Of rows that repeat id and text one stays; so does one
-    row of each text without id."""
-    groups = jaccard_join.similar_groups(docs)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
-    both = named.unionByName(docs.where(F.col("doc_id").isNull()))
-    return both.withColumn("__text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    """One row of each group of similar texts: that of the smallest id (rows without id last, of equal ids
+    the one with the smallest hash of its text).  Texts without words are in no group; of rows that
+    repeat id and text one stays."""
+    groups = jaccard_join.similar_groups(docs, keys=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")).alias("first")
+    chosen = groups.where("group is not null").groupBy("group").agg(first).select("first.doc_id", "first.text_key")
+    keep = chosen.unionByName(groups.where("group is null").select("doc_id", "text_key")).distinct().withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["__id"]) & (keyed["__text"] == keep["__key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,11 +84,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    delete = None
+    docs, delete = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        result, delete_next = staged(stage(spark, docs, sf_dir))
-        if delete:
-            delete()
-        docs, delete = result, delete_next
+        try:
+            docs, delete_next = staged(stage(spark, docs, sf_dir))
+        finally:  # what a stage read is done with, whether it succeeded or not
+            if delete:
+                delete()
+        delete = delete_next
+        release(spark)
     return docs
