@@ -123,8 +123,8 @@ def _bins(docs: DataFrame) -> int:
 
 
 def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent: int, bins: int, most_rows: int, at_once: int) -> DataFrame:
-    """Rows of (id, key, n, class, bits) for each document, and rows of (list, class, n, pos, before) for the
-    prefix shingles that another text shares; ``before`` is how many shared ones come earlier."""
+    """Rows of (id, key, n, class, bits) for each document, and rows of (list, class, n, pos) for the
+    prefix shingles that another text shares."""
     id_type, id_kind = type_of(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
     dealt = f"bin int, block bigint, shingles binary, counts binary, places binary, ids array<{id_type}>, keys binary, classes binary, sizes binary, bits binary"
     kinds = dict(zip([x.split()[0] for x in dealt.split(", ")], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_kind), *[pa.binary()] * 4], strict=True))
@@ -230,10 +230,9 @@ def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent:
         shingles, places = shingles[order], places[order]
         shared = np.bincount(places, minlength=len(n))
         # Shingles of one text alone are the rarest: they take the first positions, and need no list.
-        before = np.arange(len(places)) - np.repeat(np.cumsum(shared) - shared, shared)
-        pos = before + np.repeat(n - shared, shared)
+        pos = np.arange(len(places)) - np.repeat(np.cumsum(shared) - shared, shared) + np.repeat(n - shared, shared)
         wanted = pos < (n - -(-percent * n // 100) + 1)[places]
-        shingles, places, pos, before = shingles[wanted], places[wanted], pos[wanted], before[wanted]
+        shingles, places, pos = shingles[wanted], places[wanted], pos[wanted]
         there, k = n > 0, len(pos)
         column = lambda values: pa.concat_arrays([values, pa.nulls(k, values.type)])
         posted = lambda values: pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(values.astype(np.int64))])
@@ -247,12 +246,11 @@ def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent:
                 "bits": column(pa.array([b if t else None for b, t in zip(bits, there, strict=True)], pa.list_(pa.int64()))),
                 "list": posted(shingles),
                 "pos": posted(pos),
-                "before": posted(before),
             }
         )
 
     counted = map_arrow(docs.select(id_col, text_col), deal, dealt).groupBy("bin").applyInArrow(count, dealt)
-    return counted.groupBy("block").applyInArrow(prefixes, f"id {id_type}, key bigint, n bigint, class binary, bits array<bigint>, list bigint, pos bigint, before bigint")
+    return counted.groupBy("block").applyInArrow(prefixes, f"id {id_type}, key bigint, n bigint, class binary, bits array<bigint>, list bigint, pos bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -274,10 +272,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
 # ---------------------------------------------------------------- pairs
 def _may_be_similar(percent: int) -> Column:
-    """Length filter, and positional filter at one shared shingle: what two texts can have in common is
-    among the shared shingles before it in both, or from it on."""
+    """Length filter, and positional filter at the first shared shingle: nothing that two texts share stands
+    before it in either, so they share no more than what is left of the shorter rest.  A similar pair passes
+    at its first shared shingle; whether it passes at later ones doesn't matter."""
     length = F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100
-    at_most = F.least("before_a", "before_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    at_most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     return length & (at_most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
 
@@ -332,20 +331,20 @@ def _pairs_of(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _side(members: DataFrame, name: str) -> list[Column]:
-    return [F.col(x).alias(f"{x}_{name}") for x in ("node", "n", "pos", "before", "root")]
+    return [F.col(x).alias(f"{x}_{name}") for x in ("node", "n", "pos", "root")]
 
 
 def _hub_pairs(members: DataFrame, most: DataFrame, turn: int, hubs: int, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs of hubs with members of other components of their list.  First one hub a list; later ``hubs`` of
     its largest component, others in each list and turn, so that a member meets many."""
-    me = F.struct("node", "n", "pos", "before", "root")
+    me = F.struct("node", "n", "pos", "root")
     if turn == 0:  # a text with few shingles of its own lies in the middle of its list
         chosen = members.groupBy("list").agg(F.min_by(me, F.struct(F.col("pos") / F.col("n"), "n", "node")).alias("hub"))
     else:
         lot = F.xxhash64(F.lit(turn), "list", "node")
         inside = members.join(most, "list").where("root = most")
         chosen = inside.groupBy("list", F.pmod(lot, F.lit(hubs)).alias("slot")).agg(F.min_by(me, F.struct(lot, "node")).alias("hub"))
-    chosen = keep(chosen.select("list", *[F.col(f"hub.{x}").alias(f"{x}_b") for x in ("node", "n", "pos", "before", "root")]))
+    chosen = keep(chosen.select("list", *[F.col(f"hub.{x}").alias(f"{x}_b") for x in ("node", "n", "pos", "root")]))
     return _pairs_of(members.select("list", *_side(members, "a")).join(chosen, "list").where("root_a <> root_b"), percent)
 
 
@@ -384,7 +383,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = found.where("list is null").select("id", "key", "n", "class", "bits")
         of_class = rows.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
         named = keep(of_class.select(F.monotonically_increasing_id().alias("node"), "class", "one.id", "one.key", "n", "bits"))
-        postings = found.where("list is not null").select("list", "class", "n", "pos", "before").distinct()
+        postings = found.where("list is not null").select("list", "class", "n", "pos").distinct()
         postings = keep(postings.join(named.select("class", "node"), "class").drop("class"))
         roots = links = before = None
         for turn in range(hub_rounds + 1):
