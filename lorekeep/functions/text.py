@@ -114,6 +114,17 @@ def antonym_hit(content_a: Column, content_b: Column) -> Column:
     return F.get(F.filter(hits, lambda h: h["antonym"].isNotNull()), F.lit(0))
 
 
+def antonym_bits(content: Column, partners: bool = False) -> Column:
+    """One bit for each side of an antonym pair that a claim holds (or, with ``partners``, that the words it
+    holds are antonyms of): two claims can only oppose each other if one's bits meet the other's partner bits."""
+    bits: dict[str, int] = {}
+    for i, (a, b) in enumerate(L.ANTONYMS):
+        for word, own in ((a, 2 * i), (b, 2 * i + 1)):
+            bits[word] = bits.get(word, 0) | 1 << (own ^ 1 if partners else own)
+    index = F.create_map(*[x for word, mask in bits.items() for x in (F.lit(word), F.lit(mask).cast("bigint"))])
+    return F.aggregate(F.filter(content, lambda w: index[w].isNotNull()), F.lit(0).cast("bigint"), lambda seen, w: seen.bitwiseOR(index[w]))
+
+
 def detector(overlapping: Column, negated_a: Column, negated_b: Column, hit: Column) -> Column:
     """``negation_mismatch``, ``antonym_pair`` or null; claims must overlap first."""
     return F.when(overlapping < L.OVERLAP_FLOOR, F.lit(None)).when((negated_a > 0) != (negated_b > 0), F.lit("negation_mismatch")).when(hit.isNotNull(), F.lit("antonym_pair"))

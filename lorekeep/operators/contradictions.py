@@ -21,16 +21,19 @@ def scan(claims: DataFrame, slot_cols: tuple[str, ...] = ("kind", "slot"), key_c
 
     ``claims`` comes from ``claim_features``; a key comes once in its slot.  Claims that overlap enough
     share one of their rarer words, so they meet there, a slot that holds most claims dealt out by
-    its words; only keys meet.  Each pair that the filters leave is compared once, by hashes first.
+    its words; only keys meet, and only where one of two claims is negated or they hold antonyms.  Each
+    pair that the filters leave is compared once, by hashes first.
     """
     from lorekeep.functions.lexicon import OVERLAP_FLOOR
     from lorekeep.operators.similarity import may_reach, rare_first
 
     claims = claims.where(F.size("words") > 0)
     by = list(slot_cols)
-    prefixes = rare_first(claims, by, "codes", [key_col], OVERLAP_FLOOR)
-    sides = [prefixes.withColumnsRenamed({c: f"{c}_{n}" for c in (key_col, "n", "pos")}) for n in ("a", "b")]
-    met = sides[0].join(sides[1], [*by, "item"]).where((F.col(f"{key_col}_a") < F.col(f"{key_col}_b")) & may_reach(OVERLAP_FLOOR))
+    marks = {"__denied": F.col("negated") > 0, "__has": X.antonym_bits(F.col("words")), "__wants": X.antonym_bits(F.col("words"), partners=True)}
+    prefixes = rare_first(claims.withColumns(marks), by, "codes", [key_col, *marks], OVERLAP_FLOOR)
+    sides = [prefixes.withColumnsRenamed({c: f"{c}_{n}" for c in (key_col, "n", "pos", *marks)}) for n in ("a", "b")]
+    opposed = (F.col("__denied_a") != F.col("__denied_b")) | (F.col("__has_a").bitwiseAND(F.col("__wants_b")) != 0)
+    met = sides[0].join(sides[1], [*by, "item"]).where((F.col(f"{key_col}_a") < F.col(f"{key_col}_b")) & opposed & may_reach(OVERLAP_FLOOR))
     pairs = met.select(*by, f"{key_col}_a", f"{key_col}_b").distinct()
     for n in ("a", "b"):  # hashes of words stand for them until few pairs are left
         pairs = pairs.join(claims.select(*by, F.col(key_col).alias(f"{key_col}_{n}"), F.col("codes").alias(f"codes_{n}")), [*by, f"{key_col}_{n}"])
