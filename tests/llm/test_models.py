@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import os
@@ -337,7 +338,9 @@ def test_media_features(docs, rows, empty):
     by_text = dict(zip([(x[0], len((x[1] or "").encode())) for x in rows], [x[1] for x in rows], strict=True))
     for r in got:
         payload = motion_jpeg.padded((by_text[r["doc_id"], r["n_bytes"]] or "").encode())
-        assert r["tail_crc32"] == zlib.crc32(payload[-32:])
+        assert r["tail_crc32"] == zlib.crc32(payload[-32:]) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        media = motion_jpeg.store(payload)
+        assert r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest()
     clips = motion_jpeg.clip_rows(motion_jpeg.to_media(docs))
     assert clips.agg(F.sum("frames")).first()[0] == sum(r["payload_bytes"] for r in got) // 576
     assert motion_jpeg.media_features(empty).count() == 0
