@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import in_blocks, map_arrow, type_of
 
 MARK = "▁"
-#: A run of marks with what follows it up to the next mark or line feed; or what follows a line feed; or line feeds.
-CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
+#: A run of marks (or spaces, which the library turns into marks) with what follows it up to the next one or a
+#: line feed; or what follows a line feed; or line feeds.
+CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+|\n+")
 
 
 class ChunkTable:
-    """Ids and decoded text of chunks.
+    """Ids of chunks, and the decoded text of those that don't decode to themselves.
 
     What is kept takes ``most_bytes`` at most, in two generations: a full young one becomes the old one,
     whose chunks move back as they are met again, so that frequent chunks are segmented once a task.
@@ -35,45 +37,56 @@ class ChunkTable:
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model_path) if isinstance(model_path, bytes) else sentencepiece.SentencePieceProcessor(model_file=model_path)
         library = self.library
-        pieces = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+        numbers = range(library.get_piece_size())
+        pieces = [library.id_to_piece(i) for i in numbers]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("pieces of this model cross word marks or line feeds; chunks can't be segmented alone")
         self.head = library.encode("\n")
         if len(self.head) != 2 or library.normalize("a  b ") != f"{MARK}a{MARK}{MARK}b{MARK}":
             raise ValueError("this model normalises white space; chunks can't be segmented alone")
-        self.end, self.most = library.eos_id(), most_bytes
-        self.young: dict[str, tuple[str, str, int]] = {}
-        self.old: dict[str, tuple[str, str, int]] = {}
+        special = lambda i: library.is_control(i) or library.is_unknown(i) or library.is_byte(i)
+        #: The text of each piece; that of special ones can be part of no chunk.
+        self.texts = ["\0\n" if special(i) else p.replace(MARK, " ") for i, p in zip(numbers, pieces, strict=True)]
+        self.shown = [f"{i} " for i in numbers]
+        self.end, self.most = str(library.eos_id()), most_bytes
+        self.young: dict[str, str] = {}  # each decimal id with a space behind it
+        self.old: dict[str, str] = {}
+        self.unlike: dict[str, str] = {}  # of chunks of either generation
         self.held = 0
 
     def learn(self, chunks: list[list[str]]) -> None:
         """Afterwards all of ``chunks`` are young."""
         if self.held > self.most:
             self.old, self.young, self.held = self.young, {}, 0
+            self.unlike = {c: x for c, x in self.unlike.items() if c in self.old}
         new = []
-        for chunk in {c for x in chunks for c in x}.difference(self.young):
+        for chunk in set().union(*chunks).difference(self.young):
             if (known := self.old.get(chunk)) is None:
                 new.append(chunk)
             else:
                 self._keep(chunk, known)
+        text_of, shown_as = self.texts.__getitem__, self.shown.__getitem__
         # Behind a line feed no mark is added, and nothing merges with it.
         for chunk, ids in zip(new, self.library.encode(["\n" + c for c in new], num_threads=1), strict=True):
             ids = ids[2:]
-            self._keep(chunk, (" ".join(map(str, ids)), self.library.decode([*self.head, *ids])[1:], len(ids)))
+            # Pieces that spell the chunk decode to it; only others need the library's word.
+            if "".join(map(text_of, ids)) != chunk and (decoded := self.library.decode([*self.head, *ids])[1:]) != chunk:
+                self.unlike[chunk] = decoded
+            self._keep(chunk, "".join(map(shown_as, ids)))
 
-    def _keep(self, chunk: str, found: tuple[str, str, int]) -> None:
-        self.young[chunk] = found
-        self.held += 330 + len(chunk) + len(found[0]) + len(found[1])  # objects of an entry, and its characters
+    def _keep(self, chunk: str, ids: str) -> None:
+        self.young[chunk] = ids
+        self.held += 40 + getsizeof(chunk) + getsizeof(ids) + getsizeof(self.unlike.get(chunk))  # a place in the table, and what stands there
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """For each text: its decimal ids joined by a space (the end id last), decoded text, number of ids."""
-        chunked = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        chunked = [CHUNK.findall(" " + t) if t else [] for t in texts]
         self.learn(chunked)
-        out = []
-        for chunks in chunked:
-            found = [self.young[c] for c in chunks]
-            ids = " ".join([x[0] for x in found] + [str(self.end)])
-            out.append((ids, "".join([x[1] for x in found])[1:], sum([x[2] for x in found]) + 1))
+        ids_of, out = self.young.__getitem__, []
+        for text, chunks in zip(texts, chunked, strict=True):
+            ids = "".join(map(ids_of, chunks)) + self.end
+            decoded = text if not self.unlike or self.unlike.keys().isdisjoint(chunks) else "".join([self.unlike.get(c, c) for c in chunks])[1:]
+            out.append((ids, decoded, ids.count(" ") + 1))
         return out
 
 

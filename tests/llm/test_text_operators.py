@@ -174,6 +174,20 @@ def test_chunks_encode_like_the_library(text):
     assert TABLE.encode([text]) == [(" ".join(map(str, ids)), TABLE.library.decode(ids), len(ids))]
 
 
+def test_only_chunks_that_do_not_spell_their_pieces_are_decoded(monkeypatch):
+    table, library = piece_encoding.ChunkTable(MODEL, 2000), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    decoded = []
+    monkeypatch.setattr(table.library, "decode", lambda ids: decoded.append(ids) or library.decode(ids))
+    plain = " ".join(f"word{i} naïve" for i in range(200))
+    # Marks of the text itself are decoded to spaces, also by entries that have been in both generations.
+    texts = [plain, *[f"▁marked ▁ {i} 😀\n<0x0A> {plain[:300]}" for i in range(40)]]
+    for text in texts:
+        ids = library.encode(text, add_eos=True)
+        assert table.encode([text]) == [(" ".join(map(str, ids)), library.decode(ids), len(ids))]
+        assert text != plain or not decoded
+    assert len(table.unlike) <= len(table.young) + len(table.old)
+
+
 def test_piece_encoding(docs, rows, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     wanted = Counter()
