@@ -27,12 +27,12 @@ folder as a table; training, counting and scoring go on from there, each reading
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -75,7 +75,7 @@ class Words:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
         self.hashes = np.zeros(0, np.uint64)
 
@@ -83,24 +83,24 @@ class Words:
         """Valid until the next call."""
         if len(self.known) > self.most:
             self.reset()
-        at, distinct = pd.factorize(np.array(words, dtype=object))
-        distinct = distinct.tolist()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            encoded = self.library.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
+        before = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        if len(self.known) > before:
+            new = list(islice(self.known, before, None))
+            # A word holds no line feed, so that all can be decoded in one go.
+            encoded = self.library.encode(b"\n".join(new).decode("utf-8", "replace").split("\n"), num_threads=1)
             lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint16, int(lengths.sum()))])
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int32, len(distinct))[at]
+        return at
 
     def id_run(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of words, and how many each has."""
         lengths = self.lengths[places]
         ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(self.starts[places], lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[places] - ends + lengths, lengths)
         return self.ids[at], lengths
 
 
@@ -244,10 +244,39 @@ def _by_group(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int
     return order[first:], [(g, edges[g] - first, edges[g + 1] - first) for g in range(GROUPS) if edges[g] < edges[g + 1]]
 
 
-def _with_ones(n: int, kind: type = np.float32) -> np.ndarray:
-    x = np.empty((n, WIDTH + 1), kind)
-    x[:, WIDTH] = 1
-    return x
+#: Arrays of one number.  numpy compares with an array several times faster than with the number itself.
+_FULL: dict[tuple, np.ndarray] = {}
+
+
+def _flat_and_full(x: np.ndarray, value: int) -> tuple[np.ndarray, np.ndarray]:
+    flat, name = x.reshape(-1), (value, x.dtype)
+    if name not in _FULL or len(_FULL[name]) < len(flat):
+        _FULL[name] = np.full(len(flat), value, x.dtype)
+    return flat, _FULL[name][: len(flat)]
+
+
+def _cap(x: np.ndarray) -> None:
+    """Values at most 50, in place."""
+    flat, most = _flat_and_full(x, 50)
+    np.minimum(flat, most, out=flat)
+
+
+def _cut_negative(x: np.ndarray) -> None:
+    flat, least = _flat_and_full(x, 0)
+    np.maximum(flat, least, out=flat)
+
+
+def _add_row(x: np.ndarray, row: np.ndarray, at_once: int = 32) -> None:
+    """``x += row``, in longer runs than a row."""
+    n = len(x) // at_once * at_once
+    many = x[:n].reshape(-1, at_once * len(row))
+    many += np.tile(row, at_once)
+    x[n:] += row
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    """``x`` and a column of zeros, so that products with it have room for a column of ones."""
+    return np.concatenate([x, np.zeros_like(x[:, :1])], axis=1)
 
 
 class Scorer:
@@ -256,43 +285,47 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         w, e = model.weights, model.embed
         self.model = model
-        one = np.ones((len(e), 1), np.float32)  # in the keys it sums the weights
-        self.q, self.k = np.hstack([e @ w["qk"] * np.float32(1 / np.sqrt(WIDTH)), one]), np.hstack([with_mask(e, model.pad), one])
+        self.q = e @ w["qk"] * np.float32(1 / np.sqrt(WIDTH))
         self.near, self.class_of = w["near"] + _LATER, np.append(model.classes, -1)  # the target -1 has the class -1
-        self.group_bias, self.class_bias = model.groups, model.follow.reshape(-1, MEMBERS)
+        self.group_bias, self.class_bias = model.groups + w["g"][WIDTH], model.follow.reshape(-1, MEMBERS)
+        self.own_bias = np.ascontiguousarray(w["c"][:, WIDTH])
 
     def log_probs(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """ln p of each target; 0 where there is none."""
         w, m = self.model.weights, self.model
         n, last = len(keys), keys[:, KEYS - SCORED :]
-        k = self.k.take(keys, axis=0)
-        z = np.matmul(self.q.take(last, axis=0), k[:, :, : WIDTH + 1].transpose(0, 2, 1))
+        k = m.embed.take(keys, axis=0)
+        z = np.matmul(self.q.take(last, axis=0), k.transpose(0, 2, 1))
         z += self.near
-        np.minimum(z, 50, out=z)
+        padding = keys == m.pad
+        if len(padded := np.flatnonzero(padding.any(axis=1))):  # only where a text begins or ends
+            z[padded] += np.where(padding[padded], np.float32(-1e4), np.float32(0))[:, None, :]
+        _cap(z)
         np.exp(z, out=z)
-        met = np.matmul(z, k).reshape(n * SCORED, WIDTH + 2)
+        weight, met = z.reshape(-1, KEYS) @ _ONES[:KEYS], np.matmul(z, k).reshape(-1, WIDTH)
         flat, last = targets.ravel(), last.ravel()
         wanted = self.class_of.take(flat)
         at, runs = _by_group(wanted)
-        last, wanted, met = last.take(at), wanted.take(at), met.take(at, axis=0)
-        x = _with_ones(len(at))
-        np.divide(met[:, :WIDTH], met[:, WIDTH + 1 :], out=met[:, :WIDTH])
-        x[:, :WIDTH] = met[:, :WIDTH] @ w["vo"] + m.embed.take(last, axis=0)
-        hidden = x[:, :WIDTH] @ w["h"]
-        hidden += w["hb"]
-        np.maximum(hidden, 0, out=hidden)
-        x[:, :WIDTH] += hidden @ w["u"]
-        groups, members, rows = wanted // MEMBERS, wanted % MEMBERS, np.arange(len(at))
-        logits = x @ w["g"]
+        last, wanted = last.take(at), wanted.take(at)
+        x = met.take(at, axis=0) @ w["vo"]
+        x /= weight.take(at)[:, None]
+        x += m.embed.take(last, axis=0)
+        hidden = x @ w["h"]
+        _add_row(hidden, w["hb"])
+        _cut_negative(hidden)
+        x += hidden @ w["u"]
+        groups, members, begins = wanted // MEMBERS, wanted % MEMBERS, np.arange(len(at))
+        logits = x @ w["g"][:WIDTH]
         logits += self.group_bias.take(last, axis=0)
         own = np.empty((len(at), MEMBERS), np.float32)
         for g, begin, end in runs:
-            np.matmul(x[begin:end], w["c"][g], out=own[begin:end])
+            np.matmul(x[begin:end], w["c"][g, :WIDTH], out=own[begin:end])
         own += self.class_bias.take(last * GROUPS + groups, axis=0)
+        own += self.own_bias.take(groups, axis=0)
         total = m.log_share.take(flat.take(at))
         for values, chosen in ((logits, groups), (own, members)):
-            np.minimum(values, 50, out=values)
-            total += values[rows, chosen]
+            _cap(values)
+            total += values.reshape(-1).take(begins * values.shape[1] + chosen)
             np.exp(values, out=values)
             total -= np.log(values @ _ONES[: values.shape[1]])
         out = np.zeros(n * SCORED, np.float32)
@@ -309,11 +342,11 @@ class Scorer:
         return sums / np.log(10)
 
 
-_ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
+_ONES = np.ones(max(GROUPS, MEMBERS, KEYS), np.float32)
 
 
 def _softmax(logits: np.ndarray) -> None:
-    np.minimum(logits, 50, out=logits)
+    _cap(logits)
     np.exp(logits, out=logits)
     logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None] + np.float32(1e-30)
 
@@ -331,28 +364,29 @@ def gradients(w: dict[str, np.ndarray], masked: np.ndarray, group_bias: np.ndarr
     windowed = lambda t: t.reshape(n, -1, t.shape[-1])  # noqa: E731  one product of all rows is faster than one a window
     last = keys[:, KEYS - SCORED :].ravel()
     x = masked.take(keys, axis=0)
-    xq = x[:, KEYS - SCORED :, :WIDTH].reshape(-1, WIDTH)
+    xq = x[:, KEYS - SCORED :].copy().reshape(-1, WIDTH + 1)
+    xq[:, WIDTH] = 1
     turned = np.ascontiguousarray(x.transpose(0, 2, 1))
-    q = _with_ones(n * SCORED, kind)
-    np.matmul(xq, w["qk"] * scale, out=q[:, :WIDTH])
-    a = np.matmul(windowed(q), turned)
+    project = np.eye(WIDTH + 1, dtype=kind)  # the ones stay
+    project[:WIDTH, :WIDTH] = w["qk"] * scale
+    a = np.matmul(windowed(xq @ project), turned)
     a += w["near"] + _LATER
-    np.minimum(a, 50, out=a)
+    _cap(a)
     np.exp(a, out=a)
-    a /= np.matmul(a, np.ones((KEYS, 1), kind)) + np.float32(1e-30)
+    by_key = a.reshape(-1, KEYS)
+    by_key /= (by_key @ np.ones(KEYS, kind))[:, None] + np.float32(1e-30)
     met = np.matmul(a, x[:, :, :WIDTH]).reshape(-1, WIDTH)
     # What has no class takes no part from here on; the rest is put in order of groups.
     wanted = classes.ravel()
     at, runs = _by_group(wanted)
     total, wanted, last, met = max(1, len(at)), wanted.take(at), last.take(at), met.take(at, axis=0)
-    groups, members, rows, ones = wanted // MEMBERS, wanted % MEMBERS, np.arange(len(at)), np.ones(len(at), kind)
-    x1 = met @ w["vo"]
+    groups, members, begins = wanted // MEMBERS, wanted % MEMBERS, np.arange(len(at))
+    x1 = met @ _wide(w["vo"])
     x1 += xq.take(at, axis=0)
-    hidden = x1 @ w["h"]
-    hidden += w["hb"]
-    np.maximum(hidden, 0, out=hidden)
-    x2 = _with_ones(len(at), kind)
-    np.add(x1, hidden @ w["u"], out=x2[:, :WIDTH])
+    hidden = x1 @ np.concatenate([w["h"], w["hb"][None]])
+    _cut_negative(hidden)
+    x2 = hidden @ _wide(w["u"])
+    x2 += x1
     dg = x2 @ w["g"]
     dg += group_bias.take(last, axis=0)
     dc = np.empty((len(at), MEMBERS), kind)
@@ -361,9 +395,10 @@ def gradients(w: dict[str, np.ndarray], masked: np.ndarray, group_bias: np.ndarr
     dc += class_bias.take(last * GROUPS + groups, axis=0)
     _softmax(dg)
     _softmax(dc)
-    loss = -float(np.log(np.maximum(dg[rows, groups] * dc[rows, members], 1e-30)).sum()) / total if with_loss else None
-    dg[rows, groups] -= 1
-    dc[rows, members] -= 1
+    chosen = [(y.reshape(-1), begins * y.shape[1] + of) for y, of in ((dg, groups), (dc, members))]
+    loss = -float(np.log(np.maximum(np.prod([y.take(i) for y, i in chosen], axis=0), 1e-30)).sum()) / total if with_loss else None
+    for y, i in chosen:
+        y[i] = y.take(i) - 1
     grad = {"g": x2.T @ dg, "c": np.zeros_like(w["c"])}
     d2 = np.empty((len(at), WIDTH), kind)
     for g, begin, end in runs:
@@ -374,19 +409,19 @@ def gradients(w: dict[str, np.ndarray], masked: np.ndarray, group_bias: np.ndarr
     grad["u"] = hidden.T @ d2
     dh = d2 @ w["u"].T
     dh *= hidden > 0
-    grad["h"], grad["hb"] = x1.T @ dh, ones @ dh
+    both = x1.T @ dh
+    grad["h"], grad["hb"] = both[:WIDTH], both[WIDTH]
     d2 += dh @ w["h"].T
     grad["vo"] = met.T @ d2
-    dmet = d2 @ w["vo"].T
+    dmet = d2 @ _wide(w["vo"].T)
+    dmet[:, WIDTH] = (dmet[:, :WIDTH] * met) @ np.ones(WIDTH, kind)  # the mean of what each key gets
     back = np.zeros((n * SCORED, WIDTH + 1), kind)
-    back[at, :WIDTH] = dmet
-    back[at, WIDTH] = (dmet * met) @ np.ones(WIDTH, kind)  # the mean of what each key gets
-    back = windowed(back)
-    da = np.matmul(back[:, :, :WIDTH], turned[:, :WIDTH])
-    da -= back[:, :, WIDTH:]
+    back[at] = dmet
+    turned[:, WIDTH] = -1  # takes off the mean
+    da = np.matmul(windowed(back), turned)
     da *= a
     grad["near"] = da.sum(axis=0)
-    grad["qk"] = xq.T @ np.matmul(da, x[:, :, :WIDTH]).reshape(-1, WIDTH) * scale
+    grad["qk"] = (xq.T @ np.matmul(da, x[:, :, :WIDTH]).reshape(-1, WIDTH))[:WIDTH] * scale
     return loss, {k: g * np.float32(1 / total) for k, g in grad.items()}  # sums so far
 
 

@@ -125,6 +125,66 @@ def test_gradients():
         assert abs((both[0] - both[1]) / 2e-5 - g[name][i]) < 1e-5
 
 
+def test_scorer_follows_the_plain_formula():
+    model, _ = random_model()
+    r = np.random.default_rng(4)
+    w = {k: v + 0.2 * r.standard_normal(v.shape) for k, v in model.weights.items()}
+    model.weights = {k: v.astype(np.float32) for k, v in w.items()}
+    lengths = np.array([1, 7, 16, 17, 40])
+    ids = r.integers(0, 60, lengths.sum())
+    keys, targets, _ = next(lm_scoring.windows(ids, lengths, model.start, model.pad))
+    got = lm_scoring.Scorer(model).log_probs(keys, targets)
+    ones = np.array([lm_scoring.Scorer(model).log_probs(keys[i : i + 1], targets[i : i + 1])[0] for i in range(len(keys))])
+    e, groups = model.embed.astype(float), lm_scoring.group_logits(model.follow.astype(float))
+    ln_softmax = lambda x: x - np.log(np.exp(x).sum())
+    for i, j in np.argwhere(targets >= 0):
+        here = j + lm_scoring.KEYS - lm_scoring.SCORED
+        seen = [n for n in range(here + 1) if keys[i, n] != model.pad]
+        last, before = keys[i, here], e[keys[i, seen]]
+        a = np.exp(ln_softmax(before @ (e[last] @ w["qk"]) / np.sqrt(lm_scoring.WIDTH) + w["near"][j, seen]))
+        x = e[last] + a @ before @ w["vo"]
+        x = np.append(x + np.maximum(x @ w["h"] + w["hb"], 0) @ w["u"], 1)
+        g, c = divmod(model.classes[targets[i, j]], lm_scoring.MEMBERS)
+        own = model.follow[last, g * lm_scoring.MEMBERS : (g + 1) * lm_scoring.MEMBERS]
+        wanted = ln_softmax(x @ w["g"] + groups[last])[g] + ln_softmax(x @ w["c"][g] + own)[c] + model.log_share[targets[i, j]]
+        assert abs(got[i, j] - wanted) < 1e-3 and abs(ones[i, j] - wanted) < 1e-3
+    assert (got[targets < 0] == 0).all()
+
+
+def test_gradients_of_windows_add_up():
+    model, _ = random_model()
+    r = np.random.default_rng(3)
+    keys, classes = r.integers(0, 62, (5, lm_scoring.KEYS)), r.integers(0, lm_scoring.CLASSES, (5, lm_scoring.SCORED))
+    args = lm_scoring.with_mask(model.embed, model.pad), model.groups, model.follow.reshape(-1, lm_scoring.MEMBERS)
+    whole = lm_scoring.gradients(model.weights, *args, keys, classes)[1]
+    single = [lm_scoring.gradients(model.weights, *args, keys[i : i + 1], classes[i : i + 1])[1] for i in range(5)]
+    assert all(np.allclose(x, np.mean([g[k] for g in single], axis=0), atol=1e-5) for k, x in whole.items())
+
+
+@pytest.mark.parametrize("rows", [0, 1, 31, 32, 33, 100])
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_operations_on_long_runs(rows, kind):
+    """The cheap forms of minimum, maximum and adding a row."""
+    x = (np.random.default_rng(rows).standard_normal((rows, 16)) * 60).astype(kind)
+    row = np.arange(16).astype(kind)
+    for cheap, plain in ((lm_scoring._cap, np.minimum(x, 50)), (lm_scoring._cut_negative, np.maximum(x, 0)), (lambda y: lm_scoring._add_row(y, row), x + row)):
+        y = x.copy()
+        cheap(y)
+        assert y.dtype == kind and (y == plain).all()
+
+
+def test_words_keep_their_places():
+    with open(vocabulary_path("piece_bpe_32k.model"), "rb") as f:
+        words = lm_scoring.Words(f.read(), most=6)
+    for _ in range(2):
+        for many in (["tide", "quay", "tide"], [], ["quay", "\x85", "\u2028x", "▁", "😀", "\x1c", "tide"], ["new", "quay", "new"]):
+            places = words.places([w.encode() for w in many])
+            run, lengths = words.id_run(places)
+            wanted = [words.library.encode(w) for w in many]
+            assert run.tolist() == sum(wanted, []) and lengths.tolist() == [len(x) for x in wanted]
+            assert len(words.hashes) == len(words.lengths) == len(words.known)
+
+
 def test_score_beats_the_base_on_held_out_texts(spark):
     """Texts of a Markov chain: what comes next depends on the word before, and on one further back."""
     r = np.random.default_rng(9)
