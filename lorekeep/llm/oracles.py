@@ -56,5 +56,38 @@ sized AS (
 MIXING = f"WITH {MIXING_CTE.format(docs='documents')} SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken FROM mixed"
 
 
+SOURCE_AUDIT = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), words AS (
+  SELECT row_id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), counted AS (
+  SELECT w.lang, w.source, w.term, count(*) AS c FROM words w JOIN kept USING (lang, term) GROUP BY ALL
+), pairs_of AS (
+  SELECT DISTINCT lang, source FROM d
+), sized AS (
+  SELECT g.lang, g.source, coalesce((SELECT sum(c) FROM counted x WHERE x.lang = g.lang AND x.source = g.source), 0) AS n FROM pairs_of g
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c, CAST(1 + (1000000000 * CAST(coalesce(c.c, 0) + 1 AS HUGEINT)) // (s.n + l.v) AS BIGINT) AS p,
+    CAST(1 + (1000000000 * CAST(k.total + 1 AS HUGEINT)) // (l.n + l.v) AS BIGINT) AS whole
+  FROM sized s JOIN kept k ON s.lang = k.lang JOIN langs l ON l.lang = s.lang LEFT JOIN counted c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM pairs_of a JOIN pairs_of b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - whole) * (p - whole) // whole FROM shares WHERE c > 0 AND p > whole
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP, "op6_line_dedup": LINE_DEDUP, "op7_mixing": MIXING}
+    return {"op3_exact_dedup": EXACT_DEDUP, "op6_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op13_source_audit": SOURCE_AUDIT}

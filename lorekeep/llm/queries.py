@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, lm_scoring, mixing, motion_jpeg, piece_encoding, quality, token_counts
+from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, lm_scoring, mixing, motion_jpeg, piece_encoding, quality, source_audit, token_counts
 from lorekeep.llm.common import table
 
 
@@ -74,6 +74,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -86,4 +90,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_quality": op9_quality,
         "op10_jaccard_join": op10_jaccard_join,
+        "op13_source_audit": op13_source_audit,
     }
