@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, lm_scoring, mixing, motion_jpeg, piece_encoding, quality, source_audit, token_counts
+from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, lm_scoring, mixing, motion_jpeg, piece_encoding, quality, secret_scan, source_audit, token_counts
 from lorekeep.llm.common import table
 
 
@@ -74,6 +74,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda *kinds: F.filter("secrets", lambda x: x["kind"].isin(*kinds))
+    counts = [F.size(of(kind)).cast("bigint").alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(of(*secret_scan.BASE_KINDS)), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
@@ -90,5 +98,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_quality": op9_quality,
         "op10_jaccard_join": op10_jaccard_join,
+        "op12_secret_scan": op12_secret_scan,
         "op13_source_audit": op13_source_audit,
     }
