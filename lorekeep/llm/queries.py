@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, lm_scoring, mixing, motion_jpeg, piece_encoding, quality, secret_scan, source_audit, token_counts
+from lorekeep.llm import exact_dedup, html_blocks, jaccard_join, line_dedup, lm_scoring, mixing, motion_jpeg, piece_encoding, quality, secret_scan, source_audit, token_alignment, token_counts
 from lorekeep.llm.common import table
 
 
@@ -74,6 +74,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"), digests=True)
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_quality": op9_quality,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_token_alignment": op11_token_alignment,
         "op12_secret_scan": op12_secret_scan,
         "op13_source_audit": op13_source_audit,
     }
