@@ -58,8 +58,9 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def staged(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """Writes ``df`` as a table in the shared folder: the table, read column by column, and what deletes it."""
+def staged(df: DataFrame, **options: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Writes ``df`` as a table in the shared folder: the table, read column by column, and what deletes it.
+    ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
 
@@ -68,7 +69,7 @@ def staged(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return spark.read.schema(df.schema).parquet(path), delete
     except BaseException:
         delete()
