@@ -9,7 +9,8 @@ bytes into groups; a link is a token of A and one of B that overlap, one for eac
 
 How often an id pair is linked is counted over distinct segments by their occurrences.  The counts go back to each
 part of the segments for the pairs that it holds; the aligned segments go back to the blocks, where the texts are
-put together again by number.
+put together again by number.  Between these steps stand tables in the shared folder, so that each step's shuffle
+can go before the next one's comes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACE_CHARS, cut, kept_until_done, map_arrow, small_batches, trim, type_of
+from lorekeep.llm.common import SPACE_CHARS, cut, map_arrow, release, small_batches, staged, trim, type_of
 
 #: Any white space, by whichever definition: a text is cut only behind what none of them counts as such.
 ANY_SPACE = r"\s᠎"
 _SPACE = re.compile(f"[{ANY_SPACE}]")
 MARK = "▁"
-#: Bytes of text whose distinct segments are numbered together, distinct segments of a part, characters that are tokenized at once.
-BLOCK_BYTES, PART_ROWS, RUN_CHARS = 16 << 20, 200_000, 1 << 16
+#: Bytes of text whose distinct segments are numbered together, rows of segments of a part, characters that are tokenized at once.
+BLOCK_BYTES, PART_ROWS, RUN_CHARS = 32 << 20, 200_000, 1 << 16
 #: Pairs that a task adds up before it lets go of them.
 MOST_PAIRS = 2_000_000
 
@@ -86,7 +87,7 @@ class TwoTokenizers:
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in xs]) for xs in (self.a_bytes, self.b_bytes))
         self.head = b.encode("\n")
         numbers = max(len(self.a_bytes), len(self.b_bytes))
-        self.shown = [f"{i}{mark}" for i in range(numbers) for mark in ",|;"]
+        self.shown = [f"{i}{mark}" for i in range(numbers) for mark in ",|.;"]
         self.shown_lengths = np.array([len(x) for x in self.shown])
         self._verify(rules)
 
@@ -101,18 +102,19 @@ class TwoTokenizers:
             raise ValueError("a token holds a space behind something else: segments can't be cut there")
         self.segment = segment_pattern(uncut)
 
-    def align(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """For each segment its groups (each with a semicolon behind it) and three counts: tokens of A, of B, and groups.
-        Then the links of all, coded as ``A id << 32 | B id``, and how many of them each segment has."""
-        groups, counts, links, linked = [""] * len(segments), np.zeros((len(segments), 3), np.int64), [], np.zeros(len(segments), np.int64)
+    def align(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For each segment its groups: ids of A with commas between and a bar behind, ids of B with dots between and a
+        semicolon behind, so that counting marks counts tokens.  Then the links of all, coded as
+        ``A id << 32 | B id``, and how many of them each segment has."""
+        groups, links, linked = [""] * len(segments), [], np.zeros(len(segments), np.int64)
         run: list[int] = []
         size = 0
 
         def tokenized(numbers: list[int]) -> None:
-            strings, counted, codes, lengths = self._run([segments[i] for i in numbers])
+            strings, codes, lengths = self._run([segments[i] for i in numbers])
             for i, s in zip(numbers, strings, strict=True):
                 groups[i] = s
-            counts[numbers], linked[numbers] = counted, lengths
+            linked[numbers] = lengths
             links.append((numbers, codes, lengths))
 
         for i, segment in enumerate(segments):
@@ -131,9 +133,9 @@ class TwoTokenizers:
         for numbers, codes, lengths in links:
             at = np.repeat(begins[numbers] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(codes))
             ordered[at] = codes
-        return groups, counts, ordered, linked
+        return groups, ordered, linked
 
-    def _run(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def _run(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         text = "".join(segments)
         raw = text.encode()
         a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
@@ -148,14 +150,13 @@ class TwoTokenizers:
         every = np.union1d(a_ends, b_ends)
         codes = a[np.searchsorted(a_ends, every)] << 32 | b[np.searchsorted(b_ends, every)]
         of = lambda ends: np.bincount(np.searchsorted(own, ends), minlength=len(segments))
-        counted = np.stack([of(a_ends), of(b_ends), of(shared)], axis=1)
         # Within a group the tokens of A, then those of B; the last of each side ends the side.
         order = np.argsort(np.concatenate([2 * np.searchsorted(shared, a_ends), 2 * np.searchsorted(shared, b_ends) + 1]), kind="stable")
         last = lambda ends: np.isin(ends, shared, assume_unique=True)
-        shown = np.concatenate([3 * a + last(a_ends), 3 * b + 2 * last(b_ends)])[order]
+        shown = np.concatenate([4 * a + last(a_ends), 4 * b + 2 + last(b_ends)])[order]
         line = "".join(map(self.shown.__getitem__, shown.tolist()))
-        ends = np.cumsum(self.shown_lengths[shown])[np.cumsum(counted[:, 0] + counted[:, 1]) - 1].tolist()
-        return [line[i:j] for i, j in zip([0, *ends], ends, strict=False)], counted, codes, of(every)
+        ends = np.cumsum(self.shown_lengths[shown])[np.cumsum(of(a_ends) + of(b_ends)) - 1].tolist()
+        return [line[i:j] for i, j in zip([0, *ends], ends, strict=False)], codes, of(every)
 
 
 def _numbers(places: bytes) -> np.ndarray:
@@ -185,7 +186,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, segme
 
         def flushed() -> Iterator[pa.RecordBatch]:
             block = task << 32 | done
-            counts = np.bincount(np.concatenate([*texts, np.empty(0, np.int64)]), minlength=len(known))
+            counts = np.bincount(np.concatenate([*texts, np.empty(0, np.int32)]), minlength=len(known))
             rank = np.empty(len(known), np.int64)
             rank[np.argsort(-counts, kind="stable")] = np.arange(len(known))
             places = [_packed(rank[x], tool) for x in texts]
@@ -195,18 +196,18 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, segme
                 k = len(some)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * k, kinds[0]), some, pa.array(places[row : row + k], kinds[2]), *[pa.nulls(k, t) for t in kinds[3:]]], names=names)
                 row += k
-            segments = list(known)
+            segments = sorted(known)  # neighbours are alike, and take less room
             for i in range(0, len(segments), 50_000):
                 some = segments[i : i + 50_000]
-                k = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * k, kinds[0]), pa.nulls(k, id_type), pa.nulls(k, kinds[2]), pa.array(rank[i : i + k], kinds[3]), pa.array(some, kinds[4]), pa.array(counts[i : i + k], kinds[5])], names=names)
+                k, at = len(some), np.array([known[s] for s in some])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * k, kinds[0]), pa.nulls(k, id_type), pa.nulls(k, kinds[2]), pa.array(rank[at], kinds[3]), pa.array(some, kinds[4]), pa.array(counts[at], kinds[5])], names=names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
             begin = 0
             for row, text in enumerate(batch.column(1).to_pylist()):
                 parts = segment.findall(" " + text) if text and MARK not in text else []
-                texts.append(np.array([known.setdefault(s, len(known)) for s in parts], np.int64))
+                texts.append(np.array([known.setdefault(s, len(known)) for s in parts], np.int32))
                 size += len(text or "")
                 if size > block_bytes:
                     ids.append(batch.column(0).slice(begin, row + 1 - begin))
@@ -222,15 +223,20 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, segme
     return map_arrow(docs.select(F.col(id_col), F.col(text_col)), work, f"block bigint, id {type_of(docs, id_col)}, places binary, number int, segment string, n bigint")
 
 
-def _aligned(segments: DataFrame, shared) -> DataFrame:  # noqa: ANN001  a broadcast variable
-    """Two kinds of rows: a segment with its groups, counts and links; and a part's id pairs with the number of their
-    links in the corpus's occurrences of the part's segments."""
-    names = ["part", "segment", "groups", "n_a", "n_b", "n_groups", "links", "pair", "linked"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+def _aligned(rows: DataFrame, shared) -> DataFrame:  # noqa: ANN001  a broadcast variable
+    """``rows`` hold all rows of a segment in a row.  Three kinds of rows: a segment, numbered within its task, with its
+    groups and links; where in which block it stands; and an id pair with the number of its links in the corpus's
+    occurrences of the task's segments."""
+    names = ["part", "local", "groups", "links", "block", "number", "pair", "linked"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def made(count: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(count, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two, part = TwoTokenizers(*shared.value), TaskContext.get().partitionId()
         pairs, linked = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        done, last, last_links = 0, None, np.empty(0, np.int64)
 
         def added_up() -> None:
             every, at = np.unique(np.concatenate(pairs), return_inverse=True)
@@ -242,35 +248,52 @@ def _aligned(segments: DataFrame, shared) -> DataFrame:  # noqa: ANN001  a broad
             added_up()
             for i in range(0, len(pairs[0]), 100_000):
                 some, many = pairs[0][i : i + 100_000], linked[0][i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), kinds[0]), *[pa.nulls(len(some), t) for t in kinds[1:7]], pa.array(some), pa.array(many)], names=names)
+                yield made(len(some), part=pa.array([part] * len(some), kinds[0]), pair=pa.array(some), linked=pa.array(many))
             pairs[:], linked[:] = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
         for batch in batches:
-            k = batch.num_rows
-            groups, counts, links, lengths = two.align(batch.column(0).to_pylist())
+            runs = pa.compute.run_end_encode(batch.column(2))
+            segments, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            begins = np.concatenate([[0], ends[:-1]])
+            n = np.add.reduceat(batch.column(3).to_numpy(), begins)
+            goes_on = bool(segments) and segments[0] == last  # the last batch's last segment
+            if goes_on:
+                pairs.append(last_links)
+                linked.append(np.full(len(last_links), n[0]))
+            groups, links, lengths = two.align(segments[goes_on:])
             pairs.append(links)
-            linked.append(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths))
+            linked.append(np.repeat(n[goes_on:], lengths))
+            local = np.repeat(np.arange(done - goes_on, done - goes_on + len(segments)), ends - begins)
+            k = batch.num_rows
+            yield made(k, part=pa.array([part] * k, kinds[0]), local=pa.array(local, kinds[1]), block=batch.column(0), number=batch.column(1))
+            if k := len(groups):
+                at = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+                yield made(k, part=pa.array([part] * k, kinds[0]), local=pa.array(np.arange(done, done + k), kinds[1]), groups=pa.array(groups, kinds[2]), links=pa.ListArray.from_arrays(at, pa.array(links)))
+                last, last_links, done = segments[-1], links[len(links) - lengths[-1] :], done + k
             if sum(map(len, pairs)) > 2 * MOST_PAIRS:
                 added_up()
                 if len(pairs[0]) > MOST_PAIRS:
                     yield from pair_rows()
-            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            columns = [pa.array([part] * k, kinds[0]), batch.column(0), pa.array(groups, kinds[2]), *[pa.array(counts[:, i]) for i in range(3)], pa.ListArray.from_arrays(ends, pa.array(links))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, kinds[7]), pa.nulls(k, kinds[8])], names=names)
         yield from pair_rows()
 
-    return map_arrow(segments, work, "part bigint, segment string, groups string, n_a bigint, n_b bigint, n_groups bigint, links array<bigint>, pair bigint, linked bigint")
+    return map_arrow(rows.select("block", "number", "segment", "n"), work, "part bigint, local int, groups string, links array<bigint>, block bigint, number int, pair bigint, linked bigint")
 
 
-def _weighed(key: tuple, segments: pa.Table, pairs: pa.Table) -> pa.Table:
-    """The segments of a part with the sum of their links' counts, and the number of links that are their B id's best."""
+def _weighed(key: tuple, rows: pa.Table, pairs: pa.Table) -> pa.Table:
+    """A part's segments, wherever they stand, with the sum of their links' counts, and the number of links that are
+    their B id's best."""
     code, first = np.unique(pairs.column("pair").to_numpy(), return_index=True)
     count, best = pairs.column("count").to_numpy()[first], pairs.column("best").to_numpy()[first]
+    is_segment = pa.compute.is_valid(rows.column("groups"))
+    segments, places = rows.filter(is_segment).combine_chunks(), rows.filter(pa.compute.invert(is_segment))
     links = segments.column("links").combine_chunks()
     at = np.searchsorted(code, links.flatten().to_numpy(zero_copy_only=False))
     begins = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))])[:-1].astype(np.int64)
     sums = [np.add.reduceat(x[at].astype(np.int64), begins) if len(begins) else np.empty(0, np.int64) for x in (best, count)]
-    return segments.select(["segment", "groups", "n_a", "n_b", "n_groups"]).append_column("n_best", pa.array(sums[0])).append_column("count_sum", pa.array(sums[1]))
+    order = np.empty(len(segments), np.int64)
+    order[segments.column("local").to_numpy()] = np.arange(len(segments))
+    own = order[places.column("local").to_numpy()]
+    return pa.table([places.column("block"), places.column("number"), segments.column("groups").take(pa.array(own)), pa.array(sums[0][own]), pa.array(sums[1][own])], names=["block", "number", "groups", "n_best", "count_sum"])
 
 
 def align(
@@ -297,23 +320,26 @@ def align(
     id_type = type_of(docs, id_col)
 
     def composed(key: tuple, texts: pa.Table, segments: pa.Table) -> pa.Table:
-        number = segments.column("number").to_numpy()
-        order = np.argsort(number)
-        counts = np.stack([segments.column(c).to_numpy()[order] for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]) if len(order) else np.zeros((5, 0), np.int64)
+        order = np.argsort(segments.column("number").to_numpy())
         groups = segments.column("groups").take(pa.array(order)).to_pylist()
+        counts = np.zeros((5, len(order)), np.int64)
+        for row, marks in enumerate((",|", ".;", ";")):
+            for mark in marks:
+                counts[row] += np.array([g.count(mark) for g in groups], np.int64)
+        counts[3:] = [segments.column(c).to_numpy()[order] for c in ("n_best", "count_sum")]
         sums, shown = [], []
         for places in texts.column("places").to_pylist():
             numbers = _numbers(places)
             sums.append(counts[:, numbers].sum(axis=1))
-            if digests:
-                hashed, rest = hashlib.sha256(), ""
-                for i in range(0, len(numbers), 100_000):
-                    line = rest + "".join([groups[k] for k in numbers[i : i + 100_000].tolist()])
-                    hashed.update(line[:-1].encode())
-                    rest = ";"
-                shown.append(hashed.hexdigest() if len(numbers) else "")
-            else:
-                shown.append("".join([groups[k] for k in numbers.tolist()])[:-1])
+            lines = ("".join([groups[k] for k in numbers[i : i + 100_000].tolist()]).replace(".", ",") for i in range(0, len(numbers), 100_000))
+            if not digests:
+                shown.append("".join(lines)[:-1])
+                continue
+            hashed, rest = hashlib.sha256(), ""
+            for line in lines:
+                hashed.update((rest + line[:-1]).encode())
+                rest = ";"
+            shown.append(hashed.hexdigest() if len(numbers) else "")
         n_a, n_b, n_groups, n_best, count_sum = np.stack(sums, axis=1) if sums else np.zeros((5, 0), np.int64)
         columns = [texts.column("id"), *map(pa.array, (n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum)), pa.array(shown, pa.string())]
         made = pa.Table.from_arrays(columns, names=["id", *out])
@@ -321,20 +347,32 @@ def align(
         return made
 
     small_batches(spark)
-    with kept_until_done(spark) as keep:
+    deletes: list[Callable[[], None]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        """A table in the shared folder; shuffles behind it go."""
+        table, delete = staged(df, compression="zstd")
+        deletes.append(delete)
+        release(spark)
+        return table
+
+    try:
         blocks = keep(_blocks(docs, id_col, text_col, block_bytes, segment))
         rows = blocks.where("segment is not null").select("block", "number", "segment", "n")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // part_rows + 1)
-        distinct = rows.repartition(parts, "segment").groupBy("segment").agg(F.sum("n").alias("n"))
-        aligned = keep(_aligned(distinct, shared))
+        aligned = keep(_aligned(rows.repartition(parts, "segment").sortWithinPartitions("segment"), shared))
         pairs = aligned.where("pair is not null").select("part", "pair", "linked")
         of_b = Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF))  # no more rows than A has ids
         counted = pairs.groupBy("pair").agg(F.sum("linked").alias("count")).withColumn("best", F.col("count") == F.max("count").over(of_b))
         back = pairs.select(F.col("part").alias("of_part"), "pair").join(counted, "pair")
-        segments = aligned.where("segment is not null").select("part", "segment", "groups", "n_a", "n_b", "n_groups", "links")
-        weighed = segments.groupBy("part").cogroup(back.groupBy("of_part")).applyInArrow(_weighed, "segment string, groups string, n_a bigint, n_b bigint, n_groups bigint, n_best bigint, count_sum bigint")
-        found = rows.select(F.col("block").alias("of_block"), "number", "segment").join(weighed, "segment").drop("segment")
+        segments = aligned.where("pair is null").select("part", "local", "groups", "links", "block", "number")
+        found = keep(segments.groupBy("part").cogroup(back.groupBy("of_part")).applyInArrow(_weighed, "block bigint, number int, groups string, n_best bigint, count_sum bigint"))
+        deletes.pop(1)()  # the aligned segments, which are all in what was found
         texts = blocks.where("places is not null").select("block", "id", "places")
         kinds = ", ".join(f"{c} {'string' if c.startswith('groups') else 'bigint'}" for c in out)
-        made = texts.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(composed, f"id {id_type}, {kinds}")
+        made = texts.groupBy("block").cogroup(found.withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(composed, f"id {id_type}, {kinds}")
         return cut(made).withColumnRenamed("id", id_col)
+    finally:
+        for delete in deletes:
+            delete()
+        release(spark)

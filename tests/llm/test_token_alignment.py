@@ -109,10 +109,11 @@ def test_random_strings_are_cut_where_nothing_merges(plain):
         text = "".join(r.choice(letters) for _ in range(r.randint(1, 40)))
         segments = two.segment.findall(" " + text)
         assert "".join(segments) == " " + text
-        groups, counts, links, linked = two.align(segments)
+        groups, links, linked = two.align(segments)
         (want,) = plain([text])
-        assert "".join(groups)[:-1] == want[6]
-        assert tuple(counts.sum(axis=0)) == want[:3] and len(links) == linked.sum() == want[3]
+        line = "".join(groups)
+        assert line[:-1].replace(".", ",") == want[6]
+        assert (line.count(",") + line.count("|"), line.count(".") + line.count(";"), line.count(";")) == want[:3] and len(links) == linked.sum() == want[3]
 
 
 def test_empty_tables_and_refusals(spark):
