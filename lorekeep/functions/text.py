@@ -93,7 +93,7 @@ def overlap(content_a: Column, content_b: Column) -> Column:
 
 
 def negations(tokens: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: F.array_contains(strings(L.NEGATORS), t)))
+    return F.size(F.filter(tokens, lambda t: t.isin(L.NEGATORS)))
 
 
 def antonyms_map() -> Column:
@@ -122,7 +122,7 @@ def antonym_bits(content: Column, partners: bool = False) -> Column:
         for word, own in ((a, 2 * i), (b, 2 * i + 1)):
             bits[word] = bits.get(word, 0) | 1 << (own ^ 1 if partners else own)
     index = F.create_map(*[x for word, mask in bits.items() for x in (F.lit(word), F.lit(mask).cast("bigint"))])
-    return F.aggregate(F.filter(content, lambda w: index[w].isNotNull()), F.lit(0).cast("bigint"), lambda seen, w: seen.bitwiseOR(index[w]))
+    return F.aggregate(F.filter(content, lambda w: w.isin(list(bits))), F.lit(0).cast("bigint"), lambda seen, w: seen.bitwiseOR(index[w]))
 
 
 def detector(overlapping: Column, negated_a: Column, negated_b: Column, hit: Column) -> Column:

@@ -6,43 +6,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
+from lorekeep.functions.lexicon import OVERLAP_FLOOR
+from lorekeep.lineage import cut, kept_until_done
+from lorekeep.operators import cells
+from lorekeep.operators.similarity import may_reach, rare_first
 
 OBSERVATION = "pair_key string, left_id string, right_id string, slot string, detector string, left_snapshot string, right_snapshot string, left_owner string, right_owner string, left_source string, right_source string, left_run_id string, right_run_id string, overlap double"
 LEDGER = f"scope string, {OBSERVATION}, state string, detected_run_id string, detected_ts string, resolved_ts string, resolution string"
 
 
 def claim_features(claims: DataFrame, text_col: str = "claim") -> DataFrame:
-    """``claims`` with content words and number of negations, worked out once a row, before any join."""
+    """``claims`` with content words, their hashes and the number of negations, worked out once a row, before any join."""
     return claims.withColumn("__tokens", X.claim_tokens(F.col(text_col))).withColumn("words", X.content_tokens(F.col("__tokens"))).withColumn("codes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("negated", X.negations(F.col("__tokens"))).drop("__tokens")
 
 
+#: What of a claim says whether another can oppose it: it is denied; sides of antonym pairs that it holds; their other sides.
+MARKS = ("denied", "has", "wants")
+
+
+def with_marks(claims: DataFrame) -> DataFrame:
+    return claims.withColumns({"denied": F.col("negated") > 0, "has": X.antonym_bits(F.col("words")), "wants": X.antonym_bits(F.col("words"), partners=True)})
+
+
+def opposed_pairs(one: DataFrame, other: DataFrame, by: list[str], key_col: str) -> DataFrame:
+    """Pairs of rows (``row_a``, ``row_b``, the smaller row first) of two sets of postings that may overlap enough and can oppose
+    each other.  Postings: ``by, item, key_col, row, n, pos`` and marks; only those are shuffled."""
+    sides = [rows.select(*by, "item", *[F.col(c).alias(f"{c}_{n}") for c in ("row", key_col, "n", "pos", *MARKS)]) for rows, n in ((one, "a"), (other, "b"))]
+    opposed = (F.col("denied_a") != F.col("denied_b")) | (F.col("has_a").bitwiseAND(F.col("wants_b")) != 0)
+    met = sides[0].join(sides[1], [*by, "item"]).where((F.col(f"{key_col}_a") != F.col(f"{key_col}_b")) & opposed & may_reach(OVERLAP_FLOOR))
+    return met.select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b")).distinct()
+
+
+def opposing(near: DataFrame, claims: DataFrame, by: list[str], key_col: str) -> DataFrame:
+    """``near`` (``row_a, row_b, overlap``) with both claims' columns, the smaller key left, ``hit`` and ``detector``: those that do disagree."""
+    rest = [c for c in claims.columns if c not in (*by, "codes", "row", "n", *MARKS)]
+    for n in ("a", "b"):
+        near = near.join(claims.select(F.col("row").alias(f"row_{n}"), *([] if n == "b" else by), *[F.col(c).alias(f"{c}_{n}") for c in rest]), f"row_{n}")
+    turned = F.col(f"{key_col}_a") > F.col(f"{key_col}_b")
+    sides = [F.when(turned, F.col(f"{c}_{m}")).otherwise(F.col(f"{c}_{n}")).alias(f"{c}_{n}") for n, m in (("a", "b"), ("b", "a")) for c in rest]
+    scored = near.select(*by, "overlap", *sides).withColumn("hit", X.antonym_hit(F.col("words_a"), F.col("words_b")))
+    return scored.withColumn("detector", X.detector(F.col("overlap"), F.col("negated_a"), F.col("negated_b"), F.col("hit"))).where("detector is not null")
+
+
 def scan(claims: DataFrame, slot_cols: tuple[str, ...] = ("kind", "slot"), key_col: str = "key") -> DataFrame:
     """Pairs of one slot (left key smaller) whose texts disagree: ``detector``, ``overlap``, ``hit``.
 
-    ``claims`` comes from ``claim_features``; a key comes once in its slot.  Claims that overlap enough
-    share one of their rarer words, so they meet there, a slot that holds most claims dealt out by
-    its words; only keys meet, and only where one of two claims is negated or they hold antonyms.  Each
-    pair that the filters leave is compared once, by hashes first.
+    ``claims`` comes from ``claim_features``; a key comes once in its slot.  Claims are read and taken to words once,
+    and numbered.  Claims that overlap enough share one of their rarer words, so their numbers meet there, a slot that
+    holds most claims dealt out by its words, and only where one of two claims is negated or they hold antonyms.  The pairs
+    that the filters leave are compared by cells, to each of which a claim's words go once.
     """
-    from lorekeep.functions.lexicon import OVERLAP_FLOOR
-    from lorekeep.operators.similarity import may_reach, rare_first
-
-    claims = claims.where(F.size("words") > 0)
     by = list(slot_cols)
-    marks = {"__denied": F.col("negated") > 0, "__has": X.antonym_bits(F.col("words")), "__wants": X.antonym_bits(F.col("words"), partners=True)}
-    prefixes = rare_first(claims.withColumns(marks), by, "codes", [key_col, *marks], OVERLAP_FLOOR)
-    sides = [prefixes.withColumnsRenamed({c: f"{c}_{n}" for c in (key_col, "n", "pos", *marks)}) for n in ("a", "b")]
-    opposed = (F.col("__denied_a") != F.col("__denied_b")) | (F.col("__has_a").bitwiseAND(F.col("__wants_b")) != 0)
-    met = sides[0].join(sides[1], [*by, "item"]).where((F.col(f"{key_col}_a") < F.col(f"{key_col}_b")) & opposed & may_reach(OVERLAP_FLOOR))
-    pairs = met.select(*by, f"{key_col}_a", f"{key_col}_b").distinct()
-    for n in ("a", "b"):  # hashes of words stand for them until few pairs are left
-        pairs = pairs.join(claims.select(*by, F.col(key_col).alias(f"{key_col}_{n}"), F.col("codes").alias(f"codes_{n}")), [*by, f"{key_col}_{n}"])
-    near = pairs.withColumn("overlap", X.jaccard(F.col("codes_a"), F.col("codes_b"))).where(F.col("overlap") >= OVERLAP_FLOOR).drop("codes_a", "codes_b")
-    rest = [c for c in claims.columns if c not in (*by, "codes")]
-    for n in ("a", "b"):
-        near = near.join(claims.select(*by, *[F.col(c).alias(f"{c}_{n}") for c in rest]), [*by, f"{key_col}_{n}"])
-    scored = near.withColumn("hit", X.antonym_hit(F.col("words_a"), F.col("words_b")))
-    return scored.withColumn("detector", X.detector(F.col("overlap"), F.col("negated_a"), F.col("negated_b"), F.col("hit"))).where("detector is not null")
+    with kept_until_done(claims.sparkSession) as keep:
+        rows = keep(with_marks(claims.where(F.size("words") > 0)).withColumn("row", F.monotonically_increasing_id()))
+        postings = keep(rare_first(rows, by, "codes", [key_col, "row", *MARKS], OVERLAP_FLOOR))
+        pairs = keep(opposed_pairs(postings.where("denied or has <> 0"), postings, by, key_col))
+        return cut(opposing(cells.similar(pairs, rows, OVERLAP_FLOOR), rows, by, key_col))
 
 
 def node_claims(nodes: DataFrame, kinds: DataFrame) -> DataFrame:
