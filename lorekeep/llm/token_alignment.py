@@ -361,14 +361,15 @@ def align(
         rows = blocks.where("segment is not null").select("block", "number", "segment", "n")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // part_rows + 1)
         aligned = keep(_aligned(rows.repartition(parts, "segment").sortWithinPartitions("segment"), shared))
+        texts = keep(blocks.where("places is not null").select("block", "id", "places"))
+        deletes.pop(0)()  # the blocks' segments
         pairs = aligned.where("pair is not null").select("part", "pair", "linked")
         of_b = Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF))  # no more rows than A has ids
         counted = pairs.groupBy("pair").agg(F.sum("linked").alias("count")).withColumn("best", F.col("count") == F.max("count").over(of_b))
         back = pairs.select(F.col("part").alias("of_part"), "pair").join(counted, "pair")
         segments = aligned.where("pair is null").select("part", "local", "groups", "links", "block", "number")
         found = keep(segments.groupBy("part").cogroup(back.groupBy("of_part")).applyInArrow(_weighed, "block bigint, number int, groups string, n_best bigint, count_sum bigint"))
-        deletes.pop(1)()  # the aligned segments, which are all in what was found
-        texts = blocks.where("places is not null").select("block", "id", "places")
+        deletes.pop(0)()  # the aligned segments, which are all in what was found
         kinds = ", ".join(f"{c} {'string' if c.startswith('groups') else 'bigint'}" for c in out)
         made = texts.groupBy("block").cogroup(found.withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(composed, f"id {id_type}, {kinds}")
         return cut(made).withColumnRenamed("id", id_col)
