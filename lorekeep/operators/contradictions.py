@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
@@ -71,31 +71,59 @@ def node_claims(nodes: DataFrame, kinds: DataFrame) -> DataFrame:
     return rows.withColumn("id", X.composite_id(F.col("kind"), F.col("key"))).withColumn("claim", claim)
 
 
-_SIDE = ("id", "claim", "owner", "source", "run_id")
+#: What an observation records of each side, and what it is called there.
+SIDE = {"id": "id", "claim": "snapshot", "owner": "owner", "source": "source", "run_id": "run_id"}
 
 
-def observations(nodes: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Every disagreement among the nodes: found by words, and declared by writers where not found so.
+def with_sources(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("source", F.coalesce(F.col("fields")["source"], F.lit(""))).withColumn("slot", F.coalesce("slot", F.lit("")))
 
-    ``nodes``: kind, key, fields, slot, status, owner, run_id.
-    """
-    claims = node_claims(nodes, kinds).withColumn("source", F.coalesce(F.col("fields")["source"], F.lit(""))).withColumn("slot", F.coalesce("slot", F.lit("")))
-    current = claims.where("(status is null or status in ('', 'active', 'unmapped')) and slot <> '' and claim_field <> '' and slot_size > 0")
-    lexical = scan(claim_features(current.select("kind", "slot", "key", *_SIDE)))
-    renamed = {"id": "id", "claim": "snapshot", "owner": "owner", "source": "source", "run_id": "run_id"}
-    sides = [F.col(f"{c}_{n}").alias(f"{side}_{renamed[c]}") for n, side in (("a", "left"), ("b", "right")) for c in _SIDE]
-    found = lexical.select("slot", "detector", "overlap", *sides, F.lit(0).alias("rank"))
-    stated = claims.select("slot", *_SIDE, F.explode(X.as_list(F.col("fields")["contradicts"])).alias("to")).where("to <> id")
-    others = claims.select(*[F.col(c).alias(f"{c}_b") for c in _SIDE], F.col("slot").alias("slot_b"))
-    stated = stated.withColumnsRenamed({c: f"{c}_a" for c in _SIDE}).join(others, F.col("to") == F.col("id_b"))
+
+def comparable() -> Column:
+    """Whether a node of ``node_claims`` is compared with others of its slot."""
+    return F.coalesce(F.expr("(status is null or status in ('', 'active', 'unmapped')) and slot <> '' and claim_field <> '' and slot_size > 0"), F.lit(False))
+
+
+def _sides() -> list[Column]:
+    return [F.col(f"{c}_{n}").alias(f"{side}_{name}") for n, side in (("a", "left"), ("b", "right")) for c, name in SIDE.items()]
+
+
+def stated(naming: DataFrame, named: DataFrame, either: str | None = None) -> DataFrame:
+    """What writers declare: ``naming`` has the ids it ``contradicts``.  With ``either`` one of the two must have that flag."""
+    more = [either] if either else []
+    says = naming.select("slot", *[F.col(c).alias(f"{c}_a") for c in (*SIDE, *more)], F.explode("contradicts").alias("to")).where("to <> id_a")
+    others = named.select(*[F.col(c).alias(f"{c}_b") for c in (*SIDE, *more)], F.col("slot").alias("slot_b"))
+    both = says.join(others, F.col("to") == F.col("id_b"))
+    both = both.where(F.col(f"{either}_a") | F.col(f"{either}_b")) if either else both
     slot = F.when(F.col("slot") != "", F.col("slot")).otherwise(F.col("slot_b"))
-    found = found.unionByName(stated.select(slot.alias("slot"), F.lit("declared").alias("detector"), F.lit(None).cast("double").alias("overlap"), *sides, F.lit(1).alias("rank")))
+    return both.select(slot.alias("slot"), F.lit("declared").alias("detector"), F.lit(None).cast("double").alias("overlap"), *_sides(), F.lit(1).alias("rank"))
+
+
+def assembled(lexical: DataFrame, declared: DataFrame) -> DataFrame:
+    """Observations, each pair once: as found by words, or else as declared."""
+    found = lexical.select("slot", "detector", "overlap", *_sides(), F.lit(0).alias("rank")).unionByName(declared)
     keyed = found.withColumn("pair_key", X.pair_key(F.col("left_id"), F.col("right_id"), F.col("slot")))
     rest = [c for c in keyed.columns if c != "pair_key"]
     first = keyed.groupBy("pair_key").agg(F.min_by(F.struct(*rest), F.struct("rank", "left_id")).alias("o"))
     return first.select("pair_key", "o.*").drop("rank").selectExpr(*[x.split()[0] for x in OBSERVATION.split(", ")])
 
 
+def of_claims(claims: DataFrame) -> DataFrame:
+    """``observations`` of rows that have been taken to words: ``lexical``, ``words``, ``codes``, ``negated``, ``contradicts``."""
+    lexical = scan(claims.where("lexical").select("kind", "slot", "key", "words", "codes", "negated", *SIDE))
+    return assembled(lexical, stated(claims.where("size(contradicts) > 0"), claims))
+
+
+def observations(nodes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Every disagreement among the nodes: found by words, and declared by writers where not found so.
+
+    ``nodes``: kind, key, fields, slot, status, owner, run_id.
+    """
+    claims = with_sources(node_claims(nodes, kinds))
+    lexical = scan(claim_features(claims.where(comparable()).select("kind", "slot", "key", *SIDE)))
+    return assembled(lexical, stated(claims.withColumn("contradicts", X.as_list(F.col("fields")["contradicts"])), claims))
+
+
 def ledger_changes(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Full outer join of what is found with what is stored: ``pair_key, change``.
 

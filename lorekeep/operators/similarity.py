@@ -19,17 +19,18 @@ def _column(threshold: float | Column) -> Column:
     return threshold if isinstance(threshold, Column) else F.lit(threshold)
 
 
-def rare_first(rows: DataFrame, by: list[str], set_col: str, key_cols: list[str], threshold: float | Column, counted: DataFrame | None = None) -> DataFrame:
+def rare_first(rows: DataFrame, by: list[str], set_col: str, key_cols: list[str], threshold: float | Column, counted: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
     """``by, key_cols, item, pos, n``: the elements of each row's set that a similar set must share one of.
 
     Elements are in one order for all rows of a group (``by``): those that few rows of ``counted``
-    (``rows`` themselves if None) hold come first.  Two sets whose Jaccard similarity reaches
+    (``rows`` themselves if None) hold come first.  ``order`` (``by, item, held``), if given, says how many instead; what it doesn't hold comes first.  Two sets whose Jaccard similarity reaches
     ``threshold`` share one of the first ``n - ceil(threshold n) + 1`` of each.  Only keys and single
     elements are shuffled.
     """
     items = rows.select(*by, *key_cols, F.size(set_col).alias("n"), F.explode(set_col).alias("item"))
-    counts = (items if counted is None else counted.select(*by, F.explode(set_col).alias("item"))).groupBy(*by, "item").agg(F.count("*").alias("held"))
-    ranked = items.join(counts, [*by, "item"]).groupBy(*by, *key_cols, "n").agg(F.array_sort(F.collect_list(F.struct("held", "item"))).alias("sorted"))
+    if order is None:
+        order = (items if counted is None else counted.select(*by, F.explode(set_col).alias("item"))).groupBy(*by, "item").agg(F.count("*").alias("held"))
+    ranked = items.join(order, [*by, "item"], "left").withColumn("held", F.coalesce("held", F.lit(0))).groupBy(*by, *key_cols, "n").agg(F.array_sort(F.collect_list(F.struct("held", "item"))).alias("sorted"))
     most = F.col("n") - F.ceil(F.col("n") * _column(threshold) - F.lit(1e-9)).cast("int") + 1
     return ranked.select(*by, *key_cols, "n", F.posexplode(F.slice("sorted", F.lit(1), most)).alias("pos", "__item")).select(*by, *key_cols, "n", "pos", F.col("__item.item").alias("item"))
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
 from lorekeep.functions import text as X
-from lorekeep.lineage import cut
-from lorekeep.operators import checks, contradictions, gaps, verdicts
+from lorekeep.lineage import cut, kept_until_done
+from lorekeep.operators import checks, gaps, verdicts
 from lorekeep.operators.landing import clashes, links, new_edges, retired, superseded
+from lorekeep.plans import claim_index
 from lorekeep.plans.contract import Contract
 from lorekeep.plugins import load_packs
 from lorekeep.sources import audit_log, batches, proposals
@@ -108,15 +109,11 @@ def ingest(
     slugs = sorted(r["slug"] for r in fresh.select("slug").distinct().collect())
     if slugs:
         changed["gap_observations"] = fresh
-    key = ["scope", "kind", "key"]
-    after = store.read("nodes", base).join(changed["nodes"].select(*key), key, "left_anti").unionByName(changed["nodes"])
-    after = after.where(F.col("scope") == partition) if contract.scoped else after
-    found = cut(contradictions.observations(after.withColumn("fields", F.from_json("props", "map<string,string>")), contract.kind_rows(spark)))
-    ledger, changes = contradictions.reconcile(found, store.read("contradictions", base), partition, run_id, now)
-    counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
-    if counts:
-        changed["contradictions"] = ledger.join(changes, "pair_key", "left_semi").where(F.col("scope") == partition)
-    store.commit(base, changed)
+    with kept_until_done(spark) as keep:
+        changed["nodes"] = keep(changed["nodes"])
+        folded = claim_index.fold(store, base, changed["nodes"], contract.kind_rows(spark), partition, contract.scoped, run_id, now, keep)
+        store.commit(base, changed | folded.tables, folded.notes, folded.renewed)
+    counts = folded.counts
     # The log follows the commit: a write that failed leaves no entry.
     result.applied = verdicts.action_counts(plans).first().asDict()
     result.gaps = {"recorded": fresh.count(), "slugs": slugs}

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
 from lorekeep.functions import text as X
-from lorekeep.lineage import shared_folder
+from lorekeep.lineage import kept_until_done, shared_folder
 from lorekeep.operators import approvals, contradictions, explain, gaps, landing, verdicts
-from lorekeep.plans import contract_rules
+from lorekeep.plans import claim_index, contract_rules
 from lorekeep.registry import _IN, _plans, query, read
 from lorekeep.sources import documents
-from lorekeep.sources.store import TABLES, Store
+from lorekeep.sources.store import TABLES, ConcurrentCommit, Store, with_fields
 
 _TODAY = "2024-05-01"
 
@@ -185,35 +185,43 @@ def proposal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- contradictions
-def _believed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _believed(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
     """Parts that claim something of their brand and type; some deny it, some name others that they contradict."""
     k = F.col("p_partkey")
     claim = F.concat(F.lit("the "), "p_name", F.when(k % 3 == 0, " is not").otherwise(" is"), F.when(k % 4 == 0, " open").when(k % 4 == 1, " closed").otherwise(""), F.lit(" in depot "), (F.col("p_size") % 3).cast("string"))
     named = F.when(k % 11 == 0, F.concat(F.lit("part:"), (k + 1).cast("string"))).when(k % 11 == 1, F.concat(F.lit("part:"), k.cast("string")))
-    return read(spark, sf_dir, "part").select(
+    return (read(spark, sf_dir, "part") if parts is None else parts).select(
         F.lit("part").alias("kind"), k.cast("string").alias("key"), F.create_map(F.lit("claim"), claim, F.lit("contradicts"), named, F.lit("source"), F.lit("s")).alias("fields"),
         F.when(k % 7 == 0, "").otherwise(F.concat_ws("/", "p_brand", "p_type")).alias("slot"), F.when(k % 13 == 0, "retired").otherwise("active").alias("status"), F.lit("me").alias("owner"), F.lit("r").alias("run_id"),
     )
 
 
 _STOP = _IN(L.CLAIM_STOP_WORDS)
-_BELIEVED_SQL = (
-    "WITH n AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS key, concat('part:', CAST(p_partkey AS VARCHAR)) AS id, concat('the ', p_name, CASE WHEN p_partkey % 3 = 0 THEN ' is not' ELSE ' is' END, CASE p_partkey % 4 WHEN 0 THEN ' open' WHEN 1 THEN ' closed' ELSE '' END, ' in depot ', CAST(p_size % 3 AS VARCHAR)) AS claim, "
-    "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(p_brand, '/', p_type) END AS slot, p_partkey % 13 <> 0 AS current, CASE p_partkey % 11 WHEN 0 THEN concat('part:', CAST(p_partkey + 1 AS VARCHAR)) WHEN 1 THEN concat('part:', CAST(p_partkey AS VARCHAR)) END AS named FROM part), "
-    "t AS (SELECT *, list_filter(regexp_split_to_array(lower(claim), '[^a-z0-9]+'), lambda x: x <> '') AS toks FROM n), "
-    f"w AS (SELECT *, list_distinct(list_filter(toks, lambda x: length(x) > 1 AND x NOT IN ({_STOP}))) AS words, list_contains(toks, 'not') AS neg FROM t), "
-    "p AS (SELECT a.id AS left_id, b.id AS right_id, a.slot, a.neg AS na, b.neg AS nb, a.words AS wa, b.words AS wb, len(list_intersect(a.words, b.words)) / CAST(len(list_distinct(list_concat(a.words, b.words))) AS DOUBLE) AS overlap FROM w a JOIN w b ON a.slot = b.slot AND a.key < b.key WHERE a.slot <> '' AND a.current AND b.current), "
-    "lex AS (SELECT left_id, right_id, slot, overlap, CASE WHEN na <> nb THEN 'negation_mismatch' WHEN (list_contains(wa, 'open') AND list_contains(wb, 'closed')) OR (list_contains(wa, 'closed') AND list_contains(wb, 'open')) THEN 'antonym_pair' END AS detector FROM p WHERE overlap >= 0.35), "
-    "dec AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.slot <> '' THEN a.slot ELSE b.slot END AS slot, NULL AS overlap, 'declared' AS detector FROM n a JOIN n b ON a.named = b.id AND a.id <> b.id), "
-    "u AS (SELECT *, 0 AS rank FROM lex WHERE detector IS NOT NULL UNION ALL SELECT *, 1 FROM dec), "
-    "q AS (SELECT *, concat(least(left_id, right_id), '|', greatest(left_id, right_id), '|', slot) AS pair_key FROM u), "
-    "o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_key ORDER BY rank, left_id) AS place FROM q) WHERE place = 1) "
-)
+def _believed_sql(parts: str = "part") -> str:
+    """Observations ``o`` of the nodes ``n`` that ``_believed`` makes of some parts."""
+    return (
+        "WITH n AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS key, concat('part:', CAST(p_partkey AS VARCHAR)) AS id, concat('the ', p_name, CASE WHEN p_partkey % 3 = 0 THEN ' is not' ELSE ' is' END, CASE p_partkey % 4 WHEN 0 THEN ' open' WHEN 1 THEN ' closed' ELSE '' END, ' in depot ', CAST(p_size % 3 AS VARCHAR)) AS claim, "
+        f"CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(p_brand, '/', p_type) END AS slot, p_partkey % 13 <> 0 AS current, CASE p_partkey % 11 WHEN 0 THEN concat('part:', CAST(p_partkey + 1 AS VARCHAR)) WHEN 1 THEN concat('part:', CAST(p_partkey AS VARCHAR)) END AS named FROM {parts} part), "
+        "t AS (SELECT *, list_filter(regexp_split_to_array(lower(claim), '[^a-z0-9]+'), lambda x: x <> '') AS toks FROM n), "
+        f"w AS (SELECT *, list_distinct(list_filter(toks, lambda x: length(x) > 1 AND x NOT IN ({_STOP}))) AS words, list_contains(toks, 'not') AS neg FROM t), "
+        "p AS (SELECT a.id AS left_id, b.id AS right_id, a.slot, a.neg AS na, b.neg AS nb, a.words AS wa, b.words AS wb, len(list_intersect(a.words, b.words)) / CAST(len(list_distinct(list_concat(a.words, b.words))) AS DOUBLE) AS overlap FROM w a JOIN w b ON a.slot = b.slot AND a.key < b.key WHERE a.slot <> '' AND a.current AND b.current), "
+        "lex AS (SELECT left_id, right_id, slot, overlap, CASE WHEN na <> nb THEN 'negation_mismatch' WHEN (list_contains(wa, 'open') AND list_contains(wb, 'closed')) OR (list_contains(wa, 'closed') AND list_contains(wb, 'open')) THEN 'antonym_pair' END AS detector FROM p WHERE overlap >= 0.35), "
+        "dec AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.slot <> '' THEN a.slot ELSE b.slot END AS slot, NULL AS overlap, 'declared' AS detector FROM n a JOIN n b ON a.named = b.id AND a.id <> b.id), "
+        "u AS (SELECT *, 0 AS rank FROM lex WHERE detector IS NOT NULL UNION ALL SELECT *, 1 FROM dec), "
+        "q AS (SELECT *, concat(least(left_id, right_id), '|', greatest(left_id, right_id), '|', slot) AS pair_key FROM u), "
+        "o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_key ORDER BY rank, left_id) AS place FROM q) WHERE place = 1) "
+    )
+
+
+_BELIEVED_SQL = _believed_sql()
+
+
+def _claiming(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("part", "claim", ["brand"])], "kind string, claim_field string, claim_slot array<string>")
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = spark.createDataFrame([("part", "claim", ["brand"])], "kind string, claim_field string, claim_slot array<string>")
-    return contradictions.observations(_believed(spark, sf_dir), kinds)
+    return contradictions.observations(_believed(spark, sf_dir), _claiming(spark))
 
 
 @query(_BELIEVED_SQL + "SELECT pair_key, left_id, right_id, slot, detector, round(overlap, 6) AS overlap FROM o")
@@ -241,6 +249,36 @@ def ledger_after_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("scope", "pair_key", "state", "detected_run_id")
 
 
+#: What the third of three commits makes of the parts: other depots, other brands, other denials.
+_LATER = {"p_name": "CASE WHEN p_partkey % 15 = 0 THEN concat('not ', p_name) ELSE p_name END", "p_size": "CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END", "p_brand": "CASE WHEN p_partkey % 20 = 0 THEN 'Brand#11' ELSE p_brand END"}
+_STAGES_SQL = ", ".join(
+    f"o{i} AS ({_believed_sql(parts)} SELECT o.pair_key, x.claim AS l, y.claim AS r FROM o JOIN n x ON o.left_id = x.id JOIN n y ON o.right_id = y.id)"
+    for i, parts in enumerate(("(SELECT * FROM part WHERE p_partkey % 3 <> 1)", "part", f"(SELECT * REPLACE ({', '.join(f'{sql} AS {c}' for c, sql in _LATER.items())}) FROM part)"), 1)
+)
+
+
+@query(
+    f"WITH {_STAGES_SQL}, a AS (SELECT pair_key FROM o1 UNION SELECT pair_key FROM o2 UNION SELECT pair_key FROM o3) "
+    "SELECT 'north' AS scope, a.pair_key, CASE WHEN o3.pair_key IS NULL THEN 'resolved' ELSE 'active' END AS state, "
+    "CASE WHEN o3.pair_key IS NOT NULL AND (o2.pair_key IS NULL OR o2.l <> o3.l OR o2.r <> o3.r) THEN 'r3' WHEN o1.pair_key IS NULL OR o1.l <> o2.l OR o1.r <> o2.r THEN 'r2' ELSE 'r1' END AS detected_run_id "
+    "FROM a LEFT JOIN o1 ON a.pair_key = o1.pair_key LEFT JOIN o2 ON a.pair_key = o2.pair_key LEFT JOIN o3 ON a.pair_key = o3.pair_key"
+)
+def ledger_of_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger that three commits leave, each folded in by the index of claims: two thirds of the parts, the others, and some anew."""
+    store, kinds, every = Store(spark, f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}"), _claiming(spark), read(spark, sf_dir, "part")
+    k = "p_partkey"
+    for revision, run, parts in ((1, "r1", every.where(f"{k} % 3 <> 1")), (1, "r2", every.where(f"{k} % 3 = 1")), (2, "r3", every.withColumns({c: F.expr(sql) for c, sql in _LATER.items()}).where(f"{k} % 5 = 0"))):
+        nodes = _believed(spark, sf_dir, parts).select(
+            F.lit("north").alias("scope"), "kind", "key", F.to_json("fields").alias("props"), F.lit(False).alias("is_protected"), "owner", "status", F.lit(revision).alias("revision"), "run_id",
+            F.lit("t").alias("provenance_ts"), F.lit(_TODAY).cast("date").alias("valid_from"), "slot",
+        )
+        base = store.manifest()
+        with kept_until_done(spark) as keep:
+            folded = claim_index.fold(store, base, nodes, kinds, "north", True, run, "t", keep)
+            store.commit(base, {"nodes": nodes, **folded.tables}, folded.notes, folded.renewed)
+    return store.read("contradictions").select("scope", "pair_key", "state", "detected_run_id")
+
+
 @query(_BELIEVED_SQL + "SELECT left_id AS id, right_id AS with_id, detector, x.claim AS this_side, y.claim AS other_side FROM o JOIN n x ON o.left_id = x.id JOIN n y ON o.right_id = y.id UNION ALL SELECT right_id, left_id, detector, y.claim, x.claim FROM o JOIN n x ON o.left_id = x.id JOIN n y ON o.right_id = y.id")
 def contradiction_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every contradiction as either node sees it."""
@@ -289,6 +327,57 @@ def store_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir).node("order", "6", "scope-0").select("key", "revision", F.col("fields")["status"].alias("status_field"))
 
 
+@query(_STORED_SQL + "SELECT scope, key, CAST(CASE WHEN landed AND was THEN k % 4 + 2 WHEN landed THEN 1 ELSE k % 4 + 1 END AS INTEGER) AS revision, status_field FROM s WHERE k IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 5)")
+def store_bulk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of many keys at once: the orders of five lines and more."""
+    keys = read(spark, sf_dir, "lineitem").where("l_linenumber = 5").select(F.lit("order").alias("kind"), F.col("l_orderkey").cast("string").alias("key"))
+    return with_fields(_store(spark, sf_dir).lookup_many("nodes", keys)).select("scope", "key", "revision", F.col("fields")["status"].alias("status_field"))
+
+
+def _plain_nodes(spark: SparkSession, sf_dir: str, where: str, run: str) -> DataFrame:
+    """A node for each order that ``where`` takes."""
+    k = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").where(where).select(
+        F.lit("s").alias("scope"), F.lit("order").alias("kind"), k.cast("string").alias("key"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"))).alias("props"), F.lit(False).alias("is_protected"), F.lit("o").alias("owner"), F.lit("active").alias("status"),
+        (k % 4 + 1).cast("int").alias("revision"), F.lit(run).alias("run_id"), F.lit("t").alias("provenance_ts"), F.lit(_TODAY).cast("date").alias("valid_from"), F.lit("").alias("slot"),
+    )
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE o_orderkey % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'last' END AS run_id, CAST(3 AS BIGINT) AS version FROM orders WHERE o_orderkey % 3 <> 2 OR o_orderkey % 4 = 0"
+)
+def store_interleaved_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four commits to one base, the first is written, the second follows it since their keys are apart, the third meets keys
+    of the first and leaves nothing, and the last follows both."""
+    store = Store(spark, f"{shared_folder(spark)}/interleaved-{uuid.uuid4().hex}")
+    base = store.manifest()
+    for run, where in (("first", "o_orderkey % 3 = 0"), ("second", "o_orderkey % 3 = 1"), ("third", "o_orderkey % 6 < 4"), ("last", "o_orderkey % 3 = 2 and o_orderkey % 4 = 0")):
+        try:
+            store.commit(base, {"nodes": _plain_nodes(spark, sf_dir, where, run)})
+        except ConcurrentCommit:
+            if run != "third":
+                raise
+    after = store.manifest()
+    return store.read("nodes", after).select("key", "run_id", F.lit(after["version"]).cast("bigint").alias("version"))
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 4 + 1 END AS BIGINT) AS revision, CASE WHEN o_orderkey % 3 <> 1 THEN 'o' END AS owner, CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice END AS weight FROM orders"
+)
+def store_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segments of three schemas, read as the last: revisions widen, columns come and go."""
+    where = f"{shared_folder(spark)}/widened-{uuid.uuid4().hex}"
+    plain = [f"{c} {kind}" for c, kind in (x.split(" ", 1) for x in TABLES["nodes"].split(", ")) if c not in ("revision", "owner")]
+    now = [*plain, "revision bigint", "owner string", "weight double"]
+    weight = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").cast("double").alias("weight"))
+    for rest, columns in enumerate(([*plain, "owner string", "gone string"], [*plain, "revision int"], now)):
+        store = Store(spark, where, {"nodes": ", ".join(columns)})
+        rows = _plain_nodes(spark, sf_dir, f"o_orderkey % 3 = {rest}", "r").withColumn("gone", F.lit("x"))
+        rows = rows.withColumn("revision", F.col("revision").cast("bigint")).join(weight, "key") if rest == 2 else rows
+        store.commit(store.manifest(), {"nodes": rows})
+    return Store(spark, where, {"nodes": ", ".join(now)}).read("nodes").select("key", "revision", "owner", "weight")
+
+
 @query(_STORED_SQL + f"SELECT key, CAST(k % 4 + 1 AS INTEGER) AS revision, DATE '{_TODAY}' AS valid_until FROM s WHERE k = 12 AND landed AND was")
 def store_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir).revisions("order", "12", "scope-0", 20).select("key", "revision", "valid_until")

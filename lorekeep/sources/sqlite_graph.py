@@ -5,7 +5,7 @@ from __future__ import annotations
 import sqlite3
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.lineage import shared_folder
@@ -33,7 +33,7 @@ class SqliteGraph(Store):
             found = {name for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
         return {"version": 0, "tables": {}, "surface": sorted(found & set(TABLES)), "audit_head": None}
 
-    def read(self, table: str, manifest: dict | None = None, scope: str | None = None) -> DataFrame:
+    def read(self, table: str, manifest: dict | None = None, scope: str | None = None, where: Column | None = None, low: list | None = None, high: list | None = None) -> DataFrame:
         if table not in (manifest or self.manifest())["surface"]:
             raise ReadSurfaceMissing(f"{self.path} keeps no {table}")
         if table not in self.exported:
@@ -44,7 +44,8 @@ class SqliteGraph(Store):
         rows = raw.select(*[read_as.get(kind, lambda c, kind=kind: F.col(c).cast(kind))(c).alias(c) for c, kind in wanted])
         if table == "contradictions":
             rows = rows.withColumn("scope", F.coalesce("scope", F.lit("*")))
-        return rows if scope is None else rows.where(F.col("scope") == scope)
+        rows = rows if scope is None else rows.where(F.col("scope") == scope)
+        return rows if where is None else rows.where(where)
 
     def _export(self, table: str) -> str:
         """The table's rows as text, chunk by chunk, in the shared folder."""
@@ -61,7 +62,7 @@ class SqliteGraph(Store):
                 self.spark.createDataFrame(chunk, schema).write.mode("append").parquet(where)
         return where
 
-    def commit(self, base: dict, changed: dict[str, DataFrame]) -> dict:
+    def commit(self, base: dict, changed: dict[str, DataFrame], notes: dict | None = None, renewed: tuple[str, ...] = ()) -> dict:
         raise ReadSurfaceMissing("an SQLite graph is read only here; copy it into a parquet: store")
 
 
