@@ -1,9 +1,10 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is read once into a flat list of blocks.  Each block has its number of words and its link
-density, those of its two neighbours, and where it stands (inside navigation-like elements, inside
-the article, a heading, in an element whose own name says it is beside the text).  A decision tree, trained on the small labelled table below, says which
-blocks are article text.
+density, those of its two neighbours, and where it stands: inside navigation-like elements, inside
+the article, a heading, in an element whose own class or id names something beside the text, in a wrapper of such a name (with the
+share of the page's words in that wrapper, and whether it holds the headline), behind the marked article (with the article's share of
+words).  A decision tree, trained on the small labelled table below, says which blocks are article text; no name decides alone.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ ENDS_ITSELF = frozenset("li td th tr dd dt".split())
 #: Elements that are a block themselves: their class or id says something of them, not of what is around.
 OWN_BLOCKS = frozenset("p blockquote pre li dd dt h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in a head; anything else that opens ends it.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta script style noscript template".split())
+#: Skipped elements that may hold others of their kind.
+NESTING = frozenset("object svg template math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, roles and words of class and id names that stand for anything but the article.
 ASIDE = frozenset("nav aside footer form menu dialog".split())
@@ -41,8 +46,13 @@ ASIDE_NAMES = re.compile(
     r"comments?|commentlist|respond|reply|replies|disqus|discussion|related|recommend\w*|share\w*|sharing|social\w*|subscribe|newsletter|signup|login|search\w*|pagination|pager|skip|hidden|copyright|legal|disclaimer|tags|meta)(?=$|[\s_-])",
     re.I,
 )
-#: What says of a wrapper how its page is laid out, and the header of an article: neither stands for what it names.
-LAYOUT_NAMES = re.compile(r"(?:^|[\s_-])(?:has|with|without|no)[_-]\S*|(?:^|\s)layout-\S*", re.I)
+#: What says of a wrapper how its page is laid out, what a page is filed under, or what state a script has put it in, and the header of
+#: an article: none stands for what it names.
+LAYOUT_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:has|with|without|no)[_-]\S*|(?:^|\s)(?:layout|category|tag|tax|term|topic|type|status|format|is|js|lang)[_-]\S*|"
+    r"(?:^|(?<=\s))\S*[_-](?:enabled|disabled|open|opened|closed|active|inactive|visible|on|off|loaded|ready|fixed|sticky|collapsed|expanded)(?=\s|$)",
+    re.I,
+)
 ARTICLE_HEADER = re.compile(r"(?:^|(?<=\s))(?:article|story|post|entry)[_-]+header(?=$|\s)", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|story|post|entry|main|content|body)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)""", re.S)
@@ -59,6 +69,9 @@ class Block:
     main: bool
     heading: bool
     own: bool
+    wrappers: tuple[int, ...] = ()  # those around it that are named for something beside the text, the innermost last
+    level: int = 0  # 2 in an article element, 1 in what else holds the article
+    headline: bool = False
 
 
 def _standing(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool]:
@@ -86,9 +99,18 @@ def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int, bool, bool]] = []  # element, stands aside, change of those aside by name, holds the article, named itself
-    aside = named = main = links = own = 0
-    heading, skipping, at = False, "", 0
+    stack: list[tuple[str, bool, bool, bool, bool, tuple[int, ...]]] = []  # element, stands aside, holds the article, is one, named itself, wrappers around it
+    aside = main = articles = links = own = wrappers = 0
+    inside: tuple[int, ...] = ()  # wrappers named for something beside the text
+    heading, skipping, loose, at = "", "", False, 0
+    ahead: dict[str, int] = {}  # where the next tag of a kind is
+
+    def next_tag(opening: str, begin: int) -> int:
+        """Where the next ``<name`` or ``</name`` from ``begin`` on is; behind the page's end if nowhere."""
+        if ahead.get(opening, -1) < begin:
+            found = re.compile(opening + r"(?=[\s/>])", re.I).search(page, begin)
+            ahead[opening] = found.start() if found else len(page) + 1
+        return ahead[opening]
 
     def close() -> None:
         nonlocal parts, linked
@@ -97,16 +119,16 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 in_links = len(html.unescape("".join(linked)).split())
-                blocks.append(Block(text, words, min(1.0, in_links / words), aside + named > 0, main > 0, heading, own > 0))
+                blocks.append(Block(text, words, min(1.0, in_links / words), aside > 0, main > 0, bool(heading), own > 0, inside, 2 if articles else int(main > 0), heading == "h1"))
             parts, linked = [], []
 
     def pop(count: int) -> None:
-        nonlocal aside, named, main, own
+        nonlocal aside, main, articles, own, inside
         for _ in range(count):
-            _, was_aside, was_named, was_main, was_own = stack.pop()
+            _, was_aside, was_main, was_article, was_own, inside = stack.pop()
             aside -= was_aside
-            named -= was_named
             main -= was_main
+            articles -= was_article
             own -= was_own
 
     position = 0
@@ -127,15 +149,19 @@ def blocks_of(page: str) -> list[Block]:
         if skipping:
             if closing and name == skipping:
                 skipping = ""
-            elif skipping in ("head", "title") and name == "body":
-                skipping = ""
-            else:
                 continue
-            if closing:
+            if skipping in ("head", "title"):
+                if closing or name in IN_HEAD:
+                    continue
+            elif not (loose and name in BLOCKS):
                 continue
+            skipping = ""
         if name in SKIPPED and not closing:
             if not attributes.rstrip().endswith("/"):
                 skipping = name
+                end = next_tag(f"</{name}", position)
+                # One that nobody closes ends at the next block.
+                loose = name not in RAW and name != "head" and (end > len(page) or (name not in NESTING and next_tag(f"<{name}", position) < end))
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -145,9 +171,9 @@ def blocks_of(page: str) -> list[Block]:
             close()
             links = 0
             if name in HEADINGS:
-                heading = not closing
+                heading = "" if closing else name
             elif not closing:
-                heading = False
+                heading = ""
             if name == "hr":
                 continue
             if closing:
@@ -160,11 +186,16 @@ def blocks_of(page: str) -> list[Block]:
                     pop(1)
                 is_aside, is_named, is_main, whole = _standing(name, attributes, main > 0)
                 is_own = is_named and name in OWN_BLOCKS
-                by_name = -named if whole else int(is_named and not is_own)  # the page's main element isn't what a wrapper's name says
-                stack.append((name, is_aside, by_name, is_main, is_own))
+                is_article = is_main and name == "article"
+                stack.append((name, is_aside, is_main, is_article, is_own, inside))
+                if whole:  # the page's main element isn't what a wrapper's name says
+                    inside = ()
+                elif is_named and not is_own:
+                    wrappers += 1
+                    inside = (*inside, wrappers)
                 aside += is_aside
-                named += by_name
                 main += is_main
+                articles += is_article
                 own += is_own
     if not skipping and at < len(page):
         parts.append(page[at:])
@@ -196,11 +227,25 @@ SITUATIONS = [
     (0, 1, 1, 0, [(2, 0.0), (9, 0.0), (15, 0.3)], [((7, 0.0), (60, 0.0)), ((3, 1.0), (1, 0.0)), ((50, 0.0), (2, 1.0)), ((12, 0.0), (12, 0.0))], 1),
     # running text on pages that mark nothing, with the short paragraphs and headlines among it
     (0, 0, 0, 0, [(14, 0.0), (22, 0.2), (60, 0.05), (150, 0.4)], [((1, 1.0), (80, 0.0)), ((60, 0.0), (75, 0.1)), ((40, 0.0), (3, 1.0)), ((2, 1.0), (2, 1.0)), ((0, 0.0), (4, 0.0)), ((5, 0.0), (0, 0.0))], 1),
-    (0, 0, 0, 0, [(1, 0.0), (3, 0.1), (8, 0.0)], [((60, 0.0), (70, 0.0)), ((45, 0.1), (30, 0.0)), ((25, 0.0), (40, 0.2))], 1),
-    (0, 0, 1, 0, [(3, 0.0), (8, 0.0)], [((2, 1.0), (60, 0.0)), ((45, 0.0), (50, 0.0)), ((0, 0.0), (30, 0.0))], 1),
+    (0, 0, 0, 0, [(1, 0.0), (3, 0.1), (8, 0.0)], [((60, 0.0), (70, 0.0)), ((45, 0.1), (30, 0.0)), ((25, 0.0), (40, 0.2)), ((18, 0.0), (20, 0.0)), ((16, 0.1), (30, 0.0))], 1),
+    (0, 0, 1, 0, [(3, 0.0), (8, 0.0)], [((2, 1.0), (60, 0.0)), ((45, 0.0), (50, 0.0)), ((0, 0.0), (30, 0.0)), ((2, 1.0), (16, 0.0)), ((16, 0.0), (18, 0.0))], 1),
+]
+#: Wrappers named for something beside the text: the share of the page's words inside, whether the headline is inside, and
+#: whether what is inside is as it would be without the wrapper (else it isn't article text).
+WRAPPERS = [
+    # layout and state: all of the page, or most of it
+    (1.0, 1, 1), (0.9, 1, 1), (0.7, 1, 1), (0.5, 1, 1),
+    # banners that hold the name of the site; related, adverts, notices; readers' comments, which may outgrow the article
+    (0.2, 1, 0), (0.05, 1, 0), (0.02, 0, 0), (0.1, 0, 0), (0.3, 0, 0), (0.6, 0, 0), (0.9, 0, 0), (1.0, 0, 0),
 ]
-#: One row a block: aside, main, link density, words, words and link density before, the same after, heading, own; label.
-LABELLED = [(aside, main, density, words, *before, *after, heading, own, label) for aside, main, heading, own, blocks, around, label in SITUATIONS for words, density in blocks for before, after in around]
+#: Behind what is marked as the article: its share of the page's words, and whether that says nothing of the block.
+BEHIND = [(0.1, 1), (0.25, 1), (0.45, 0), (0.7, 0), (0.95, 0)]
+#: One row a block: aside, main, link density, words, words and link density before, the same after, heading, own, in a named wrapper, the headline
+#: too, the wrapper's share of words, the share of the article that it is behind; label.
+_PLAIN = [(aside, main, density, words, *before, *after, heading, own, label) for aside, main, heading, own, blocks, around, label in SITUATIONS for words, density in blocks for before, after in around]
+LABELLED = [(*row[:-1], 0, 0, 0.0, 0.0, row[-1]) for row in _PLAIN]
+LABELLED += [(*row[:-1], 1, headline, share, 0.0, row[-1] * same) for row in _PLAIN if not row[0] for share, headline, same in WRAPPERS]
+LABELLED += [(*row[:-1], 0, 0, 0.0, share, row[-1] * same) for row in _PLAIN if not row[0] for share, same in BEHIND]
 
 
 class Tree:
@@ -249,7 +294,24 @@ def train_tree(table: list[tuple] = LABELLED) -> Tree:
 def features(blocks: list[Block]) -> list[tuple]:
     """A row for each block, in the order of the labelled table."""
     around = [(0, 0.0), *((b.words, b.link_density) for b in blocks), (0, 0.0)]
-    return [(int(b.aside), int(b.main), b.link_density, b.words, *around[i], *around[i + 2], int(b.heading), int(b.own)) for i, b in enumerate(blocks)]
+    total, in_wrapper, titled, in_level, last = 0.0, {}, set(), [0.0, 0.0, 0.0], [-1, -1, -1]
+    for i, b in enumerate(blocks):
+        text = b.words * (1 - b.link_density)
+        total += text
+        for w in b.wrappers:
+            in_wrapper[w] = in_wrapper.get(w, 0.0) + text
+        if b.headline:
+            titled.update(b.wrappers)
+        if not b.aside:
+            in_level[b.level] += text
+            last[b.level] = i
+    rows = []
+    for i, b in enumerate(blocks):
+        inner = b.wrappers[-1] if b.wrappers else 0
+        share = in_wrapper[inner] / max(total, 1e-9) if inner else 0.0
+        behind = sum(in_level[k] for k in range(b.level + 1, 3) if last[k] < i) / max(total, 1e-9)
+        rows.append((int(b.aside), int(b.main), b.link_density, b.words, *around[i], *around[i + 2], int(b.heading), int(b.own), int(inner > 0), int(inner in titled), share, behind))
+    return rows
 
 
 def main_text(page: str, tree: Tree) -> str:
@@ -266,9 +328,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     schema = f"{id_col} {type_of(pages, id_col)}, {url_col} {type_of(pages, url_col)}, text string, n_chars bigint"
     names = [id_col, url_col, "text", "n_chars"]
+    tree = train_tree(labelled)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = train_tree(labelled)
         for batch in batches:
             texts = [main_text(x, tree) if x else "" for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=names)
