@@ -67,6 +67,20 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def bins_of(docs: DataFrame, bin_bytes: int) -> int:
+    """As many as shuffles have partitions, and more for a large input, so that a bin stays small."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bin_bytes, 1_000_000) if size < 1 << 60 else 0)
+
+
+def answered_id(id_col: str, results: list[str]) -> str:
+    """What a result calls the id column: its own name, or that with ``_id`` behind it as long as a column of the result has it."""
+    while id_col in results:
+        id_col += "_id"
+    return id_col
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; a null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACE_CLASS, cut, release, type_of
+from lorekeep.llm.common import SPACE_CLASS, answered_id, cut, release, type_of
 
 
 def normalised(text: Column) -> Column:
@@ -77,7 +77,7 @@ class DigestIndex:
         keepers = batch.select("digest", F.col("best.row").alias("best_row")).join(fresh.select("digest", F.lit(True).alias("is_fresh")), "digest", "left")
         known = cut(keepers.join(self.rows(), "digest"))  # written, so that the last join can split a hot digest
         return digests.join(known, "digest").select(
-            F.col("id").alias(id_col),
+            F.col("id").alias(answered_id(id_col, ["keep_id", "group_size", "kept", "text_sha256"])),
             "keep_id",
             "group_size",
             (F.coalesce("is_fresh", F.lit(False)) & (F.col("row") == F.col("best_row"))).alias("kept"),

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lorekeep.llm.common import cut, kept_until_done, map_arrow, raw_texts, release, small_batches, trim, type_of
+from lorekeep.llm.common import answered_id, bins_of, cut, kept_until_done, map_arrow, raw_texts, release, small_batches, trim, type_of
 from lorekeep.llm.graph import components
 
 WORDS = 5
@@ -115,13 +115,6 @@ def _sorted_unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
 
-def _bins(docs: DataFrame) -> int:
-    """As many as shuffles have partitions, and more for a large input, so that a bin stays small."""
-    spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BIN_BYTES, 1_000_000) if size < 1 << 60 else 0)
-
-
 def _classes_and_postings(docs: DataFrame, id_col: str, text_col: str, percent: int, bins: int, most_rows: int, at_once: int) -> DataFrame:
     """Rows of (id, key, n, class, bits) for each document, and rows of (list, class, n, pos) for the
     prefix shingles that another text shares."""
@@ -379,7 +372,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(id_col, text_col)
     small_batches(spark)
     with kept_until_done(spark) as keep:
-        found = keep(_classes_and_postings(docs, id_col, text_col, percent, _bins(docs), most_rows, at_once))
+        found = keep(_classes_and_postings(docs, id_col, text_col, percent, bins_of(docs, BIN_BYTES), most_rows, at_once))
         rows = found.where("list is null").select("id", "key", "n", "class", "bits")
         of_class = rows.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
         named = keep(of_class.select(F.monotonically_increasing_id().alias("node"), "class", "one.id", "one.key", "n", "bits"))
@@ -411,4 +404,4 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         answer = keep(by_class.join(smallest, "root").select("class", "component_id", "root"))
         alone = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
         more = [F.col("key").alias("text_key"), F.col("root").alias("group")] if keys else []
-        return cut(rows.join(answer, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"), *more))
+        return cut(rows.join(answer, "class", "left").select(F.col("id").alias(answered_id(id_col, ["n_shingles", "component_id", "group", "text_key"])), F.col("n").alias("n_shingles"), alone.alias("component_id"), *more))

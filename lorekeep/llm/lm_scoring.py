@@ -26,9 +26,10 @@ folder as a table; training, counting and scoring go on from there, each reading
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, count, islice
 
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lorekeep.llm.common import cut, map_arrow, raw_texts, staged, type_of
+from lorekeep.llm.common import answered_id, bins_of, cut, map_arrow, raw_texts, staged, type_of
 
 #: Keys of a window, and its last positions, which are the ones it scores: each sees 9 to 24 ids.
 KEYS, SCORED = 24, 16
@@ -66,22 +67,24 @@ def is_held_out(doc_id: object) -> bool:
 
 # ---------------------------------------------------------------- words and ids
 class Words:
-    """Places of words in arrays of their ids and hashes; new words are encoded by the library, all at once."""
+    """Places of words in arrays of their ids and hashes; new words are encoded by the library, all at once.  What is kept takes
+    ``most_bytes`` at most, and what one block needs."""
 
-    def __init__(self, model: bytes, most: int = 300_000) -> None:
+    def __init__(self, model: bytes, most_bytes: int = 48 << 20) -> None:
         import sentencepiece
 
-        self.library, self.most = sentencepiece.SentencePieceProcessor(model_proto=model), most
+        self.library, self.most = sentencepiece.SentencePieceProcessor(model_proto=model), most_bytes
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
         self.hashes = np.zeros(0, np.uint64)
+        self.held = 0
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Valid until the next call."""
-        if len(self.known) > self.most:
+        if self.held > self.most:
             self.reset()
         before = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
@@ -94,6 +97,7 @@ class Words:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint16, int(lengths.sum()))])
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
+            self.held += 150 * len(new) + sum(map(len, new)) + 2 * int(lengths.sum())  # a place in the table, the word, its ids
         return at
 
     def id_run(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -486,10 +490,19 @@ class Tally:
         return self.counts
 
 
+def _summed(rows: DataFrame, by: str, parts: int, add: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Adds up what map tasks answer for each of a few ``parts``, in two levels: some tasks' answers first, so that
+    no task gets those of all."""
+    some = max(1, int(math.sqrt(rows.count() / max(1, parts))))
+    return map_arrow(map_arrow(rows.repartition(some), add, schema).repartition(parts, by), add, schema)
+
+
 def _row_key(doc_id: object, raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw, seed=zlib.crc32(repr(doc_id).encode()))
 
 
+#: Bytes of input that a bin of words stands for.
+BIN_BYTES = 32 << 20
 #: Columns of a block of encoded texts, with the type of their numbers.
 BLOCK = {"held": np.uint8, "keys": np.uint64, "tokens": np.uint32, "run": np.uint16, "lengths": np.uint32, "hashes": np.uint64, "trained": np.uint32, "pair_word": np.uint32, "pair_doc": np.uint32, "times": np.uint32}
 
@@ -555,7 +568,7 @@ def _corpus_counts(encoded: DataFrame, vocabulary: int) -> tuple[np.ndarray, np.
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array([_squeeze(x[i], np.int64) for x in sums.values()], pa.binary()) for i in (0, 1))], names=["part", "after", "before"])
 
     counts = encoded.where("part is not null")
-    summed = map_arrow(counts.select("part", "after", "before").repartition(16, "part"), add, "part int, after binary, before binary").collect()
+    summed = _summed(counts.select("part", "after", "before"), "part", 16, add, "part int, after binary, before binary").collect()
     after, before = np.zeros((2, (vocabulary + 1) * NEIGHBOURS))
     step = max((len(_restore(r["after"], np.int64)) for r in summed), default=0)
     for r in summed:  # of fixed size: the vocabulary's
@@ -637,7 +650,10 @@ def _follow(blocks: DataFrame, classes: np.ndarray, vocabulary: int) -> np.ndarr
 
     schema = "part int, counts binary"
     counts = np.zeros(size * CLASSES)
-    for r in map_arrow(map_arrow(blocks.select("run", "lengths", "held"), work, schema).repartition(parts, "part"), add, schema).collect():  # of fixed size
+    tasks, delete = staged(map_arrow(blocks.select("run", "lengths", "held"), work, schema))
+    summed = _summed(tasks, "part", parts, add, schema).collect()  # of fixed size
+    delete()
+    for r in summed:
         part = _restore(r["counts"], np.int64)
         counts[r["part"] * step : r["part"] * step + len(part)] += part
     counts = counts.reshape(-1, CLASSES)
@@ -680,8 +696,9 @@ def _train(blocks: DataFrame, packed: object, weights: dict[str, np.ndarray], tu
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x[0].tobytes() for x in sums.values()], pa.binary()), pa.array([x[1] for x in sums.values()], pa.int64())], names=["name", "sums", "seen"])
 
     schema = "name string, sums binary, seen bigint"
-    results = map_arrow(blocks.select("run", "lengths", "held"), work, schema).repartition(len(weights), "name")
-    rows = map_arrow(results, add, schema).collect()  # one row a weight matrix
+    tasks, delete = staged(map_arrow(blocks.select("run", "lengths", "held"), work, schema))
+    rows = _summed(tasks, "name", len(weights), add, schema).collect()  # one row a weight matrix
+    delete()
     found = {r["name"]: (np.frombuffer(r["sums"], np.float64) / r["seen"]).astype(np.float32).reshape(weights[r["name"]].shape) for r in rows}
     return weights | found
 
@@ -776,7 +793,8 @@ def _base_sums(blocks: DataFrame, frequent: object, bins: int) -> DataFrame:
 
 # ---------------------------------------------------------------- scoring
 def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
+    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row; an id column of the name of another of these
+    has ``_id`` behind its name.
 
     Learns from the documents outside the held-out fold and scores all.  Null and empty texts are
     the end alone.  A row without id is for training.  Repeated rows count as often as they occur in
@@ -809,12 +827,12 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     for turn in range(ROUNDS):
         weights = _train(blocks, packed, weights, turn)
 
-    sums = _base_sums(blocks, context.broadcast(frequent_words), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sums = _base_sums(blocks, context.broadcast(frequent_words), bins_of(docs, BIN_BYTES))
     totals = sums.where("key is null and word is null").agg(F.sum("tokens"), F.sum("types")).first()
     words_total, types = int(totals[0] or 0), int(totals[1] or 0)
     train_tokens, types = words_total + train_texts, types + (train_texts > 0)
     often = context.broadcast({r["word"]: r["tokens"] for r in sums.where("word is not null").select("word", "tokens").collect()})  # bounded by FREQUENT
-    schema = f"{id_col} {id_type}, held_out boolean, n_tokens bigint, key bigint, often_part double, often_known bigint, score double"
+    schema = f"__id {id_type}, held_out boolean, n_tokens bigint, key bigint, often_part double, often_known bigint, score double"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -842,7 +860,7 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     log_total = float(np.log10(train_tokens + types + 1))
     answer = cut(
         scored.join(by_key, "key", "left").select(
-            id_col,
+            F.col("__id").alias(answered_id(id_col, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])),
             "held_out",
             "n_tokens",
             (F.coalesce("known", F.lit(0)) + F.col("often_known") + end_known).cast("bigint").alias("n_known"),

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorekeep.llm.common import in_blocks, map_arrow, raw_texts, type_of
+from lorekeep.llm.common import answered_id, in_blocks, map_arrow, raw_texts, type_of
 
 #: A frame holds 24 x 24 tiles, each of one payload byte.
 SIDE = 24
@@ -332,9 +332,12 @@ def find_shots(data: bytes, avi: Avi, window: int = 12, spread: float = 3.0, lea
 def clips(data: bytes) -> list[tuple[int, int, int, float, float]]:
     """Timed clips of an AVI: number, first frame, frames, start and end in seconds."""
     avi = parse_avi(data)
-    shots = find_shots(data, avi)
+    return _timed(find_shots(data, avi), avi.fps)
+
+
+def _timed(shots: Shots, fps: float) -> list[tuple[int, int, int, float, float]]:
     ends = [*shots.first[1:], shots.frames]
-    return [(i, a, b - a, a / avi.fps, b / avi.fps) for i, (a, b) in enumerate(zip(shots.first, ends, strict=True))]
+    return [(i, a, b - a, a / fps, b / fps) for i, (a, b) in enumerate(zip(shots.first, ends, strict=True))]
 
 
 def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -380,9 +383,10 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Stores each text as AVI, reads the stored bytes back and describes them, one row a text.
 
     Null and empty texts are one frame of padding.  The feature is ``frames|shots|longest
-    shot|mean sample|mean change``, from the decoded frames.  Repeated rows give repeated results.
+    shot|mean sample|mean change``, from the decoded frames; ``clips`` are the times of the shots.  Repeated rows give repeated results.
     """
-    schema = f"{id_col} {type_of(docs, id_col)}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    id_name = answered_id(id_col, ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"])
+    schema = f"{id_name} {type_of(docs, id_col)}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, clips array<struct<start_s:double,end_s:double>>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def described(raw: bytes) -> tuple:
@@ -397,12 +401,12 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         shots = find_shots(media, avi)
         longest = max(np.diff([*shots.first, shots.frames]).tolist(), default=0)
         feature = f"{shots.frames}|{len(shots.first)}|{longest}|{shots.mean:.4f}|{shots.change:.6f}"
-        return len(raw), size, payload.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
+        return len(raw), size, payload.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, [{"start_s": c[3], "end_s": c[4]} for c in _timed(shots, avi.fps)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [described(x) for x in raw_texts(batch.column(1))]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import in_blocks, map_arrow, type_of
+from lorekeep.llm.common import answered_id, in_blocks, map_arrow, type_of
 
 MARK = "▁"
 #: A run of marks (or spaces, which the library turns into marks) with what follows it up to the next one or a
@@ -98,7 +98,8 @@ def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col
     not read.  The chunk table of a task takes twice ``kept_bytes`` and what one block needs at most.
     """
     kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    schema = f"{id_col} {type_of(docs, id_col)}, n_tokens bigint, {kind}"
+    id_name = answered_id(id_col, ["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+    schema = f"{id_name} {type_of(docs, id_col)}, n_tokens bigint, {kind}"
     names = [x.split()[0] for x in schema.split(", ")]
     if isinstance(model, str):
         with open(model, "rb") as f:

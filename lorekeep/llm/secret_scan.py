@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import kept_until_done, map_arrow, type_of
+from lorekeep.llm.common import answered_id, kept_until_done, map_arrow, type_of
 from lorekeep.workers import ship
 
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -338,7 +338,7 @@ def automata(spark: SparkSession, labelled: DataFrame, made: int = 300) -> list[
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = 500, ordinary_rows: int = 2_000, least_chars: int = 16, odds_against: float = 1e5) -> DataFrame:
-    """``id_col`` and ``secrets`` of every row: ``(kind, start, end, score)`` by start, then kind.
+    """``id_col`` (``secrets_id`` if that is called ``secrets``) and ``secrets`` of every row: ``(kind, start, end, score)`` by start, then kind.
 
     Kinds are those of the patterns, ``assign``, ``access`` and ``hex``, whose spans stand whatever their
     score, then ``like_<label>`` for candidates beyond them.  Places are code points, the end exclusive.
@@ -348,7 +348,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
     every text is scored.
     """
     spark = docs.sparkSession
-    id_name = "__id" if id_col in ("secrets", "text") else id_col
+    id_name = answered_id(id_col, ["secrets"])
     with kept_until_done(spark) as keep:
         labelled = keep(labelled_values(docs, text_col, labelled_rows, ordinary_rows, least_chars))
         learned = automata(spark, labelled)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACE_CHARS, cut, map_arrow, release, small_batches, staged, trim, type_of
+from lorekeep.llm.common import SPACE_CHARS, answered_id, cut, map_arrow, release, small_batches, staged, trim, type_of
 
 #: Any white space, by whichever definition: a text is cut only behind what none of them counts as such.
 ANY_SPACE = r"\s᠎"
@@ -307,12 +307,10 @@ def align(
     it is best if no A id has a higher count with its B id.  Null and empty texts, and those with the mark
     that B writes for a space (which B's tokens don't spell), have no tokens: zeros, and the empty string
     for groups and digest.  Rows may repeat and ids be null; an empty table gives no rows.  Other columns are not
-    read; an id column of the name of a result is refused.
+    read; an id column of the name of a result has ``_id`` behind its name.
     """
     spark = docs.sparkSession
     out = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256" if digests else "groups"]
-    if id_col in out:
-        raise ValueError(f"the id column can't be called {id_col}")
     with open(a_path, encoding="utf-8") as f, open(b_path, "rb") as g:
         files = f.read(), g.read()
     segment = TwoTokenizers(*files).segment
@@ -372,7 +370,7 @@ def align(
         deletes.pop(0)()  # the aligned segments, which are all in what was found
         kinds = ", ".join(f"{c} {'string' if c.startswith('groups') else 'bigint'}" for c in out)
         made = texts.groupBy("block").cogroup(found.withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(composed, f"id {id_type}, {kinds}")
-        return cut(made).withColumnRenamed("id", id_col)
+        return cut(made).withColumnRenamed("id", answered_id(id_col, out))
     finally:
         for delete in deletes:
             delete()

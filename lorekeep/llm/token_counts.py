@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorekeep.llm.common import map_arrow, raw_texts, type_of
+from lorekeep.llm.common import answered_id, map_arrow, raw_texts, type_of
 
 MARK = "▁"
 
@@ -102,7 +102,8 @@ def piece_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
     counted in ``n_unknown``.  Null and empty texts have no words.  Ids may be null or repeated.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sorted(set(pieces)))  # a vocabulary: its size doesn't depend on the data
-    schema = f"{id_col} {type_of(docs, id_col)}, n_words bigint, n_tokens bigint, n_unknown bigint"
+    id_name = answered_id(id_col, ["n_words", "n_tokens", "n_unknown"])
+    schema = f"{id_name} {type_of(docs, id_col)}, n_words bigint, n_tokens bigint, n_unknown bigint"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = _Counted(PieceAutomaton(shared.value), cached_words)
@@ -115,6 +116,6 @@ def piece_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
                 words.append(len(found))
                 tokens.append(sum(found) + 2 * misses)
                 unknown.append(misses)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (words, tokens, unknown))], names=[id_col, "n_words", "n_tokens", "n_unknown"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (words, tokens, unknown))], names=[id_name, "n_words", "n_tokens", "n_unknown"])
 
     return map_arrow(docs.select(id_col, text_col), work, schema)

@@ -9,6 +9,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -175,7 +176,7 @@ def test_operations_on_long_runs(rows, kind):
 
 def test_words_keep_their_places():
     with open(vocabulary_path("piece_bpe_32k.model"), "rb") as f:
-        words = lm_scoring.Words(f.read(), most=6)
+        words = lm_scoring.Words(f.read(), most_bytes=900)
     for _ in range(2):
         for many in (["tide", "quay", "tide"], [], ["quay", "\x85", "\u2028x", "▁", "😀", "\x1c", "tide"], ["new", "quay", "new"]):
             places = words.places([w.encode() for w in many])
@@ -401,6 +402,7 @@ def test_media_features(docs, rows, empty):
         assert r["tail_crc32"] == zlib.crc32(payload[-32:]) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         media = motion_jpeg.store(payload)
         assert r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest()
+        assert [(c["start_s"], c["end_s"]) for c in r["clips"]] == [c[3:] for c in motion_jpeg.clips(media)]
     clips = motion_jpeg.clip_rows(motion_jpeg.to_media(docs))
     assert clips.agg(F.sum("frames")).first()[0] == sum(r["payload_bytes"] for r in got) // 576
     assert motion_jpeg.media_features(empty).count() == 0
@@ -461,3 +463,32 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), 200: 200, 201: 200}
+
+
+# ---------------------------------------------------------------- bounds and names
+def test_long_words_do_not_stay_in_memory():
+    """5,000 words of 40 kB, in a process of its own: its peak stays far below their 200 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+from lorekeep.llm.lm_scoring import Words
+words = Words(open(sys.argv[2], "rb").read())
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for i in range(500):
+    words.places([f"{i}-{k}-".encode() + b"x" * 40_000 for k in range(10)])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    root = str(Path(lm_scoring.__file__).parents[2])
+    grown = int(subprocess.run([sys.executable, "-c", code, root, vocabulary_path("piece_bpe_32k.model")], capture_output=True, text=True, check=True).stdout)
+    assert grown < 300_000, f"{grown} kB"
+
+
+@pytest.mark.parametrize("name", ["key", "score", "n_tokens"])
+def test_ids_of_any_name(spark, name):
+    docs = spark.createDataFrame([(1, "tide and time"), (2, "tide"), (None, None)], f"{name} bigint, text string")
+    got = lm_scoring.score(docs, vocabulary_path("piece_bpe_32k.model"), id_col=name)
+    assert got.columns[0] == (name if name == "key" else f"{name}_id") and len(set(got.columns)) == len(got.columns)
+    assert {r[0] for r in got.collect()} == {1, 2, None}

@@ -121,8 +121,7 @@ def test_empty_tables_and_refusals(spark):
     assert token_alignment.align(spark.createDataFrame([], "doc_id string, text string"), *paths).collect() == []
     none = token_alignment.align(spark.createDataFrame([("a", None), ("b", ""), ("c", "▁")], "doc_id string, text string"), *paths, digests=True)
     assert sorted(map(tuple, none.collect())) == [(x, 0, 0, 0, 0, 0, 0, "") for x in "abc"]
-    with pytest.raises(ValueError, match="n_a"):
-        token_alignment.align(spark.createDataFrame([], "n_a string, text string"), *paths, id_col="n_a")
+    assert token_alignment.align(spark.createDataFrame([], "n_a string, text string"), *paths, id_col="n_a").columns[0] == "n_a_id"
     assert token_alignment.merged_across(["a b", ";\r", "    a", "\xa0 "]) == {" ", "\r"}
 
 
