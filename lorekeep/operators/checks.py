@@ -7,7 +7,7 @@ order in which checks count, since the first finding that suggests an action dec
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,7 @@ class Batch:
     owner: str = ""
     run_id: str = ""
     options: dict = field(default_factory=dict)
+    graph: DataFrame | None = None  # all nodes, where ``existing`` are those alone that the batch names
 
     def kinds(self) -> DataFrame:
         return F.broadcast(self.contract.kind_rows(self.spark))  # a contract's size
@@ -50,6 +51,16 @@ class Batch:
     def ids(self) -> DataFrame:
         return self.existing.select("kind", "key").distinct()
 
+    def all_ids(self) -> DataFrame:
+        """Every key of the graph, for what is compared with keys that the batch doesn't name."""
+        return (self.existing if self.graph is None else self.graph).select("kind", "key").distinct()
+
+    def named(self) -> DataFrame:
+        """The keys that items have, refer to, or contradict."""
+        own = self.items.select("kind", "key")
+        to = self.items.select(F.explode(X.as_list(F.col("fields")["contradicts"])).alias("to")).select(X.id_kind(F.col("to")).alias("kind"), X.id_key(F.col("to")).alias("key"))
+        return own.unionByName(reference_rows(self).select(F.col("target_kind").alias("kind"), F.col("ref").alias("key"))).unionByName(to).distinct()
+
     def pending(self) -> DataFrame:
         """What a reference may point to: nodes that exist and items declared here."""
         return self.ids().unionByName(self.items.where("section = 'declare' and key is not null").select("kind", "key")).distinct()
@@ -195,7 +206,7 @@ def near_duplicate_key(b: Batch) -> DataFrame:
     """New keys of kinds that ask for it, against existing keys of the kind; held, never merged."""
     kinds = b.kinds().where("near_duplicate_check").select("kind", F.col("near_duplicate_threshold").alias("threshold"))
     new = b.items.where(F.col("key").isNotNull()).join(F.broadcast(kinds), "kind").join(b.ids(), ["kind", "key"], "left_anti")
-    pairs = near_duplicates(new, b.ids().join(F.broadcast(kinds), "kind"), group_cols=("kind", "threshold"), threshold="threshold")
+    pairs = near_duplicates(new, b.all_ids().join(F.broadcast(kinds), "kind"), group_cols=("kind", "threshold"), threshold="threshold")
     rows = pairs.withColumn("id", X.composite_id(F.col("kind"), F.col("key"))).join(new.groupBy("id").agg(F.min("pos").alias("pos")), "id")
     said = texts("'", F.col("key"), "' is ", F.round(F.col("score") * 100).cast("int"), "% similar to existing ", F.col("kind"), " '", F.col("other"), "'; approve to create it apart, or reuse the existing key. Nothing is merged.")
     return found(rows, "near_duplicate_key", L.REQUIRE_APPROVAL, said, "warn", data_of(near_duplicate_of=F.col("other"), score=F.round("score", 4)))
@@ -264,7 +275,7 @@ def normalized_key_collision(b: Batch) -> DataFrame:
     """Opt-in (``options``): new keys that equal an existing key once both are normalised, which neither
     collision nor near_duplicate_key reports."""
     new = b.items.where("key is not null").join(b.ids(), ["kind", "key"], "left_anti").withColumn("normal", X.normal_key(F.col("key")))
-    old = b.ids().select("kind", F.col("key").alias("other"), X.normal_key(F.col("key")).alias("normal"))
+    old = b.all_ids().select("kind", F.col("key").alias("other"), X.normal_key(F.col("key")).alias("normal"))
     return found(new.join(old, ["kind", "normal"]), "normalized_key_collision", L.REQUIRE_APPROVAL, texts("'", F.col("key"), "' is existing '", F.col("other"), "' but for case and punctuation"), "warn", data_of(near_duplicate_of=F.col("other")))
 
 
@@ -272,15 +283,24 @@ CHECKS: dict[str, Callable[[Batch], DataFrame]] = {name: globals()[name] for nam
 
 
 def run_checks(batch: Batch, packs: list[tuple[str, Callable[[Batch], DataFrame]]] = ()) -> tuple[Batch, DataFrame]:
-    """The batch with synonyms folded, and all findings; checks of domain packs come last."""
+    """The batch with synonyms folded, and all findings; checks of domain packs come last.
+
+    The graph is met once: what the checks read of it are the nodes that the batch names, no more rows than the batch
+    has keys and references.  Only kinds that ask for near-duplicate keys are compared with keys of the whole graph, and
+    packs see all of it.
+    """
     items, report = fold_synonyms(batch)
     items = cut(items)  # every check reads them
-    folded = Batch(**{**batch.__dict__, "items": items})
+    folded = replace(batch, items=items)
+    state = cut(batch.existing.join(folded.named(), ["kind", "key"], "left_semi").select("kind", "key", "fields", "is_protected", "owner"))
+    near = replace(folded, existing=state, graph=batch.existing)
+    asked = any(k.near_duplicate_check for k in batch.contract.kinds.values())
     findings = report
-    for check in CHECKS.values():
-        findings = findings.unionByName(check(folded))
+    for name, check in CHECKS.items():
+        if asked or name != "near_duplicate_key":
+            findings = findings.unionByName(check(near))
     if batch.options.get("normalized_key_collision"):
-        findings = findings.unionByName(normalized_key_collision(folded))
+        findings = findings.unionByName(normalized_key_collision(near))
     for i, (name, check) in enumerate(packs):
         findings = findings.unionByName(check(folded).withColumn("check_ord", F.lit(len(CORE_CHECKS) + 1 + i)).withColumn("check", F.lit(name)))
     return folded, findings

@@ -100,12 +100,12 @@ def collision_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _proposed_orders(spark, sf_dir).select("key", checks.collision_class(F.col("changed"), F.col("supersedable"), F.col("supersede")).alias("class"))
 
 
-_GRAMS = "list_distinct(list_transform(generate_series(1, greatest(length({d}) - 2, 1)), lambda i: substr({d}, i, 3)))"
-_NORMAL = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+GRAMS_SQL = "list_distinct(list_transform(generate_series(1, greatest(length({d}) - 2, 1)), lambda i: substr({d}, i, 3)))"
+NORMAL_SQL = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(
-    "WITH n AS (SELECT DISTINCT s_name AS key, " + _NORMAL.format(c="s_name") + " AS normal FROM supplier), g AS (SELECT *, " + _GRAMS.format(d="replace(normal, ' ', '')") + " AS grams, substr(normal, 1, 4) AS block FROM n WHERE length(normal) >= 6) "
+    "WITH n AS (SELECT DISTINCT s_name AS key, " + NORMAL_SQL.format(c="s_name") + " AS normal FROM supplier), g AS (SELECT *, " + GRAMS_SQL.format(d="replace(normal, ' ', '')") + " AS grams, substr(normal, 1, 4) AS block FROM n WHERE length(normal) >= 6) "
     "SELECT a.key, b.key AS other, round(len(list_intersect(a.grams, b.grams)) / CAST(len(list_distinct(list_concat(a.grams, b.grams))) AS DOUBLE), 6) AS score FROM g a JOIN g b ON a.block = b.block AND a.key < b.key AND a.normal <> b.normal "
     "WHERE len(list_intersect(a.grams, b.grams)) / CAST(len(list_distinct(list_concat(a.grams, b.grams))) AS DOUBLE) >= 0.75"
 )
@@ -115,7 +115,7 @@ def near_duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name, unnest(string_split(replace(" + _NORMAL.format(c="p_name") + ", ' ', ''), '')) AS ch FROM p), f AS (SELECT p_name, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL), "
+    "WITH p AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name, unnest(string_split(replace(" + NORMAL_SQL.format(c="p_name") + ", ' ', ''), '')) AS ch FROM p), f AS (SELECT p_name, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL), "
     "t AS (SELECT p_name, sum(n) AS total FROM f GROUP BY p_name) SELECT f.p_name, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM f JOIN t ON f.p_name = t.p_name GROUP BY f.p_name"
 )
 def key_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def key_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH n AS (SELECT DISTINCT p_brand AS brand, p_type AS type FROM part), g AS (SELECT *, " + _GRAMS.format(d="replace(lower(type), ' ', '')") + " AS a, " + _GRAMS.format(d="regexp_replace(lower(brand), '[^a-z0-9_]', '', 'g')") + " AS b FROM n) "
+    "WITH n AS (SELECT DISTINCT p_brand AS brand, p_type AS type FROM part), g AS (SELECT *, " + GRAMS_SQL.format(d="replace(lower(type), ' ', '')") + " AS a, " + GRAMS_SQL.format(d="regexp_replace(lower(brand), '[^a-z0-9_]', '', 'g')") + " AS b FROM n) "
     "SELECT brand, type, CAST(len(a) AS INTEGER) AS grams, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS score FROM g"
 )
 def trigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

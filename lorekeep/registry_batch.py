@@ -10,7 +10,7 @@ from lorekeep.functions import lexicon as L
 from lorekeep.operators import checks, verdicts
 from lorekeep.operators.checks import Batch
 from lorekeep.plans.contract import Contract, Kind, Term, Vocabulary
-from lorekeep.registry import query, read
+from lorekeep.registry import GRAMS_SQL, NORMAL_SQL, query, read
 from lorekeep.sources import batches
 
 PRIORITY = Vocabulary(
@@ -115,6 +115,34 @@ for _name in _FOUND_SQL:
     _register(_name)
 
 
+#: Kinds that ask for near-duplicate keys at two thresholds, and one that doesn't.
+KEYED = Contract("suppliers", {"k0": Kind("k0", near_duplicate_check=True), "k1": Kind("k1", near_duplicate_check=True, near_duplicate_threshold=0.9), "k2": Kind("k2")}, {})
+
+
+def _keyed_batch(spark: SparkSession, sf_dir: str) -> Batch:
+    """Every supplier as an item under its name, some twice; every fourth is in the graph already."""
+    k = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), (F.col("s_nationkey") % 3).cast("string")).alias("kind"), F.col("s_name").alias("key"), k.alias("k"))
+    items = rows.unionByName(rows.where("k % 5 = 1").withColumn("k", F.col("k") + 1_000_000))
+    items = items.select(
+        F.lit("node").alias("section"), F.lit(0).alias("section_ord"), F.col("k").alias("pos"), "kind", "key", F.concat("kind", F.lit(":"), "key").alias("id"), F.lit("{}").alias("props"), F.array().cast("array<string>").alias("truthy"), F.lit(False).alias("supersede"),
+        F.lit(False).alias("protected"), F.create_map().cast("map<string,string>").alias("fields"),
+    )
+    there = rows.where("k % 4 = 0").select("kind", "key", F.create_map().cast("map<string,string>").alias("fields"), F.lit(False).alias("is_protected"), F.lit("o").alias("owner"), F.lit("active").alias("status"), F.lit(1).alias("revision"))
+    return Batch(spark, KEYED, items, there, scope="north", source="s", date="2024-03-01", owner="o", run_id="r1")
+
+
+@query(
+    "WITH n AS (SELECT s_suppkey AS k, concat('k', CAST(s_nationkey % 3 AS VARCHAR)) AS kind, s_name AS key, " + NORMAL_SQL.format(c="s_name") + " AS normal FROM supplier), g AS (SELECT *, " + GRAMS_SQL.format(d="replace(normal, ' ', '')") + " AS grams FROM n), "
+    "p AS (SELECT a.k, a.kind, a.key, b.key AS other, len(list_intersect(a.grams, b.grams)) / CAST(len(list_distinct(list_concat(a.grams, b.grams))) AS DOUBLE) AS score FROM g a JOIN g b ON a.kind = b.kind AND a.k % 4 <> 0 AND b.k % 4 = 0 AND substr(a.normal, 1, 4) = substr(b.normal, 1, 4) AND a.normal <> b.normal WHERE a.kind <> 'k2') "
+    "SELECT concat(kind, ':', key) AS target, CAST(k AS BIGINT) AS pos, 1 AS verdict, concat('''', key, ''' is ', CAST(CAST(round(score * 100) AS INTEGER) AS VARCHAR), '% similar to existing ', kind, ' ''', other, '''; approve to create it apart, or reuse the existing key. Nothing is merged.') AS message FROM p WHERE score >= CASE WHEN kind = 'k0' THEN 0.75 ELSE 0.9 END"
+)
+def check_near_duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New keys against the graph's, each kind at its own threshold, as a run of all checks reports them."""
+    found = checks.run_checks(_keyed_batch(spark, sf_dir))[1].where("check = 'near_duplicate_key'")
+    return found.select("target", F.col("pos").cast("bigint").alias("pos"), "verdict", "message")
+
+
 _COUNTS_SQL = " UNION ALL ".join(f"SELECT '{name}' AS check_name, CAST(verdict AS INTEGER) AS verdict FROM ({sql}) AS f(target, pos, verdict, message)" for name, sql in _FOUND_SQL.items())
 
 
