@@ -403,6 +403,34 @@ def dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(X.id_key(F.col("id")).alias("key"), "versions", "versions_truncated", "links", "contradicted_by", "gap")
 
 
+@query(
+    _BELIEVED_SQL + ", v AS (SELECT CAST(l_partkey AS VARCHAR) AS key, l_orderkey * 10 + l_linenumber AS rev, max(l_shipdate) AS until FROM lineitem GROUP BY ALL), "
+    "vv AS (SELECT key, count(*) > 4 AS more, array_to_string(list(concat(CAST(rev AS VARCHAR), '@', CAST(CAST(until AS DATE) AS VARCHAR)) ORDER BY rev DESC)[1:4], ',') AS shown FROM v GROUP BY key), "
+    "e AS (SELECT CAST(l_partkey AS VARCHAR) AS key, CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem GROUP BY ALL), ee AS (SELECT key, count(*) > 3 AS more, array_to_string(list(dst ORDER BY dst)[1:3], ',') AS shown FROM e GROUP BY key), "
+    "c AS (SELECT left_id AS id, right_id AS other, pair_key, detector FROM o UNION ALL SELECT right_id, left_id, pair_key, detector FROM o), cc AS (SELECT id, count(*) > 3 AS more, array_to_string(list(concat(other, '/', detector) ORDER BY pair_key, other)[1:3], ',') AS shown FROM c GROUP BY id) "
+    "SELECT n.id, n.claim, coalesce(vv.shown, '') AS versions, coalesce(vv.more, false) AS versions_truncated, coalesce(ee.shown, '') AS links, coalesce(ee.more, false) AS links_truncated, coalesce(cc.shown, '') AS contradictions, coalesce(cc.more, false) AS contradictions_truncated "
+    "FROM n LEFT JOIN vv ON n.key = vv.key LEFT JOIN ee ON n.key = ee.key LEFT JOIN cc ON n.id = cc.id"
+)
+def dossier_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of every part: its newest versions (made of its lines), suppliers, and both sides of its contradictions."""
+    lines, null = read(spark, sf_dir, "lineitem"), F.lit(None).cast("string")
+    key = F.col("l_partkey").cast("string").alias("key")
+    nodes = _believed(spark, sf_dir).select(
+        F.lit("north").alias("scope"), "kind", "key", F.to_json("fields").alias("props"), F.lit(False).alias("is_protected"), "owner", "status", F.lit(1).alias("revision"), "run_id", null.alias("provenance_ts"), null.cast("date").alias("valid_from"), "slot"
+    )
+    number = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
+    last = lines.groupBy(key, number.alias("revision")).agg(F.max(F.col("l_shipdate").cast("date")).alias("valid_until"))
+    revisions = last.select(F.lit("north").alias("scope"), F.lit("part").alias("kind"), "key", null.alias("props"), "revision", null.alias("owner"), "valid_until", null.alias("superseded_by_run"))
+    edges = lines.select(F.lit("north").alias("scope"), F.lit("part").alias("src_kind"), F.col("l_partkey").cast("string").alias("src_key"), F.lit("suppliers").alias("field"), F.lit("supplier").alias("dst_kind"), F.col("l_suppkey").cast("string").alias("dst_key")).distinct()
+    ledger = _observed(spark, sf_dir).withColumns({"scope": F.lit("north"), "state": F.lit("active"), "detected_ts": F.lit("t"), "resolved_ts": F.lit("")})
+    found = explain.contents(nodes, revisions, edges, ledger, version_limit=4, most=3)
+    shown = lambda name, of: F.array_join(F.transform(name, of), ",").alias(name)
+    return found.select(
+        "id", F.get_json_object("node.props", "$.claim").alias("claim"), shown("versions", lambda x: F.concat(x["revision"].cast("string"), F.lit("@"), x["valid_until"].cast("string"))), "versions_truncated",
+        shown("links", lambda x: x["dst_key"]), "links_truncated", shown("contradictions", lambda x: F.concat(x["with"], F.lit("/"), x["detector"])), "contradictions_truncated",
+    )
+
+
 # ---------------------------------------------------------------- contracts as rows
 def _contracts(spark: SparkSession, sf_dir: str) -> contract_rules.Tables:
     """A contract for each nation, with faults at fixed places; its kinds come from suppliers, its terms from customers."""
