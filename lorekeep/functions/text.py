@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +33,28 @@ def id_key(composite: Column) -> Column:
 
 
 # ---------------------------------------------------------------- keys
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Unicode's full case folding, from Python's own data: characters that fold to one other, what to, and those that fold to several."""
+    found = {chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000}
+    found = {c: f for c, f in found.items() if c != f}
+    single = {c: f for c, f in found.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in found.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding.  Texts of ASCII alone take the cheap way, and only those with a character that expands the long one."""
+    one, to, expanding = _folds()
+    folded = F.translate(text, one, to)
+    pairs = F.array(*[F.struct(F.lit(c).alias("of"), F.lit(f).alias("to")) for c, f in expanding.items()])
+    spread = F.aggregate(pairs, folded, lambda x, p: F.replace(x, p["of"], p["to"]))
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).when(F.rlike(text, F.lit(f"[{''.join(expanding)}]")), spread).otherwise(folded)
+
+
 def normal_key(key: Column) -> Column:
-    """Lower case, punctuation to spaces, single spaces, stripped."""
-    folded = F.lower(F.replace(F.coalesce(key, F.lit("")), F.lit("ß"), F.lit("ss")))
+    """Case folded, punctuation to spaces, single spaces, stripped."""
+    folded = casefold(F.coalesce(key, F.lit("")))
     return strip(F.regexp_replace(F.regexp_replace(folded, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 

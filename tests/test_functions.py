@@ -128,3 +128,11 @@ def test_entropy_formula(spark):
     for key in ("mississippi", "nordic carrier 12", "zz"):
         n = Counter(key.replace(" ", ""))
         assert abs(one(spark, X.key_entropy(F.lit(key))) + sum(c / n.total() * math.log2(c / n.total()) for c in n.values())) < 1e-9
+
+
+def test_casefold_of_every_character(spark):
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points[i : i + 2000]) for i in range(0, len(points), 2000)] + ["\ufb01ne", "STRASSE Stra\u00dfe \u1e9e", "\u03a3\u0391\u03a3 \u03c3\u03b1\u03c2", "\u0130stanbul", "PLAIN"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.casefold(F.col("t")).alias("f")).collect()
+    for r in got:
+        assert r["f"] == texts[r["i"]].casefold(), r["i"]
