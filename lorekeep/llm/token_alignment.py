@@ -357,7 +357,10 @@ def align(
     try:
         blocks = keep(_blocks(docs, id_col, text_col, block_bytes, segment))
         rows = blocks.where("segment is not null").select("block", "number", "segment", "n")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // part_rows + 1)
+        # One row of a block has the number 0.  Neither parts nor blocks share a task where there are more of them than shuffles have partitions.
+        size = blocks.agg(F.count("segment").alias("rows"), F.count(F.when(F.col("number") == 0, 1)).alias("blocks")).first()
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts, dealt = max(least, size["rows"] // part_rows + 1), max(least, size["blocks"])
         aligned = keep(_aligned(rows.repartition(parts, "segment").sortWithinPartitions("segment"), shared))
         texts = keep(blocks.where("places is not null").select("block", "id", "places"))
         deletes.pop(0)()  # the blocks' segments
@@ -366,10 +369,11 @@ def align(
         counted = pairs.groupBy("pair").agg(F.sum("linked").alias("count")).withColumn("best", F.col("count") == F.max("count").over(of_b))
         back = pairs.select(F.col("part").alias("of_part"), "pair").join(counted, "pair")
         segments = aligned.where("pair is null").select("part", "local", "groups", "links", "block", "number")
-        found = keep(segments.groupBy("part").cogroup(back.groupBy("of_part")).applyInArrow(_weighed, "block bigint, number int, groups string, n_best bigint, count_sum bigint"))
+        found = keep(segments.repartition(parts, "part").groupBy("part").cogroup(back.repartition(parts, "of_part").groupBy("of_part")).applyInArrow(_weighed, "block bigint, number int, groups string, n_best bigint, count_sum bigint"))
         deletes.pop(0)()  # the aligned segments, which are all in what was found
         kinds = ", ".join(f"{c} {'string' if c.startswith('groups') else 'bigint'}" for c in out)
-        made = texts.groupBy("block").cogroup(found.withColumnRenamed("block", "of_block").groupBy("of_block")).applyInArrow(composed, f"id {id_type}, {kinds}")
+        found = found.withColumnRenamed("block", "of_block").repartition(dealt, "of_block")
+        made = texts.repartition(dealt, "block").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(composed, f"id {id_type}, {kinds}")
         return cut(made).withColumnRenamed("id", answered_id(id_col, out))
     finally:
         for delete in deletes:
