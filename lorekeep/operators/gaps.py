@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
@@ -40,20 +40,37 @@ def promotion_entries(gaps: DataFrame, floor: int = L.PROMOTION_FLOOR) -> DataFr
     return promotable(gaps, floor).select("slug", entry.alias("entry"), F.struct(F.col("independent").alias("independent_scopes"), "scopes", "observations", "items").alias("evidence"))
 
 
-def aggregate(rows: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
-    """Gaps by independent support: ``slug, means, observations, scopes, sources, items, first_seen,
+#: Scopes, sources and items that a gap names as its evidence; all are counted.
+MOST_EVIDENCE = 1000
+
+
+def evidence(rows: DataFrame, most: int = MOST_EVIDENCE) -> DataFrame:
+    """``slug``, and of its scopes, sources and items the first ``most`` in order and how many there are (``n_scopes``, ``n_sources``,
+    ``n_items``).  Pairs of slug and value are made distinct first, so that however many rows one slug has, no task gets them
+    all and no row grows with them."""
+    parts = {"scopes": "scope", "sources": "source", "items": "item_id"}
+    each = rows.select("slug", F.explode(F.array(*[F.struct(F.lit(name).alias("part"), F.col(c).alias("value")) for name, c in parts.items()])).alias("e")).select("slug", "e.part", "e.value")
+    distinct = each.where("value <> ''").groupBy("slug", "part", "value").agg(F.lit(1).alias("one"))
+    counts = distinct.groupBy("slug").agg(*[F.count(F.when(F.col("part") == name, 1)).cast("int").alias(f"n_{name}") for name in parts])
+    first = distinct.withColumn("place", F.row_number().over(Window.partitionBy("slug", "part").orderBy("value"))).where(F.col("place") <= most)
+    lists = first.groupBy("slug").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == name, F.col("value")))).alias(name) for name in parts])
+    return counts.join(lists, "slug")
+
+
+def aggregate(rows: DataFrame, resolutions: DataFrame | None = None, most: int = MOST_EVIDENCE) -> DataFrame:
+    """Gaps by independent support: ``slug, means, observations, scopes, sources, items, n_scopes, n_sources, n_items, first_seen,
     last_seen, independent, status, promoted_to, note``.
 
-    Empty scopes and sources don't count.  ``means`` is the last that is not empty.
+    Empty scopes and sources don't count.  ``means`` is the last that is not empty.  Lists hold ``most`` values at most.
     """
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     ts = F.coalesce(blank("recorded_ts"), blank("observed_on"))
-    distinct = lambda c: F.array_sort(F.collect_set(blank(c)))
     gaps = rows.groupBy("slug").agg(
-        F.coalesce(F.max_by("means", F.when(F.col("means") != "", F.struct(F.coalesce(ts, F.lit("")), "means"))), F.lit("")).alias("means"),
-        F.count("*").alias("observations"), distinct("scope").alias("scopes"), distinct("source").alias("sources"), distinct("item_id").alias("items"),
+        F.coalesce(F.max_by("means", F.when(F.col("means") != "", F.struct(F.coalesce(ts, F.lit("")), "means"))), F.lit("")).alias("means"), F.count("*").alias("observations"),
         F.coalesce(F.min(ts), F.lit("")).alias("first_seen"), F.coalesce(F.max(ts), F.lit("")).alias("last_seen"),
-    ).withColumn("independent", F.size("scopes"))
+    )
+    none = {"scopes": F.array().cast("array<string>"), "sources": F.array().cast("array<string>"), "items": F.array().cast("array<string>"), "n_scopes": F.lit(0), "n_sources": F.lit(0), "n_items": F.lit(0)}
+    gaps = gaps.join(evidence(rows, most), "slug", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()}).withColumn("independent", F.col("n_scopes"))
     if resolutions is not None:
         gaps = gaps.join(resolutions.select("slug", "status", "promoted_to", "note"), "slug", "left")
     else:

@@ -123,8 +123,11 @@ def fold(store: Store, base: dict, changed: DataFrame, kinds: DataFrame, partiti
     scope = partition if scoped else None
     kinds_now, notes = fingerprint(kinds), base.get("notes", {})
     new = keep(claims_of(changed.withColumn("fields", F.from_json("props", "map<string,string>")), kinds))
-    held = sum(x["rows"] for x in base["tables"].get("claims", [])) + new.count()
+    size = new.agg(F.count("*").alias("rows"), F.count_if("lexical").alias("lexical"), F.count_if(F.size("contradicts") > 0).alias("stating")).first()
+    held = sum(x["rows"] for x in base["tables"].get("claims", [])) + size["rows"]
     whole = notes.get("claim_kinds") != kinds_now or held > 2 * notes.get("claims_built", 0) + SLACK
+    if not whole and not size["lexical"] and not size["stating"] and not base["tables"].get("claim_links") and not base["tables"].get("contradictions"):
+        return Folded({"claims": new}, {}, {})  # nothing to compare, nothing said of these nodes before
     if whole:
         key = ["scope", "kind", "key"]
         before = store.read("nodes", base).join(changed.select(*key), key, "left_anti")

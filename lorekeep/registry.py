@@ -6,6 +6,7 @@ use to whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import lexicon as L
 from lorekeep.functions import text as X
+from lorekeep.lineage import shared_folder
 from lorekeep.operators import audit_chain, checks, contradictions, gaps, similarity, verdicts
 from lorekeep.plans.contract import Contract
 from lorekeep.sources import batches
+from lorekeep.streaming import chains
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -182,7 +185,18 @@ _GAPS_SQL = (
 @query(_GAPS_SQL + "SELECT slug, observations, independent, n_sources, means, first_seen, last_seen, status, promoted_to FROM k")
 def gap_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gaps.aggregate(_gap_rows(spark, sf_dir), _resolutions(spark))
-    return found.select("slug", "observations", "independent", F.size("sources").alias("n_sources"), "means", "first_seen", "last_seen", "status", "promoted_to")
+    return found.select("slug", "observations", "independent", "n_sources", "means", "first_seen", "last_seen", "status", "promoted_to")
+
+
+@query(
+    _GAPS_SQL + ", p AS (SELECT DISTINCT slug, scope FROM o WHERE scope <> ''), q AS (SELECT slug, CAST(count(*) AS INTEGER) AS n_scopes, array_to_string(list(scope ORDER BY scope)[1:5], ',') AS scopes FROM p GROUP BY slug), "
+    "t AS (SELECT slug, CAST(count(DISTINCT event_id) AS INTEGER) AS n_items, array_to_string(list(DISTINCT CAST(event_id AS VARCHAR) ORDER BY CAST(event_id AS VARCHAR))[1:5], ',') AS items FROM (SELECT event_type AS slug, event_id FROM events) GROUP BY slug) "
+    "SELECT q.slug, n_scopes, scopes, n_items, items FROM q JOIN t ON q.slug = t.slug"
+)
+def gap_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands behind a gap: everything is counted, the first five are named."""
+    named = lambda c: F.array_join(c, ",").alias(c)
+    return gaps.evidence(_gap_rows(spark, sf_dir), 5).select("slug", "n_scopes", named("scopes"), "n_items", named("items"))
 
 
 @query(_GAPS_SQL + "SELECT slug, independent FROM k WHERE status = 'open' AND independent >= 2")
@@ -306,6 +320,30 @@ def audit_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_chain.last_hash(_logs(spark, sf_dir), ("log",))
 
 
+#: Logs that the events are streamed into, and the micro-batches that they come in.
+_STREAMED, _BATCHES = 5, 3
+
+
+@query(
+    f"WITH l AS (SELECT user_id % {_STREAMED} AS log, count(*) AS n, list(concat_ws('|', CAST(event_id AS VARCHAR), event_type, props) ORDER BY event_id) AS payloads FROM events GROUP BY 1) "
+    "SELECT log, CAST(n AS BIGINT) AS entries, true AS ok, list_reduce(list_prepend(repeat('0', 64), payloads), lambda h, p: sha256(concat(h, p))) AS head FROM l"
+)
+def audit_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed into a few long logs over several micro-batches; each log's head, and whether its chain holds."""
+    where = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
+    entries = read(spark, sf_dir, "events").select((F.col("user_id") % _STREAMED).cast("bigint").alias("log"), F.col("event_id").cast("bigint").alias("line"), payload.alias("payload"))
+    most = entries.agg(F.max("line")).first()[0] or 0
+    for i in range(_BATCHES):  # files in the order of their lines
+        step = most // _BATCHES + 1
+        entries.where(F.col("line").between(i * step, (i + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    stream = chains.chained(spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"))
+    stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    logs = spark.read.parquet(f"{where}/out")
+    held = audit_chain.verify(logs, ("log",)).join(audit_chain.last_hash(logs, ("log",)), "log")
+    return held.select("log", "entries", "ok", "head")
+
+
 @query(f"SELECT concat('run-', CAST(event_id // {_RUN} AS VARCHAR)) AS run_id, min(event_id) AS line FROM events WHERE event_id % 1103 <> 7 GROUP BY 1")
 def audit_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_chain.run_index(_logs(spark, sf_dir).select("run_id", "line"))

@@ -136,3 +136,15 @@ def test_casefold_of_every_character(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.casefold(F.col("t")).alias("f")).collect()
     for r in got:
         assert r["f"] == texts[r["i"]].casefold(), r["i"]
+
+
+def test_gaps_with_nearly_all_rows_in_one_slug(spark):
+    rows = [("hot" if i % 10 else f"cold-{i % 3}", f"m{i}", f"i{i:04}", f"s{i % 400}" if i % 5 else "", "", f"t{i:04}", "") for i in range(2000)]
+    frame = spark.createDataFrame(rows + rows[:50], "slug string, means string, item_id string, scope string, source string, recorded_ts string, observed_on string")
+    found = {r["slug"]: r for r in gaps.aggregate(frame, most=20).collect()}
+    every = rows + rows[:50]
+    for slug, r in found.items():
+        own = [x for x in every if x[0] == slug]
+        items, scopes = sorted({x[2] for x in own}), sorted({x[3] for x in own} - {""})
+        assert (r["observations"], r["n_items"], r["items"], r["n_scopes"], r["independent"], r["scopes"]) == (len(own), len(items), items[:20], len(scopes), len(scopes), scopes[:20])
+        assert r["sources"] == [] and r["n_sources"] == 0 and r["means"] == max(own, key=lambda x: x[5])[1]
