@@ -1,4 +1,8 @@
-"""Proposals and approvals as rows: which proposals a batch has, what they cleared, what tokens name."""
+"""Proposals and approvals as events, folded by key: which proposals a batch has, what clears its items, what tokens name.
+
+``heads``: run_id, content_hash, schema_hash, created_ts, one row a proposal.  ``given``: run_id, id, ts, against_content,
+against_schema, one row for each item that an approval names; what it was given against may be null or empty.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +10,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PROPOSAL = (
-    "run_id string, content_hash string, schema_hash string, created_ts string, status string, "
-    "approvals array<struct<items: array<string>, approver: string, note: string, schema_hash: string, content_hash: string, ts: string>>, "
-    "items array<struct<id: string, key: string, verdict: string, approved: boolean>>"
-)
-
 
-def matching(proposals: DataFrame, contract: bool = True) -> DataFrame:
-    """``proposals`` with ``place``: 1 for the newest of each content (and contract), as approvals look them up."""
+def matching(heads: DataFrame, contract: bool = True) -> DataFrame:
+    """``heads`` with ``place``: 1 for the newest of each content (and contract), as approvals look them up."""
     by = ["content_hash", "schema_hash"] if contract else ["content_hash"]
-    return proposals.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.col("created_ts").desc(), F.col("run_id").desc())))
+    return heads.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.col("created_ts").desc(), F.col("run_id").desc())))
 
 
-def approved(proposals: DataFrame, compat: bool = False) -> DataFrame:
+def approved(heads: DataFrame, given: DataFrame, compat: bool = False) -> DataFrame:
     """``content_hash, schema_hash, id``: what approvals clear.  An approval of other content or of another
-    contract doesn't count.  All matching proposals count; with ``compat`` only the newest."""
-    rows = matching(proposals).where("place = 1") if compat else proposals
-    given = rows.select("content_hash", "schema_hash", F.explode("approvals").alias("a"))
-    same = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit("")).isin("") | F.col(f"a.{c}").eqNullSafe(F.col(c))
-    return given.where(same("schema_hash") & same("content_hash")).select("content_hash", "schema_hash", F.explode("a.items").alias("id")).distinct()
+    contract doesn't count.
+
+    Those of all matching proposals count.  With ``compat`` only the newest's: its own, and what it took over when it
+    was made.  A proposal takes over what its predecessor had by then, so an approval goes on for good unless the
+    next proposal was there before it.
+    """
+    later = W.partitionBy("content_hash", "schema_hash").orderBy("created_ts", "run_id")
+    proposals = heads.select("run_id", "content_hash", "schema_hash", F.lead("created_ts").over(later).alias("followed")) if compat else heads.select("run_id", "content_hash", "schema_hash")
+    rows = proposals.join(given, "run_id")
+    same = lambda c, of: (F.coalesce(F.col(c), F.lit("")) == "") | F.col(c).eqNullSafe(F.col(of))
+    rows = rows.where(same("against_schema", "schema_hash") & same("against_content", "content_hash"))
+    if compat:
+        rows = rows.where(F.col("followed").isNull() | (F.col("ts") <= F.col("followed")))
+    return rows.select("content_hash", "schema_hash", "id").distinct()
+
+
+def items_now(items: DataFrame, given: DataFrame) -> DataFrame:
+    """Proposals' ``items`` (run_id, id, approved, ...) with what was approved since they were made."""
+    since = given.select("run_id", "id", F.lit(True).alias("since")).distinct()
+    return items.join(since, ["run_id", "id"], "left").withColumn("approved", F.coalesce("approved", F.lit(False)) | F.col("since").isNotNull()).select(*items.columns)
 
 
 def resolve_tokens(items: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import lexicon as L
 from lorekeep.functions import text as X
 from lorekeep.lineage import cut, kept_until_done
-from lorekeep.operators import checks, gaps, verdicts
+from lorekeep.operators import approvals, checks, gaps, verdicts
 from lorekeep.operators.landing import clashes, links, new_edges, retired, superseded
 from lorekeep.plans import claim_index
 from lorekeep.plans.contract import Contract
@@ -27,13 +27,18 @@ class Result:
     schema_errors: list[str] = field(default_factory=list)
     findings: DataFrame | None = None
     plans: DataFrame | None = None
-    proposal: dict | None = None
+    book: proposals.Proposals | None = None
     applied: dict | None = None
     gaps: dict | None = None
     contradictions: dict | None = None
     audit_entry: dict | None = None
     halt_findings: list[tuple[str, str]] = field(default_factory=list)
 
+    @property
+    def proposal(self) -> dict | None:
+        """The proposal as it stands, read when asked for."""
+        return self.book.load(self.run_id) if self.book else None
+
 
 def writes(store: Store, base: dict, batch: checks.Batch, plans: DataFrame, now: str, today: str) -> dict[str, DataFrame]:
     """What the plans add to the graph's tables, without the ledger and the gaps.
@@ -91,15 +96,11 @@ def ingest(
     findings = cut(findings)  # read several times below, and a long plan
     content, bound = batches.content_hash(file), contract.fingerprint()
     book = proposals.Proposals(spark, proposal_dir)
-    prior = book.matching(content, bound)
-    approved = spark.createDataFrame([(i,) for i in sorted(proposals.approved_ids(prior, compat))], "id string")
+    approved = book.approved(content, bound, compat)
     plans = verdicts.resolve_actions(batch.items, findings, existing, approved, approve_all, compat)
     plans = cut(plans)
-    proposal = proposals.build(plans, findings, run_id=run_id, file=file, content_hash=content, schema_hash=bound, identity=contract.identity, domain_checks=[n for n, _ in packs], created_ts=now, owner=owner, scope=scope)
-    if prior:
-        proposal["approvals"] = prior[0].get("approvals", [])
-    book.save(proposal)
-    result = Result(run_id, findings=findings, plans=plans, proposal=proposal, halted=any(f["verdict"] == "HALT" for i in proposal["items"] for f in i["findings"]))
+    book.record(plans, findings, {"run_id": run_id, "file": file, "content_hash": content, "schema_hash": bound, "identity": contract.identity, "domain_checks": [n for n, _ in packs], "created_ts": now, "owner": owner, "scope": scope})
+    result = Result(run_id, findings=findings, plans=plans, book=book, halted=bool(verdicts.run_floor(findings).first()["halts"]))
     if result.halted or not apply:
         return result
 
@@ -125,7 +126,7 @@ def ingest(
          "gaps": result.gaps, "contradictions": result.contradictions, "actions": [{"action": p["action"], "id": p["id"]} for p in done]}, now,
     )
     store.set_audit_head(result.audit_entry["hash"])
-    book.save(proposals.mark_applied(proposal, plans))
+    book.mark_applied(run_id, content, bound, result.applied)
     return result
 
 
@@ -138,21 +139,32 @@ def approve(spark: SparkSession, proposal_dir: str, audit_path: str, *, run_id:
     bound = Contract.load(contract_path).fingerprint() if contract_path else None
     book = proposals.Proposals(spark, proposal_dir)
     if run_id:
-        proposal = book.load(run_id)
-        if proposal and bound and proposal.get("schema_hash") != bound:
+        rows = book.of_run(run_id)
+        head = proposals.heads(rows).first()
+        if head and bound and head["schema_hash"] != bound:
             return {"found": False, "ambiguous": False, "reason": "the proposal was made under another contract"}
     else:
-        matching = book.matching(batches.content_hash(file), bound)
-        if len({p.get("schema_hash", "") for p in matching}) > 1:
+        rows = book.events(batches.content_hash(file))
+        known = proposals.heads(rows).where(F.lit(bound).isNull() | (F.col("schema_hash") == F.lit(bound)))
+        if known.select("schema_hash").distinct().limit(2).count() > 1:
             return {"found": False, "ambiguous": True, "reason": "proposals under several contracts match; name the contract or the run"}
-        proposal = matching[0] if matching else None
-    if proposal is None:
+        head = approvals.matching(known).where("place = 1").first()
+    if head is None:
         return {"found": False, "ambiguous": False, "reason": "no such proposal"}
-    granted, unmatched = proposals.record_approval(proposal, list(items), approver, note, everything)
-    book.save(proposal)
+    listed = proposals.items(rows).where(F.col("run_id") == head["run_id"])
+    if everything:
+        named = listed.where("verdict = 'REQUIRE_APPROVAL'").select(F.col("id").alias("token"), "id", F.lit(None).cast("string").alias("problem"))
+    else:
+        named = approvals.resolve_tokens(listed, spark.createDataFrame([(head["run_id"], t) for t in dict.fromkeys(items)], "run_id string, token string"))
+    named = cut(named)
+    book.approve(head, named.where("problem is null").select("id").distinct(), approver, note)
+    answers = {r["token"]: r for r in named.collect()}  # what the approver named, as the audit entry has it
+    order = sorted(answers) if everything else list(dict.fromkeys(items))
+    granted = list(dict.fromkeys(answers[t]["id"] for t in order if answers[t]["problem"] is None))
+    unmatched = [(t, answers[t]["problem"]) for t in order if answers[t]["problem"] is not None]
     audit_log.append(
         spark, audit_path,
-        {"event": "approve", "run_id": proposal["run_id"], "approver": approver, "items": granted, "note": note, "schema_hash": proposal["schema_hash"], "content_hash": proposal["content_hash"], "unmatched": [list(u) for u in unmatched]},
+        {"event": "approve", "run_id": head["run_id"], "approver": approver, "items": granted, "note": note, "schema_hash": head["schema_hash"], "content_hash": head["content_hash"], "unmatched": [list(u) for u in unmatched]},
         proposals.now_text(),
     )
-    return {"found": True, "ambiguous": False, "run_id": proposal["run_id"], "granted": granted, "unmatched": unmatched}
+    return {"found": True, "ambiguous": False, "run_id": head["run_id"], "granted": granted, "unmatched": unmatched}

@@ -13,7 +13,7 @@ from lorekeep.lineage import kept_until_done, shared_folder
 from lorekeep.operators import approvals, contradictions, explain, gaps, landing, verdicts
 from lorekeep.plans import claim_index, contract_rules
 from lorekeep.registry import _IN, _plans, query, read
-from lorekeep.sources import documents
+from lorekeep.sources import documents, proposals
 from lorekeep.sources.store import TABLES, ConcurrentCommit, Store, with_fields
 
 _TODAY = "2024-05-01"
@@ -129,16 +129,15 @@ def gap_promotion_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- proposals
-def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order is a proposal, eight of one content; its approvals are good, of other content, or of another contract."""
+def _proposals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each order is a proposal, eight of one content; its approvals, given after all were made, are good, of other
+    content, or of another contract."""
     k = F.col("o_orderkey")
     content, contract = F.concat(F.lit("c"), F.floor(k / 8).cast("string")), F.concat(F.lit("k"), (k % 2).cast("string"))
-    approval = lambda item, schema, digest: F.struct(F.array(item).alias("items"), F.lit("me").alias("approver"), F.lit("").alias("note"), schema.alias("schema_hash"), digest.alias("content_hash"), F.lit("t").alias("ts"))
-    name = lambda kind: F.concat(F.lit(f"{kind}:"), k.cast("string"))
-    return read(spark, sf_dir, "orders").select(
-        F.concat(F.lit("p"), k.cast("string")).alias("run_id"), content.alias("content_hash"), contract.alias("schema_hash"), F.format_string("t%09d", k % 5).alias("created_ts"),
-        F.array(approval(name("good"), contract, content), approval(name("unbound"), F.lit(""), F.lit(None).cast("string")), approval(name("other"), contract, F.lit("x")), approval(name("foreign"), F.lit("x"), content)).alias("approvals"),
-    )
+    heads = read(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("p"), k.cast("string")).alias("run_id"), content.alias("content_hash"), contract.alias("schema_hash"), F.format_string("t%09d", k % 5).alias("created_ts"))
+    approval = lambda kind, schema, digest: F.struct(F.concat(F.lit(f"{kind}:"), F.col("k").cast("string")).alias("id"), schema.alias("against_schema"), digest.alias("against_content"))
+    said = F.array(approval("good", F.col("schema_hash"), F.col("content_hash")), approval("unbound", F.lit(""), F.lit(None).cast("string")), approval("other", F.col("schema_hash"), F.lit("x")), approval("foreign", F.lit("x"), F.col("content_hash")))
+    return heads.drop("k"), heads.select("run_id", F.lit("u").alias("ts"), F.inline(said))
 
 
 _PROPOSALS_SQL = "WITH p AS (SELECT o_orderkey AS k, concat('p', CAST(o_orderkey AS VARCHAR)) AS run_id, concat('c', CAST(o_orderkey // 8 AS VARCHAR)) AS content_hash, concat('k', CAST(o_orderkey % 2 AS VARCHAR)) AS schema_hash FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY content_hash, schema_hash ORDER BY k % 5 DESC, run_id DESC) AS place FROM p) "
@@ -146,17 +145,28 @@ _PROPOSALS_SQL = "WITH p AS (SELECT o_orderkey AS k, concat('p', CAST(o_orderkey
 
 @query(_PROPOSALS_SQL + "SELECT run_id, content_hash, CAST(place AS INTEGER) AS place FROM r")
 def proposals_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return approvals.matching(_proposals(spark, sf_dir)).select("run_id", "content_hash", "place")
+    return approvals.matching(_proposals(spark, sf_dir)[0]).select("run_id", "content_hash", "place")
 
 
 @query(_PROPOSALS_SQL + "SELECT content_hash, schema_hash, concat(unnest(['good', 'unbound']), ':', CAST(k AS VARCHAR)) AS id FROM r")
 def approved_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return approvals.approved(_proposals(spark, sf_dir))
+    return approvals.approved(*_proposals(spark, sf_dir))
 
 
 @query(_PROPOSALS_SQL + "SELECT content_hash, schema_hash, concat(unnest(['good', 'unbound']), ':', CAST(k AS VARCHAR)) AS id FROM r WHERE place = 1")
 def approved_ids_of_the_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return approvals.approved(_proposals(spark, sf_dir), compat=True)
+    return approvals.approved(*_proposals(spark, sf_dir), compat=True)
+
+
+@query(
+    _PROPOSALS_SQL + ", n AS (SELECT *, lead(k % 5) OVER (PARTITION BY content_hash, schema_hash ORDER BY k % 5, run_id) AS followed FROM p) "
+    "SELECT content_hash, schema_hash, concat(unnest(['good', 'unbound']), ':', CAST(k AS VARCHAR)) AS id FROM n WHERE followed IS NULL OR k % 3 <= followed"
+)
+def approvals_taken_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the newest proposals have when each took over its predecessor's approvals; some came too late for that."""
+    heads, given = _proposals(spark, sf_dir)
+    at = F.format_string("t%09d", F.substring("run_id", 2, 20).cast("bigint") % 3)
+    return approvals.approved(heads, given.withColumn("ts", at), compat=True)
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +194,37 @@ def proposal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approvals.status_after(_held(spark, sf_dir))
 
 
+@query(
+    "WITH o AS (SELECT o_orderkey AS k, sha256(CAST(o_orderkey // 4 AS VARCHAR)) AS content, CASE o_orderkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS verdict FROM orders WHERE o_orderkey % 10 <> 3), "
+    "i AS (SELECT content, k, verdict = 1 AS held, k % 12 = 1 AS granted, concat('order:', CAST(k AS VARCHAR)) AS id FROM o) "
+    "SELECT content AS content_hash, concat('run-', content) AS run_id, CAST(count(*) AS BIGINT) AS items, CAST(count_if(held) AS BIGINT) AS held, CAST(count_if(granted) AS BIGINT) AS approved, "
+    "CASE WHEN bool_or(held AND NOT granted) THEN 'partial' ELSE 'applied' END AS status, coalesce(string_agg(CASE WHEN granted THEN id END, ',' ORDER BY id), '') AS cleared FROM i GROUP BY content"
+)
+def proposal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as proposals of four, recorded, approved by item in a second commit, and folded: what a run would find.
+    Items whose proposal has no head (a write that failed) don't count."""
+    k = F.col("o_orderkey")
+    content = F.sha2(F.floor(k / 4).cast("string"), 256)
+    orders = read(spark, sf_dir, "orders").select(k.alias("o_orderkey"), content.alias("content_hash"), F.concat(F.lit("run-"), content).alias("run_id"), F.lit("k").alias("schema_hash"), F.lit("t1").alias("ts"))
+    whole = orders.where("o_orderkey % 10 <> 3")
+    folder = f"{shared_folder(spark)}/proposals-{uuid.uuid4().hex}"
+    book = proposals.Proposals(spark, folder)
+    item = {"id": F.concat(F.lit("order:"), k.cast("string")), "kind": F.lit("order"), "key": k.cast("string"), "approved": F.lit(False)}
+    verdict = F.when(k % 6 == 0, "BLOCK").when(k % 6 == 1, "REQUIRE_APPROVAL").otherwise("ALLOW")
+    book.append(proposals.events_of(whole, "item", verdict=verdict, **item))
+    book.append(proposals.events_of(orders.where("o_orderkey % 10 = 3").withColumn("run_id", F.concat("run_id", F.lit("-failed"))), "item", verdict=verdict, **item))
+    book.append(proposals.events_of(whole.select("run_id", "content_hash", "schema_hash", "ts").distinct(), "head"))
+    granted = proposals.events_of(whole.where("o_orderkey % 12 = 1"), "approved", id=item["id"], ts=F.lit("t2"), against_content=F.col("content_hash"), against_schema=F.col("schema_hash"))
+    book.append(granted)
+    events = book.events()
+    now = proposals.items(events)
+    held = F.col("verdict") == "REQUIRE_APPROVAL"
+    counts = now.groupBy("run_id").agg(F.count("*").alias("items"), F.count_if(held).alias("held"), F.count_if("approved").alias("approved"))  # four items at most
+    cleared = approvals.approved(proposals.heads(events), proposals.given(events)).groupBy("content_hash").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("cleared"))
+    folded = proposals.heads(events).select("run_id", "content_hash").join(counts, "run_id").join(approvals.status_after(now), "run_id").join(cleared, "content_hash", "left")
+    return folded.select("content_hash", "run_id", "items", "held", "approved", "status", F.coalesce("cleared", F.lit("")).alias("cleared"))
+
+
 # ---------------------------------------------------------------- contradictions
 def _believed(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
     """Parts that claim something of their brand and type; some deny it, some name others that they contradict."""

@@ -8,11 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
-from lorekeep.operators import audit_chain, gaps, similarity
+from lorekeep.operators import approvals, audit_chain, gaps, similarity
 from lorekeep.plans.contract import Vocabulary
 from lorekeep.sources.audit_log import entry_hash
 from lorekeep.sources.batches import canonical
-from lorekeep.sources.proposals import approved_ids, resolve_tokens
 
 
 def one(spark, column):
@@ -116,12 +115,16 @@ def test_gap_support(spark):
     assert [r["slug"] for r in gaps.known_gaps(gaps.aggregate(rows, resolved)).collect()] == ["a-b", "e-f"]
 
 
-def test_approvals():
-    proposal = {"schema_hash": "s", "content_hash": "c", "approvals": [{"items": ["a"], "schema_hash": "s", "content_hash": "c"}, {"items": ["b"], "schema_hash": "other"}, {"items": ["d"]}]}
-    assert approved_ids([proposal]) == {"a", "d"} and approved_ids([{}, proposal], compat=True) == set()
-    items = [{"id": "x:1", "key": "1", "verdict": "REQUIRE_APPROVAL"}, {"id": "y:1", "key": "1", "verdict": "REQUIRE_APPROVAL"}, {"id": "x:2", "key": "2", "verdict": "ALLOW"}]
-    found, unmatched = resolve_tokens({"items": items}, ["x:1", "1", "2", "zz"])
-    assert found == ["x:1"] and [t for t, _ in unmatched] == ["1", "2", "zz"]
+def test_approvals(spark):
+    heads = spark.createDataFrame([("p1", "c", "s", "t1"), ("p2", "c", "s", "t3")], "run_id string, content_hash string, schema_hash string, created_ts string")
+    rows = [("p1", "a", "t2", "c", "s"), ("p1", "b", "t2", None, "other"), ("p1", "d", "t2", None, None), ("p1", "late", "t4", "c", "s"), ("p2", "e", "t4", "", "")]
+    given = spark.createDataFrame(rows, "run_id string, id string, ts string, against_content string, against_schema string")
+    ids = lambda found: {r["id"] for r in found.collect()}
+    assert ids(approvals.approved(heads, given)) == {"a", "d", "late", "e"} and ids(approvals.approved(heads, given, compat=True)) == {"a", "d", "e"}
+    assert ids(approvals.approved(heads.where("run_id = 'none'"), given, compat=True)) == set()
+    items = spark.createDataFrame([("r", "x:1", "1", "REQUIRE_APPROVAL"), ("r", "y:1", "1", "REQUIRE_APPROVAL"), ("r", "x:2", "2", "ALLOW")], "run_id string, id string, key string, verdict string")
+    named = {r["token"]: r for r in approvals.resolve_tokens(items, spark.createDataFrame([("r", t) for t in ("x:1", "1", "2", "zz")], "run_id string, token string")).collect()}
+    assert named["x:1"]["id"] == "x:1" and [t for t in ("x:1", "1", "2", "zz") if named[t]["problem"]] == ["1", "2", "zz"]
 
 
 def test_entropy_formula(spark):
