@@ -81,8 +81,9 @@ class Runner:
 
     def do_ingest(self, file: str = "batch", schema: str | None = None, apply: bool = False, owner: str = "tester", approve_all: bool = False, **more: object) -> dict:
         result = engine.ingest(self.spark, self.path(file), self.contract(schema), self.address, apply=apply, owner=owner, approve_all=approve_all, proposal_dir=self.proposals, audit_path=self.log, **more)
-        items = (result.proposal or {}).get("items", [])
-        said = [f for i in items for f in i["findings"]] + (result.proposal or {}).get("run_findings", [])
+        proposal = result.proposal or {}
+        items = proposal.get("items", [])
+        said = [f for i in items for f in i["findings"]] + proposal.get("run_findings", [])
         return {
             "schema_invalid": bool(result.schema_errors), "schema_errors": result.schema_errors, "halted": result.halted, "halt_reason": [m for _, m in result.halt_findings],
             "items": {i["id"]: i["action"] for i in items}, "checks_fired": sorted({f["check"] for f in said}), "message": [f["message"] for f in said], "detail": [i["detail"] for i in items],

@@ -10,15 +10,16 @@ GLYPHS = {"verified": "+", "unverified": "?", "invalidated": "x"}
 
 
 def plan(result: Result) -> str:
-    if result.halted and not result.proposal:
+    proposal = result.proposal
+    if result.halted and not proposal:
         return "\n".join(["HALT: nothing was read further", *[f"  {check}: {message}" for check, message in result.halt_findings]])
     if result.schema_errors:
         return "\n".join(["the contract is invalid", *[f"  {e}" for e in result.schema_errors]])
     out = [f"run {result.run_id}"]
     groups: dict[str, list[dict]] = {}
-    for item in result.proposal["items"]:
+    for item in proposal["items"]:
         groups.setdefault(item["action"], []).append(item)
-    for finding in result.proposal["run_findings"]:
+    for finding in proposal["run_findings"]:
         out.append(f"  {finding['verdict']} {finding['check']}: {finding['message']}")
     for action in sorted(groups):
         out.append(f"{action} ({len(groups[action])})")

@@ -2,7 +2,8 @@
 
 A proposal is the rows of its items and findings and then a head, bound to content and contract; without its head, as
 after a failed write, it isn't there.  Approvals and applications are later events; what holds now is folded from all by key
-(``operators.approvals``).  Files are partitioned by the content's first two digits, so that a batch's history is read alone.
+(``operators.approvals``).  Files are partitioned by the content's first digit and sorted by content, so that
+a batch's history is read from the row groups that can hold it.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def new_run_id(path: str) -> str:
 
 def events_of(rows: DataFrame, event: str, **columns: Column) -> DataFrame:
     """``rows`` as events: columns of the same names, and those given; the others null."""
-    columns = {c: F.col(c) for c in rows.columns} | columns | {"event": F.lit(event), "part": F.substring(columns.get("content_hash", F.col("content_hash")), 1, 2)}
+    columns = {c: F.col(c) for c in rows.columns} | columns | {"event": F.lit(event), "part": F.substring(columns.get("content_hash", F.col("content_hash")), 1, 1)}
     names = [x.rsplit(" ", 1) for x in EVENT.split(", ")]
     return rows.select(*[columns[n].cast(t).alias(n) if n in columns else F.lit(None).cast(t).alias(n) for n, t in names])
 
@@ -48,18 +49,19 @@ class Proposals:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def append(self, events: DataFrame) -> None:
-        events.write.mode("append").partitionBy("part").parquet(self.folder)
+        dealt = events.hint("rebalance", "part").sortWithinPartitions("part", "content_hash")  # else every task would write a file for every part; a large part is split
+        dealt.write.mode("append").partitionBy("part").parquet(self.folder)
 
     def events(self, content: str | None = None) -> DataFrame:
         """All events, or those of one content."""
         if not Files(self.spark).exists(self.folder):
             return self.spark.createDataFrame([], EVENT)
         rows = self.spark.read.schema(EVENT).parquet(self.folder)
-        return rows if content is None else rows.where((F.col("part") == content[:2]) & (F.col("content_hash") == content))
+        return rows if content is None else rows.where((F.col("part") == content[:1]) & (F.col("content_hash") == content))
 
     def of_run(self, run_id: str) -> DataFrame:
         """Events of one run, whose id names its content."""
-        return self.events().where((F.col("part") == run_id.split("-")[-2:][0][:2]) & (F.col("run_id") == run_id))
+        return self.events().where((F.col("part") == run_id.split("-")[-2:][0][:1]) & (F.col("run_id") == run_id))
 
     def record(self, plans: DataFrame, findings: DataFrame, head: dict) -> None:
         """A proposal: its items and findings, then its head."""
