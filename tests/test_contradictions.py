@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lorekeep import registry_graph
 from lorekeep.operators import cells, contradictions
 
 KINDS = [("note", "claim", ["topic"])]
@@ -33,3 +34,12 @@ def test_keys_that_pair_keys_do_not_tell_apart(spark):
     claims = [("a|b", "x", "the gate is open", None), ("c", "x", "the gate is not open", "note:a|b"), ("d", "x", "gate open", None)]
     rows = contradictions.observations(nodes_of(spark, claims), kinds).select("left_id", "right_id", "detector").collect()
     assert {tuple(r) for r in rows} == {("note:a|b", "note:c", "negation_mismatch"), ("note:c", "note:d", "negation_mismatch")} and len(rows) == 2
+
+
+def test_nodes_are_stored_without_comparing_claims(spark, sf_dir, monkeypatch):
+    def compared(*_):
+        raise AssertionError("claims were compared")
+
+    monkeypatch.setattr(registry_graph, "_STORES", {})
+    monkeypatch.setattr(contradictions, "scan", compared)
+    assert registry_graph._store(spark, sf_dir).manifest()["version"] == 2
