@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from lorekeep import registry_graph
-from lorekeep.operators import cells, contradictions
+from lorekeep.operators import cells, contradictions, crowds
 
 KINDS = [("note", "claim", ["topic"])]
 
@@ -43,3 +47,21 @@ def test_nodes_are_stored_without_comparing_claims(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(registry_graph, "_STORES", {})
     monkeypatch.setattr(contradictions, "scan", compared)
     assert registry_graph._store(spark, sf_dir).manifest()["version"] == 2
+
+
+def test_crowded_slots_meet_by_sketches(spark, monkeypatch):
+    """What plain words give, with blocks, groups and matrices small enough that all of them are met; nothing is met by lists of words."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [r.sample(words, r.choice((2, 5, 9, 30))) + r.choice(([], ["not"], ["open"], ["closed"])) for _ in range(150)]
+    texts += [t[:-1] + [r.choice(("not", "open", "closed", "w99"))] for t in texts[:60]]
+    claims = spark.createDataFrame([("x", f"{i:03}", " ".join(t)) for i, t in enumerate(texts)], "slot string, key string, claim string")
+    scanned = lambda: {tuple(x) for x in contradictions.scan(contradictions.claim_features(claims), ("slot",)).select("key_a", "key_b", "detector", F.round("overlap", 9)).collect()}
+    plain, listed = scanned(), []
+    opposed = contradictions.opposed_pairs
+    monkeypatch.setattr(contradictions, "opposed_pairs", lambda *a: listed.append(opposed(*a).count()) or opposed(*a))
+    for name, value in (("BLOCK_WORDS", 300), ("AT_ONCE", 1 << 12), ("PLACES", 1 << 9), ("TASK_PAIRS", 500)):
+        monkeypatch.setattr(crowds, name, value)
+    monkeypatch.setattr(contradictions, "CROWD", 10)
+    assert scanned() == plain and len(plain) > 50
+    assert listed == [0]
