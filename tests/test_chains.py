@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
+
 from lorekeep.functions import lexicon as L
 from lorekeep.operators import audit_chain
 from lorekeep.streaming import chains
@@ -32,3 +34,23 @@ def test_heads_carry_over_batches_and_passed_lines_have_no_place(spark, tmp_path
     assert rows == want
     assert sorted((r["log"], r["line"], r["payload"]) for r in got.where("hash is null").collect()) == [("a", 1, "one"), ("a", 2, "too late"), ("c", 1, "again")]
     assert all(r["ok"] for r in audit_chain.verify(got.where("hash is not null"), ("log",)).collect())
+
+
+class _Head:
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_lines_are_objects_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(chains, "AT_ONCE", 7)
+    lines, state = [(i * 13) % 50 for i in range(50)], _Head()
+    frames = (pd.DataFrame({"log": "a", "line": lines[i : i + 20], "payload": [str(x) for x in lines[i : i + 20]]}) for i in (0, 20, 40))
+    out = list(chains.continuing()(("a",), frames, state))
+    assert max(map(len, out)) == 7
+    head = L.GENESIS
+    for line, row in enumerate(pd.concat(out).itertuples()):
+        before, head = head, hashlib.sha256((head + str(line)).encode()).hexdigest()
+        assert (row.line, row.prev_hash, row.hash) == (line, before, head)
+    assert state.get == (head, 49)
