@@ -65,3 +65,13 @@ def test_crowded_slots_meet_by_sketches(spark, monkeypatch):
     monkeypatch.setattr(contradictions, "CROWD", 10)
     assert scanned() == plain and len(plain) > 50
     assert listed == [0]
+
+
+def test_pairs_of_a_slot_come_out_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(contradictions, "TASK_PAIRS", 60)
+    texts = ["the gate is open now", "the gate is not open now", "gate now closed"]
+    claims = spark.createDataFrame([(f"s{s}", f"{i:02}", texts[i % 3]) for s in range(6) for i in range(30 if s == 0 else 12)], "slot string, key string, claim string")
+    found = contradictions.scan(contradictions.claim_features(claims), ("slot",), together=True).select("slot", "key_a", "key_b", F.spark_partition_id().alias("task")).collect()
+    assert len({r[:3] for r in found}) == len(found) == 3 * 10 * 10 + 5 * 3 * 4 * 4
+    tasks = {s: {r["task"] for r in found if r["slot"] == s} for s in {r["slot"] for r in found}}
+    assert all(len(t) == 1 for s, t in tasks.items() if s != "s0") and len(tasks["s0"]) > 1 and len(set.union(*tasks.values())) > 3
