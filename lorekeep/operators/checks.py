@@ -176,6 +176,18 @@ def missing_references(refs: DataFrame, targets: DataFrame, on: list[str]) -> Da
     return refs.join(targets.select(*on).distinct(), on, "left_anti")
 
 
+#: Tasks that items without a key are dealt to.
+SPREAD = 64
+
+
+def absent(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Items whose ``kind`` and ``key`` are not among ``ids``.  Items whose key is null or empty are alike to a join, so they are dealt out by ``pos``;
+    an id with an empty key is met by all of them."""
+    deal = F.when(F.coalesce("key", F.lit("")) == "", F.pmod(F.xxhash64("pos"), F.lit(SPREAD)).cast("int")).otherwise(0)
+    there = ids.select("kind", "key", F.explode(F.when(F.col("key") == "", F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("__deal"))
+    return rows.withColumn("__deal", deal).join(there, ["kind", "key", "__deal"], "left_anti").select(*rows.columns)
+
+
 def reference_rows(b: Batch) -> DataFrame:
     values = b.items.join(F.broadcast(b.contract.ref_rows(b.spark)), "kind")
     return values.select("*", F.explode(X.as_list(F.col("fields")[F.col("field")])).alias("ref"))
@@ -198,7 +210,7 @@ def contradicts_ref(b: Batch) -> DataFrame:
 
 
 def implicit_create_guard(b: Batch) -> DataFrame:
-    rows = b.known().where("section = 'node' and not implicit_create").join(b.ids(), ["kind", "key"], "left_anti")
+    rows = absent(b.known().where("section = 'node' and not implicit_create"), b.ids())
     return found(rows, "implicit_create_guard", L.BLOCK, texts("kind '", F.col("kind"), "' is closed; a new '", F.col("key"), "' must be declared"))
 
 
@@ -249,7 +261,7 @@ def gap_slug(fields: Column) -> Column:
 
 
 def unmapped_review(b: Batch) -> DataFrame:
-    rows = b.unmapped().join(b.ids(), ["kind", "key"], "left_anti").withColumn("gap", gap_slug(F.col("fields")))
+    rows = absent(b.unmapped(), b.ids()).withColumn("gap", gap_slug(F.col("fields")))
     said = texts("'", F.col("key"), "' has no controlled-vocabulary home", F.when(F.col("gap") != "", texts(": gap '", F.col("gap"), "'")).otherwise(""), "; held for human review")
     return found(rows, "unmapped_review", L.REQUIRE_APPROVAL, said, "warn", data_of(action=F.lit("unmapped"), gap=F.col("gap")))
 
