@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from lorekeep import registry_graph
-from lorekeep.operators import cells, contradictions, crowds
+from lorekeep.operators import cells, contradictions, crowds, packs
 
 KINDS = [("note", "claim", ["topic"])]
 
@@ -75,3 +75,29 @@ def test_pairs_of_a_slot_come_out_of_one_task(spark, monkeypatch):
     assert len({r[:3] for r in found}) == len(found) == 3 * 10 * 10 + 5 * 3 * 4 * 4
     tasks = {s: {r["task"] for r in found if r["slot"] == s} for s in {r["slot"] for r in found}}
     assert all(len(t) == 1 for s, t in tasks.items() if s != "s0") and len(tasks["s0"]) > 1 and len(set.union(*tasks.values())) > 3
+
+
+def test_a_ledger_is_folded_in_packs(spark, monkeypatch):
+    """Pairs are neither shuffled one by one nor as they are, whatever falls in a part."""
+    monkeypatch.setattr(packs, "PART_ROWS", 3_000)
+    k = F.col("id")
+    left, right = F.concat(F.lit("part:"), F.format_string("%06d", F.floor(k / 100))), F.concat(F.lit("part:"), F.format_string("%06d", 1_000 + k % 100))
+    fixed = [F.lit(v).alias(c) for c, v in (("slot", "a/b"), ("detector", "antonym_pair"), ("left_snapshot", "the gate is open"), ("right_snapshot", "the gate is closed"), ("left_owner", "me"), ("right_owner", "me"), ("left_source", "s"), ("right_source", "s"), ("left_run_id", "r"), ("right_run_id", "r"))]
+    rows = spark.range(0, 20_000, 1, 2).select("id", F.concat_ws("|", left, right, F.lit("a/b")).alias("pair_key"), left.alias("left_id"), right.alias("right_id"), *fixed, F.lit(0.5).alias("overlap"))
+    state = F.when(k % 5 == 0, "resolved").when(k % 5 == 1, F.lit(None)).otherwise("active")
+    stored = rows.where("id % 3 <> 0").select(F.lit("north").alias("scope"), "*", state.alias("state"), *[F.lit(v).alias(c) for c, v in (("detected_run_id", "r0"), ("detected_ts", "t0"), ("resolved_ts", ""), ("resolution", ""))])
+    stored = stored.withColumn("left_snapshot", F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, "other").otherwise(F.col("left_snapshot"))).drop("id")
+    found = rows.where("id % 4 <> 0").drop("id")
+    after, changes = contradictions.reconcile(found, stored.unionByName(stored.limit(5).withColumn("scope", F.lit("south"))), "north", "r1", "t1")
+    assert "hashpartitioning(pair_key" not in after._jdf.queryExecution().toString()
+    plain = contradictions.ledger_changes(found, stored)
+    assert sorted(map(tuple, changes.collect())) == sorted(map(tuple, plain.collect())) and plain.count() > 5_000
+    told = {(r["scope"], r["pair_key"]): r for r in after.collect()}
+    assert len(told) == after.count() == 5 + rows.where("id % 3 <> 0 or id % 4 <> 0").count()
+    for key, change in map(tuple, plain.collect()):
+        r = told["north", key]
+        assert (r["state"], r["detected_run_id"], r["resolved_ts"]) == (("resolved", "r0", "t1") if change == "resolve" else ("active", "r1", ""))
+        assert change == "resolve" or r["left_snapshot"] == "the gate is open"
+    batch = found.withColumns({"__part": F.lit(0), "__side": F.lit(0)}).toArrow().to_batches()
+    size = sum(len(b.as_py()) for some in packs.pack(iter(batch), "pair_key") for b in some.column("blob"))
+    assert size < 4 * found.count()
