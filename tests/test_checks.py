@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.operators import checks
+from lorekeep.operators import checks, similarity
 
 
 def test_items_without_keys_are_dealt_out(spark):
@@ -19,3 +19,18 @@ def test_items_without_keys_are_dealt_out(spark):
     want = {i for i in range(120) if not (i % 2 and i % 3 == 1) and i not in (5, 8)}
     assert {r["pos"] for r in rows} == want and len(rows) == len(want)
     assert len({r["task"] for r in rows if r["kind"] == "b" and r["key"] is None}) > 1
+
+
+def test_near_duplicate_keys_meet_in_many_tasks(spark, monkeypatch):
+    """A trigram that all keys hold is dealt out on both sides, and every pair of keys is still met once."""
+    keys = spark.range(0, 60, 1, 2).select(F.concat(F.lit("supplier "), F.format_string("%03d", F.col("id") * 7)).alias("key"))
+    pairs = lambda: sorted(map(tuple, similarity.near_duplicates(keys, keys).collect()))
+    plain = pairs()
+    monkeypatch.setattr(similarity, "TASK_MEETINGS", 300)
+    assert pairs() == plain and len(plain) > 10
+    rows = spark.range(0, 100, 1, 2)
+    sides = [rows.where(where).select(F.lit("x").alias("item"), F.col("id").alias(f"key_{n}")) for where, n in (("id < 60", "a"), ("id >= 10", "b"))]
+    left, right, tasks = similarity.dealt(*sides, ["item"])
+    met = left.join(right, ["item", "deal"])
+    assert met.count() == met.select("key_a", "key_b").distinct().count() == 60 * 90
+    assert tasks == 60 * 90 // 300 and met.groupBy("deal").count().agg(F.max("count")).first()[0] <= 2 * 300
