@@ -40,6 +40,7 @@ class Batch:
     run_id: str = ""
     options: dict = field(default_factory=dict)
     graph: DataFrame | None = None  # all nodes, where ``existing`` are those alone that the batch names
+    met: DataFrame | None = None  # what ``collisions`` gives, where it has been worked out
 
     def kinds(self) -> DataFrame:
         return F.broadcast(self.contract.kind_rows(self.spark))  # a contract's size
@@ -51,6 +52,12 @@ class Batch:
     def ids(self) -> DataFrame:
         return self.existing.select("kind", "key").distinct()
 
+    def collisions(self) -> DataFrame:
+        """Items that exist, with what the checks of them read: one join, and one comparison of contents."""
+        if self.met is not None:
+            return self.met
+        return against_existing(self.known(), self.existing).select("id", "kind", "key", "pos", "supersede", "supersedable", "changed", "old_protected", "old_owner")
+
     def all_ids(self) -> DataFrame:
         """Every key of the graph, for what is compared with keys that the batch doesn't name."""
         return (self.existing if self.graph is None else self.graph).select("kind", "key").distinct()
@@ -236,7 +243,7 @@ def collision_class(changed: Column, supersedable: Column, supersede: Column) ->
 
 
 def collision(b: Batch) -> DataFrame:
-    rows = against_existing(b.known(), b.existing).withColumn("class", collision_class(F.col("changed"), F.col("supersedable"), F.col("supersede")))
+    rows = b.collisions().withColumn("class", collision_class(F.col("changed"), F.col("supersedable"), F.col("supersede")))
     c = F.col("class")
     said = (
         F.when(c == "identical", texts("'", F.col("key"), "' is already present and unchanged"))
@@ -251,7 +258,7 @@ def collision(b: Batch) -> DataFrame:
 
 
 def protected_guard(b: Batch) -> DataFrame:
-    rows = against_existing(b.known(), b.existing).where((F.col("old_protected") & F.col("changed") & (F.col("old_owner") != "")) & (F.col("old_owner") != b.owner))
+    rows = b.collisions().where((F.col("old_protected") & F.col("changed") & (F.col("old_owner") != "")) & (F.col("old_owner") != b.owner))
     return found(rows, "protected_guard", L.BLOCK, texts("'", F.col("key"), "' is protected and owned by '", F.col("old_owner"), f"'; '{b.owner}' may not overwrite it"))
 
 
@@ -306,6 +313,7 @@ def run_checks(batch: Batch, packs: list[tuple[str, Callable[[Batch], DataFrame]
     folded = replace(batch, items=items)
     state = cut(batch.existing.join(folded.named(), ["kind", "key"], "left_semi").select("kind", "key", "fields", "is_protected", "owner"))
     near = replace(folded, existing=state, graph=batch.existing)
+    near = replace(near, met=cut(near.collisions()))  # two checks read it
     asked = any(k.near_duplicate_check for k in batch.contract.kinds.values())
     findings = report
     for name, check in CHECKS.items():

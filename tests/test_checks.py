@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorekeep import registry_batch
 from lorekeep.operators import checks, similarity
 
 
@@ -34,3 +35,11 @@ def test_near_duplicate_keys_meet_in_many_tasks(spark, monkeypatch):
     met = left.join(right, ["item", "deal"])
     assert met.count() == met.select("key_a", "key_b").distinct().count() == 60 * 90
     assert tasks == 60 * 90 // 300 and met.groupBy("deal").count().agg(F.max("count")).first()[0] <= 2 * 300
+
+
+def test_items_meet_existing_nodes_once(spark, sf_dir, monkeypatch):
+    met = []
+    against = checks.against_existing
+    monkeypatch.setattr(checks, "against_existing", lambda *a: met.append(1) or against(*a))
+    checks.run_checks(registry_batch._batch(spark, sf_dir))
+    assert met == [1]
