@@ -3,7 +3,7 @@
 The store keeps a row of every node's claim (``claims``), the rarer words of each claim inverted (``claim_postings``, in folders by
 bucket of kind and slot), the order of words that these go by (``claim_words``) and who names whom as contradicting
 (``claim_links``).  A commit turns its own nodes into claims, meets the postings of their slots alone, looks up the
-claims it has met by key, and folds what it finds about its own nodes into their rows of the ledger.
+claims it has met by key, compares them by classes of the same words, and folds what it finds about its own nodes into their rows of the ledger.
 
 The order of words is that of the last building.  Any one order gives the same pairs, an old one only longer lists, so everything is
 built anew when the claims have doubled since, or when the contract reads claims from other fields.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
 from lorekeep.functions.lexicon import OVERLAP_FLOOR
-from lorekeep.operators import cells, contradictions
+from lorekeep.operators import contradictions, packs
 from lorekeep.operators.similarity import rare_first
 from lorekeep.sources.store import INDEX, Store
 
@@ -90,31 +90,24 @@ def slots_met(store: Store, base: dict, claims: DataFrame, scope: str | None) ->
 
 
 def delta(store: Store, base: dict, new: DataFrame, postings: DataFrame, scope: str | None, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Every observation that concerns one of the claims ``new`` (a table), whose postings are ``postings`` (a table)."""
-    node = ["scope", "kind", "key"]
+    """Every observation that concerns one of the claims ``new`` (a table), whose postings are ``postings`` (a table).
+
+    Postings only say which stored claims share a rarer word with a new one that they can oppose.  Those are looked up, and claims are then
+    compared by classes, as in ``contradictions.scan``: what is stored on the way grows with claims, not with their pairs."""
+    node, on = ["scope", "kind", "key"], ["kind", "slot", "item"]
     own = new.select(*node)
-    name = F.concat_ws("\0", "scope", "kind", "key").alias("row")
     met = slots_met(store, base, new, scope).join(own, node, "left_anti")
-    by = ["kind", "slot"]
-    listed = [p.select(*by, "item", "key", name, "n", "pos", *contradictions.MARKS, *more) for p, more in ((postings, ()), (met, ("scope", "revision")))]
-    old = keep(listed[1])
-    pairs = keep(contradictions.opposed_pairs(listed[0], listed[0].unionByName(old.select(*listed[0].columns)), by, "key"))
-    involved = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
-    wanted = old.join(involved, "row", "left_semi").select("scope", "kind", "key", "revision").distinct()
+    asked = postings.select(*[F.col(c).alias(f"{c}_new") for c in (*on, *contradictions.MARKS)]).distinct()
+    shared = [F.col(c) == F.col(f"{c}_new") for c in on]
+    opposed = (F.col("denied") != F.col("denied_new")) | (F.col("has").bitwiseAND(F.col("wants_new")) != 0)
+    wanted = met.join(asked, [*shared, opposed], "left_semi").select("kind", "key")
     named = new.select(F.explode("contradicts").alias("id"))
     namers = store.lookup_many("claim_links", new.select(F.col("id").alias("target")), scope, base)
     others = named.select(X.id_kind(F.col("id")).alias("kind"), X.id_key(F.col("id")).alias("key")).unionByName(namers.select("kind", "key"))
-    keys = keep(wanted.select("kind", "key").unionByName(others).distinct())
+    keys = keep(wanted.unionByName(others).distinct())
     stored = store.lookup_many("claims", keys, scope, base).join(own, node, "left_anti")
-    claims = keep(new.select(*stored.columns, F.lit(True).alias("own")).unionByName(stored.withColumn("own", F.lit(False))).withColumn("name", F.concat_ws("\0", *node)).withColumn("row", F.monotonically_increasing_id()))
-
-    current = claims.join(wanted.select(*node, "revision").unionByName(new.select(*node, "revision")), [*node, "revision"], "left_semi").where("lexical")  # postings of earlier revisions stand for nothing
-    numbers = current.select("name", "row")
-    for side in ("row_a", "row_b"):
-        pairs = pairs.join(numbers.withColumnsRenamed({"name": side, "row": f"{side}_number"}), side).drop(side).withColumnRenamed(f"{side}_number", side)
-    near = cells.similar(keep(pairs), claims, OVERLAP_FLOOR)
-    lexical = contradictions.opposing(near, claims.select("kind", "slot", "key", "row", "words", "negated", *contradictions.SIDE), by, "key")
-    return contradictions.assembled(lexical, contradictions.stated(claims.where("size(contradicts) > 0"), claims, either="own"))
+    claims = keep(new.select(*stored.columns, F.lit(True).alias("own")).unionByName(stored.withColumn("own", F.lit(False))))
+    return contradictions.of_claims(claims, either="own")
 
 
 def fold(store: Store, base: dict, changed: DataFrame, kinds: DataFrame, partition: str, scoped: bool, run_id: str, now: str, keep: Callable[[DataFrame], DataFrame]) -> Folded:
@@ -137,19 +130,16 @@ def fold(store: Store, base: dict, changed: DataFrame, kinds: DataFrame, partiti
         found = contradictions.of_claims(seen)
         tables = {"claims": claims, "claim_postings": postings_of(claims, order), "claim_words": order, "claim_links": links_of(claims)}
         notes, renewed = {"claim_kinds": kinds_now, "claims_built": claims.count()}, TABLES
-        touched = store.read("contradictions", base, partition)
     else:
         slots = new.where("lexical").select("kind", "slot").distinct()
         order = store.lookup_many("claim_words", slots, None, base)
         postings = keep(postings_of(new, order))
         found = delta(store, base, new, postings, scope, keep)
         tables, notes, renewed = {"claims": new, "claim_postings": postings, "claim_links": links_of(new)}, {}, ()
-        ledger, ids = store.read("contradictions", base, partition), new.select("id")
-        touched = ledger.join(ids, F.col("left_id") == F.col("id"), "left_semi").unionByName(ledger.join(ids, F.col("right_id") == F.col("id"), "left_semi")).distinct()
-    found, touched = keep(found), keep(touched)
-    after, changes = contradictions.reconcile(found, touched, partition, run_id, now)
-    changes = keep(changes)
-    counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+    packed = lambda rows: packs.held(rows, "pair_key", keep)  # noqa: E731  as many rows as there are pairs
+    found, ledger = packed(found), packed(store.read("contradictions", base, partition).where(F.col("scope") == partition))
+    rows = packed(contradictions.reconciled(found, ledger, partition, run_id, now, None if whole else new.select("id")).where("change is not null"))
+    counts = {r["change"]: r["count"] for r in rows.groupBy("change").count().collect()}
     if counts:
-        tables["contradictions"] = keep(after.join(changes, "pair_key", "left_semi").where(F.col("scope") == partition))
+        tables["contradictions"] = rows.drop("change")
     return Folded(tables, counts, notes, renewed)
