@@ -223,20 +223,21 @@ def windows(ids: np.ndarray, lengths: np.ndarray, start: int, pad: int, at_once:
     """
     n_windows = -(-lengths // SCORED)
     all_texts = np.repeat(np.arange(len(lengths)), n_windows)
-    first, begins = np.cumsum(n_windows) - n_windows, np.cumsum(lengths) - lengths
-    padded = np.concatenate([ids, [0]]).astype(np.int32)
+    # Each text as it is read: padding, the start, its ids, and padding to the end of its last window.  A window is a run of that.
+    before = KEYS - SCORED + 1
+    sizes = n_windows * SCORED + before
+    begins, first = np.cumsum(sizes) - sizes, np.cumsum(n_windows) - n_windows
+    stream = np.full(int(sizes.sum()), pad, np.int32)
+    stream[begins + before - 1] = start
+    stream[np.arange(len(ids)) + np.repeat(begins + before - (np.cumsum(lengths) - lengths), lengths)] = ids
+    where = np.repeat(begins - first * SCORED, n_windows) + np.arange(len(all_texts)) * SCORED
+    runs = np.lib.stride_tricks.sliding_window_view(stream, KEYS + 1) if len(stream) else np.empty((0, KEYS + 1), np.int32)
     numbers = np.arange(len(all_texts)) if only is None else only
     for run in range(0, len(numbers), at_once or max(1, len(numbers))):
         number = numbers[run : run + at_once] if at_once else numbers
-        text = all_texts[number]
-        base = ((number - first[text]) * SCORED).astype(np.int64)[:, None]
-        offset, size = begins[text][:, None] + base, lengths[text][:, None] - base
-        step = np.arange(SCORED)
-        targets = np.where(step < size, padded[np.minimum(offset + step, len(ids))], -1)
-        step = np.arange(KEYS) - (KEYS - SCORED) - 1  # the id before each position; before the first is the start
-        keys = np.where(step < size, padded[np.clip(offset + step, 0, len(ids))], pad)
-        keys = np.where(step + base < 0, np.where(step + base == -1, start, pad), keys)
-        yield keys, targets, text
+        found = runs[where[number]]
+        targets = found[:, before:]
+        yield found[:, :KEYS], np.where(targets == pad, -1, targets), all_texts[number]
 
 
 def _by_group(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:

@@ -492,3 +492,19 @@ def test_ids_of_any_name(spark, name):
     got = lm_scoring.score(docs, vocabulary_path("piece_bpe_32k.model"), id_col=name)
     assert got.columns[0] == (name if name == "key" else f"{name}_id") and len(set(got.columns)) == len(got.columns)
     assert {r[0] for r in got.collect()} == {1, 2, None}
+
+
+def test_windows_are_what_they_are_by_definition():
+    r = np.random.default_rng(3)
+    lengths = np.concatenate([np.arange(1, 41), r.integers(1, 60, 20)])
+    ids, start, pad, keys, scored = r.integers(0, 900, int(lengths.sum())).astype(np.uint16), 900, 901, lm_scoring.KEYS, lm_scoring.SCORED
+    plain, at = [], 0
+    for text, n in enumerate(lengths.tolist()):
+        own = [start, *ids[at : at + n].tolist()]
+        for base in range(0, n, scored):
+            seen = [own[i] if 0 <= i < len(own) else pad for i in range(base - keys + scored, base + scored)]
+            plain.append((seen, [own[i + 1] if i + 1 < len(own) else -1 for i in range(base, base + scored)], text))
+        at += n
+    for only in (None, r.permutation(len(plain))[:50]):
+        found = [x for run in lm_scoring.windows(ids, lengths, start, pad, 16, only) for x in zip(*(y.tolist() for y in run), strict=True)]
+        assert found == [plain[i] for i in (range(len(plain)) if only is None else only.tolist())]
