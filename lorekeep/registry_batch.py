@@ -156,8 +156,7 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose synonym was replaced in their documents, nothing else of which changes."""
     b = _batch(spark, sf_dir)
-    folded, report = checks.fold_synonyms(b)
-    rows = folded.join(report.select(F.col("pos").cast("bigint").alias("pos")), "pos", "left_semi")
+    rows = checks.changed_fields(checks.with_folds(b).where("changes is not null"), b.items.columns)
     return rows.select("pos", F.get_json_object("props", "$.priority").alias("priority"), F.get_json_object("props", "$.customer").alias("customer"))
 
 

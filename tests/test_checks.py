@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import registry_batch
 from lorekeep.operators import checks, similarity
+from lorekeep.operators.checks import Batch
 
 
 def test_items_without_keys_are_dealt_out(spark):
@@ -43,3 +44,14 @@ def test_items_meet_existing_nodes_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(checks, "against_existing", lambda *a: met.append(1) or against(*a))
     checks.run_checks(registry_batch._batch(spark, sf_dir))
     assert met == [1]
+
+
+def test_synonyms_are_folded_where_items_share_a_position(spark):
+    """Files that were put together number their items alike: each item is folded by its own values, and once."""
+    rows = [("order", 7, {"priority": "5-LOW", "status": "F"}), ("order", 7, {"priority": "5-LOW", "status": "O"}), ("order", 7, {"priority": "2-HIGH"}), ("customer", 7, {"priority": "5-LOW"}), ("ghost", 8, {"priority": None})]
+    items = spark.createDataFrame(rows, "kind string, pos int, fields map<string,string>").withColumn("props", F.to_json("fields")).withColumn("id", F.lit("x:?"))
+    folded, report = checks.fold_synonyms(Batch(spark, registry_batch.CONTRACT, items, items))
+    told = sorted((r["kind"], r["fields"]["priority"] or "", r["fields"].get("status", ""), r["props"]) for r in folded.select("kind", "fields", "props").collect())
+    low = "4-NOT SPECIFIED"
+    assert [x[:3] for x in told] == [("customer", "5-LOW", ""), ("ghost", "", ""), ("order", "2-HIGH", ""), ("order", low, "F"), ("order", low, "O")]
+    assert [low in x[3] for x in told] == [False, False, False, True, True] and report.count() == 2
