@@ -23,7 +23,7 @@ from lorekeep.functions import text as X
 from lorekeep.functions.lexicon import OVERLAP_FLOOR
 from lorekeep.operators import contradictions, packs
 from lorekeep.operators.similarity import rare_first
-from lorekeep.sources.store import INDEX, Store
+from lorekeep.sources.store import INDEX, REPLACED_NODES, Store
 
 BUCKETS = 16
 #: So many slots are named in the scan of the postings; more are told by their buckets, and by a join.
@@ -136,10 +136,17 @@ def fold(store: Store, base: dict, changed: DataFrame, kinds: DataFrame, partiti
         postings = keep(postings_of(new, order))
         found = delta(store, base, new, postings, scope, keep)
         tables, notes, renewed = {"claims": new, "claim_postings": postings, "claim_links": links_of(new)}, {}, ()
-    packed = lambda rows: packs.held(rows, "pair_key", keep)  # noqa: E731  as many rows as there are pairs
-    found, ledger = packed(found), packed(store.read("contradictions", base, partition).where(F.col("scope") == partition))
-    rows = packed(contradictions.reconciled(found, ledger, partition, run_id, now, None if whole else new.select("id")).where("change is not null"))
-    counts = {r["change"]: r["count"] for r in rows.groupBy("change").count().collect()}
+    # Pairs are as many as nothing else here: what is found is made of classes wherever it is read, and met with the ledger only where that names the commit's nodes.
+    ledger, ids = store.read("contradictions", base, partition).where(F.col("scope") == partition), new.select(F.lit(partition).alias("scope"), "id")
+    own = ledger if whole else contradictions.naming(ledger, ids, size["rows"])
+    if own.isEmpty():
+        rows = contradictions.begun(found, partition, run_id, now)
+        counts = {change: n for change, n in {"upsert": rows.count()}.items() if n}
+        tables[REPLACED_NODES] = None
+    else:
+        rows = contradictions.reconciled(found, own, partition, run_id, now)
+        rows, counts = packs.held(rows.where("change is not null") if whole else rows, "pair_key", keep, "change")
+        tables |= {} if whole else {REPLACED_NODES: ids}
     if counts:
         tables["contradictions"] = rows.drop("change")
     return Folded(tables, counts, notes, renewed)
