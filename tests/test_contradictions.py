@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -101,3 +102,22 @@ def test_a_ledger_is_folded_in_packs(spark, monkeypatch):
     batch = found.withColumns({"__part": F.lit(0), "__side": F.lit(0)}).toArrow().to_batches()
     size = sum(len(b.as_py()) for some in packs.pack(iter(batch), "pair_key") for b in some.column("blob"))
     assert size < 4 * found.count()
+
+
+def test_pairs_meet_no_more_of_a_claim_than_its_words_with_antonyms(spark, monkeypatch):
+    """Whole texts go neither to the classes of claims nor to each of their pairs."""
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [("s", i, f"{long} {end}") for i, end in enumerate(("open more", "closed less", "closed open", "not open", "won lost"))]
+    claims, kept = contradictions.claim_features(spark.createDataFrame(rows, "slot string, key int, claim string")).drop("claim"), []
+    staged = contradictions.kept_until_done
+
+    @contextmanager
+    def watched(session):
+        with staged(session) as keep:
+            yield lambda df: kept.append(df.columns) or keep(df)
+
+    monkeypatch.setattr(contradictions, "kept_until_done", watched)
+    found = {(r["key_a"], r["key_b"]): (r["detector"], r["hit"] and tuple(r["hit"])) for r in contradictions.scan(claims, ("slot",)).collect()}
+    assert kept and not any("words" in columns for columns in kept)
+    assert found[0, 1] == ("antonym_pair", ("more", "less")) and found[0, 3][0] == "negation_mismatch" and (0, 4) not in found
+    assert found[1, 3] == ("negation_mismatch", ("closed", "open"))
